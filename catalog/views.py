@@ -232,7 +232,7 @@ c1 AS (
       ELSE situacao_encerramento END AS desfecho,
     an.sigla AS uf
   FROM c0 LEFT JOIN area_names an ON an.nome = c0.estado_notificacao),
-cases AS (
+cases AS MATERIALIZED (
   SELECT c1.*, CASE WHEN desfecho = 'Cura' THEN 'Cura' WHEN desfecho IN ('Abandono', 'Abandono Primário') THEN 'Interrupção'
       WHEN desfecho = 'Óbito por TB' THEN 'Óbito' ELSE 'Não avaliado' END AS grupo,
     CASE WHEN idade_anos BETWEEN 0 AND 4 THEN '0-4' WHEN idade_anos <= 9 THEN '5-9' WHEN idade_anos <= 14 THEN '10-14'
