@@ -10,6 +10,7 @@ from catalog.register import fold, query
 from catalog.views import FIRST_YEAR, REFERENCE_YEAR, area_dim, cases, coded, registry
 from epispark.functions import clean, predicates
 from epispark.functions.filters import Filters, legacy_filters, resolve_filters, year_preset
+from epispark.literals import literal_rows
 from epispark.operators import counts, kpis
 from epispark.operators.history import history_annual, monthly_cases
 from epispark.operators.waits import duration, start_wait
@@ -91,7 +92,7 @@ UNION ALL SELECT 'all', ano FROM (SELECT DISTINCT ano_notificacao AS ano FROM ca
 def presets(spark, sf):
     years = catalog(spark, sf)
     rows = [(name, y) for name in ("last", "last3", "last10", "all") for y in year_preset(years, name)]
-    return spark.createDataFrame(rows, "preset string, ano int")
+    return literal_rows(spark, rows, "preset string, ano int")
 
 
 @query("filter_legacy", """SELECT case_id FROM cases WHERE sexo IN ('Masculino', 'Feminino')
@@ -132,8 +133,8 @@ def lab_confirmed(spark, sf):
 
 @query("closed_case", "SELECT case_id FROM cases WHERE desfecho <> 'Em acompanhamento'")
 def closed_case(spark, sf):
-    rows = clean.with_outcome(cases(spark, sf, "case_id", "situacao_encerramento"))
-    return rows.where(predicates.closed_case(F.col("desfecho"))).select("case_id")
+    rows = cases(spark, sf, "case_id", "situacao_encerramento")
+    return rows.where(clean.is_closed()).select("case_id")
 
 
 @query("drop_invalid_labels", f"""SELECT case_id, raca_cor FROM cases WHERE raca_cor IS NOT NULL

@@ -73,12 +73,12 @@ def area_code_unknown(spark, sf):
 
 @query("age_band_11", "SELECT case_id, faixa FROM cases")
 def age_band_11(spark, sf):
-    return cases(spark, sf, "case_id", "idade_anos").select("case_id", clean.band(F.col("idade_anos"), tb.AGE_BANDS_11).alias("faixa"))
+    return cases(spark, sf, "case_id", "idade_anos").select("case_id", clean.band("idade_anos", tb.AGE_BANDS_11).alias("faixa"))
 
 
 @query("age_band_17", "SELECT case_id, faixa17 AS faixa FROM cases")
 def age_band_17(spark, sf):
-    return cases(spark, sf, "case_id", "idade_anos").select("case_id", clean.band(F.col("idade_anos"), tb.AGE_BANDS_17).alias("faixa"))
+    return cases(spark, sf, "case_id", "idade_anos").select("case_id", clean.band("idade_anos", tb.AGE_BANDS_17).alias("faixa"))
 
 
 @query("fold_key", f"SELECT doc_id, {fold('text')} AS chave FROM documents")

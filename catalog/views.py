@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epispark.spec import AreaDim
@@ -20,86 +20,73 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _cycle(key: Column, names: list[str | None]) -> Column:
-    """names[key mod n]"""
-    i = key % len(names)
-    out = F.when(i == 0, F.lit(names[0]))
-    for j, name in enumerate(names[1:], 1):
-        out = out.when(i == j, F.lit(name))
-    return out
-
-
-def _flag(key: Column, every: int) -> Column:
-    return F.when(key % every == 0, "Sim").otherwise("Não")
-
-
-def _order_columns() -> dict[str, Column]:
-    k, u, status, priority = (F.col(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
-    late = (F.when(priority.startswith("1"), "Óbito por TB").when(priority.startswith("2"), "Obito por TB")
-            .when(priority.startswith("3"), "Abandono").when(priority.startswith("4"), "Abandono Primario")
-            .otherwise("Transferencia"))
-    return {
-        "case_id": k,
-        "ano_notificacao": F.year("o_orderdate"),
-        "data_notificacao": F.to_date("o_orderdate"),
-        "data_diagnostico": F.to_date("o_orderdate"),
-        "sexo": F.when(u % 50 == 7, "Ignorado").when(u % 3 == 0, "Feminino").otherwise("Masculino"),
-        "raca_cor": _cycle(u, ["Parda", "Branca", "Preta", "Indígena", " Nao informado ", None]),
-        "escolaridade": _cycle(k, ["Fundamental", "Médio", "Superior", "nan", "Nao informado"]),
-        "tipo_entrada": _cycle(k, ["Caso Novo"] * 6 + ["Recidiva", "Reingresso após Abandono", "Nao Sabe", "Pós-óbito"]),
-        "forma": _cycle(k, ["Pulmonar", "Extrapulmonar", "Pulmonar", None, "Pulmonar", "Pulmonar + Extrapulmonar"]),
-        "situacao_encerramento": F.when(status == "F", "Cura")
-        .when((status == "O") & (k % 2 == 0), "Nao informado").when(status == "P", late),
-        "status_hiv": _cycle(k, ["Positivo", "Negativo", "Negativo", "Negativo", "Em andamento", "Não realizado", None]),
-        "baciloscopia_primeira_amostra": _cycle(k, ["Positivo", "Negativo", "Não realizado", "Nao informado"]),
-        "teste_molecular": _cycle(u, ["Detectável", "Não detectável", None, "Inconclusivo", "undefined"]),
-        "agravo_aids": _cycle(k, ["Sim", "sim", None] + ["Não"] * 8),
-        "agravo_alcoolismo": _flag(k, 23),
-        "agravo_diabetes": _flag(k, 13),
-        "agravo_doenca_mental": _flag(k, 29),
-        "agravo_drogas_ilicitas": _flag(k, 31),
-        "agravo_tabagismo": F.when(k % 37 == 0, " Sim ").when(k % 5 == 0, "SIM").otherwise("Não"),
-        "populacao_privada_liberdade": _flag(k, 41),
-        "populacao_situacao_rua": _flag(k, 17),
-        "populacao_imigrante": _flag(u, 19),
-        "profissional_saude": _flag(k, 43),
-        "beneficiario_governo": _flag(k, 3),
-    }
-
-
-def _customer_columns() -> dict[str, Column]:
-    variant = F.replace(F.col("n_name"), F.lit("NATION"), F.lit("Nação"))
-    return {
-        "estado_notificacao": F.when(F.col("o_orderkey") % 4 == 0, variant).otherwise(F.col("n_name")),
-        "municipio_notificacao": F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit(" "), F.col("n_name")),
-        "idade_anos": F.when(F.col("c_acctbal") >= 0, F.floor(F.col("c_acctbal") / 100).cast("int")),
-    }
-
-
-def _line_columns() -> dict[str, Column]:
-    return {
-        "data_inicio_tratamento": F.col("ini"), "data_encerramento": F.col("fim"),
-        "numero_contatos": F.col("n").cast("int"), "numero_contatos_examinados": F.col("ex").cast("int"),
-    }
+def _cycle(key: str, names: list[str | None]) -> str:
+    """names[key mod n] as a SQL expression"""
+    cases = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names) if n is not None)
+    return f"CASE {key} % {len(names)} {cases} END"
+
+
+def _flag(key: str, every: int) -> str:
+    return f"IF({key} % {every} = 0, 'Sim', 'Não')"
+
+
+# Column -> SQL expression over orders, over orders + customer + nation, and over the per-order
+# summary of lineitem.
+ORDER_COLUMNS = {
+    "case_id": "o_orderkey",
+    "ano_notificacao": "year(o_orderdate)",
+    "data_notificacao": "to_date(o_orderdate)",
+    "data_diagnostico": "to_date(o_orderdate)",
+    "sexo": "CASE WHEN o_custkey % 50 = 7 THEN 'Ignorado' WHEN o_custkey % 3 = 0 THEN 'Feminino' ELSE 'Masculino' END",
+    "raca_cor": _cycle("o_custkey", ["Parda", "Branca", "Preta", "Indígena", " Nao informado ", None]),
+    "escolaridade": _cycle("o_orderkey", ["Fundamental", "Médio", "Superior", "nan", "Nao informado"]),
+    "tipo_entrada": _cycle("o_orderkey", ["Caso Novo"] * 6 + ["Recidiva", "Reingresso após Abandono", "Nao Sabe", "Pós-óbito"]),
+    "forma": _cycle("o_orderkey", ["Pulmonar", "Extrapulmonar", "Pulmonar", None, "Pulmonar", "Pulmonar + Extrapulmonar"]),
+    "situacao_encerramento": """CASE o_orderstatus WHEN 'F' THEN 'Cura' WHEN 'O' THEN IF(o_orderkey % 2 = 0, 'Nao informado', NULL)
+        WHEN 'P' THEN CASE left(o_orderpriority, 1) WHEN '1' THEN 'Óbito por TB' WHEN '2' THEN 'Obito por TB'
+            WHEN '3' THEN 'Abandono' WHEN '4' THEN 'Abandono Primario' ELSE 'Transferencia' END END""",
+    "status_hiv": _cycle("o_orderkey", ["Positivo", "Negativo", "Negativo", "Negativo", "Em andamento", "Não realizado", None]),
+    "baciloscopia_primeira_amostra": _cycle("o_orderkey", ["Positivo", "Negativo", "Não realizado", "Nao informado"]),
+    "teste_molecular": _cycle("o_custkey", ["Detectável", "Não detectável", None, "Inconclusivo", "undefined"]),
+    "agravo_aids": _cycle("o_orderkey", ["Sim", "sim", None] + ["Não"] * 8),
+    "agravo_alcoolismo": _flag("o_orderkey", 23),
+    "agravo_diabetes": _flag("o_orderkey", 13),
+    "agravo_doenca_mental": _flag("o_orderkey", 29),
+    "agravo_drogas_ilicitas": _flag("o_orderkey", 31),
+    "agravo_tabagismo": "CASE WHEN o_orderkey % 37 = 0 THEN ' Sim ' WHEN o_orderkey % 5 = 0 THEN 'SIM' ELSE 'Não' END",
+    "populacao_privada_liberdade": _flag("o_orderkey", 41),
+    "populacao_situacao_rua": _flag("o_orderkey", 17),
+    "populacao_imigrante": _flag("o_custkey", 19),
+    "profissional_saude": _flag("o_orderkey", 43),
+    "beneficiario_governo": _flag("o_orderkey", 3),
+}
+PERSON_COLUMNS = {
+    "estado_notificacao": "IF(o_orderkey % 4 = 0, replace(n_name, 'NATION', 'Nação'), n_name)",
+    "municipio_notificacao": "concat(' ', c_mktsegment, ' ', n_name)",
+    "idade_anos": "IF(c_acctbal >= 0, int(floor(c_acctbal / 100)), NULL)",
+}
+LINE_COLUMNS = {
+    "data_inicio_tratamento": "ini", "data_encerramento": "fim",
+    "numero_contatos": "int(n)", "numero_contatos_examinados": "int(ex)",
+}
 
 
 def cases(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """One row per order; all columns when none is named."""
-    own, person, lines = _order_columns(), _customer_columns(), _line_columns()
-    columns = columns or (*own, *person, *lines)
+    every = {**ORDER_COLUMNS, **PERSON_COLUMNS, **LINE_COLUMNS}
+    columns = columns or tuple(every)
     rows = table(spark, sf_dir, "orders")
-    if any(c in person for c in columns):
+    if any(c in PERSON_COLUMNS for c in columns):
         nations = F.broadcast(table(spark, sf_dir, "nation"))  # 25 rows at every scale
-        rows = (rows.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-                .join(nations, F.col("c_nationkey") == F.col("n_nationkey")))
-    if any(c in lines for c in columns):
+        rows = (rows.join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
+                .join(nations, F.expr("c_nationkey = n_nationkey")))
+    if any(c in LINE_COLUMNS for c in columns):
         # Partial aggregation first: an order with very many lines is one row per task.
         summary = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-            F.to_date(F.min("l_shipdate")).alias("ini"), F.to_date(F.max("l_shipdate")).alias("fim"),
-            F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("ex"))
-        rows = rows.join(summary, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    every = {**own, **person, **lines}
-    return rows.select(*[every[c].alias(c) for c in columns])
+            F.expr("to_date(min(l_shipdate)) AS ini"), F.expr("to_date(max(l_shipdate)) AS fim"),
+            F.expr("count(*) AS n"), F.expr("count_if(l_returnflag = 'R') AS ex"))
+        rows = rows.join(summary, F.expr("o_orderkey = l_orderkey"), "left")
+    return rows.selectExpr(*[f"{every[c]} AS {c}" for c in columns])
 
 
 def area_dim(spark: SparkSession, sf_dir: str) -> AreaDim:
@@ -108,55 +95,45 @@ def area_dim(spark: SparkSession, sf_dir: str) -> AreaDim:
     regions = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
     areas = tuple((f"N{k:02d}", f"NATION_{k}", regions[k % 5], f"{k:02d}") for k in range(24))
     spellings = tuple((s, f"N{k:02d}") for k in range(24) for s in (f"NATION_{k}", f"Nação_{k}"))
-    people = (table(spark, sf_dir, "customer").where(F.col("c_nationkey") < 24)
-              .groupBy(F.concat(F.lit("N"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")).alias("sigla"))
-              .agg((F.count(F.lit(1)) * 1000).alias("populacao")))
+    people = (table(spark, sf_dir, "customer").where("c_nationkey < 24")
+              .groupBy(F.expr("concat('N', lpad(c_nationkey, 2, '0'))").alias("sigla"))
+              .agg(F.expr("count(*) * 1000 AS populacao")))
     return AreaDim(areas, spellings, people)
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Death registry: one row per lineitem."""
-    lines, suppliers = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
-    k = F.col("l_orderkey")
-    code = F.concat(F.lpad(F.col("s_nationkey").cast("string"), 2, "0"),
-                    F.lpad((F.col("l_partkey") % 10000).cast("string"), 4, "0"))
-    flag = F.col("l_returnflag")
-    rows = lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-    return rows.select(
-        F.date_format("l_shipdate", "ddMMyyyy").alias("dtobito"),
-        F.when(k % 23 == 0, F.lit(None).cast("string")).when(k % 29 == 0, " ").otherwise(code).alias("codmunres"),
-        F.when(flag == "R", F.concat(F.lit("A15"), F.col("l_linenumber").cast("string")))
-        .when(flag == "A", "A199").otherwise("B200").alias("causabas"))
+    suppliers = table(spark, sf_dir, "supplier")
+    rows = table(spark, sf_dir, "lineitem").join(suppliers, F.expr("l_suppkey = s_suppkey"))
+    return rows.selectExpr(
+        "date_format(l_shipdate, 'ddMMyyyy') AS dtobito",
+        """CASE WHEN l_orderkey % 23 = 0 THEN NULL WHEN l_orderkey % 29 = 0 THEN ' '
+           ELSE concat(lpad(s_nationkey, 2, '0'), lpad(l_partkey % 10000, 4, '0')) END AS codmunres""",
+        """CASE l_returnflag WHEN 'R' THEN concat('A15', l_linenumber) WHEN 'A' THEN 'A199' ELSE 'B200' END AS causabas""")
 
 
 def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coded extract, all columns text."""
-    k, u = F.col("o_orderkey"), F.col("o_custkey")
-
-    def text(c: Column) -> Column:
-        return c.cast("string")
-
-    return table(spark, sf_dir, "orders").select(
-        text(F.year("o_orderdate")).alias("nu_ano"), text(1 + k % 3).alias("forma"),
-        text(1 + u % 6).alias("tratamento"),
-        F.when(k % 9 == 0, "7").when(k % 9 == 1, " 7").when(k % 9 != 2, "1").alias("situa_ence"),
-        text(k % 4).alias("bacilosc_e"), text(k % 5).alias("bacilos_e2"), text(u % 7).alias("bacilosc_o"),
-        text(u % 8).alias("cultura_es"), text(k % 6).alias("test_molec"),
-        F.when(k % 31 == 0, "x").otherwise(text(k % 10)).alias("nu_contato"), text(k % 8).alias("nu_comu_ex"))
+    return table(spark, sf_dir, "orders").selectExpr(
+        "string(year(o_orderdate)) AS nu_ano", "string(1 + o_orderkey % 3) AS forma",
+        "string(1 + o_custkey % 6) AS tratamento",
+        "CASE o_orderkey % 9 WHEN 0 THEN '7' WHEN 1 THEN ' 7' WHEN 2 THEN NULL ELSE '1' END AS situa_ence",
+        "string(o_orderkey % 4) AS bacilosc_e", "string(o_orderkey % 5) AS bacilos_e2",
+        "string(o_custkey % 7) AS bacilosc_o", "string(o_custkey % 8) AS cultura_es",
+        "string(o_orderkey % 6) AS test_molec",
+        "IF(o_orderkey % 31 = 0, 'x', string(o_orderkey % 10)) AS nu_contato",
+        "string(o_orderkey % 8) AS nu_comu_ex")
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Untreated extract: text dates, text numbers, ages as text, one administrative column."""
-    k, u = F.col("o_orderkey"), F.col("o_custkey")
-    age = (F.when(k % 7 == 0, F.concat((u % 100).cast("string"), F.lit(" anos")))
-           .when(k % 7 == 1, F.concat((u % 30).cast("string"), F.lit(" meses")))
-           .when(k % 7 == 2, "1 mês").when(k % 7 == 3, "20 dias").when(k % 7 == 4, "sem informação")
-           .when(k % 7 == 6, "5 horas"))
-    return table(spark, sf_dir, "orders").select(
-        k.alias("case_id"), F.year("o_orderdate").cast("string").alias("ano_notificacao"), age.alias("idade_notificada"),
-        F.when(k % 13 == 0, "2024-13-01").otherwise(F.to_date("o_orderdate").cast("string")).alias("data_notificacao"),
-        F.when(k % 17 == 0, "abc").when(k % 19 == 0, "40000").otherwise((k % 12).cast("string")).alias("numero_contatos"),
-        F.col("o_orderstatus").alias("sk_sinan_tube"))
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS case_id", "string(year(o_orderdate)) AS ano_notificacao",
+        """CASE o_orderkey % 7 WHEN 0 THEN concat(o_custkey % 100, ' anos') WHEN 1 THEN concat(o_custkey % 30, ' meses')
+           WHEN 2 THEN '1 mês' WHEN 3 THEN '20 dias' WHEN 4 THEN 'sem informação' WHEN 6 THEN '5 horas' END AS idade_notificada""",
+        "IF(o_orderkey % 13 = 0, '2024-13-01', string(to_date(o_orderdate))) AS data_notificacao",
+        "CASE WHEN o_orderkey % 17 = 0 THEN 'abc' WHEN o_orderkey % 19 = 0 THEN '40000' ELSE string(o_orderkey % 12) END AS numero_contatos",
+        "o_orderstatus AS sk_sinan_tube")
 
 
 def yearly_parts(df: DataFrame, year: str, years=YEARS) -> list[DataFrame]:

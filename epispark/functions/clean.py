@@ -7,7 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epispark.functions.text import is_yes, replace_values
+from epispark.functions.text import replace_values
+from epispark.literals import literal_rows, sql_map, sql_text
 from epispark.presets import tuberculosis as tb
 from epispark.spec import TB, AreaDim, CaseSpec
 
@@ -60,24 +61,43 @@ def outcome_group(canonical: Column, spec: CaseSpec = TB, unmapped_as_null: bool
     return replace_values(canonical, named, default)
 
 
+def outcome_spellings(canonical: Iterable[str], spec: CaseSpec = TB) -> list[str]:
+    """Every spelling in the data that stands for one of the canonical outcomes."""
+    wanted = set(canonical)
+    same = [c for c in canonical if c not in spec.outcome_spellings]
+    return same + [raw for raw, c in spec.outcome_spellings.items() if c in wanted]
+
+
+def has_outcome(canonical: str | Iterable[str], spec: CaseSpec = TB, column: Column | None = None) -> Column:
+    """Test on the stored outcome. A plain IN list over its spellings: cheaper per row than
+    recoding first, and it can be pushed to the reader."""
+    names = [canonical] if isinstance(canonical, str) else list(canonical)
+    c = F.col(spec.outcome) if column is None else column
+    return c.isin(*outcome_spellings(names, spec))
+
+
+def is_closed(spec: CaseSpec = TB, column: Column | None = None) -> Column:
+    """The stored outcome is present and not one of the open spellings."""
+    c = F.col(spec.outcome) if column is None else column
+    return c.isNotNull() & ~c.isin(*outcome_spellings([spec.open_outcome], spec))
+
+
 def with_outcome(df: DataFrame, spec: CaseSpec = TB) -> DataFrame:
     """Adds ``desfecho`` (canonical) and ``grupo``; both are pruned when unused."""
     df = df.withColumn("desfecho", canonical_outcome(F.col(spec.outcome), spec))
     return df.withColumn("grupo", outcome_group(F.col("desfecho"), spec))
 
 
-def band(c: Column, bands: Sequence[tuple[str, int, int | None]]) -> Column:
-    """Label of the closed interval holding ``c``; null outside all of them."""
-    out = None
-    for label, low, high in bands:
-        inside = c.between(low, high) if high is not None else c >= low
-        out = F.when(inside, F.lit(label)) if out is None else out.when(inside, F.lit(label))
-    return out
+def band(column: str, bands: Sequence[tuple[str, int, int | None]]) -> Column:
+    """Label of the closed interval holding a column's value; null outside all of them."""
+    tests = [f"WHEN `{column}` >= {low}" + (f" AND `{column}` <= {high}" if high is not None else "")
+             + f" THEN {sql_text(label)}" for label, low, high in bands]
+    return F.expr(f"CASE {' '.join(tests)} END")
 
 
 def band_grid(spark, bands) -> DataFrame:
     """(ordem, faixa): one literal row per band."""
-    return spark.createDataFrame([(i, b[0]) for i, b in enumerate(bands)], "ordem int, faixa string")
+    return literal_rows(spark, [(i, b[0]) for i, b in enumerate(bands)], "ordem int, faixa string")
 
 
 def young_flag(label: Column) -> Column:
@@ -89,7 +109,7 @@ def month_of(c: Column) -> Column:
 
 
 def month_label(month: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(m) for m in tb.MONTHS]), month.cast("int"))
+    return sql_map(dict(enumerate(tb.MONTHS, 1)))[month.cast("int")]
 
 
 def wait_days(start: Column, end: Column) -> Column:
@@ -139,7 +159,3 @@ def enrich_cases(df: DataFrame, dim: AreaDim, spec: CaseSpec = TB) -> DataFrame:
     if spec.date in df.columns:
         extra["mes_num"] = month_of(F.col(spec.date))
     return df.withColumns(extra) if extra else df
-
-
-def flag_columns(spec: CaseSpec = TB, trim: bool = False) -> dict[str, Column]:
-    return {c: is_yes(F.col(c), trim) for c in spec.flags}

@@ -42,10 +42,6 @@ def lab_confirmed_new_pulmonary() -> Column:
     return new_pulmonary() & lab_positive()
 
 
-def closed_case(canonical: Column, spec: CaseSpec = TB) -> Column:
-    return canonical != spec.open_outcome
-
-
 def known_status(spec: CaseSpec = TB) -> Column:
     return F.col(spec.hiv).isin(spec.positive, spec.negative)
 

@@ -10,6 +10,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from epispark.literals import sql_map
+
 # Every character Python's str.strip() removes.
 WHITESPACE = "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace())
 INVALID_LABELS = ("nan", "none", "undefined", "")
@@ -66,8 +68,5 @@ def is_yes(c: Column, trim: bool = False) -> Column:
 
 
 def replace_values(c: Column, values: Mapping[str, str], default: Column) -> Column:
-    """CASE over exact values. Short vocabularies only: it is evaluated left to right."""
-    out = None
-    for old, new in values.items():
-        out = F.when(c == old, F.lit(new)) if out is None else out.when(c == old, F.lit(new))
-    return default if out is None else out.otherwise(default)
+    """Exact values replaced from a short vocabulary, a constant map in the plan."""
+    return F.coalesce(sql_map(values)[c], default) if values else default

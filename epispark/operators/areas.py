@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epispark.functions.clean import attach_area, with_outcome
+from epispark.functions.clean import attach_area, has_outcome, is_closed
 from epispark.functions.measures import pct1, pct1_min1, rate_per_100k
-from epispark.functions.predicates import closed_case, incident, known_status
+from epispark.functions.predicates import incident, known_status
 from epispark.functions.text import fold_key
 from epispark.spec import TB, AreaDim, CaseSpec
 
@@ -42,12 +42,12 @@ def area_indicators(df: DataFrame, dim: AreaDim, deaths: DataFrame, years=(), n_
     Percentages are over all cases. Registry deaths are used when the registry covers the
     chosen years at all, case deaths otherwise; ``fonte_obitos`` says which."""
     n_years = n_years or max(len(years), 1)
-    cases = (attach_area(with_outcome(df, spec), dim, spec).groupBy(F.col("sigla").alias("uf"))
+    cases = (attach_area(df, dim, spec).groupBy(F.col("sigla").alias("uf"))
              .agg(F.count(F.lit(1)).alias("casos"),
                   n_if(incident(spec), "casos_novos"),
-                  n_if(F.col("desfecho") == spec.death, "_mortes"),
-                  n_if(F.col("desfecho") == spec.cure, "_cura"),
-                  n_if(F.col("desfecho").isin(*spec.dropout), "_abandono")))
+                  n_if(has_outcome(spec.death, spec), "_mortes"),
+                  n_if(has_outcome(spec.cure, spec), "_cura"),
+                  n_if(has_outcome(spec.dropout, spec), "_abandono")))
     by_area = deaths_in_years(deaths, years)
     covered = by_area.agg(F.sum("obitos")).scalar().isNotNull()
     joined = join_population(cases.join(by_area, "uf", "left"), dim)
@@ -88,12 +88,12 @@ def area_indicators_legacy(df: DataFrame, dim: AreaDim, deaths: DataFrame, years
 
 def municipality_indicators(df: DataFrame, dim: AreaDim, spec: CaseSpec = TB) -> DataFrame:
     """Per trimmed place: outcome % over all its cases, HIV % over known status."""
-    by = (attach_area(with_outcome(df, spec), dim, spec).where(F.col(spec.place).isNotNull())
+    by = (attach_area(df, dim, spec).where(F.col(spec.place).isNotNull())
           .groupBy(F.col("sigla").alias("uf"), F.trim(spec.place).alias("municipio"))
           .agg(F.count(F.lit(1)).alias("casos"),
-               n_if(F.col("desfecho") == spec.cure, "_cura"),
-               n_if(F.col("desfecho").isin(*spec.dropout), "_abandono"),
-               n_if(F.col("desfecho") == spec.death, "_obito"),
+               n_if(has_outcome(spec.cure, spec), "_cura"),
+               n_if(has_outcome(spec.dropout, spec), "_abandono"),
+               n_if(has_outcome(spec.death, spec), "_obito"),
                n_if(F.col(spec.hiv) == spec.positive, "_pos"),
                n_if(known_status(spec), "_conhecido")))
     return by.select("uf", "municipio", fold_key(F.col("municipio")).alias("nm_norm"), "casos",
@@ -105,12 +105,12 @@ def municipality_indicators(df: DataFrame, dim: AreaDim, spec: CaseSpec = TB) ->
 
 def municipality_pct_legacy(df: DataFrame, dim: AreaDim, spec: CaseSpec = TB) -> DataFrame:
     """Older rules: untrimmed names, dropout is the plain label only, HIV % over all cases."""
-    by = (attach_area(with_outcome(df, spec), dim, spec).where(F.col(spec.place).isNotNull())
+    by = (attach_area(df, dim, spec).where(F.col(spec.place).isNotNull())
           .groupBy(F.col("sigla").alias("uf"), F.col(spec.place).alias("municipio"))
           .agg(F.count(F.lit(1)).alias("casos"),
-               n_if(F.col("desfecho") == spec.cure, "_cura"),
-               n_if(F.col("desfecho") == spec.dropout[0], "_abandono"),
-               n_if(F.col("desfecho") == spec.death, "_obito"),
+               n_if(has_outcome(spec.cure, spec), "_cura"),
+               n_if(has_outcome(spec.dropout[0], spec), "_abandono"),
+               n_if(has_outcome(spec.death, spec), "_obito"),
                n_if(F.col(spec.hiv) == spec.positive, "_pos")))
     return by.select("uf", fold_key(F.col("municipio")).alias("municipio_norm"), "casos",
                      *[pct1(F.col(c), F.col("casos")).alias(n) for c, n in
@@ -119,16 +119,16 @@ def municipality_pct_legacy(df: DataFrame, dim: AreaDim, spec: CaseSpec = TB) ->
 
 def cohort_kpis(df: DataFrame, dim: AreaDim, spec: CaseSpec = TB) -> DataFrame:
     """Cohort indicators per area: the denominator is the closed cases."""
-    closed = closed_case(F.col("desfecho"), spec)
-    cured = F.col("desfecho") == spec.cure
+    closed = is_closed(spec)
+    cured = has_outcome(spec.cure, spec)
     new = F.col(spec.entry) == spec.new_case
     again = F.col(spec.entry).isin(*spec.retreatment_entries)
-    k = (attach_area(with_outcome(df, spec), dim, spec).groupBy(F.col("sigla").alias("uf"))
+    k = (attach_area(df, dim, spec).groupBy(F.col("sigla").alias("uf"))
          .agg(F.count(F.lit(1)).alias("total"),
               F.countDistinct(F.trim(spec.place)).alias("total_municipios"),
               n_if(closed, "encerrados"), n_if(cured, "_cura"),
-              n_if(F.col("desfecho").isin(*spec.dropout), "_abandono"),
-              n_if(F.col("desfecho") == spec.death, "_obito"),
+              n_if(has_outcome(spec.dropout, spec), "_abandono"),
+              n_if(has_outcome(spec.death, spec), "_obito"),
               n_if(new & closed, "n_enc_novo"), n_if(new & cured, "_cura_novo"),
               n_if(again & closed, "n_enc_retrat"), n_if(again & cured, "_cura_retrat"),
               n_if(F.col(spec.hiv) == spec.positive, "_pos"), n_if(known_status(spec), "n_hiv_conhecido")))

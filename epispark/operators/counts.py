@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from epispark.functions.clean import with_outcome
+from epispark.functions.clean import is_closed
 from epispark.functions.measures import pct1
 from epispark.functions.text import clean_label, fold_key, is_valid_label, strip_ws
+from epispark.literals import sql_map
 from epispark.spec import TB, CaseSpec
 
 
@@ -46,15 +47,11 @@ def multi_counts(df: DataFrame, blocks: Mapping[str, Sequence[str]]) -> DataFram
     gid = {name: sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in keys)
            for name, keys in blocks.items()}
     depth = max(len(keys) for keys in blocks.values())
-    bloco, slots = None, [None] * depth
-    for name, keys in blocks.items():
-        here = F.col("gid") == gid[name]
-        bloco = F.when(here, name) if bloco is None else bloco.when(here, name)
-        for i in range(depth):
-            value = F.col(keys[i]).cast("string") if i < len(keys) else F.lit(None).cast("string")
-            slots[i] = F.when(here, value) if slots[i] is None else slots[i].when(here, value)
-    named = [s.alias(f"k{i + 1}") for i, s in enumerate(slots)]
-    return cells.select(bloco.alias("bloco"), *named, "n")
+    slots = [F.expr("CASE gid " + " ".join(
+        f"WHEN {gid[name]} THEN string(`{keys[i]}`)" for name, keys in blocks.items() if i < len(keys)) + " END")
+        for i in range(depth)]
+    bloco = sql_map({gid[name]: name for name in blocks})[F.col("gid").cast("int")]
+    return cells.select(bloco.alias("bloco"), *[s.alias(f"k{i + 1}") for i, s in enumerate(slots)], "n")
 
 
 def multi_value_counts(df: DataFrame, columns: Sequence[str], spec: CaseSpec = TB) -> DataFrame:
@@ -137,11 +134,11 @@ def unknown_share(df: DataFrame, spec: CaseSpec = TB) -> DataFrame:
     known_hiv = F.coalesce(F.col(spec.hiv).isin(spec.positive, spec.negative), F.lit(False))
     conditions = {
         "sexo": unknown("sexo"), "forma": unknown("forma"), "status_hiv": ~known_hiv,
-        "desfecho": F.col("desfecho") == spec.open_outcome,
+        "desfecho": ~is_closed(spec),
     }
     # Distinct combinations are few; the text clean-up runs on them, not on every row.
-    cells = count_by(with_outcome(df, spec), F.col(spec.sex).alias("sexo"), F.col(spec.form).alias("forma"),
-                     spec.hiv, "desfecho", name="n")
+    cells = count_by(df, F.col(spec.sex).alias("sexo"), F.col(spec.form).alias("forma"),
+                     spec.hiv, spec.outcome, name="n")
     sums = [F.sum(F.when(c, F.col("n")).otherwise(0)).alias(k) for k, c in conditions.items()]
     wide = cells.agg(F.sum("n").alias("total"), *sums)
     return (wide.unpivot(["total"], list(conditions), "dimensao", "n")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from epispark.literals import literal_rows
 from epispark.operators.counts import multi_counts
 from epispark.presets.tuberculosis import DEFAULT_BOUNDS
 
@@ -42,7 +43,7 @@ def sample_values(df: DataFrame, columns: Sequence[str], n: int = 15) -> DataFra
     out = (values.withColumn("posicao", F.row_number().over(order)).where(F.col("posicao") <= n)
            .select("coluna", "posicao", "valor", F.lit(None).cast("string").alias("erro")))
     if missing:
-        absent = df.sparkSession.createDataFrame([(c,) for c in missing], "coluna string")
+        absent = literal_rows(df.sparkSession, [(c,) for c in missing], "coluna string")
         out = out.unionByName(absent.select("coluna", F.lit(None).cast("int").alias("posicao"),
                                             F.lit(None).cast("string").alias("valor"),
                                             F.lit("coluna ausente").alias("erro")))

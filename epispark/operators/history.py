@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from epispark.functions.clean import attach_area, canonical_outcome, month_label, month_of
+from epispark.functions.clean import attach_area, has_outcome, is_closed, month_label, month_of
 from epispark.functions.measures import direction, pct1_min1, variation_pct
 from epispark.functions.predicates import baseline_years
 from epispark.functions.text import is_yes
 from epispark.operators.areas import n_if
+from epispark.literals import sql_map
 from epispark.operators.counts import count_by, zero_fill
 from epispark.presets.tuberculosis import INDICATOR_LABELS
 from epispark.spec import TB, AreaDim, CaseSpec
@@ -41,18 +42,17 @@ def history_indicators(df: DataFrame, spec: CaseSpec = TB, canonical: bool = Tru
     ``canonical=False`` compares raw, accented spellings as the older job did, which misses
     unaccented source years."""
     outcome = F.trim(F.col(spec.outcome))
+    closed = is_closed(spec, outcome) & (outcome != "")
     if canonical:
-        outcome = canonical_outcome(F.when(outcome != "", outcome), spec)
-        closed = outcome != spec.open_outcome
+        cured, dropped, died = (has_outcome(x, spec, outcome) for x in (spec.cure, spec.dropout, spec.death))
     else:
-        closed = outcome.isNotNull() & ~outcome.isin("Não informado", "Nao informado", "")
+        cured, dropped, died = outcome == spec.cure, outcome.isin(*spec.dropout), outcome == spec.death
     hiv = F.lower(F.trim(F.col(spec.hiv)))
     positive, negative = spec.positive.lower(), spec.negative.lower()
     counts = df.groupBy(_year(spec)).agg(
         F.count(F.lit(1)).alias("total"),
         n_if(hiv == positive, "hiv_pos"), n_if(hiv.isin(positive, negative), "hiv_testado"),
-        n_if(outcome == spec.cure, "cura"), n_if(outcome.isin(*spec.dropout), "abandono"),
-        n_if(outcome == spec.death, "obito_tb"), n_if(closed, "encerrados"),
+        n_if(cured, "cura"), n_if(dropped, "abandono"), n_if(died, "obito_tb"), n_if(closed, "encerrados"),
         n_if(F.trim(F.col(spec.entry)) == spec.new_case, "caso_novo"),
         n_if(F.trim(F.col(spec.form)) == spec.pulmonary, "pulmonar"),
         n_if(is_yes(F.col("agravo_aids"), True), "aids"),
@@ -71,9 +71,8 @@ def history_indicators(df: DataFrame, spec: CaseSpec = TB, canonical: bool = Tru
 def indicator_series_long(indicators: DataFrame, labels=INDICATOR_LABELS) -> DataFrame:
     """(nu_ano, indicador, valor); indicators the table does not have are skipped."""
     present = {c: label for c, label in labels.items() if c in indicators.columns}
-    names = F.create_map(*[F.lit(v) for item in present.items() for v in item])
     long = indicators.unpivot(["nu_ano"], list(present), "_c", "valor")
-    return long.select("nu_ano", F.element_at(names, F.col("_c")).alias("indicador"),
+    return long.select("nu_ano", sql_map(present)[F.col("_c")].alias("indicador"),
                        F.round("valor", 1).alias("valor"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epispark.functions.clean import attach_area, with_outcome
+from epispark.functions.clean import attach_area, has_outcome
 from epispark.functions.filters import Filters
 from epispark.functions.measures import pct1, rate_per_100k
 from epispark.functions.predicates import incident
@@ -23,11 +23,11 @@ def base_total_share(df: DataFrame, filters: Filters, dim: AreaDim | None = None
 
 def conditional_counts(df: DataFrame, spec: CaseSpec = TB) -> DataFrame:
     """Total, cured, dropped out, died, HIV positive and incident cases in one pass."""
-    return with_outcome(df, spec).agg(
+    return df.agg(
         F.count(F.lit(1)).alias("total"),
-        n_if(F.col("desfecho") == spec.cure, "cura"),
-        n_if(F.col("desfecho").isin(*spec.dropout), "abandono"),
-        n_if(F.col("desfecho") == spec.death, "obito_tb"),
+        n_if(has_outcome(spec.cure, spec), "cura"),
+        n_if(has_outcome(spec.dropout, spec), "abandono"),
+        n_if(has_outcome(spec.death, spec), "obito_tb"),
         n_if(F.col(spec.hiv) == spec.positive, "hiv_pos"),
         n_if(incident(spec), "casos_novos"))
 
@@ -65,12 +65,12 @@ def summary_kpis(df: DataFrame, dim: AreaDim, deaths: DataFrame, filters: Filter
                  spec: CaseSpec = TB) -> DataFrame:
     """The headline record: filtered and unfiltered counts come from the same scan."""
     chosen = filters.where(spec, dim)
-    rows = with_outcome(df.where(filters.year_predicate(spec)), spec)
+    rows = df.where(filters.year_predicate(spec))
     c = rows.agg(
         n_if(chosen, "total"), F.count(F.lit(1)).alias("total_base"),
-        n_if(chosen & (F.col("desfecho") == spec.cure), "cura"),
-        n_if(chosen & F.col("desfecho").isin(*spec.dropout), "abandono"),
-        n_if(chosen & (F.col("desfecho") == spec.death), "_mortes"),
+        n_if(chosen & has_outcome(spec.cure, spec), "cura"),
+        n_if(chosen & has_outcome(spec.dropout, spec), "abandono"),
+        n_if(chosen & has_outcome(spec.death, spec), "_mortes"),
         n_if(chosen & (F.col(spec.hiv) == spec.positive), "hiv_pos"),
         n_if(chosen & incident(spec), "_novos"),
         F.countDistinct(F.when(chosen, F.col(spec.place))).alias("municipios"),

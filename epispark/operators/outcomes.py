@@ -8,11 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epispark.functions.clean import attach_area, band, band_grid, canonical_outcome, outcome_group, with_outcome
+from epispark.functions.clean import (
+    attach_area, band, band_grid, canonical_outcome, has_outcome, outcome_group, with_outcome)
 from epispark.functions.measures import pct1, pct1_min1
 from epispark.functions.text import is_valid_label, is_yes, strip_ws
 from epispark.operators.areas import n_if
 from epispark.operators.counts import count_by, zero_fill
+from epispark.literals import sql_map
 from epispark.spec import TB, AreaDim, CaseSpec
 
 
@@ -53,8 +55,9 @@ def largest_first(shares: DataFrame) -> DataFrame:
 
 def flag_counts(df: DataFrame, keys: Sequence, flags: Sequence[str], trim: bool = False) -> DataFrame:
     """(keys, total, one count per flag) in one pass."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"),
-                                 *[n_if(is_yes(F.col(c), trim), c) for c in flags])
+    answer = "lower(trim(`{0}`))" if trim else "lower(`{0}`)"
+    yes = [F.expr(f"count_if({answer.format(c)} = 'sim') AS `{c}`") for c in flags]
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), *yes)
 
 
 def flag_prevalence(df: DataFrame, flags: Mapping[str, str], trim: bool = False) -> DataFrame:
@@ -66,8 +69,7 @@ def flag_prevalence(df: DataFrame, flags: Mapping[str, str], trim: bool = False)
 
 
 def label_of(labels: Mapping[str, str], column: str = "coluna"):
-    pairs = [F.lit(v) for item in labels.items() for v in item]
-    return F.element_at(F.create_map(*pairs), F.col(column))
+    return sql_map(labels)[F.col(column)]
 
 
 def outcome_by_membership(df: DataFrame, flags: Mapping[str, str], spec: CaseSpec = TB) -> DataFrame:
@@ -111,22 +113,22 @@ def wide_to_triples(wide: DataFrame, key: str, columns: Sequence[str]) -> DataFr
     from pyspark.sql import Window as W
 
     order = W.partitionBy(F.lit(0)).orderBy(key)
-    position = F.create_map(*[v for i, c in enumerate(columns) for v in (F.lit(c), F.lit(i))])
+    position = sql_map({c: i for i, c in enumerate(columns)})
     indexed = wide.select((F.row_number().over(order) - 1).alias("indice_area"), *columns)
     long = indexed.unpivot(["indice_area"], list(columns), "_c", "valor")
-    return long.select("indice_area", F.element_at(position, F.col("_c")).alias("indice_indicador"), "valor")
+    return long.select("indice_area", position[F.col("_c")].alias("indice_indicador"), "valor")
 
 
 def age_sex_pyramid(df: DataFrame, spec: CaseSpec = TB, deaths_only: bool = False, bands=None) -> DataFrame:
     """(ordem, faixa, masculino, feminino) with every band present."""
     bands = bands or spec.age_bands
-    rows = with_outcome(df, spec).where(F.col(spec.age).isNotNull() & F.col(spec.sex).isin(*spec.sexes))
+    rows = df.where(F.col(spec.age).isNotNull() & F.col(spec.sex).isin(*spec.sexes))
     if deaths_only:
-        rows = rows.where(F.col("desfecho") == spec.death)
+        rows = rows.where(has_outcome(spec.death, spec))
     male, female = spec.sexes
-    counts = (rows.groupBy(band(F.col(spec.age), bands).alias("faixa"))
+    counts = (rows.groupBy(band(spec.age, bands).alias("faixa"))
               .agg(n_if(F.col(spec.sex) == male, "masculino"), n_if(F.col(spec.sex) == female, "feminino"))
               .where(F.col("faixa").isNotNull()))
-    position = F.create_map(*[v for i, b in enumerate(bands) for v in (F.lit(b[0]), F.lit(i))])
-    counts = counts.withColumn("ordem", F.element_at(position, F.col("faixa")))
+    position = sql_map({b[0]: i for i, b in enumerate(bands)})
+    counts = counts.withColumn("ordem", position[F.col("faixa")])
     return zero_fill(counts, band_grid(df.sparkSession, bands), ["masculino", "feminino"])

@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epispark.functions.clean import band, band_grid, clip_upper, wait_days, with_outcome
+from epispark.functions.clean import band, band_grid, clip_upper, is_closed, wait_days
 from epispark.functions.measures import pct1
-from epispark.functions.predicates import PLAUSIBLE_DURATION, PLAUSIBLE_START, closed_case, plausible
+from epispark.functions.predicates import PLAUSIBLE_DURATION, PLAUSIBLE_START, plausible
 from epispark.operators.counts import zero_fill
 from epispark.spec import TB, CaseSpec
 
@@ -33,9 +33,7 @@ def start_histogram(df: DataFrame, spec: CaseSpec = TB) -> DataFrame:
 
 def duration_histogram(df: DataFrame, spec: CaseSpec = TB, limits: tuple[int, int] = PLAUSIBLE_DURATION,
                        closed_only: bool = True) -> DataFrame:
-    rows = with_outcome(df, spec)
-    if closed_only:
-        rows = rows.where(closed_case(F.col("desfecho"), spec))
+    rows = df.where(is_closed(spec)) if closed_only else df
     return days_histogram(rows, duration(spec), limits)
 
 
@@ -58,7 +56,7 @@ def wait_stats(histogram: DataFrame) -> DataFrame:
 
 def wait_histogram(histogram: DataFrame, spec: CaseSpec = TB) -> DataFrame:
     """(faixa, casos) over the seven buckets, empty ones included."""
-    counts = (histogram.groupBy(band(F.col("dias"), spec.wait_buckets).alias("faixa"))
+    counts = (histogram.groupBy(band("dias", spec.wait_buckets).alias("faixa"))
               .agg(F.sum("n").alias("casos")))
     return zero_fill(counts, band_grid(histogram.sparkSession, spec.wait_buckets), ["casos"])
 

@@ -12,20 +12,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from epispark.functions.clean import (
-    attach_area, band, canonical_outcome, month_of, outcome_group, with_outcome)
+    attach_area, band, canonical_outcome, has_outcome, is_closed, month_label, month_of, outcome_group)
 from epispark.functions.filters import Filters
 from epispark.functions.measures import pct1, pct1_min1, variation_pct
 from epispark.functions.predicates import (
-    PLAUSIBLE_DURATION, PLAUSIBLE_START, baseline_years, closed_case, known_status, plausible)
+    PLAUSIBLE_DURATION, PLAUSIBLE_START, baseline_years, known_status, plausible)
 from epispark.functions.text import clean_label, fold_key, is_valid_label, strip_ws
+from epispark.literals import literal_rows, sql_map
 from epispark.operators.areas import area_indicators, n_if
 from epispark.operators.counts import count_by, dedupe_spellings, multi_counts
 from epispark.operators.history import indicator_series_long
 from epispark.operators.kpis import summary_kpis
-from epispark.operators.outcomes import flag_counts
+from epispark.operators.outcomes import flag_counts, label_of
 from epispark.operators.registry import registry_deaths_series
 from epispark.operators.waits import duration, start_wait
-from epispark.presets.tuberculosis import MONTHS
 from epispark.sources.tables import microdata
 from epispark.spec import TB, AreaDim, CaseSpec
 
@@ -58,6 +58,15 @@ def _merge(cells: DataFrame, rows: Column) -> DataFrame:
     return long.groupBy("bloco", "categoria", "grupo").agg(F.sum("n").alias("n"))
 
 
+def _recoded(cells: DataFrame, bloco: str, spec: CaseSpec) -> DataFrame:
+    """Cleaned first key and, in ``bloco``, the outcome held in the second one: evaluated once per cell."""
+    outcome = F.when(F.col("bloco") == bloco, canonical_outcome(F.col("k2"), spec))
+    return cells.withColumns({
+        "rotulo": clean_label(F.col("k1"), spec.unknown), "aparado": strip_ws(F.col("k1")),
+        "valido": is_valid_label(F.col("k1"), ("nao informado",)), "desfecho": outcome,
+    }).withColumn("grupo_desfecho", outcome_group(F.col("desfecho"), spec))
+
+
 def _shares(merged: DataFrame, blocks: Sequence[str]) -> DataFrame:
     """Share inside the category for cross-tab ``blocks``; no share elsewhere."""
     total = F.sum("n").over(W.partitionBy("bloco", "categoria"))
@@ -79,7 +88,7 @@ def meta(df: DataFrame, dim: AreaDim, spec: CaseSpec = TB) -> DataFrame:
     fixed += [("vulneraveis", c, label, None) for c, label in spec.populations.items()]
     fixed += [("agravos", c, label, None) for c, label in spec.comorbidities.items()]
     schema = "bloco string, valor string, rotulo string, grupo string"
-    return found.unionByName(df.sparkSession.createDataFrame(fixed, schema))
+    return found.unionByName(literal_rows(df.sparkSession, fixed, schema))
 
 
 def resumo(df: DataFrame, dim: AreaDim, deaths: DataFrame, f: Filters, spec: CaseSpec = TB) -> DataFrame:
@@ -94,17 +103,17 @@ def detalhe_uf(df: DataFrame, dim: AreaDim, f: Filters, area: str, spec: CaseSpe
     """(bloco, rotulo, indicador, valor): places of one area and the area's cohort indicators.
 
     The places are counted once; the area's record is the sum over its places."""
-    closed = closed_case(F.col("desfecho"), spec)
-    cured = F.col("desfecho") == spec.cure
+    closed = is_closed(spec)
+    cured = has_outcome(spec.cure, spec)
     new = F.col(spec.entry) == spec.new_case
     again = F.col(spec.entry).isin(*spec.retreatment_entries)
     counts = {
-        "casos": F.lit(True), "cura": cured, "abandono": F.col("desfecho").isin(*spec.dropout),
-        "obito": F.col("desfecho") == spec.death, "pos": F.col(spec.hiv) == spec.positive,
+        "casos": F.lit(True), "cura": cured, "abandono": has_outcome(spec.dropout, spec),
+        "obito": has_outcome(spec.death, spec), "pos": F.col(spec.hiv) == spec.positive,
         "conhecido": known_status(spec), "encerrados": closed, "enc_novo": new & closed, "cura_novo": new & cured,
         "enc_retrat": again & closed, "cura_retrat": again & cured,
     }
-    rows = with_outcome(f.for_areas(area).apply(df, spec, dim), spec)
+    rows = f.for_areas(area).apply(df, spec, dim)
     places = rows.groupBy(F.trim(spec.place).alias("rotulo")).agg(*[n_if(c, k) for k, c in counts.items()])
     places = places.withColumn("lugares", F.when(F.col("rotulo").isNotNull(), 1).otherwise(0))
     both = places.groupingSets([[F.col("rotulo")], []], "rotulo").agg(
@@ -139,22 +148,21 @@ def perfil(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB) -> Data
     rows = f.apply(df, spec, dim)
     cells = multi_counts(rows, {"sexo": [spec.sex], "forma": [spec.form], "tipo_entrada": [spec.entry],
                                 "escolaridade": [spec.schooling], "raca": [spec.race, spec.outcome]})
-    outcome = canonical_outcome(F.col("k2"), spec)
-    group = outcome_group(outcome, spec)
-    label = clean_label(F.col("k1"), spec.unknown)
-    common = [_row("raca_cor", label), _row("desfecho", clean_label(outcome, spec.unknown)),
+    cells = _recoded(cells, "raca", spec)
+    label, group = F.col("rotulo"), F.col("grupo_desfecho")
+    common = [_row("raca_cor", label), _row("desfecho", clean_label(F.col("desfecho"), spec.unknown)),
               _row("desfecho_grupo", group)]
-    cross = _group_rows("desfecho_por_raca", strip_ws(F.col("k1")), group, spec)
-    valid = is_valid_label(F.col("k1"), ("nao informado",))
-    by_race = F.when(valid, F.array(*common, *cross)).otherwise(F.array(*common))
+    cross = _group_rows("desfecho_por_raca", F.col("aparado"), group, spec)
+    by_race = F.when(F.col("valido"), F.array(*common, *cross)).otherwise(F.array(*common))
     block_rows = F.when(F.col("bloco") == "raca", by_race).otherwise(F.array(_row(F.col("bloco"), label)))
     labels = _shares(_merge(cells, block_rows), ["desfecho_por_raca"])
 
-    aged = with_outcome(rows, spec).where(F.col(spec.age).isNotNull() & F.col(spec.sex).isin(*spec.sexes))
-    tower = count_by(aged, band(F.col(spec.age), spec.age_bands).alias("faixa"), F.col(spec.sex).alias("sexo"),
-                     (F.col("desfecho") == spec.death).alias("morte"), name="n").where(F.col("faixa").isNotNull())
-    grid = df.sparkSession.createDataFrame(
-        [(b[0], s, True, 0) for b in spec.age_bands for s in spec.sexes], "faixa string, sexo string, morte boolean, n long")
+    aged = rows.where(F.col(spec.age).isNotNull() & F.col(spec.sex).isin(*spec.sexes))
+    tower = count_by(aged, band(spec.age, spec.age_bands).alias("faixa"), F.col(spec.sex).alias("sexo"),
+                     F.coalesce(has_outcome(spec.death, spec), F.lit(False)).alias("morte"), name="n")
+    tower = tower.where(F.col("faixa").isNotNull())
+    grid = literal_rows(
+        df.sparkSession, [(b[0], s, True, 0) for b in spec.age_bands for s in spec.sexes], "faixa string, sexo string, morte boolean, n long")
     dead = F.when(F.col("morte"), F.col("n")).otherwise(0)
     pyramid = _merge(tower.unionByName(grid), F.array(_row("piramide_casos", F.col("faixa"), F.col("sexo")),
                                                       _row("piramide_obitos", F.col("faixa"), F.col("sexo"), dead)))
@@ -168,8 +176,8 @@ def clinico(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB) -> Dat
     cells = multi_counts(attach_area(rows, dim, spec, "left"), {
         "hiv": [spec.hiv, spec.outcome], "baciloscopia": [spec.smear], "teste_molecular": [spec.molecular],
         "area": ["sigla", spec.hiv]})
-    label = clean_label(F.col("k1"), spec.unknown)
-    group = outcome_group(canonical_outcome(F.col("k2"), spec), spec)
+    cells = _recoded(cells, "hiv", spec)
+    label, group = F.col("rotulo"), F.col("grupo_desfecho")
     status = F.array(_row("status_hiv", label))
     crossed = F.array(_row("status_hiv", label), *_group_rows("desfecho_por_hiv", F.col("k1"), group, spec))
     known = F.col("k1").isin(spec.positive, spec.negative)
@@ -193,20 +201,21 @@ def clinico(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB) -> Dat
 def _waiting(rows: DataFrame, spec: CaseSpec) -> DataFrame:
     """Start wait and duration of treatment from one scan of the date columns."""
     wait, length = start_wait(spec), duration(spec)
-    days = with_outcome(rows, spec).select(
+    days = rows.select(
         F.when(plausible(wait, PLAUSIBLE_START), wait).alias("espera"),
-        F.when(closed_case(F.col("desfecho"), spec) & plausible(length, PLAUSIBLE_DURATION), length).alias("duracao"))
+        F.when(is_closed(spec) & plausible(length, PLAUSIBLE_DURATION), length).alias("duracao"))
     cells = multi_counts(days, {"espera": ["espera"], "duracao": ["duracao"]})
     d, n = F.col("d"), F.col("n")
     start, ended = F.col("bloco") == "espera", F.col("bloco") == "duracao"
-    buckets = [F.sum(F.when(start & (band(d, spec.wait_buckets) == b[0]), n).otherwise(0)).alias(f"b{i}")
+    buckets = [F.sum(F.when(start & (F.col("faixa") == b[0]), n).otherwise(0)).alias(f"b{i}")
                for i, b in enumerate(spec.wait_buckets)]
 
     def weighted(which: Column) -> Column:
         # Rows of the other measure weigh nothing in this median.
         return F.percentile(F.when(which, d), 0.5, F.when(which, n).otherwise(0))
 
-    s = cells.where(F.col("k1").isNotNull()).withColumn("d", F.col("k1").cast("int")).agg(
+    per_day = cells.where(F.col("k1").isNotNull()).withColumn("d", F.col("k1").cast("int"))
+    s = per_day.withColumn("faixa", band("d", spec.wait_buckets)).agg(
         F.sum(F.when(start, n).otherwise(0)).alias("n"), weighted(start).alias("mediana"), weighted(ended).alias("duracao"),
         F.sum(F.when(start & (d <= 7), n).otherwise(0)).alias("ate"),
         F.sum(F.when(start & (d > 30), n).otherwise(0)).alias("acima"), *buckets).where(F.col("n") > 0)
@@ -233,24 +242,25 @@ def comorbidades(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB) -
     sums = cells.groupingSets([[F.col("sigla")], [F.col("_out")], []], "sigla", "_out").agg(
         *[F.sum(c).alias(c) for c in ("total", *flags)], F.grouping_id().alias("gid"))
     group = outcome_group(canonical_outcome(F.col("_out"), spec), spec)
-
-    def item(bloco: str, categoria: Column, grupo: Column, n: Column, total: Column) -> Column:
-        return F.struct(F.lit(bloco).alias("bloco"), categoria.alias("categoria"), grupo.alias("grupo"),
-                        n.cast("long").alias("n"), total.cast("long").alias("total"))
-
-    whole = [item("total", F.lit("total"), no_text(), F.col("total"), F.lit(0))]
-    whole += [item("agravos", F.lit(label), no_text(), F.col(c), F.col("total")) for c, label in spec.comorbidities.items()]
-    whole += [item("populacoes", F.lit(label), no_text(), F.col(c), F.col("total")) for c, label in spec.populations.items()]
-    outcome = [item("desfecho_por_vulneravel", F.lit(label), F.lit(g),
-                    F.when(group == g, F.col(c)).otherwise(0), F.col(c))
-               for c, label in spec.populations.items() for g in spec.group_order]
-    area = [item("heatmap_uf", F.col("sigla"), F.lit(label), F.col(c), F.col("total"))
-            for c, label in spec.comorbidities.items()]
-    # Bits of gid from the left: area absent, outcome absent.
-    rows = (F.when(F.col("gid") == 3, F.array(*whole)).when(F.col("gid") == 2, F.array(*outcome))
-            .when(F.col("sigla").isNotNull(), F.array(*area)))
-    long = sums.select(F.explode(rows).alias("r")).select("r.*")
-    merged = long.groupBy("bloco", "categoria", "grupo").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    long = (sums.withColumn("casos", F.col("total")).unpivot(["sigla", "_out", "gid", "total"], ["casos", *flags], "coluna", "n")
+            .withColumns({"rotulo": label_of({"casos": "total", **flags}), "grupo_desfecho": group,
+                          "familia": sql_map({"casos": "total", **dict.fromkeys(spec.comorbidities, "agravos"),
+                                              **dict.fromkeys(spec.populations, "populacoes")})[F.col("coluna")]}))
+
+    def item(bloco, categoria: Column, grupo: Column, n: Column, total: Column) -> Column:
+        return F.struct(bloco.alias("bloco"), categoria.alias("categoria"), grupo.alias("grupo"),
+                        n.alias("n"), total.alias("total"))
+
+    n, total, label, family = F.col("n"), F.col("total"), F.col("rotulo"), F.col("familia")
+    # gid has one bit per key, set when the key is summed over: 3 = whole, 2 = outcome, 1 = area.
+    whole = F.when(F.col("gid") == 3, F.array(item(family, label, no_text(), n, total)))
+    outcome = F.when((F.col("gid") == 2) & (family == "populacoes"), F.array(*[
+        item(F.lit("desfecho_por_vulneravel"), label, F.lit(g),
+             F.when(F.col("grupo_desfecho") == g, n).otherwise(0), n) for g in spec.group_order]))
+    area = F.when((F.col("gid") == 1) & (family == "agravos") & F.col("sigla").isNotNull(),
+                  F.array(item(F.lit("heatmap_uf"), F.col("sigla"), label, n, total)))
+    merged = (long.select(F.inline(F.coalesce(whole, outcome, area))).groupBy("bloco", "categoria", "grupo")
+              .agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
     kept = merged.where((F.col("bloco") != "desfecho_por_vulneravel") | (F.col("total") > 0))
     pct = F.when(F.col("bloco") != "total", pct1_min1(F.col("n"), F.col("total")))
     return kept.select("bloco", "categoria", "grupo", F.col("n").cast("double").alias("valor"), pct.alias("pct"))
@@ -304,8 +314,7 @@ def tendencia(df: DataFrame, dim: AreaDim, history: dict[str, DataFrame], deaths
     by_area = F.array(item("casos", F.col("atual")), item("media_hist", F.round("media", 0)), change)
     total = F.array(item("total_ano", F.col("atual")), item("media_anual_hist", F.round(filled, 0)), change)
     pick = F.when(F.col("bloco") == "mensal", by_month).when(F.col("bloco") == "estadual", by_area).otherwise(total)
-    month_names = F.array(*[F.lit(m) for m in MONTHS])
-    label = F.when(F.col("bloco") == "mensal", F.element_at(month_names, F.col("chave").try_cast("int"))).otherwise(F.col("chave"))
+    label = F.when(F.col("bloco") == "mensal", month_label(F.col("chave").try_cast("int"))).otherwise(F.col("chave"))
     compared = (ready.select("bloco", label.alias("categoria"), F.explode(pick).alias("i"))
                 .select("bloco", "categoria", "i.indicador", "i.valor"))
 

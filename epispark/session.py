@@ -18,6 +18,8 @@ DEFAULTS = {
     # let the schema aligner turn them into dates.
     "spark.sql.legacy.parquet.nanosAsLong": "true",
     "spark.ui.enabled": "false",
+    # Recording the caller of every column expression costs seconds on large plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epispark.functions.text import unaccent_text
+from epispark.literals import literal_rows
 from epispark.presets import tuberculosis as tb
 
 # An area dimension is broadcast to every executor, so its size is checked here once.
@@ -98,12 +99,12 @@ class AreaDim:
 
     def table(self) -> DataFrame:
         """(sigla, nome, regiao, codigo), one row per area."""
-        return self.spark.createDataFrame(
-            list(self.areas), "sigla string, nome string, regiao string, codigo string")
+        return literal_rows(
+            self.spark, self.areas, "sigla string, nome string, regiao string, codigo string")
 
     def names(self) -> DataFrame:
         """(spelling, sigla), one row per spelling."""
-        return self.spark.createDataFrame(list(self.spellings), "spelling string, sigla string")
+        return literal_rows(self.spark, self.spellings, "spelling string, sigla string")
 
     def population_at_risk(self, area_codes=()) -> Column:
         """Scalar population of the chosen areas, or of all when the choice is empty or unknown."""
@@ -124,4 +125,4 @@ def brazil(spark: SparkSession) -> AreaDim:
         # The data carries each name with and without accents.
         spellings += [(s, code) for s in dict.fromkeys((name, unaccent_text(name)))]
     return AreaDim(tuple(areas), tuple(spellings),
-                   spark.createDataFrame(population, "sigla string, populacao long"))
+                   literal_rows(spark, population, "sigla string, populacao long"))
