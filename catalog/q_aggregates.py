@@ -537,3 +537,33 @@ def content_fingerprint_fast(spark, sf):
 FROM {MONTHLY} WHERE nu_ano = 2001""")
 def fallback_month_mean(spark, sf):
     return history.fallback_month_mean(cases(spark, sf, *DATED), REFERENCE_YEAR)
+
+
+@query("population_present", """SELECT CAST(sum(populacao) AS BIGINT) AS populacao FROM area_dim
+WHERE sigla IN (SELECT uf FROM cases WHERE uf IN ('N02', 'N03', 'N05'))""")
+def population_present(spark, sf):
+    dim = area_dim(spark, sf)
+    rows = Filters(areas=("N02", "N03", "N05")).apply(cases(spark, sf, "estado_notificacao"), TB, dim)
+    return kpis.population_present(rows, dim)
+
+
+@query("mortality_rate_legacy", f"""SELECT n AS obitos, p AS populacao, {rate('n', 'p', 7)} AS mortalidade FROM (SELECT
+(SELECT count(*) FROM registry WHERE causabas LIKE 'A1%' AND substr(dtobito, 5, 4) BETWEEN '1995' AND '2001') AS n,
+(SELECT CAST(sum(populacao) AS BIGINT) FROM area_dim) AS p)""")
+def mortality_rate_legacy(spark, sf):
+    rows = cases(spark, sf, "estado_notificacao", "situacao_encerramento")
+    return kpis.mortality_rate_legacy(rows, area_dim(spark, sf), registry(spark, sf), ALL_YEARS.years)
+
+
+@query("mortality_rate_legacy_areas", f"""SELECT n AS obitos, p AS populacao, {rate('n', 'p', 7)} AS mortalidade FROM (SELECT
+(SELECT CAST(sum(obitos) AS BIGINT) FROM deaths WHERE ano BETWEEN 1995 AND 2001 AND uf IN ('N02', 'N03', 'N05')) AS n,
+(SELECT CAST(sum(populacao) AS BIGINT) FROM area_dim WHERE sigla IN ('N02', 'N03', 'N05')) AS p)""")
+def mortality_rate_legacy_areas(spark, sf):
+    dim = area_dim(spark, sf)
+    rows = Filters(areas=("N02", "N03", "N05")).apply(cases(spark, sf, "estado_notificacao", "situacao_encerramento"), TB, dim)
+    return kpis.mortality_rate_legacy(rows, dim, registry(spark, sf), ALL_YEARS.years)
+
+
+@query("outcome_group_by_legacy", group_sql("status_hiv", "status_hiv IN ('Positivo', 'Negativo', 'Em andamento', 'Não realizado')"))
+def outcome_group_by_legacy(spark, sf):
+    return outcomes.outcome_group_by(cases(spark, sf, "status_hiv", "situacao_encerramento"), "status_hiv", only=tb.LEGACY_HIV, unmapped="drop")

@@ -105,7 +105,7 @@ def join_both_counted_inner(spark, sf):
  WHERE uf IS NOT NULL AND lower(populacao_privada_liberdade) = 'sim' AND status_hiv = 'Positivo' GROUP BY 1, 2) m
 ON m.uf = f.uf AND m.k = {fold('f.nome')}""")
 def join_features_by_name(spark, sf):
-    n = F.broadcast(table(spark, sf, "nation"))
+    n = table(spark, sf, "nation")
     c = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     uf = F.concat(F.lit("N"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0"))
     name = F.concat_ws(" ", F.lower("c_mktsegment"), F.lower(F.replace(F.col("n_name"), F.lit("NATION"), F.lit("NÂTION"))))

@@ -47,6 +47,13 @@ def canonical_outcome(spark, sf):
     return clean.with_outcome(cases(spark, sf, "case_id", "situacao_encerramento")).select("case_id", "desfecho")
 
 
+@query("canonical_outcome_plain", """SELECT case_id, CASE situacao_encerramento WHEN 'Nao informado' THEN 'Em acompanhamento'
+WHEN 'Óbito por TB' THEN 'Obito por TB' ELSE situacao_encerramento END AS desfecho FROM cases""")
+def canonical_outcome_plain(spark, sf):
+    rows = cases(spark, sf, "case_id", "situacao_encerramento")
+    return rows.select("case_id", clean.plain_outcome(F.col("situacao_encerramento")).alias("desfecho"))
+
+
 @query("outcome_group", "SELECT case_id, grupo FROM cases")
 def outcome_group(spark, sf):
     return clean.with_outcome(cases(spark, sf, "case_id", "situacao_encerramento")).select("case_id", "grupo")

@@ -77,7 +77,7 @@ def cases(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     columns = columns or tuple(every)
     rows = table(spark, sf_dir, "orders")
     if any(c in PERSON_COLUMNS for c in columns):
-        nations = F.broadcast(table(spark, sf_dir, "nation"))  # 25 rows at every scale
+        nations = table(spark, sf_dir, "nation")
         rows = (rows.join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
                 .join(nations, F.expr("c_nationkey = n_nationkey")))
     if any(c in LINE_COLUMNS for c in columns):

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epispark.functions.text import replace_values
+from epispark.functions.text import replace_values, unaccent_text
 from epispark.literals import literal_rows, sql_map, sql_text
 from epispark.presets import tuberculosis as tb
 from epispark.spec import TB, AreaDim, CaseSpec
@@ -54,6 +54,13 @@ def canonical_outcome(c: Column, spec: CaseSpec = TB) -> Column:
     return replace_values(c, spec.outcome_spellings, F.coalesce(c, F.lit(spec.open_outcome)))
 
 
+def plain_outcome(c: Column, spec: CaseSpec = TB) -> Column:
+    """Older recoding, towards spellings without accents; null and unknown values pass through."""
+    plain = {name: unaccent_text(name) for name in spec.outcome_groups if name != unaccent_text(name)}
+    opened = {raw: name for raw, name in spec.outcome_spellings.items() if name == spec.open_outcome}
+    return replace_values(c, {**opened, **plain}, c)
+
+
 def outcome_group(canonical: Column, spec: CaseSpec = TB, unmapped_as_null: bool = False) -> Column:
     """Cohort group of a canonical outcome."""
     default = F.lit(None).cast("string") if unmapped_as_null else F.lit(spec.ungrouped)

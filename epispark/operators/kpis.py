@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epispark.functions.clean import attach_area, has_outcome
+from epispark.functions.clean import attach_area, has_outcome, registry_year
 from epispark.functions.filters import Filters
 from epispark.functions.measures import pct1, rate_per_100k
-from epispark.functions.predicates import incident
+from epispark.functions.predicates import cause_prefix, incident
 from epispark.operators.areas import n_if
+from epispark.operators.registry import registry_deaths_year_area
 from epispark.spec import TB, AreaDim, CaseSpec
 
 
@@ -61,6 +62,34 @@ def mortality_rate(df: DataFrame, dim: AreaDim, deaths: DataFrame, filters: Filt
             .select("obitos", "fonte_obitos", "mortalidade"))
 
 
+def population_present(df: DataFrame, dim: AreaDim, spec: CaseSpec = TB) -> DataFrame:
+    """Older rule: population of the areas that occur in the data, everybody when none is mapped."""
+    present = attach_area(df, dim, spec).select("sigla").distinct()
+    some = dim.population.join(present, "sigla", "left_semi").agg(F.sum("populacao").alias("populacao"))
+    return some.select(F.coalesce("populacao", dim.population_at_risk()).alias("populacao"))
+
+
+def mortality_rate_legacy(df: DataFrame, dim: AreaDim, registry: DataFrame, years, spec: CaseSpec = TB,
+                          n_years: int | None = None) -> DataFrame:
+    """Older rule: when every mapped area occurs in the data (or none does), all registry deaths
+    count, unknown residence included; otherwise those of the areas present. Case deaths when
+    the registry has none."""
+    n_years = n_years or max(len(years), 1)
+    present = attach_area(df, dim, spec).select(F.col("sigla").alias("uf")).distinct()
+    n_present = present.agg(F.count(F.lit(1))).scalar()
+    by_area = registry_deaths_year_area(registry, dim).where(F.col("ano").isin(list(years)))
+    some = by_area.join(present, "uf", "left_semi").agg(F.sum("obitos")).scalar()
+    year = registry_year(F.col("dtobito"))
+    every = registry.where(cause_prefix(F.col("causabas")) & year.isin(list(years))).agg(F.count(F.lit(1))).scalar()
+    part = (n_present > 0) & (n_present < len(dim.areas))
+    counted = df.agg(n_if(has_outcome(spec.death, spec), "_mortes")).withColumns({
+        "_sim": F.coalesce(F.when(part, some).otherwise(every), F.lit(0)),
+        "_pop": population_present(df, dim, spec).select("populacao").scalar()})
+    deaths = F.when(F.col("_sim") > 0, F.col("_sim")).otherwise(F.col("_mortes")).cast("long")
+    return counted.select(deaths.alias("obitos"), F.col("_pop").alias("populacao"),
+                          rate_per_100k(deaths, F.col("_pop"), n_years).alias("mortalidade"))
+
+
 def summary_kpis(df: DataFrame, dim: AreaDim, deaths: DataFrame, filters: Filters,
                  spec: CaseSpec = TB) -> DataFrame:
     """The headline record: filtered and unfiltered counts come from the same scan."""
