@@ -24,7 +24,7 @@ PLACES = ("estado_notificacao", "municipio_notificacao", "situacao_encerramento"
 def join_area_inner(spark, sf):
     dim = area_dim(spark, sf)
     rows = clean.attach_area(cases(spark, sf, "case_id", "estado_notificacao"), dim)
-    regions = F.broadcast(dim.table().select("sigla", "regiao"))
+    regions = F.broadcast(dim.table.select("sigla", "regiao"))
     return rows.join(regions, "sigla").select("case_id", F.col("sigla").alias("uf"), "regiao")
 
 
@@ -88,7 +88,7 @@ def join_population(spark, sf):
 def join_registry(spark, sf):
     dim = area_dim(spark, sf)
     by = areas.deaths_in_years(deaths(spark, sf), (1999, 2000))
-    out = dim.table().select(F.col("sigla").alias("uf")).join(by, "uf", "left")
+    out = dim.table.select(F.col("sigla").alias("uf")).join(by, "uf", "left")
     return out.select("uf", F.coalesce("obitos", F.lit(0).cast("long")).alias("obitos"))
 
 

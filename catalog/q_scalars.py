@@ -140,7 +140,7 @@ def registry_keys(spark, sf):
     dim = area_dim(spark, sf)
     rows = registry(spark, sf).select(clean.registry_year(F.col("dtobito")).alias("ano"),
                                       clean.registry_area_code(F.col("codmunres")).alias("codigo"))
-    codes = F.broadcast(dim.table().select("codigo", F.col("sigla").alias("uf")))
+    codes = F.broadcast(dim.table.select("codigo", F.col("sigla").alias("uf")))
     return counts.count_by(rows.where(F.col("ano").isNotNull()).join(codes, "codigo"), "ano", "uf", name="n")
 
 

@@ -149,8 +149,7 @@ def registry_area_code(residence: Column) -> Column:
 def attach_area(df: DataFrame, dim: AreaDim, spec: CaseSpec = TB, how: str = "inner",
                 unknown: str | None = None) -> DataFrame:
     """Adds ``sigla``. The dimension is a literal list whose size ``AreaDim`` has checked."""
-    names = F.broadcast(dim.names())
-    out = df.join(names, df[spec.area] == names["spelling"], how).drop("spelling")
+    out = df.join(F.broadcast(dim.names), F.expr(f"`{spec.area}` = spelling"), how).drop("spelling")
     if unknown is not None:
         out = out.withColumn("sigla", F.coalesce("sigla", F.lit(unknown)))
     return out

@@ -18,14 +18,14 @@ def n_if(condition: Column, name: str) -> Column:
 
 def name_areas(df: DataFrame, dim: AreaDim, code: str = "uf") -> DataFrame:
     """Adds the display name of an area code."""
-    titles = F.broadcast(dim.table().select(F.col("sigla").alias("_code"), "nome"))
-    return df.join(titles, df[code] == titles["_code"], "left").drop("_code")
+    titles = F.broadcast(dim.table.select(F.col("sigla").alias("_code"), "nome"))
+    return df.join(titles, F.expr(f"`{code}` = _code"), "left").drop("_code")
 
 
 def join_population(df: DataFrame, dim: AreaDim, code: str = "uf") -> DataFrame:
     """Adds ``populacao``; an area without one gets 0. ``df`` is already aggregated by area."""
     people = dim.population.withColumnRenamed("sigla", "_code")
-    out = df.join(people, df[code] == people["_code"], "left").drop("_code")
+    out = df.join(people, F.expr(f"`{code}` = _code"), "left").drop("_code")
     return out.withColumn("populacao", F.coalesce("populacao", F.lit(0).cast("long")))
 
 

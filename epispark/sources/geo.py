@@ -20,8 +20,8 @@ def code_names(texts: DataFrame, column: str, dim: AreaDim | None = None) -> Dat
     rows = texts.select(F.explode(F.from_json(column, "map<string,string>")).alias("codigo", "nome"))
     if dim is None:
         return rows
-    codes = F.broadcast(dim.table().select(F.col("codigo").alias("_area"), F.col("sigla").alias("uf")))
-    return rows.join(codes, F.substring(rows["codigo"], 1, 2) == codes["_area"], "left").drop("_area")
+    codes = F.broadcast(dim.table.select(F.col("codigo").alias("_area"), F.col("sigla").alias("uf")))
+    return rows.join(codes, F.expr("left(codigo, 2) = _area"), "left").drop("_area")
 
 
 def read_code_names(spark: SparkSession, path: str, dim: AreaDim | None = None, one_per_line: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,11 +98,13 @@ class AreaDim:
     def in_regions(self, regions) -> tuple[str, ...]:
         return tuple(a[0] for a in self.areas if a[2] in set(regions))
 
+    @cached_property
     def table(self) -> DataFrame:
         """(sigla, nome, regiao, codigo), one row per area."""
         return literal_rows(
             self.spark, self.areas, "sigla string, nome string, regiao string, codigo string")
 
+    @cached_property
     def names(self) -> DataFrame:
         """(spelling, sigla), one row per spelling."""
         return literal_rows(self.spark, self.spellings, "spelling string, sigla string")
