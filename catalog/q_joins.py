@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.q_sources import deaths
 from catalog.register import (
     CURE, DEATH, INCIDENT, KNOWN, POPULATIONS, fold, n_if, pct, query, rate, yes)
-from catalog.views import FIRST_YEAR, REFERENCE_YEAR, YEARS, area_dim, cases, coded, registry, table
+from catalog.views import FIRST_YEAR, REFERENCE_YEAR, area_dim, cases, coded, registry, table
 from epispark.functions import clean
 from epispark.functions.measures import pct1
 from epispark.functions.text import fold_key
@@ -229,8 +229,10 @@ def union_all_groups(spark, sf):
 
 @query("union_years_then_sum", "SELECT uf AS uf_sigla, CAST(sum(obitos) AS BIGINT) AS obitos_sim FROM deaths GROUP BY 1")
 def union_years_then_sum(spark, sf):
+    """Earlier years as a published table, later ones from the registry."""
     source, dim = registry(spark, sf), area_dim(spark, sf)
-    return reg.sum_years([reg.registry_deaths_area(source, dim, y) for y in YEARS + (2002,)])
+    earlier = areas.deaths_in_years(deaths(spark, sf), (1995, 1996, 1997, 1998)).toDF("uf_sigla", "obitos_sim")
+    return reg.sum_years([earlier, reg.registry_deaths_area(source, dim, 1999, 2000, 2001, 2002)])
 
 
 @query("distinct_values", "SELECT DISTINCT raca_cor AS valor FROM cases WHERE raca_cor IS NOT NULL")

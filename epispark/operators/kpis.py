@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epispark.functions.clean import attach_area, has_outcome, registry_year
@@ -16,10 +16,15 @@ from epispark.spec import TB, AreaDim, CaseSpec
 
 def base_total_share(df: DataFrame, filters: Filters, dim: AreaDim | None = None,
                      spec: CaseSpec = TB) -> DataFrame:
-    """Unfiltered total of the chosen years and the filtered share, in one pass."""
-    rows = df.where(filters.year_predicate(spec))
-    out = rows.agg(F.count(F.lit(1)).alias("total_base"), n_if(filters.where(spec, dim), "total"))
-    return out.select("total", "total_base", pct1(F.col("total"), F.col("total_base")).alias("pct_filtrado"))
+    """Unfiltered total of the chosen years and the filtered share."""
+    out = filters.apply(df, spec, dim).agg(F.count(F.lit(1)).alias("total"), base_total(df, filters, spec).alias("total_base"))
+    return out.withColumn("pct_filtrado", pct1(F.col("total"), F.col("total_base")))
+
+
+def base_total(df: DataFrame, filters: Filters, spec: CaseSpec = TB) -> Column:
+    """Scalar number of cases of the chosen years. On stored files this reads row counts from the
+    footers and no column, so the filtered pass keeps its own pushed-down filters."""
+    return df.where(filters.year_predicate(spec)).agg(F.count(F.lit(1))).scalar()
 
 
 def conditional_counts(df: DataFrame, spec: CaseSpec = TB) -> DataFrame:
@@ -92,18 +97,13 @@ def mortality_rate_legacy(df: DataFrame, dim: AreaDim, registry: DataFrame, year
 
 def summary_kpis(df: DataFrame, dim: AreaDim, deaths: DataFrame, filters: Filters,
                  spec: CaseSpec = TB) -> DataFrame:
-    """The headline record: filtered and unfiltered counts come from the same scan."""
-    chosen = filters.where(spec, dim)
-    rows = df.where(filters.year_predicate(spec))
-    c = rows.agg(
-        n_if(chosen, "total"), F.count(F.lit(1)).alias("total_base"),
-        n_if(chosen & has_outcome(spec.cure, spec), "cura"),
-        n_if(chosen & has_outcome(spec.dropout, spec), "abandono"),
-        n_if(chosen & has_outcome(spec.death, spec), "_mortes"),
-        n_if(chosen & (F.col(spec.hiv) == spec.positive), "hiv_pos"),
-        n_if(chosen & incident(spec), "_novos"),
-        F.countDistinct(F.when(chosen, F.col(spec.place))).alias("municipios"),
-    ).select("*", registry_total(deaths, filters).alias("_sim"),
+    """The headline record: one pass over the filtered cases, everything else is a scalar."""
+    c = filters.apply(df, spec, dim).agg(
+        F.count(F.lit(1)).alias("total"), n_if(has_outcome(spec.cure, spec), "cura"),
+        n_if(has_outcome(spec.dropout, spec), "abandono"), n_if(has_outcome(spec.death, spec), "_mortes"),
+        n_if(F.col(spec.hiv) == spec.positive, "hiv_pos"), n_if(incident(spec), "_novos"),
+        F.countDistinct(spec.place).alias("municipios"),
+    ).select("*", base_total(df, filters, spec).alias("total_base"), registry_total(deaths, filters).alias("_sim"),
              dim.population_at_risk(filters.areas).alias("_pop"))
     official = F.coalesce(F.col("_sim"), F.lit(0)) > 0
     c = c.withColumns({

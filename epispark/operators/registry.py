@@ -31,14 +31,14 @@ def registry_deaths_year_area(registry: DataFrame, dim: AreaDim) -> DataFrame:
     return map_deaths(deaths_raw(registry), dim)
 
 
-def in_year(year: int) -> Column:
-    return F.substring("dtobito", 5, 4) == str(year)
+def in_year(*years: int) -> Column:
+    return F.substring("dtobito", 5, 4).isin(*[str(y) for y in years])
 
 
-def registry_deaths_area(registry: DataFrame, dim: AreaDim, year: int) -> DataFrame:
-    """(uf_sigla, obitos_sim) of one year."""
-    by = registry_deaths_year_area(registry.where(in_year(year)), dim)
-    return by.select(F.col("uf").alias("uf_sigla"), F.col("obitos").alias("obitos_sim"))
+def registry_deaths_area(registry: DataFrame, dim: AreaDim, *years: int) -> DataFrame:
+    """(uf_sigla, obitos_sim) of one year, or of several together."""
+    by = registry_deaths_year_area(registry.where(in_year(*years)), dim)
+    return by.groupBy(F.col("uf").alias("uf_sigla")).agg(F.sum("obitos").alias("obitos_sim"))
 
 
 def registry_deaths_national(registry: DataFrame, year: int) -> DataFrame:
@@ -59,7 +59,8 @@ def registry_deaths_series_legacy(registry: DataFrame, first: int, last: int) ->
 
 
 def sum_years(parts: list[DataFrame]) -> DataFrame:
-    """Per-year (uf_sigla, obitos_sim) tables appended, then summed by area."""
+    """(uf_sigla, obitos_sim) tables of different periods or sources appended, then summed by area.
+    Years of one source need no union: ``registry_deaths_area`` takes them all in one scan."""
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

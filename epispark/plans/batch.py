@@ -24,11 +24,12 @@ def prepare(df: DataFrame, spec: CaseSpec = TB, unmatched_age_as_zero: bool = Fa
     return coerce_small_ints(df)
 
 
-def build_treated(raw: DataFrame, path: str, years: Sequence[int], spec: CaseSpec = TB) -> None:
+def build_treated(raw: DataFrame, path: str, years: Sequence[int], spec: CaseSpec = TB,
+                  clustered: bool = False) -> None:
     """One job over all chosen years. Years absent from the raw table are skipped and the folders
-    of other years stay as they are."""
+    of other years stay as they are. A raw table read from year folders is ``clustered``."""
     chosen = raw.where(F.col(spec.year).try_cast("int").isin(list(years)))
-    write_by_year(prepare(chosen, spec), path, spec.year)
+    write_by_year(prepare(chosen, spec), path, spec, clustered)
 
 
 def history_tables(df: DataFrame, dim: AreaDim, first: int, last: int, spec: CaseSpec = TB) -> dict[str, DataFrame]:

@@ -32,9 +32,11 @@ def read_years(spark: SparkSession, url: str, table: str, years: Sequence[int],
     return spark.read.jdbc(url, table, predicates=predicates, properties=dict(properties))
 
 
-def extract_by_year(source: DataFrame, path: str, years: Sequence[int], spec: CaseSpec = TB) -> None:
-    """Writes the chosen years as year folders; running it again replaces just those years."""
-    write_by_year(source.where(F.col(spec.year).isin(list(years))), path, spec.year)
+def extract_by_year(source: DataFrame, path: str, years: Sequence[int], spec: CaseSpec = TB,
+                    clustered: bool = False) -> None:
+    """Writes the chosen years as year folders; running it again replaces just those years.
+    The result of ``read_years`` is ``clustered``: each of its tasks reads one year."""
+    write_by_year(source.where(F.col(spec.year).isin(list(years))), path, spec, clustered)
 
 
 def deaths_query(table: str, prefix: str = "A1") -> str:

@@ -113,3 +113,23 @@ def test_top_lists_keep_few_rows_per_task(treated, dim):
     places = counts.count_by(treated.all_years(), F.col("estado_notificacao").alias("uf"), F.col("municipio_notificacao").alias("municipio"))
     assert "TakeOrderedAndProject" in plan(top_n(places, 10))
     assert "WindowGroupLimit" in plan(top_n_per_area(places, 3))
+
+
+def test_base_total_reads_no_column(treated, dim):
+    f = Filters(years=(1999, 2000), areas=("N01",), sexes=("Feminino",))
+    df = kpis.base_total_share(treated.all_years(), f, dim)
+    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan(df))
+    assert "" in schemas and any("sexo" in s for s in schemas)
+
+
+def test_clustered_writes_do_not_shuffle(spark, treated, tmp_path):
+    """Year folders in, year folders out: no exchange, rows ordered by area inside each file."""
+    from epispark.plans.batch import build_treated
+    source = spark.read.parquet(treated.path)
+    build_treated(source, f"{tmp_path}/out", views.YEARS, clustered=True)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.count() == source.count()
+    numbered = back.select("estado_notificacao", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i"))
+    from pyspark.sql import Window as W
+    before = F.lag("estado_notificacao").over(W.partitionBy("f").orderBy("i"))
+    assert numbered.withColumn("b", before).where("b > estado_notificacao").count() == 0
