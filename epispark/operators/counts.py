@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from epispark.functions.clean import is_closed
 from epispark.functions.measures import pct1
-from epispark.functions.text import clean_label, fold_key, is_valid_label, strip_ws
-from epispark.literals import sql_map
+from epispark.functions.text import INVALID_LABELS, clean_label, fold_key, is_valid_label, strip_ws
+from epispark.literals import sql_text
 from epispark.spec import TB, CaseSpec
 
 
@@ -35,23 +35,22 @@ def merge_labels(raw: DataFrame, spec: CaseSpec = TB) -> DataFrame:
 def multi_counts(df: DataFrame, blocks: Mapping[str, Sequence[str]]) -> DataFrame:
     """(bloco, k1 … kn, n): counts for several key lists in one scan.
 
-    Grouping sets expand rows inside the map task only; what is shuffled is one row per
-    distinct key combination."""
-    columns = list(dict.fromkeys(c for keys in blocks.values() for c in keys))
-    sets = [[F.col(c) for c in keys] for keys in blocks.values()]
-    if len({frozenset(keys) for keys in blocks.values()}) != len(sets):
-        raise ValueError("each block needs its own set of keys")
-    cells = (df.select(*columns).groupingSets(sets, *columns)
-             .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid")))
-    # grouping_id has one bit per column, set when the column is *not* in the set.
-    gid = {name: sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in keys)
-           for name, keys in blocks.items()}
+    Each row is stacked once per block inside the map task and counted there; what is shuffled is
+    one row per distinct key combination and task."""
     depth = max(len(keys) for keys in blocks.values())
-    slots = [F.expr("CASE gid " + " ".join(
-        f"WHEN {gid[name]} THEN string(`{keys[i]}`)" for name, keys in blocks.items() if i < len(keys)) + " END")
-        for i in range(depth)]
-    bloco = sql_map({gid[name]: name for name in blocks})[F.col("gid").cast("int")]
-    return cells.select(bloco.alias("bloco"), *[s.alias(f"k{i + 1}") for i, s in enumerate(slots)], "n")
+    rows = []
+    for name, keys in blocks.items():
+        texts = [f"string(`{k}`)" for k in keys] + ["string(NULL)"] * (depth - len(keys))
+        rows.append(", ".join([sql_text(name), *texts]))
+    names = ["bloco", *[f"k{i + 1}" for i in range(depth)]]
+    stacked = df.selectExpr(f"stack({len(blocks)}, {', '.join(rows)}) AS ({', '.join(names)})")
+    return count_by(stacked, *names, name="n")
+
+
+def after_count(condition: Column, n: str = "n") -> Column:
+    """A condition for counted rows. It refers to the count, so the optimizer cannot push it
+    below the aggregate, where text functions would run once per input row."""
+    return F.when(F.col(n) > 0, condition)
 
 
 def multi_value_counts(df: DataFrame, columns: Sequence[str], spec: CaseSpec = TB) -> DataFrame:
@@ -85,7 +84,7 @@ def category_shares(df: DataFrame, column: str,
                     drop: Iterable[str] = ("nao informado", "ignorado")) -> DataFrame:
     """(label, valor, pct) after dropping technical and unknown labels."""
     raw = count_by(df, F.col(column).alias("label"), name="valor")
-    kept = drop_invalid_labels(raw, "label", drop)
+    kept = raw.where(after_count(is_valid_label(F.col("label"), tuple(drop)), "valor"))
     counts = kept.groupBy(strip_ws(F.col("label")).alias("label")).agg(F.sum("valor").alias("valor"))
     return share_of_total(counts)
 
@@ -111,8 +110,8 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 def dedupe_spellings(values: DataFrame, column: str = "valor", keys: Sequence[str] = ()) -> DataFrame:
     """One spelling per folded value, an accented one when there is any."""
-    v = values.select(*keys, strip_ws(F.col(column)).alias("valor")).distinct()
-    v = v.where(F.col("valor").isNotNull() & ~F.lower("valor").isin("nan", "none", "undefined", ""))
+    v = count_by(values, *keys, strip_ws(F.col(column)).alias("valor"), name="n")
+    v = v.where(after_count(F.col("valor").isNotNull() & ~F.lower("valor").isin(*INVALID_LABELS)))
     accented = F.col("valor").rlike(r"[^\x00-\x7F]")
     best = F.max_by("valor", F.struct(accented, F.col("valor")))
     return (v.groupBy(*keys, fold_key(F.col("valor")).alias("_key")).agg(best.alias("valor"))

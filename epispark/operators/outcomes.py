@@ -13,7 +13,7 @@ from epispark.functions.clean import (
 from epispark.functions.measures import pct1, pct1_min1
 from epispark.functions.text import is_valid_label, is_yes, strip_ws
 from epispark.operators.areas import n_if
-from epispark.operators.counts import count_by, zero_fill
+from epispark.operators.counts import after_count, count_by, zero_fill
 from epispark.literals import sql_map
 from epispark.spec import TB, AreaDim, CaseSpec
 
@@ -42,9 +42,9 @@ def outcome_group_by(df: DataFrame, column: str, spec: CaseSpec = TB,
     rows = df.where(F.col(column).isin(*only)) if only else df.where(F.col(column).isNotNull())
     raw = count_by(rows, F.col(column).cast("string").alias("_cat"), F.col(spec.outcome).alias("_out"), name="n")
     group = outcome_group(canonical_outcome(F.col("_out"), spec), spec, unmapped == "drop")
-    counts = (raw.where(is_valid_label(F.col("_cat"), ("nao informado",)))
+    counts = (raw.where(after_count(is_valid_label(F.col("_cat"), ("nao informado",))))
               .select(strip_ws(F.col("_cat")).alias("categoria"), group.alias("grupo"), "n")
-              .where(F.col("grupo").isNotNull()))
+              .where(after_count(F.col("grupo").isNotNull())))
     return group_shares(counts, ["categoria"], spec)
 
 
@@ -127,8 +127,9 @@ def age_sex_pyramid(df: DataFrame, spec: CaseSpec = TB, deaths_only: bool = Fals
         rows = rows.where(has_outcome(spec.death, spec))
     male, female = spec.sexes
     counts = (rows.groupBy(band(spec.age, bands).alias("faixa"))
-              .agg(n_if(F.col(spec.sex) == male, "masculino"), n_if(F.col(spec.sex) == female, "feminino"))
-              .where(F.col("faixa").isNotNull()))
+              .agg(n_if(F.col(spec.sex) == male, "masculino"), n_if(F.col(spec.sex) == female, "feminino"),
+                   F.count(F.lit(1)).alias("_n"))
+              .where(after_count(F.col("faixa").isNotNull(), "_n")).drop("_n"))
     position = sql_map({b[0]: i for i, b in enumerate(bands)})
     counts = counts.withColumn("ordem", position[F.col("faixa")])
     return zero_fill(counts, band_grid(df.sparkSession, bands), ["masculino", "feminino"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from epispark.functions.clean import registry_area_code, registry_year
 from epispark.functions.predicates import cause_prefix, has_residence
-from epispark.operators.counts import count_by
+from epispark.operators.counts import after_count, count_by
 from epispark.spec import AreaDim
 
 
@@ -21,7 +21,8 @@ def deaths_raw(registry: DataFrame, prefix: str = "A1") -> DataFrame:
 def map_deaths(raw: DataFrame, dim: AreaDim) -> DataFrame:
     """(ano, uf, obitos): non-numeric years and unknown areas are left out."""
     codes = F.broadcast(dim.table.select("codigo", F.col("sigla").alias("uf")))
-    rows = (raw.withColumn("ano", F.col("ano_txt").try_cast("int")).where(F.col("ano").isNotNull())
+    rows = (raw.withColumn("ano", F.col("ano_txt").try_cast("int"))
+            .where(after_count(F.col("ano").isNotNull(), "obitos"))
             .join(codes, "codigo"))
     return rows.groupBy("ano", "uf").agg(F.sum("obitos").alias("obitos"))
 

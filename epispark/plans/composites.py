@@ -20,7 +20,7 @@ from epispark.functions.predicates import (
 from epispark.functions.text import clean_label, fold_key, is_valid_label, strip_ws
 from epispark.literals import literal_rows, sql_map
 from epispark.operators.areas import area_indicators, n_if
-from epispark.operators.counts import count_by, dedupe_spellings, multi_counts
+from epispark.operators.counts import after_count, count_by, dedupe_spellings, multi_counts
 from epispark.operators.history import indicator_series_long
 from epispark.operators.kpis import summary_kpis
 from epispark.operators.outcomes import flag_counts, label_of
@@ -160,7 +160,7 @@ def perfil(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB) -> Data
     aged = rows.where(F.col(spec.age).isNotNull() & F.col(spec.sex).isin(*spec.sexes))
     tower = count_by(aged, band(spec.age, spec.age_bands).alias("faixa"), F.col(spec.sex).alias("sexo"),
                      F.coalesce(has_outcome(spec.death, spec), F.lit(False)).alias("morte"), name="n")
-    tower = tower.where(F.col("faixa").isNotNull())
+    tower = tower.where(after_count(F.col("faixa").isNotNull()))
     grid = literal_rows(
         df.sparkSession, [(b[0], s, True, 0) for b in spec.age_bands for s in spec.sexes], "faixa string, sexo string, morte boolean, n long")
     dead = F.when(F.col("morte"), F.col("n")).otherwise(0)

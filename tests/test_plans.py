@@ -133,3 +133,20 @@ def test_clustered_writes_do_not_shuffle(spark, treated, tmp_path):
     from pyspark.sql import Window as W
     before = F.lag("estado_notificacao").over(W.partitionBy("f").orderBy("i"))
     assert numbered.withColumn("b", before).where("b > estado_notificacao").count() == 0
+
+
+@pytest.mark.parametrize("build", [
+    lambda c, d: counts.category_shares(c, "raca_cor"),
+    lambda c, d: counts.filter_options(c, ["sexo", "raca_cor"]),
+    lambda c, d: outcomes.outcome_group_by(c, "raca_cor"),
+    lambda c, d: counts.unknown_share(c),
+    lambda c, d: composites.meta(c, d),
+    lambda c, d: composites.perfil(c, d, EVERY),
+    lambda c, d: composites.clinico(c, d, EVERY),
+    lambda c, d: composites.detalhe_uf(c, d, EVERY, "N07"),
+])
+def test_text_functions_run_on_counted_rows_only(treated, dim, build):
+    """No accent folding between a scan of the cases and the first exchange above it."""
+    for branch in re.split(r"FileScan parquet", plan(build(treated.all_years(), dim)))[:-1]:
+        below = branch[branch.rindex("Exchange"):]
+        assert "translate" not in below and "btrim" not in below.lower()
