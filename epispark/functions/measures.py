@@ -21,6 +21,15 @@ def pct1_min1(part, whole) -> Column:
     return F.round(_double(part) / F.greatest(_double(whole), F.lit(1.0)) * 100.0, 1)
 
 
+def pct1_sql(part: str, whole: str) -> str:
+    """``pct1`` as SQL text, for rows assembled in SQL."""
+    return f"round(coalesce(try_divide(double({part}), double({whole})) * 100D, 0D), 1)"
+
+
+def pct1_min1_sql(part: str, whole: str) -> str:
+    return f"round(double({part}) / greatest(double({whole}), 1D) * 100D, 1)"
+
+
 def rate_per_100k(events, population, years: int = 1) -> Column:
     """Annualised rate per 100,000; 0.0 without a population."""
     ratio = F.try_divide(_double(events), _double(population) * float(max(years, 1))) * 100000.0

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from epispark.functions.clean import (
     attach_area, band, canonical_outcome, has_outcome, is_closed, month_label, month_of, outcome_group)
 from epispark.functions.filters import Filters
-from epispark.functions.measures import pct1, pct1_min1, variation_pct
+from epispark.functions.measures import pct1, pct1_min1, pct1_min1_sql, pct1_sql, variation_pct
 from epispark.functions.predicates import (
     PLAUSIBLE_DURATION, PLAUSIBLE_START, baseline_years, known_status, plausible)
 from epispark.functions.text import clean_label, fold_key, is_valid_label, strip_ws
-from epispark.literals import literal_rows, sql_map
+from epispark.literals import literal_rows, sql_map, sql_text
 from epispark.operators.areas import area_indicators, n_if
 from epispark.operators.counts import after_count, count_by, dedupe_spellings, multi_counts
 from epispark.operators.history import indicator_series_long
@@ -30,32 +30,24 @@ from epispark.sources.tables import microdata
 from epispark.spec import TB, AreaDim, CaseSpec
 
 
-def no_text() -> Column:
-    return F.lit(None).cast("string")
+def _row(bloco: str, categoria: str, grupo: str = "string(NULL)", n: str = "n") -> str:
+    """One result row as SQL; the arguments are SQL expressions."""
+    return f"named_struct('bloco', {bloco}, 'categoria', {categoria}, 'grupo', {grupo}, 'n', bigint({n}))"
 
 
-def no_number() -> Column:
-    return F.lit(None).cast("double")
-
-
-def _row(bloco, categoria, grupo=None, n="n") -> Column:
-    bloco = F.lit(bloco) if isinstance(bloco, str) else bloco
-    grupo = no_text() if grupo is None else grupo
-    n = F.col(n) if isinstance(n, str) else n
-    return F.struct(bloco.alias("bloco"), categoria.alias("categoria"), grupo.alias("grupo"),
-                    n.cast("long").alias("n"))
+def _group_rows(bloco: str, categoria: str, spec: CaseSpec) -> list[str]:
+    """One row per outcome group, zero for the groups a cell does not belong to."""
+    return [_row(bloco, categoria, sql_text(g), f"IF(grupo_desfecho = {sql_text(g)}, n, 0)") for g in spec.group_order]
 
 
-def _group_rows(bloco: str, categoria: Column, group: Column, spec: CaseSpec) -> list[Column]:
-    """One row per outcome group, zero for the groups a cell does not belong to."""
-    return [_row(bloco, categoria, F.lit(g), F.when(group == g, F.col("n")).otherwise(0))
-            for g in spec.group_order]
+def _array(*rows: str) -> str:
+    return f"array({', '.join(rows)})"
 
 
-def _merge(cells: DataFrame, rows: Column) -> DataFrame:
-    """Explodes each counted cell into its block rows and sums equal ones."""
-    long = cells.select(F.explode(rows).alias("r")).select("r.*")
-    return long.groupBy("bloco", "categoria", "grupo").agg(F.sum("n").alias("n"))
+def _merge(cells: DataFrame, rows: str) -> DataFrame:
+    """Turns each counted cell into its block rows and sums equal ones."""
+    return (cells.selectExpr(f"inline({rows})").groupBy("bloco", "categoria", "grupo")
+            .agg(F.sum("n").alias("n")))
 
 
 def _recoded(cells: DataFrame, bloco: str, spec: CaseSpec) -> DataFrame:
@@ -83,7 +75,7 @@ def meta(df: DataFrame, dim: AreaDim, spec: CaseSpec = TB) -> DataFrame:
     latest = F.max("valor").over(W.partitionBy("bloco"))
     marked = choices.withColumn("_last", (F.col("bloco") == "anos") & (F.col("valor") == latest))
     blocks = F.when(F.col("_last"), F.array(F.lit("anos"), F.lit("ano_parcial"))).otherwise(F.array("bloco"))
-    found = marked.select(F.explode(blocks).alias("bloco"), "valor", no_text().alias("rotulo"), no_text().alias("grupo"))
+    found = marked.select(F.explode(blocks).alias("bloco"), "valor", F.expr("string(NULL) AS rotulo"), F.expr("string(NULL) AS grupo"))
     fixed = [("ufs", code, name, region) for code, name, region, _ in dim.areas]
     fixed += [("vulneraveis", c, label, None) for c, label in spec.populations.items()]
     fixed += [("agravos", c, label, None) for c, label in spec.comorbidities.items()]
@@ -119,28 +111,23 @@ def detalhe_uf(df: DataFrame, dim: AreaDim, f: Filters, area: str, spec: CaseSpe
     both = places.groupingSets([[F.col("rotulo")], []], "rotulo").agg(
         *[F.sum(k).alias(k) for k in (*counts, "lugares")], F.grouping_id().alias("gid"))
 
-    def item(name: str, value: Column) -> Column:
-        return F.struct(F.lit(name).alias("indicador"), value.cast("double").alias("valor"))
-
-    def over(name: str, part: str, whole: str, measure=pct1) -> Column:
-        return item(name, measure(F.col(part), F.col(whole)))
-
-    place = F.array(item("casos", F.col("casos")), over("cura_pct", "cura", "casos"),
-                    over("abandono_pct", "abandono", "casos"), over("obito_pct", "obito", "casos"),
-                    over("hiv_pct", "pos", "conhecido"))
-    whole = F.array(
-        item("total", F.col("casos")), item("total_municipios", F.col("lugares")),
-        item("encerrados", F.col("encerrados")), over("cura_pct", "cura", "encerrados", pct1_min1),
-        over("abandono_pct", "abandono", "encerrados", pct1_min1), over("obito_pct", "obito", "encerrados", pct1_min1),
-        over("cura_novo_pct", "cura_novo", "enc_novo", pct1_min1), item("n_enc_novo", F.col("enc_novo")),
-        over("cura_retrat_pct", "cura_retrat", "enc_retrat", pct1_min1), item("n_enc_retrat", F.col("enc_retrat")),
-        over("hiv_pct", "pos", "conhecido", pct1_min1), item("n_hiv_conhecido", F.col("conhecido")))
-    is_area = F.col("gid") == 1
-    kept = both.where(is_area | F.col("rotulo").isNotNull())
-    return (kept.select(F.when(is_area, "kpis").otherwise("municipios").alias("bloco"), "rotulo",
-                        fold_key(F.col("rotulo")).alias("nm_norm"),
-                        F.explode(F.when(is_area, whole).otherwise(place)).alias("i"))
-            .select("bloco", "rotulo", "nm_norm", "i.indicador", "i.valor"))
+    def item(name: str, value: str) -> str:
+        return f"named_struct('indicador', '{name}', 'valor', double({value}))"
+
+    place = _array(item("casos", "casos"), *[item(name, pct1_sql(part, whole)) for name, part, whole in (
+        ("cura_pct", "cura", "casos"), ("abandono_pct", "abandono", "casos"), ("obito_pct", "obito", "casos"),
+        ("hiv_pct", "pos", "conhecido"))])
+    rates = [item(name, pct1_min1_sql(part, whole)) for name, part, whole in (
+        ("cura_pct", "cura", "encerrados"), ("abandono_pct", "abandono", "encerrados"), ("obito_pct", "obito", "encerrados"),
+        ("cura_novo_pct", "cura_novo", "enc_novo"), ("cura_retrat_pct", "cura_retrat", "enc_retrat"),
+        ("hiv_pct", "pos", "conhecido"))]
+    numbers = [item(name, value) for name, value in (
+        ("total", "casos"), ("total_municipios", "lugares"), ("encerrados", "encerrados"), ("n_enc_novo", "enc_novo"),
+        ("n_enc_retrat", "enc_retrat"), ("n_hiv_conhecido", "conhecido"))]
+    kept = both.where((F.col("gid") == 1) | F.col("rotulo").isNotNull())
+    named = kept.select("*", fold_key(F.col("rotulo")).alias("nm_norm"), F.expr("IF(gid = 1, 'kpis', 'municipios') AS bloco"))
+    items = f"IF(gid = 1, {_array(*numbers, *rates)}, {place})"
+    return named.selectExpr("bloco", "rotulo", "nm_norm", f"inline({items})")
 
 
 def perfil(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB) -> DataFrame:
@@ -149,12 +136,10 @@ def perfil(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB) -> Data
     cells = multi_counts(rows, {"sexo": [spec.sex], "forma": [spec.form], "tipo_entrada": [spec.entry],
                                 "escolaridade": [spec.schooling], "raca": [spec.race, spec.outcome]})
     cells = _recoded(cells, "raca", spec)
-    label, group = F.col("rotulo"), F.col("grupo_desfecho")
-    common = [_row("raca_cor", label), _row("desfecho", clean_label(F.col("desfecho"), spec.unknown)),
-              _row("desfecho_grupo", group)]
-    cross = _group_rows("desfecho_por_raca", F.col("aparado"), group, spec)
-    by_race = F.when(F.col("valido"), F.array(*common, *cross)).otherwise(F.array(*common))
-    block_rows = F.when(F.col("bloco") == "raca", by_race).otherwise(F.array(_row(F.col("bloco"), label)))
+    cells = cells.withColumn("desfecho", clean_label(F.col("desfecho"), spec.unknown))
+    common = [_row("'raca_cor'", "rotulo"), _row("'desfecho'", "desfecho"), _row("'desfecho_grupo'", "grupo_desfecho")]
+    crossed = _array(*common, *_group_rows("'desfecho_por_raca'", "aparado", spec))
+    block_rows = f"IF(bloco = 'raca', IF(valido, {crossed}, {_array(*common)}), {_array(_row('bloco', 'rotulo'))})"
     labels = _shares(_merge(cells, block_rows), ["desfecho_por_raca"])
 
     aged = rows.where(F.col(spec.age).isNotNull() & F.col(spec.sex).isin(*spec.sexes))
@@ -163,9 +148,8 @@ def perfil(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB) -> Data
     tower = tower.where(after_count(F.col("faixa").isNotNull()))
     grid = literal_rows(
         df.sparkSession, [(b[0], s, True, 0) for b in spec.age_bands for s in spec.sexes], "faixa string, sexo string, morte boolean, n long")
-    dead = F.when(F.col("morte"), F.col("n")).otherwise(0)
-    pyramid = _merge(tower.unionByName(grid), F.array(_row("piramide_casos", F.col("faixa"), F.col("sexo")),
-                                                      _row("piramide_obitos", F.col("faixa"), F.col("sexo"), dead)))
+    pyramid = _merge(tower.unionByName(grid), _array(
+        _row("'piramide_casos'", "faixa", "sexo"), _row("'piramide_obitos'", "faixa", "sexo", "IF(morte, n, 0)")))
     return labels.unionByName(_shares(pyramid, [""]))
 
 
@@ -177,16 +161,13 @@ def clinico(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB) -> Dat
         "hiv": [spec.hiv, spec.outcome], "baciloscopia": [spec.smear], "teste_molecular": [spec.molecular],
         "area": ["sigla", spec.hiv]})
     cells = _recoded(cells, "hiv", spec)
-    label, group = F.col("rotulo"), F.col("grupo_desfecho")
-    status = F.array(_row("status_hiv", label))
-    crossed = F.array(_row("status_hiv", label), *_group_rows("desfecho_por_hiv", F.col("k1"), group, spec))
-    known = F.col("k1").isin(spec.positive, spec.negative)
-    tested = F.col("k2").isin(spec.positive, spec.negative)
-    by_area = F.when(F.col("k1").isNotNull(), F.array(
-        _row("coinfeccao_uf", F.col("k1"), F.lit("positivos"), F.when(F.col("k2") == spec.positive, F.col("n")).otherwise(0)),
-        _row("coinfeccao_uf", F.col("k1"), F.lit("n_testado"), F.when(tested, F.col("n")).otherwise(0))))
-    block_rows = (F.when(F.col("bloco") == "hiv", F.when(known, crossed).otherwise(status))
-                  .when(F.col("bloco") == "area", by_area).otherwise(F.array(_row(F.col("bloco"), label))))
+    positive, known = sql_text(spec.positive), f"({sql_text(spec.positive)}, {sql_text(spec.negative)})"
+    status = _row("'status_hiv'", "rotulo")
+    crossed = _array(status, *_group_rows("'desfecho_por_hiv'", "k1", spec))
+    by_area = _array(_row("'coinfeccao_uf'", "k1", "'positivos'", f"IF(k2 = {positive}, n, 0)"),
+                     _row("'coinfeccao_uf'", "k1", "'n_testado'", f"IF(k2 IN {known}, n, 0)"))
+    block_rows = (f"CASE bloco WHEN 'hiv' THEN IF(k1 IN {known}, {crossed}, {_array(status)}) "
+                  f"WHEN 'area' THEN IF(k1 IS NOT NULL, {by_area}, NULL) ELSE {_array(_row('bloco', 'rotulo'))} END")
     merged = _merge(cells, block_rows)
     # Positivity: positives over tested; the tested row carries the denominator of its area.
     is_area = F.col("bloco") == "coinfeccao_uf"
@@ -205,32 +186,29 @@ def _waiting(rows: DataFrame, spec: CaseSpec) -> DataFrame:
         F.when(plausible(wait, PLAUSIBLE_START), wait).alias("espera"),
         F.when(is_closed(spec) & plausible(length, PLAUSIBLE_DURATION), length).alias("duracao"))
     cells = multi_counts(days, {"espera": ["espera"], "duracao": ["duracao"]})
-    d, n = F.col("d"), F.col("n")
-    start, ended = F.col("bloco") == "espera", F.col("bloco") == "duracao"
-    buckets = [F.sum(F.when(start & (F.col("faixa") == b[0]), n).otherwise(0)).alias(f"b{i}")
+    buckets = [F.expr(f"sum(IF(bloco = 'espera' AND faixa = {sql_text(b[0])}, n, 0)) AS b{i}")
                for i, b in enumerate(spec.wait_buckets)]
 
-    def weighted(which: Column) -> Column:
+    def median(bloco: str) -> str:
         # Rows of the other measure weigh nothing in this median.
-        return F.percentile(F.when(which, d), 0.5, F.when(which, n).otherwise(0))
+        return f"percentile(IF(bloco = '{bloco}', d, NULL), 0.5, IF(bloco = '{bloco}', n, 0L)) AS mediana_{bloco}"
 
     per_day = cells.where(F.col("k1").isNotNull()).withColumn("d", F.col("k1").cast("int"))
     s = per_day.withColumn("faixa", band("d", spec.wait_buckets)).agg(
-        F.sum(F.when(start, n).otherwise(0)).alias("n"), weighted(start).alias("mediana"), weighted(ended).alias("duracao"),
-        F.sum(F.when(start & (d <= 7), n).otherwise(0)).alias("ate"),
-        F.sum(F.when(start & (d > 30), n).otherwise(0)).alias("acima"), *buckets).where(F.col("n") > 0)
+        F.expr("sum(IF(bloco = 'espera', n, 0)) AS n"), F.expr(median("espera")), F.expr(median("duracao")),
+        F.expr("sum(IF(bloco = 'espera' AND d <= 7, n, 0)) AS ate"),
+        F.expr("sum(IF(bloco = 'espera' AND d > 30, n, 0)) AS acima"), *buckets).where(F.col("n") > 0)
 
-    def item(bloco: str, name: str, value: Column, pct: Column | None = None) -> Column:
-        pct = no_number() if pct is None else pct
-        return F.struct(F.lit(bloco).alias("bloco"), F.lit(name).alias("categoria"), no_text().alias("grupo"),
-                        value.cast("double").alias("valor"), pct.alias("pct"))
+    def item(bloco: str, name: str, value: str, pct: str = "double(NULL)") -> str:
+        return (f"named_struct('bloco', '{bloco}', 'categoria', {sql_text(name)}, 'grupo', string(NULL), "
+                f"'valor', double({value}), 'pct', {pct})")
 
-    items = [item("tempo_tratamento", "n", n), item("tempo_tratamento", "mediana_inicio", F.col("mediana")),
-             item("tempo_tratamento", "ate_7d", F.col("ate"), pct1(F.col("ate"), n)),
-             item("tempo_tratamento", "acima_30d", F.col("acima"), pct1(F.col("acima"), n)),
-             item("tempo_tratamento", "duracao_mediana", F.col("duracao"))]
-    items += [item("histograma", b[0], F.col(f"b{i}")) for i, b in enumerate(spec.wait_buckets)]
-    return s.select(F.inline(F.array(*items)))
+    items = [item("tempo_tratamento", "n", "n"), item("tempo_tratamento", "mediana_inicio", "mediana_espera"),
+             item("tempo_tratamento", "ate_7d", "ate", pct1_sql("ate", "n")),
+             item("tempo_tratamento", "acima_30d", "acima", pct1_sql("acima", "n")),
+             item("tempo_tratamento", "duracao_mediana", "mediana_duracao")]
+    items += [item("histograma", b[0], f"b{i}") for i, b in enumerate(spec.wait_buckets)]
+    return s.selectExpr(f"inline({_array(*items)})")
 
 
 def comorbidades(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB) -> DataFrame:
@@ -247,19 +225,17 @@ def comorbidades(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB) -
                           "familia": sql_map({"casos": "total", **dict.fromkeys(spec.comorbidities, "agravos"),
                                               **dict.fromkeys(spec.populations, "populacoes")})[F.col("coluna")]}))
 
-    def item(bloco, categoria: Column, grupo: Column, n: Column, total: Column) -> Column:
-        return F.struct(bloco.alias("bloco"), categoria.alias("categoria"), grupo.alias("grupo"),
-                        n.alias("n"), total.alias("total"))
+    def item(bloco: str, categoria: str, grupo: str, n: str, total: str) -> str:
+        return f"named_struct('bloco', {bloco}, 'categoria', {categoria}, 'grupo', {grupo}, 'n', bigint({n}), 'total', bigint({total}))"
 
-    n, total, label, family = F.col("n"), F.col("total"), F.col("rotulo"), F.col("familia")
     # gid has one bit per key, set when the key is summed over: 3 = whole, 2 = outcome, 1 = area.
-    whole = F.when(F.col("gid") == 3, F.array(item(family, label, no_text(), n, total)))
-    outcome = F.when((F.col("gid") == 2) & (family == "populacoes"), F.array(*[
-        item(F.lit("desfecho_por_vulneravel"), label, F.lit(g),
-             F.when(F.col("grupo_desfecho") == g, n).otherwise(0), n) for g in spec.group_order]))
-    area = F.when((F.col("gid") == 1) & (family == "agravos") & F.col("sigla").isNotNull(),
-                  F.array(item(F.lit("heatmap_uf"), F.col("sigla"), label, n, total)))
-    merged = (long.select(F.inline(F.coalesce(whole, outcome, area))).groupBy("bloco", "categoria", "grupo")
+    whole = _array(item("familia", "rotulo", "string(NULL)", "n", "total"))
+    outcome = _array(*[item("'desfecho_por_vulneravel'", "rotulo", sql_text(g), f"IF(grupo_desfecho = {sql_text(g)}, n, 0)", "n")
+                       for g in spec.group_order])
+    area = _array(item("'heatmap_uf'", "sigla", "rotulo", "n", "total"))
+    rows = (f"CASE WHEN gid = 3 THEN {whole} WHEN gid = 2 AND familia = 'populacoes' THEN {outcome} "
+            f"WHEN gid = 1 AND familia = 'agravos' AND sigla IS NOT NULL THEN {area} END")
+    merged = (long.selectExpr(f"inline({rows})").groupBy("bloco", "categoria", "grupo")
               .agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
     kept = merged.where((F.col("bloco") != "desfecho_por_vulneravel") | (F.col("total") > 0))
     pct = F.when(F.col("bloco") != "total", pct1_min1(F.col("n"), F.col("total")))
