@@ -18,7 +18,7 @@ from epispark.functions.filters import Filters  # noqa: E402
 from epispark.operators import outcomes, waits  # noqa: E402
 from epispark.operators.registry import registry_deaths_year_area  # noqa: E402
 from epispark.plans import composites  # noqa: E402
-from epispark.plans.batch import history_tables  # noqa: E402
+from epispark.plans.batch import read_history, write_history  # noqa: E402
 from epispark.session import build_session, scratch_dir  # noqa: E402
 from epispark.sources.cases import CaseStore  # noqa: E402
 from epispark.spec import TB, AreaDim  # noqa: E402
@@ -48,9 +48,9 @@ def main() -> None:
     dim = AreaDim(source.areas, source.spellings, spark.read.parquet(f"{folder}/population"))
     timed("build_deaths", lambda: registry_deaths_year_area(views.registry(spark, sf_dir), dim).write.parquet(f"{folder}/deaths"))
     deaths = spark.read.parquet(f"{folder}/deaths")
-    tables = history_tables(store.all_years(), dim, views.FIRST_YEAR, views.REFERENCE_YEAR)
-    timed("build_history", lambda: [t.write.parquet(f"{folder}/history/{n}") for n, t in tables.items()])
-    history = {n: spark.read.parquet(f"{folder}/history/{n}") for n in tables}
+    timed("build_history", lambda: write_history(
+        store.all_years(), dim, f"{folder}/history", views.FIRST_YEAR, views.REFERENCE_YEAR))
+    history = read_history(spark, f"{folder}/history")
 
     every, one, some = Filters(years=views.YEARS), Filters(years=(2000,)), Filters(years=(1998, 1999, 2000), sexes=("Feminino",))
     cases = store.all_years()

@@ -9,14 +9,15 @@ from catalog.q_sources import deaths
 from catalog.register import (
     ALL_YEARS, CLOSED, COMORBIDITIES, CURE, DEATH, DROPOUT, GROUPS, INCIDENT, KNOWN, POPULATIONS, RETREATED,
     fold, label, n_if, pct, pct_min1, query, rate, yes)
-from catalog.views import FIRST_YEAR, REFERENCE_YEAR, area_dim, cases, coded, registry, table
+from catalog.views import FIRST_YEAR, REFERENCE_YEAR, append, area_dim, cases, coded, registry, table
 from epispark.functions.clean import with_outcome
 from epispark.functions.filters import Filters
 from epispark.operators import areas, coded as lab, counts, diagnostics, history, kpis, outcomes, waits
 from epispark.operators import registry as reg
 from epispark.plans import composites
-from epispark.plans.batch import history_counts_long, history_tables
+from epispark.plans.batch import history_counts_long, history_tables, read_history, write_history
 from epispark.presets import tuberculosis as tb
+from epispark.session import scratch_dir
 from epispark.spec import TB
 
 AREA_INPUT = ("estado_notificacao", "tipo_entrada", "situacao_encerramento")
@@ -433,6 +434,21 @@ def build_history(spark, sf):
     return history_counts_long(cases(spark, sf, *DATED, "estado_notificacao"), area_dim(spark, sf))
 
 
+@query("write_history", """SELECT 'anual' AS tabela, ano_notificacao AS nu_ano, CAST(NULL AS VARCHAR) AS chave, CAST(count(*) AS DOUBLE) AS valor FROM cases GROUP BY 2
+UNION ALL SELECT 'estadual', ano_notificacao, uf, count(*) FROM cases WHERE uf IS NOT NULL GROUP BY 2, 3
+UNION ALL SELECT 'mensal', ano_notificacao, CAST(mes AS VARCHAR), count(*) FROM cases GROUP BY 2, 3
+UNION ALL SELECT 'indicadores', nu_ano, indicador, valor FROM (""" + SERIES_SQL + ")")
+def written_history(spark, sf):
+    """The whole history written in two passes and read back."""
+    path = scratch_dir(spark, "gold")
+    write_history(cases(spark, sf, *IND_INPUT, "data_notificacao", "estado_notificacao"), area_dim(spark, sf), path, FIRST_YEAR, REFERENCE_YEAR)
+    h = read_history(spark, path)
+    long = history.indicator_series_long(h["indicadores"])
+    parts = [("anual", h["anual"], "string(NULL)", "casos"), ("estadual", h["estadual"], "uf_sigla", "casos"),
+             ("mensal", h["mensal"], "string(mes_num)", "casos"), ("indicadores", long, "indicador", "valor")]
+    return append([t.selectExpr(f"'{n}' AS tabela", "nu_ano", f"{k} AS chave", f"double({v}) AS valor") for n, t, k, v in parts])
+
+
 @query("build_history_indicators", IND + " WHERE nu_ano BETWEEN 1996 AND 2000")
 def build_history_indicators(spark, sf):
     rows = cases(spark, sf, *IND_INPUT, "data_notificacao", "estado_notificacao")

@@ -12,6 +12,7 @@ from epispark.literals import literal_rows, sql_map, sql_text
 from epispark.presets import tuberculosis as tb
 from epispark.spec import TB, AreaDim, CaseSpec
 
+# Fixed value: how ages are written.
 AGE_PATTERN = r"(\d+)\s+(ano|m[eê]s|dia|hora)"
 
 

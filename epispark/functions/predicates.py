@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from epispark.spec import TB, CaseSpec
 
+# Plausible days from diagnosis to treatment, and from notification to closure.
 PLAUSIBLE_START = (0, 365)
 PLAUSIBLE_DURATION = (1, 1000)
 PLAUSIBLE_DURATION_LEGACY = (0, 1095)

@@ -14,12 +14,13 @@ from epispark.literals import sql_map
 
 # Every character Python's str.strip() removes.
 WHITESPACE = "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace())
+# Labels without meaning.
 INVALID_LABELS = ("nan", "none", "undefined", "")
 
 
 def unaccent_text(value: str) -> str:
-    """Canonical decomposition without its non-ASCII part (plain Python string)."""
-    return unicodedata.normalize("NFD", value).encode("ascii", "ignore").decode()
+    """ASCII part of the canonical decomposition (plain Python string)."""
+    return "".join(c for c in unicodedata.normalize("NFD", value) if c.isascii())
 
 
 @lru_cache(maxsize=1)

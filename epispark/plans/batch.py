@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epispark.functions.clean import (
@@ -47,3 +47,21 @@ def history_counts_long(df: DataFrame, dim: AreaDim, spec: CaseSpec = TB) -> Dat
     kept = long.where((F.col("bloco") == "anual") | F.col("k2").isNotNull())
     return kept.select(F.col("bloco").alias("tabela"), F.col("k1").cast("int").alias("nu_ano"),
                        F.col("k2").alias("chave"), F.col("n").alias("casos"))
+
+
+def write_history(df: DataFrame, dim: AreaDim, path: str, first: int, last: int, spec: CaseSpec = TB) -> None:
+    """All four history tables from two passes: one for the three count tables, one for the indicators."""
+    rows = df.where(F.col(spec.year).between(first, last))
+    history_counts_long(rows, dim, spec).write.mode("overwrite").partitionBy("tabela").parquet(f"{path}/contagens")
+    history_indicators(rows, spec).write.mode("overwrite").parquet(f"{path}/indicadores")
+
+
+def read_history(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """What ``write_history`` left, by table name."""
+    counts = spark.read.schema("nu_ano int, chave string, casos long, tabela string").parquet(f"{path}/contagens")
+
+    def table(name: str, *columns: str) -> DataFrame:
+        return counts.where(F.col("tabela") == name).selectExpr("nu_ano", *columns, "casos")
+
+    return {"mensal": table("mensal", "int(chave) AS mes_num"), "estadual": table("estadual", "chave AS uf_sigla"),
+            "anual": table("anual"), "indicadores": spark.read.parquet(f"{path}/indicadores")}

@@ -95,6 +95,8 @@ def detalhe_uf(df: DataFrame, dim: AreaDim, f: Filters, area: str, spec: CaseSpe
     """(bloco, rotulo, indicador, valor): places of one area and the area's cohort indicators.
 
     The places are counted once; the area's record is the sum over its places."""
+    if not dim.variants([area]):
+        raise ValueError(f"unknown area: {area}")
     closed = is_closed(spec)
     cured = has_outcome(spec.cure, spec)
     new = F.col(spec.entry) == spec.new_case

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from epispark.presets import tuberculosis as tb
 from epispark.spec import TB, CaseSpec
 
+# Name of a loose year file, last year of the older catalog.
 YEAR_FILE = r"tuberculose_(\d{4})_tratado"
 LATEST_LEGACY_YEAR = 2025
 

@@ -10,7 +10,7 @@ from epispark import TB, Filters
 from epispark.functions.clean import attach_area
 from epispark.operators import areas, counts, history, outcomes, rankings, waits
 from epispark.plans import composites
-from epispark.plans.batch import history_counts_long, history_tables
+from epispark.plans.batch import history_counts_long, history_tables, read_history, write_history
 
 EVERY = Filters(years=views.YEARS)
 
@@ -78,6 +78,18 @@ def test_history_from_one_scan_equals_the_tables(cases, dim):
     assert rows(long.where("tabela = 'mensal'").select("nu_ano", F.col("chave").cast("int"), "casos")) == rows(t["mensal"])
 
 
+def test_written_history_equals_the_tables(spark, cases, dim, tmp_path):
+    write_history(cases, dim, str(tmp_path), 1996, 2000)
+    written, computed = read_history(spark, str(tmp_path)), history_tables(cases, dim, 1996, 2000)
+    for name, table in computed.items():
+        assert rows(written[name], *table.columns) == rows(table), name
+
+
+def test_unknown_area_is_refused(cases, dim):
+    with pytest.raises(ValueError):
+        composites.detalhe_uf(cases, dim, EVERY, "ZZ")
+
+
 def test_one_row_per_year_and_area_with_two_spellings(cases, dim):
     h = history.history_by_area(cases, dim)
     assert h.count() == h.select("nu_ano", "uf_sigla").distinct().count()
