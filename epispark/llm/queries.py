@@ -131,8 +131,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @register("op6_pii")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", pii.pseudonymise(SAMPLE_KEY)(F.col("text")).alias("p"))
-    kinds = [F.size(F.filter("p.spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return docs.select("doc_id", "p.text", F.size("p.spans").cast("long").alias("n_values"), *kinds)
+
+    def found(kind: str) -> Column:
+        return F.size(F.filter("p.spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return docs.select("doc_id", "p.text", F.size("p.spans").cast("long").alias("n_values"), *map(found, pii.KINDS))
 
 
 @register("op7_toxicity")

@@ -134,10 +134,14 @@ def features(lexicon: dict[str, float]):
     return apply
 
 
+def _stems(words: Column, k: int) -> Column:
+    return F.transform(F.filter(words, lambda w: F.length(w) > k), lambda w: F.concat(F.substring(w, 1, k), F.lit("+")))
+
+
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     """Terms of the toxic class with their likelihood ratio, at most TERMS; `sample` has text, label."""
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    stems = [F.transform(F.filter("words", lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("+"))) for k in STEMS]
+    stems = [_stems(F.col("words"), k) for k in STEMS]
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, other = float(sizes.get(1.0, 0)), float(sizes.get(0.0, 0))
     if not toxic or not other:
