@@ -1,9 +1,10 @@
-"""Document fingerprints: SimHash over adjacent word pairs.
+"""Document fingerprints: SimHash over words and adjacent word pairs.
 
-Each position of a text gives one term, a word with the word after it, so a term weighs as much as it
-occurs. The hash of the term votes on every bit of the fingerprint; a bit is set where the votes for
-it exceed half of all. Votes are summed in 32-bit lanes, two bits to a long, so texts of any length
-(up to 2^31 words) are counted exactly, and all that is kept of a text is one aggregate row.
+The terms of a text are its different words and different pairs of adjacent words. A pair thus weighs
+three terms where its words occur only there, and a line that repeats a word many times does not
+outvote the rest. The hash of a term votes on every bit of the fingerprint; a bit is set where the
+votes for it exceed half of all. Votes are summed in 32-bit lanes, two bits to a long, so texts of
+any length (up to 2^31 terms) are counted exactly, and all that is kept of a text is one row.
 
 `within_radius` finds all pairs of different fingerprints within a Hamming radius r: the bits are cut
 into r + 1 blocks, each block in turn is the key of a table, and two fingerprints that differ in at
@@ -29,9 +30,10 @@ LANES = 0x0000000100000001
 
 
 def terms(text: Column) -> Column:
-    """Hashable terms of a text: struct(a, b) of each word with the word after it; b is null at the end."""
+    """Hashes of the different words and of the different pairs of adjacent words."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.arrays_zip(words.alias("a"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("b"))
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
+    return F.array_compact(F.array_distinct(F.concat(F.transform(words, lambda w: F.xxhash64(w)), pairs)))
 
 
 def fingerprints(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -40,8 +42,7 @@ def fingerprints(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     All terms of a row are summed in the task that reads it; where the input is already partitioned
     by one of the keys nothing is shuffled, else one row per text."""
     term = df.select(*keys, F.explode_outer(terms(F.coalesce(F.col(text), F.lit("")))).alias("t"))
-    hashes = term.select(*keys, *[F.when(F.col("t.a").isNotNull(), F.xxhash64("t.a", "t.b", F.lit(seed))).alias(f"h{s}")
-                                  for s, seed in enumerate(SEEDS)])
+    hashes = term.select(*keys, *[F.when(F.col("t").isNotNull(), F.xxhash64("t", F.lit(seed))).alias(f"h{s}") for s, seed in enumerate(SEEDS)])
     lanes = [F.sum(F.shiftrightunsigned(f"h{s}", i).bitwiseAND(F.lit(LANES))).alias(f"v{s}_{i}")
              for s in range(len(SEEDS)) for i in range(32)]
     votes = hashes.groupBy(*keys).agg(F.count("h0").alias("n"), *lanes)
