@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from epispark.llm.common import cut
+
 CAPACITY, PER_SOURCE, SHARD_ROWS = 2048, 4, 2048
 PLACED = "id string, size long, piece long, start long, length long, bin string, at long"
 
@@ -69,9 +71,10 @@ def pack(rows: DataFrame, *, capacity: int = CAPACITY, per_source: int = PER_SOU
 
     `rows` has id, size, source, cluster. `bin` names a sequence of at most `capacity`; a row has one
     piece for each full capacity in it, and one for the rest."""
-    shards = max(1, -(-rows.count() // shard_rows))
-    named = rows.select("id", F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"), F.col("source").cast("string").alias("source"),
-                        F.col("cluster").cast("string").alias("cluster"))
+    # sizes may come from whole texts: they are counted once, and only they are kept
+    named = cut(rows.select("id", F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"), F.col("source").cast("string").alias("source"),
+                        F.col("cluster").cast("string").alias("cluster")))
+    shards = max(1, -(-named.count() // shard_rows))
     full = F.floor(F.col("size") / capacity)
     rest = named.withColumn("start", full * capacity).withColumn("length", F.col("size") - F.col("start")).withColumn("piece", full)
     shard = F.pmod(F.xxhash64("id", "cluster", "size"), F.lit(shards))
