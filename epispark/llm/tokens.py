@@ -8,6 +8,11 @@ either end of the overlap are not used, since a cut there may hide what the patt
 or part of an added token. If the overlap has no common place (one unbroken run), it is doubled and
 the chunk encoded again, at last up to the end of the text.
 
+Short texts of a byte-level tokenizer are counted by blocks: its pattern always begins a word at a
+space before a character that is not white space, so the blocks between such spaces are encoded
+independently, and a block seen before is looked up in a bounded table. A text with other runs of
+white space is encoded whole.
+
 Defined results: a null text counts as empty and has no tokens; an empty table gives an empty result.
 """
 
@@ -26,7 +31,9 @@ CHUNK, OVERLAP = 32_768, 512
 MARGIN = 24
 #: Code points that are encoded in one call at most.
 CALL = 1 << 19
-_loaded: dict[str, object] = {}
+#: Blocks that a Python worker keeps.
+KEPT_BLOCKS = 500_000
+_loaded: dict = {}
 
 
 def tokenizer(path: str):
@@ -42,17 +49,44 @@ def tokenizer(path: str):
                 spec[part]["trim_offsets"] = False  # offsets only; ids stay the same
         spec["truncation"] = spec["padding"] = None
         _loaded[path] = Tokenizer.from_str(json.dumps(spec))
+        _loaded[path, "blocks"] = Blocks(_loaded[path]) if _cuts_at_spaces(spec) else None
     return _loaded[path]
 
 
+def _cuts_at_spaces(spec: dict) -> bool:
+    """Whether a space before other than white space always begins a word."""
+    split = spec.get("pre_tokenizer") or {}
+    return (split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+            and not spec.get("normalizer") and not spec["model"].get("dropout")
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(map(str.isspace, t["content"])) for t in spec.get("added_tokens", [])))
+
+
+class Blocks(dict):
+    """Tokens of a space followed by the block; minus one where the block is empty or begins with white space."""
+
+    def __init__(self, tok):
+        self.tok = tok
+
+    def __missing__(self, block: str) -> int:
+        if len(self) >= KEPT_BLOCKS:
+            self.clear()
+        n = -1 if not block or block[0].isspace() else len(self.tok.encode(" " + block, add_special_tokens=False))
+        self[block] = n
+        return n
+
+    def count(self, text: str) -> int | None:
+        """Tokens of a text, or None if it has white space that needs the whole text."""
+        first, *rest = text.split(" ")
+        found = list(map(self.__getitem__, rest))
+        if not first or -1 in found:
+            return None
+        return len(self.tok.encode(first, add_special_tokens=False)) + sum(found)
+
+
 def _starts(encoding, base: int) -> dict[int, int]:
     """Place in the text of each word's start -> tokens of the chunk before it."""
-    starts, last = {}, None
-    for k, (word, offset) in enumerate(zip(encoding.word_ids, encoding.offsets)):
-        if word != last:
-            starts[base + offset[0]] = k
-            last = word
-    return starts
+    words, offsets = encoding.word_ids, encoding.offsets
+    return {base + offsets[k][0]: k for k in range(len(words)) if not k or words[k] != words[k - 1]}
 
 
 def count_spliced(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
@@ -85,7 +119,7 @@ def count_spliced(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) ->
     return total + len(encoding.ids) - skip
 
 
-def counts(tok, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+def counts(tok, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP, blocks: Blocks | None = None) -> list[int]:
     out, short, size = [0] * len(texts), [], 0
 
     def flush():
@@ -96,6 +130,8 @@ def counts(tok, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) ->
     for k, text in enumerate(texts):
         if len(text) > chunk:
             out[k] = count_spliced(tok, text, chunk, overlap)
+        elif blocks is not None and (n := blocks.count(text)) is not None:
+            out[k] = n
         elif text:
             short.append(k)
             size += len(text)
@@ -113,7 +149,8 @@ def token_count(path: str, chunk: int = CHUNK, overlap: int = OVERLAP):
     def count(texts):
         import pandas as pd
 
-        return pd.Series(counts(tokenizer(path), texts.fillna("").tolist(), chunk, overlap), dtype="int64")
+        tok = tokenizer(path)
+        return pd.Series(counts(tok, texts.fillna("").tolist(), chunk, overlap, _loaded[path, "blocks"]), dtype="int64")
 
     def of(text: Column) -> Column:
         return count(whole_text(text))
