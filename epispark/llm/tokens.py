@@ -53,6 +53,12 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
+def blocks_of(path: str) -> Blocks | None:
+    """The table of blocks of a tokenizer, if its texts may be counted by blocks."""
+    tokenizer(path)
+    return _loaded[path, "blocks"]
+
+
 def _cuts_at_spaces(spec: dict) -> bool:
     """Whether a space before other than white space always begins a word."""
     split = spec.get("pre_tokenizer") or {}
@@ -149,8 +155,7 @@ def token_count(path: str, chunk: int = CHUNK, overlap: int = OVERLAP):
     def count(texts):
         import pandas as pd
 
-        tok = tokenizer(path)
-        return pd.Series(counts(tok, texts.fillna("").tolist(), chunk, overlap, _loaded[path, "blocks"]), dtype="int64")
+        return pd.Series(counts(tokenizer(path), texts.fillna("").tolist(), chunk, overlap, blocks_of(path)), dtype="int64")
 
     def of(text: Column) -> Column:
         return count(whole_text(text))

@@ -115,6 +115,14 @@ class Reader:
                 float((codes == 3).sum()), float((codes >= 3).sum() / n), *map(float, marks[1:5]), float(np.log1p(len(tokens))), len(text) / n]
 
 
+def _reader(name: str, lexicon: dict[str, float]) -> Reader:
+    """One reader per Python worker and lexicon."""
+    if name not in _readers:
+        _readers.clear()
+        _readers[name] = Reader(lexicon)
+    return _readers[name]
+
+
 def features(lexicon: dict[str, float]):
     """A vectorised function text -> array of DENSE numbers."""
     name = hashlib.sha256(repr(sorted(lexicon.items())).encode()).hexdigest()
@@ -123,10 +131,8 @@ def features(lexicon: dict[str, float]):
     def of(texts):
         import pandas as pd
 
-        if name not in _readers:
-            _readers.clear()
-            _readers[name] = Reader(lexicon)
-        return pd.Series([_readers[name].features(t) for t in texts.fillna("")])
+        reader = _reader(name, lexicon)
+        return pd.Series([reader.features(t) for t in texts.fillna("")])
 
     def apply(text: Column) -> Column:
         return of(whole_text(text))
