@@ -11,9 +11,9 @@ ops are folded in the order of seq:
 The log is partitioned by conversation once; folding and rendering follow in the same partitions,
 since a rendered conversation is one row in any case.
 
-Template, one line per message: `### Role: text</turn>`. In roles and texts `\`, `#`, `<` and, in
-roles, `:` get a backslash, so neither the marker nor the end mark can occur inside a text, and
-taking each backslash away again restores it. Spans of the loss mask are (start, length) in code
+Template, one line per message: `### Role: text</turn>`. In roles and texts a backslash is put before
+`\`, `#`, a `/` after `<` and, in roles, `:`, so neither the marker nor the end mark can occur inside a
+text, and taking each such backslash away again restores it. Spans of the loss mask are (start, length) in code
 points of the formatted string, one for each assistant message.
 
 Defined results: a null text is empty; a null role is no role and reads back as empty; a null
@@ -33,7 +33,7 @@ LEARNED = "assistant"
 
 
 def escape(text: Column, more: str = "") -> Column:
-    return F.regexp_replace(text, rf"([\\#<{more}])", r"\\$1")
+    return F.regexp_replace(text, rf"([\\#{more}]|(?<=<)/)", r"\\$1")
 
 
 def unescape(text: Column) -> Column:

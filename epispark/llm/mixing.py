@@ -49,21 +49,21 @@ def highest_quotients(parties: DataFrame, group: list[str], key: Column, votes:
     the quotients near it are written out: at most 1.5 per party on average, and two more each."""
     whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     cols = parties.columns
-    shares = (parties.withColumn("part", F.when(F.sum(votes).over(whole) > 0, F.col(votes) / F.sum(votes).over(whole)).otherwise(F.lit(0.0)))
-              .withColumn("near", F.floor(F.col("part") * F.col(seats) + 0.5))
-              .withColumn("open", F.when(F.sum(votes).over(whole) > 0, F.col(seats) - F.sum("near").over(whole)).otherwise(F.lit(0)))
-              .withColumn("reach", F.ceil(F.col("part") * F.count("*").over(whole) * 1.5).cast("int")))
-    give = F.col("open") > 0
-    divisor = F.when(give, 2 * (F.col("near") + F.col("k")) + 1).otherwise(2 * (F.col("near") - F.col("k")) - 1)
-    tried = (shares.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("reach"))))
-             .withColumn("quotient", F.when(divisor > 0, F.col(votes) / divisor)))
+    shares = (parties.withColumn("_part", F.when(F.sum(votes).over(whole) > 0, F.col(votes) / F.sum(votes).over(whole)).otherwise(F.lit(0.0)))
+              .withColumn("_near", F.floor(F.col("_part") * F.col(seats) + 0.5))
+              .withColumn("_open", F.when(F.sum(votes).over(whole) > 0, F.col(seats) - F.sum("_near").over(whole)).otherwise(F.lit(0)))
+              .withColumn("_reach", F.ceil(F.col("_part") * F.count("*").over(whole) * 1.5).cast("int")))
+    give = F.col("_open") > 0
+    divisor = F.when(give, 2 * (F.col("_near") + F.col("_k")) + 1).otherwise(2 * (F.col("_near") - F.col("_k")) - 1)
+    tried = (shares.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_reach"))))
+             .withColumn("_quotient", F.when(divisor > 0, F.col(votes) / divisor)))
     better = Window.partitionBy(*group, give) if group else Window.partitionBy(give)
     place = F.row_number().over(better.orderBy(
-        F.when(give, -F.col("quotient")).otherwise(F.col("quotient")).asc_nulls_last(), key.asc_nulls_last(), "k"))
-    change = F.when((F.col("place") <= F.abs("open")) & F.col("quotient").isNotNull(), F.signum("open")).otherwise(F.lit(0))
-    return (tried.withColumn("place", place).withColumn("change", change)
-            .groupBy(*cols, "near").agg(F.sum("change").alias("change"))
-            .select(*cols, (F.col("near") + F.col("change")).cast("long").alias("won")))
+        F.when(give, -F.col("_quotient")).otherwise(F.col("_quotient")).asc_nulls_last(), key.asc_nulls_last(), "_k"))
+    change = F.when((F.col("_place") <= F.abs("_open")) & F.col("_quotient").isNotNull(), F.signum("_open")).otherwise(F.lit(0))
+    return (tried.withColumn("_place", place).withColumn("_change", change)
+            .groupBy(*cols, "_near").agg(F.sum("_change").alias("_change"))
+            .select(*cols, (F.col("_near") + F.col("_change")).cast("long").alias("won")))
 
 
 def targets(sources: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:

@@ -73,7 +73,7 @@ def pack(rows: DataFrame, *, capacity: int = CAPACITY, per_source: int = PER_SOU
     piece for each full capacity in it, and one for the rest."""
     # sizes may come from whole texts: they are counted once, and only they are kept
     named = cut(rows.select("id", F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"), F.col("source").cast("string").alias("source"),
-                        F.col("cluster").cast("string").alias("cluster")))
+                        F.col("cluster").cast("string").alias("cluster"), F.monotonically_increasing_id().alias("nr")))
     shards = max(1, -(-named.count() // shard_rows))
     full = F.floor(F.col("size") / capacity)
     rest = named.withColumn("start", full * capacity).withColumn("length", F.col("size") - F.col("start")).withColumn("piece", full)
@@ -90,9 +90,9 @@ def pack(rows: DataFrame, *, capacity: int = CAPACITY, per_source: int = PER_SOU
     schema = PLACED.replace("id string", f"id {kind}", 1)
     packed_rest = rest.where("length > 0").withColumn("shard", shard).groupBy("shard").applyInArrow(pack_one, schema)
     whole = (named.where(F.col("size") >= capacity)
-             .select("id", "size", F.posexplode(F.sequence(F.lit(1).cast("long"), full)).alias("piece", "nth"), F.xxhash64("id", "cluster", "size").alias("h"))
+             .select("id", "size", F.posexplode(F.sequence(F.lit(1).cast("long"), full)).alias("piece", "nth"), "nr")
              .select("id", "size", F.col("piece").cast("long").alias("piece"), (F.col("piece").cast("long") * capacity).alias("start"),
-                     F.lit(capacity).cast("long").alias("length"), F.concat_ws("-", F.lit("full"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.hex("h"), "piece").alias("bin"),
+                     F.lit(capacity).cast("long").alias("length"), F.concat_ws("-", F.lit("full"), "nr", "piece").alias("bin"),
                      F.lit(0).cast("long").alias("at")))
     empty = named.where("size = 0").select("id", "size", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("start"),
                                            F.lit(0).cast("long").alias("length"), F.lit(None).cast("string").alias("bin"), F.lit(None).cast("long").alias("at"))
