@@ -48,9 +48,9 @@ def distinct_count(spark, sf):
     return counts.distinct_places(cases(spark, sf, "municipio_notificacao"))
 
 
-@query("distinct_count_by_area", "SELECT count(DISTINCT estado_notificacao || '|' || municipio_notificacao) AS municipios FROM cases")
+@query("distinct_count_by_area", "SELECT count(DISTINCT uf || '|' || municipio_notificacao) AS municipios FROM cases")
 def distinct_count_by_area(spark, sf):
-    return counts.distinct_places(cases(spark, sf, "municipio_notificacao", "estado_notificacao"), by_area=True)
+    return counts.distinct_places(cases(spark, sf, "municipio_notificacao", "estado_notificacao"), dim=area_dim(spark, sf))
 
 
 @query("population_at_risk", """SELECT (SELECT CAST(sum(populacao) AS BIGINT) FROM area_dim) AS todas,
@@ -99,6 +99,11 @@ def resumo(spark, sf):
     return composites.resumo(cases(spark, sf, *SUMMARY_INPUT), area_dim(spark, sf), deaths(spark, sf), SOME)
 
 
+@query("resumo_without_registry", summary_sql("uf IN ('N01', 'N07') AND sexo = 'Feminino'", 2, "1999, 2000", "false", "sigla IN ('N01', 'N07')"))
+def resumo_without_registry(spark, sf):
+    return composites.resumo(cases(spark, sf, *SUMMARY_INPUT), area_dim(spark, sf), None, SOME)
+
+
 @query("mortality_rate", f"SELECT obitos, fonte_obitos, mortalidade FROM ({summary_sql('true', 7, Y7)})")
 def mortality_rate(spark, sf):
     return kpis.mortality_rate(cases(spark, sf, *SUMMARY_INPUT), area_dim(spark, sf), deaths(spark, sf), ALL_YEARS)
@@ -241,7 +246,9 @@ def wait_stats(spark, sf):
     return waits.wait_stats(waits.start_histogram(cases(spark, sf, *START)))
 
 
-@query("wait_stats_none", "SELECT 0::BIGINT AS n, 0.0::DOUBLE AS mediana_inicio, 0.0::DOUBLE AS pct_ate_7d, 0.0::DOUBLE AS pct_acima_30d WHERE false")
+@query("wait_stats_none", f"""SELECT count(*) AS n, quantile_cont(espera, 0.5) AS mediana_inicio, {pct(n_if("espera <= 7"), "count(*)")} AS pct_ate_7d,
+{pct(n_if("espera > 30"), "count(*)")} AS pct_acima_30d FROM (SELECT date_diff('day', d, d - 1) AS espera FROM (SELECT CAST(data_notificacao AS DATE) AS d FROM cases))
+WHERE espera BETWEEN 0 AND 365 HAVING count(*) > 0""")
 def wait_stats_none(spark, sf):
     """Every case treated before its diagnosis: no plausible wait, no record."""
     rows = cases(spark, sf, *START).withColumn("data_inicio_tratamento", F.date_sub("data_diagnostico", 1))
@@ -274,9 +281,13 @@ def duration_median_legacy(spark, sf):
     return waits.duration_median(waits.duration_histogram(cases(spark, sf, *LENGTH), limits=(0, 1095), closed_only=False))
 
 
-@query("wait_median_approx")
+@query("wait_median_approx", f"SELECT quantile_cont(espera, 0.5) AS mediana_inicio, true AS perto FROM cases WHERE {OK_START}")
 def wait_median_approx(spark, sf):
-    return waits.wait_median_approx(cases(spark, sf, *START))
+    """The exact median, and whether the sketched one is within a day of it."""
+    rows = cases(spark, sf, *START)
+    sketched = waits.wait_median_approx(rows).select("mediana_inicio").scalar()
+    exact = waits.wait_stats(waits.start_histogram(rows)).select("mediana_inicio")
+    return exact.select("mediana_inicio", (F.abs(F.col("mediana_inicio") - sketched) <= 1).alias("perto"))
 
 
 FLAGS = {**COMORBIDITIES, **POPULATIONS}
@@ -544,9 +555,15 @@ def content_fingerprint(spark, sf):
     return diagnostics.content_fingerprint(table(spark, sf, "orders"), "o_orderpriority")
 
 
-@query("content_fingerprint_fast")
+@query("content_fingerprint_fast", "SELECT count(*) AS linhas, 6::INTEGER AS colunas, true AS igual, true AS difere FROM orders")
 def content_fingerprint_fast(spark, sf):
-    return diagnostics.content_fingerprint_fast(table(spark, sf, "orders"), "o_orderpriority")
+    """The hash sum does not depend on the order of rows, and changes when a row is missing."""
+    rows = table(spark, sf, "orders")
+    soma = lambda df: diagnostics.content_fingerprint_fast(df, "o_orderpriority").select("soma").scalar()
+    less = rows.where(F.col("o_orderkey") != rows.agg(F.min("o_orderkey")).scalar())
+    return diagnostics.content_fingerprint_fast(rows, "o_orderpriority").select(
+        "linhas", "colunas", (F.col("soma") == soma(rows.orderBy(F.desc("o_totalprice")))).alias("igual"),
+        (F.col("soma") != soma(less)).alias("difere"))
 
 
 @query("fallback_month_mean", f"""SELECT mes_num, ({MONTHS_SQL})[mes_num] AS mes_label, casos, avg(casos) OVER () AS media

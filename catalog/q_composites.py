@@ -10,7 +10,8 @@ from catalog.register import (
 from catalog.views import FIRST_YEAR, REFERENCE_YEAR, area_dim, cases
 from epispark.functions.filters import Filters
 from epispark.plans import composites
-from epispark.plans.batch import history_tables
+from epispark.plans.batch import read_history, write_history
+from epispark.session import scratch_dir
 
 NONE = "CAST(NULL AS VARCHAR)"
 NO_PCT = "CAST(NULL AS DOUBLE)"
@@ -43,6 +44,14 @@ def detalhe_uf(spark, sf):
     return composites.detalhe_uf(cases(spark, sf), area_dim(spark, sf), ALL_YEARS, "N07")
 
 
+@query("detalhe_uf_empty", " UNION ALL ".join(
+    f"SELECT 'kpis' AS bloco, {NONE} AS rotulo, {NONE} AS nm_norm, '{k}' AS indicador, CAST({v} AS DOUBLE) AS valor FROM cases WHERE uf = 'N07' AND sexo = 'ninguém'"
+    for k, v in COHORT.items()))
+def detalhe_uf_empty(spark, sf):
+    """A selection without cases still has the record of the area, all zero."""
+    return composites.detalhe_uf(cases(spark, sf), area_dim(spark, sf), Filters(sexes=("ninguém",)), "N07")
+
+
 def labels_sql(block: str, column: str) -> str:
     return f"SELECT '{block}' AS bloco, {label(column)} AS categoria, {NONE} AS grupo, CAST(count(*) AS DOUBLE) AS valor, {NO_PCT} AS pct FROM cases GROUP BY 2"
 
@@ -102,6 +111,26 @@ def comorbidades(spark, sf):
     return composites.comorbidades(cases(spark, sf), area_dim(spark, sf), ALL_YEARS)
 
 
+@query("comorbidades_empty", " UNION ALL ".join(
+    [f"SELECT 'total' AS bloco, 'total' AS categoria, {NONE} AS grupo, CAST(count(*) AS DOUBLE) AS valor, {NO_PCT} AS pct FROM cases WHERE sexo = 'ninguém'"]
+    + [f"SELECT '{b}', '{t}', {NONE}, CAST({n_if(yes(c))} AS DOUBLE), {pct_min1(n_if(yes(c)), 'count(*)')} FROM cases WHERE sexo = 'ninguém'"
+       for b, flags in (("agravos", COMORBIDITIES), ("populacoes", POPULATIONS)) for c, t in flags.items()]))
+def comorbidades_empty(spark, sf):
+    return composites.comorbidades(cases(spark, sf), area_dim(spark, sf), Filters(sexes=("ninguém",)))
+
+
+_histories: dict[tuple[str, str], str] = {}
+
+
+def stored_history(spark, sf) -> str:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _histories:
+        path = scratch_dir(spark, "history")
+        write_history(cases(spark, sf), area_dim(spark, sf), path, FIRST_YEAR, REFERENCE_YEAR)
+        _histories[key] = path
+    return _histories[key]
+
+
 CURRENT = "ano_notificacao = 2001 AND sexo = 'Feminino'"
 BASE = "nu_ano BETWEEN 1995 AND 2000"
 MONTH = "(['Jan','Fev','Mar','Abr','Mai','Jun','Jul','Ago','Set','Out','Nov','Dez'])[CAST(m AS INTEGER)]"
@@ -121,8 +150,20 @@ TREND = " UNION ALL ".join([
     f"SELECT 'indicadores', CAST(nu_ano AS VARCHAR), indicador, valor FROM ({SERIES_SQL})"])
 
 
+TREND_FILTERS = Filters(years=(2000, REFERENCE_YEAR), sexes=("Feminino",))
+
+
 @query("tendencia", TREND)
 def tendencia(spark, sf):
-    rows, dim = cases(spark, sf), area_dim(spark, sf)
-    history = history_tables(rows, dim, FIRST_YEAR, REFERENCE_YEAR)
-    return composites.tendencia(rows, dim, history, deaths(spark, sf), Filters(years=(2000, REFERENCE_YEAR), sexes=("Feminino",)), FIRST_YEAR)
+    """On a history that was written before, as a published one is; written once per application."""
+    history = read_history(spark, stored_history(spark, sf))
+    return composites.tendencia(cases(spark, sf), area_dim(spark, sf), history, deaths(spark, sf), TREND_FILTERS, FIRST_YEAR)
+
+
+@query("tendencia_without_history", " UNION ALL ".join([
+    f"SELECT 'mensal' AS bloco, {MONTH} AS categoria, 'casos' AS indicador, CAST((SELECT count(*) FROM cases WHERE {CURRENT} AND mes = m) AS DOUBLE) AS valor FROM range(1, 13) t(m)",
+    f"SELECT 'mensal', {MONTH}, 'media_hist', CAST(NULL AS DOUBLE) FROM range(1, 13) t(m)",
+    f"SELECT 'kpis', 'ano', 'total_ano', CAST(count(*) AS DOUBLE) FROM cases WHERE {CURRENT}",
+    "SELECT 'kpis', 'ano', 'media_anual_hist', 0.0", "SELECT 'kpis', 'ano', 'variacao_pct', CAST(NULL AS DOUBLE)"]))
+def tendencia_without_history(spark, sf):
+    return composites.tendencia(cases(spark, sf), area_dim(spark, sf), None, None, TREND_FILTERS, FIRST_YEAR)

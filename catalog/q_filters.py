@@ -7,10 +7,9 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from catalog.register import fold, query
-from catalog.views import FIRST_YEAR, REFERENCE_YEAR, area_dim, cases, coded, registry
+from catalog.views import FIRST_YEAR, REFERENCE_YEAR, append, area_dim, cases, coded, registry
 from epispark.functions import clean, predicates
-from epispark.functions.filters import Filters, legacy_filters, resolve_filters, year_preset
-from epispark.literals import literal_rows
+from epispark.functions.filters import PRESETS, Filters, apply_request, legacy_filters, parse_request, year_preset
 from epispark.operators import counts, kpis
 from epispark.operators.history import history_annual, monthly_cases
 from epispark.operators.waits import duration, start_wait
@@ -58,24 +57,24 @@ def filter_flags_all(spark, sf):
     return chosen.apply(cases(spark, sf, *DIMENSIONS), TB).select("case_id")
 
 
-def catalog(spark, sf) -> list[int]:
-    """Calendar years present: a handful of values, needed on the driver to resolve a request."""
-    return [r[0] for r in cases(spark, sf, "ano_notificacao").distinct().collect()]
+def catalog(spark, sf):
+    """(ano): the calendar years present."""
+    return cases(spark, sf, "ano_notificacao").select(F.col("ano_notificacao").alias("ano")).distinct()
 
 
 @query("resolve_filters", """SELECT case_id FROM cases WHERE ano_notificacao IN (1997, 1999) AND uf IN ('N02', 'N05')
 AND sexo = 'Feminino' AND lower(populacao_situacao_rua) = 'sim'""")
 def resolved(spark, sf):
     dim = area_dim(spark, sf)
-    f = resolve_filters(catalog(spark, sf), dim, TB, years="1999, x,2050,1997,1999", areas="N05,ZZ,N02",
-                        sexes="Feminino", populations="populacao_situacao_rua,outra")
-    return f.apply(cases(spark, sf, *DIMENSIONS), TB, dim).select("case_id")
+    f = parse_request(dim, TB, years="1999, x,2050,1997,1999", areas="N05,ZZ,N02",
+                      sexes="Feminino", populations="populacao_situacao_rua,outra")
+    return apply_request(cases(spark, sf, *DIMENSIONS), catalog(spark, sf), f, TB, dim).select("case_id")
 
 
 @query("resolve_filters_latest", "SELECT case_id FROM cases WHERE ano_notificacao = (SELECT max(ano_notificacao) FROM cases)")
 def resolved_latest(spark, sf):
-    f = resolve_filters(catalog(spark, sf), area_dim(spark, sf), TB, years="abc,1800")
-    return f.apply(cases(spark, sf, "case_id", "ano_notificacao"), TB).select("case_id")
+    f = parse_request(area_dim(spark, sf), TB, years="abc,1800")
+    return apply_request(cases(spark, sf, "case_id", "ano_notificacao"), catalog(spark, sf), f, TB).select("case_id")
 
 
 @query("filter_region", "SELECT case_id FROM cases JOIN area_dim ON uf = sigla WHERE regiao = 'ASIA'")
@@ -91,8 +90,7 @@ UNION ALL SELECT 'last10', ano FROM (SELECT DISTINCT ano_notificacao AS ano FROM
 UNION ALL SELECT 'all', ano FROM (SELECT DISTINCT ano_notificacao AS ano FROM cases)""")
 def presets(spark, sf):
     years = catalog(spark, sf)
-    rows = [(name, y) for name in ("last", "last3", "last10", "all") for y in year_preset(years, name)]
-    return literal_rows(spark, rows, "preset string, ano int")
+    return append([year_preset(years, name).select(F.lit(name).alias("preset"), "ano") for name in (*PRESETS, "all")])
 
 
 @query("filter_legacy", """SELECT case_id FROM cases WHERE sexo IN ('Masculino', 'Feminino')

@@ -87,7 +87,7 @@ def join_population(spark, sf):
 (SELECT uf, CAST(sum(obitos) AS BIGINT) AS n FROM deaths WHERE ano IN (1999, 2000) GROUP BY 1) ON uf = sigla""")
 def join_registry(spark, sf):
     dim = area_dim(spark, sf)
-    by = areas.deaths_in_years(deaths(spark, sf), (1999, 2000))
+    by = areas.deaths_in_years(deaths(spark, sf), area_dim(spark, sf), (1999, 2000))
     out = dim.table.select(F.col("sigla").alias("uf")).join(by, "uf", "left")
     return out.select("uf", F.coalesce("obitos", F.lit(0).cast("long")).alias("obitos"))
 
@@ -231,7 +231,7 @@ def union_all_groups(spark, sf):
 def union_years_then_sum(spark, sf):
     """Earlier years as a published table, later ones from the registry."""
     source, dim = registry(spark, sf), area_dim(spark, sf)
-    earlier = areas.deaths_in_years(deaths(spark, sf), (1995, 1996, 1997, 1998)).toDF("uf_sigla", "obitos_sim")
+    earlier = areas.deaths_in_years(deaths(spark, sf), area_dim(spark, sf), (1995, 1996, 1997, 1998)).toDF("uf_sigla", "obitos_sim")
     return reg.sum_years([earlier, reg.registry_deaths_area(source, dim, 1999, 2000, 2001, 2002)])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from catalog.views import YEARS, sql
 from epispark.functions.filters import Filters
+from epispark.presets import tuberculosis as tb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +60,7 @@ def label(expr: str) -> str:
             f"OR lower(strip_accents(trim({expr}))) = 'nao informado' THEN 'Não informado' ELSE trim({expr}) END")
 
 
+# Fixed values of the preset as SQL conditions.
 DEATH = "desfecho = 'Óbito por TB'"
 CURE = "desfecho = 'Cura'"
 DROPOUT = "desfecho IN ('Abandono', 'Abandono Primário')"
@@ -67,13 +69,7 @@ INCIDENT = "tipo_entrada IN ('Caso Novo', 'Não Sabe', 'Nao Sabe', 'Pós-óbito'
 RETREATED = "tipo_entrada IN ('Recidiva', 'Reingresso após Abandono', 'Reingresso Após Abandono')"
 KNOWN = "status_hiv IN ('Positivo', 'Negativo')"
 GROUPS = "(VALUES ('Cura'), ('Interrupção'), ('Óbito'), ('Não avaliado')) g(grupo)"
-COMORBIDITIES = {
-    "agravo_aids": "AIDS/HIV", "agravo_alcoolismo": "Alcoolismo", "agravo_diabetes": "Diabetes",
-    "agravo_doenca_mental": "Doença Mental", "agravo_drogas_ilicitas": "Drogas Ilícitas", "agravo_tabagismo": "Tabagismo"}
-POPULATIONS = {
-    "populacao_privada_liberdade": "Privada de Liberdade", "populacao_situacao_rua": "Situação de Rua",
-    "populacao_imigrante": "Imigrante", "profissional_saude": "Profissional de Saúde",
-    "beneficiario_governo": "Beneficiário Prog. Social"}
+COMORBIDITIES, POPULATIONS = tb.COMORBIDITIES, tb.POPULATIONS
 
 
 def yes(column: str) -> str:

@@ -21,13 +21,23 @@ def drop_if_present(df: DataFrame, columns: Iterable[str] = tb.DROPPED_COLUMNS)
 
 
 def to_date(c: Column) -> Column:
-    """Date, or null when the value is not one."""
-    return c.try_cast("date")
+    """Date, or null when the value is not one. Text may also be eight digits, year first."""
+    text = c.cast("string")
+    compact = F.when(text.rlike(r"^\s*\d{8}\s*$"), F.concat_ws(
+        "-", F.substring(F.trim(text), 1, 4), F.substring(F.trim(text), 5, 2), F.substring(F.trim(text), 7, 2)))
+    return F.coalesce(c.try_cast("date"), compact.try_cast("date"))
+
+
+def whole_number(c: Column) -> Column:
+    """Whole number as int, also from text such as '3.0'; null for anything else."""
+    number = F.when(~F.lower(c.cast("string")).rlike(r"[a-z]\s*$"), c.try_cast("double"))
+    return F.when((number == F.floor(number)) & (F.abs(number) < 2**31), number.cast("int"))
 
 
 def to_small_int(c: Column) -> Column:
     """16-bit integer held as int; null when not numeric or out of range."""
-    return c.try_cast("smallint").cast("int")
+    number = whole_number(c)
+    return F.when(number.between(-(2**15), 2**15 - 1), number)
 
 
 def coerce_dates(df: DataFrame, columns: Iterable[str] = tb.DATE_COLUMNS) -> DataFrame:
@@ -149,8 +159,8 @@ def registry_area_code(residence: Column) -> Column:
 
 def attach_area(df: DataFrame, dim: AreaDim, spec: CaseSpec = TB, how: str = "inner",
                 unknown: str | None = None) -> DataFrame:
-    """Adds ``sigla``. The dimension is a literal list whose size ``AreaDim`` has checked."""
-    out = df.join(F.broadcast(dim.names), F.expr(f"`{spec.area}` = spelling"), how).drop("spelling")
+    """Adds ``sigla``. A small dimension is broadcast, a large one joined by size."""
+    out = df.join(dim.hinted(dim.names), F.expr(f"`{spec.area}` = spelling"), how).drop("spelling")
     if unknown is not None:
         out = out.withColumn("sigla", F.coalesce("sigla", F.lit(unknown)))
     return out

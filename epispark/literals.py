@@ -27,6 +27,8 @@ def sql_map(values: Mapping) -> Column:
 def literal_rows(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
     """Literal rows as a local relation: the planner knows their exact size, and no job is
     needed to ship them."""
+    if not rows:
+        return spark.createDataFrame([], schema)
     fields = [part.split() for part in schema.split(", ")]
     casts = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in fields)
     names = ", ".join(name for name, _ in fields)

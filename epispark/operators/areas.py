@@ -18,7 +18,7 @@ def n_if(condition: Column, name: str) -> Column:
 
 def name_areas(df: DataFrame, dim: AreaDim, code: str = "uf") -> DataFrame:
     """Adds the display name of an area code."""
-    titles = F.broadcast(dim.table.select(F.col("sigla").alias("_code"), "nome"))
+    titles = dim.hinted(dim.table.select(F.col("sigla").alias("_code"), "nome"))
     return df.join(titles, F.expr(f"`{code}` = _code"), "left").drop("_code")
 
 
@@ -29,13 +29,15 @@ def join_population(df: DataFrame, dim: AreaDim, code: str = "uf") -> DataFrame:
     return out.withColumn("populacao", F.coalesce("populacao", F.lit(0).cast("long")))
 
 
-def deaths_in_years(deaths: DataFrame, years=()) -> DataFrame:
-    """(uf, obitos) from a (ano, uf, obitos) table."""
+def deaths_in_years(deaths: DataFrame | None, dim: AreaDim, years=()) -> DataFrame:
+    """(uf, obitos) from a (ano, uf, obitos) table; without a registry, no rows."""
+    if deaths is None:
+        return dim.table.where("false").select(F.col("sigla").alias("uf"), F.lit(0).cast("long").alias("obitos"))
     chosen = deaths.where(F.col("ano").isin(list(years))) if years else deaths
     return chosen.groupBy("uf").agg(F.sum("obitos").alias("obitos"))
 
 
-def area_indicators(df: DataFrame, dim: AreaDim, deaths: DataFrame, years=(), n_years: int | None = None,
+def area_indicators(df: DataFrame, dim: AreaDim, deaths: DataFrame | None, years=(), n_years: int | None = None,
                     spec: CaseSpec = TB) -> DataFrame:
     """Cases, new cases, deaths, incidence, mortality, cure % and dropout % per area.
 
@@ -48,7 +50,7 @@ def area_indicators(df: DataFrame, dim: AreaDim, deaths: DataFrame, years=(), n_
                   n_if(has_outcome(spec.death, spec), "_mortes"),
                   n_if(has_outcome(spec.cure, spec), "_cura"),
                   n_if(has_outcome(spec.dropout, spec), "_abandono")))
-    by_area = deaths_in_years(deaths, years)
+    by_area = deaths_in_years(deaths, dim, years)
     covered = by_area.agg(F.sum("obitos")).scalar().isNotNull()
     joined = join_population(cases.join(by_area, "uf", "left"), dim)
     joined = joined.withColumn("obitos", F.when(covered, F.coalesce("obitos", F.lit(0).cast("long")))
@@ -75,7 +77,7 @@ def area_indicators_legacy(df: DataFrame, dim: AreaDim, deaths: DataFrame, years
              .agg(F.count(F.lit(1)).alias("casos"),
                   n_if(F.col(spec.entry).isin(*entries), "casos_novos")))
     people = dim.population.withColumnRenamed("sigla", "uf")
-    joined = cases.join(deaths_in_years(deaths, years), "uf", "left").join(people, "uf", "left")
+    joined = cases.join(deaths_in_years(deaths, dim, years), "uf", "left").join(people, "uf", "left")
     joined = joined.withColumn("obitos", F.coalesce("obitos", F.lit(0).cast("long")))
 
     def rate(events: str) -> Column:

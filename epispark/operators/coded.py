@@ -10,14 +10,15 @@ from epispark.functions.measures import pct1_min1
 from epispark.functions.predicates import lab_confirmed_new_pulmonary, new_pulmonary
 from epispark.operators.areas import n_if
 
-YEAR_TEXT = ("2001", "2025")
+# Years of the older rule, which a caller passes.
+LEGACY_YEARS = ("2001", "2025")
 
 
-def _by_year(df: DataFrame, years: tuple[str, str]) -> DataFrame:
-    return df.where(F.col("nu_ano").between(*years))
+def _by_year(df: DataFrame, years: tuple[str, str] | None) -> DataFrame:
+    return df.where(F.col("nu_ano").between(*years)) if years else df
 
 
-def lab_confirmation_series(df: DataFrame, years: tuple[str, str] = YEAR_TEXT) -> DataFrame:
+def lab_confirmation_series(df: DataFrame, years: tuple[str, str] | None = None) -> DataFrame:
     """Laboratory-confirmed share of the new pulmonary cases, per year."""
     by = _by_year(df, years).groupBy("nu_ano").agg(
         n_if(new_pulmonary(), "pulm_total"), n_if(lab_confirmed_new_pulmonary(), "pulm_conf_lab"))
@@ -25,7 +26,7 @@ def lab_confirmation_series(df: DataFrame, years: tuple[str, str] = YEAR_TEXT) -
             .withColumn("pct_pulm_conf_lab", pct1_min1(F.col("pulm_conf_lab"), F.col("pulm_total"))))
 
 
-def contacts_examined_series(df: DataFrame, years: tuple[str, str] = YEAR_TEXT) -> DataFrame:
+def contacts_examined_series(df: DataFrame, years: tuple[str, str] | None = None) -> DataFrame:
     """Examined over identified contacts of confirmed cases, per year; rows whose counts are
     not all digits are left out."""
     rows = _by_year(df, years).where(

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from epispark.functions.clean import is_closed
+from epispark.functions.clean import attach_area, is_closed
 from epispark.functions.measures import pct1
 from epispark.functions.text import INVALID_LABELS, clean_label, fold_key, is_valid_label, strip_ws
 from epispark.literals import sql_text
-from epispark.spec import TB, CaseSpec
+from epispark.spec import TB, AreaDim, CaseSpec
 
 
 def count_by(df: DataFrame, *keys, name: str = "casos") -> DataFrame:
@@ -70,8 +70,9 @@ def zero_fill(counts: DataFrame, grid: DataFrame, measures: Sequence[str]) -> Da
 
 def share_of_total(counts: DataFrame, label: str = "label", value: str = "valor",
                    within: Sequence[str] = ()) -> DataFrame:
-    """Adds ``pct`` of the total (within ``within``). For aggregated, small tables."""
-    total = F.sum(value).over(W.partitionBy(*(within or [F.lit(0)])))
+    """Adds ``pct`` of the total (within ``within``), from an aggregated table. The total of all
+    labels is a scalar, so they do not meet in one task."""
+    total = F.sum(value).over(W.partitionBy(*within)) if within else counts.agg(F.sum(value)).scalar()
     return counts.withColumn("pct", pct1(F.col(value), total))
 
 
@@ -91,17 +92,19 @@ def category_shares(df: DataFrame, column: str,
 
 def top_categories(counts: DataFrame, k: int) -> DataFrame:
     """First ``k`` labels with their share of all labels and of the shown ones."""
-    whole = counts.withColumn("total", F.sum("valor").over(W.partitionBy(F.lit(0))))
+    whole = counts.withColumn("total", counts.agg(F.sum("valor")).scalar())
     top = whole.orderBy(F.desc("valor"), "label").limit(k)
     shown = F.sum("valor").over(W.partitionBy(F.lit(0)))
     return top.select("label", "valor", "total", pct1(F.col("valor"), F.col("total")).alias("pct_total"),
                       pct1(F.col("valor"), shown).alias("pct_mostrado"))
 
 
-def distinct_places(df: DataFrame, spec: CaseSpec = TB, by_area: bool = False) -> DataFrame:
-    """Distinct place names; ``by_area`` keeps equal names of different areas apart."""
-    keys = [spec.area, spec.place] if by_area else [spec.place]
-    return df.agg(F.countDistinct(*keys).alias("municipios"))
+def distinct_places(df: DataFrame, spec: CaseSpec = TB, dim: AreaDim | None = None) -> DataFrame:
+    """Distinct place names; with the area dimension, equal names of different areas are kept apart
+    and those of unmapped areas left out."""
+    if dim is None:
+        return df.agg(F.countDistinct(spec.place).alias("municipios"))
+    return attach_area(df, dim, spec).agg(F.countDistinct("sigla", spec.place).alias("municipios"))
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

@@ -51,8 +51,10 @@ def incidence_rate(df: DataFrame, dim: AreaDim, filters: Filters, spec: CaseSpec
     return counted.withColumn("incidencia", rate)
 
 
-def registry_total(deaths: DataFrame, filters: Filters):
-    """Scalar registry deaths of the chosen years and areas; null when there are none."""
+def registry_total(deaths: DataFrame | None, filters: Filters) -> Column:
+    """Scalar registry deaths of the chosen years and areas; null when there are none or no registry."""
+    if deaths is None:
+        return F.lit(None).cast("long")
     rows = deaths.where(F.col("ano").isin(list(filters.years))) if filters.years else deaths
     if filters.areas:
         rows = rows.where(F.col("uf").isin(list(filters.areas)))
@@ -95,7 +97,7 @@ def mortality_rate_legacy(df: DataFrame, dim: AreaDim, registry: DataFrame, year
                           rate_per_100k(deaths, F.col("_pop"), n_years).alias("mortalidade"))
 
 
-def summary_kpis(df: DataFrame, dim: AreaDim, deaths: DataFrame, filters: Filters,
+def summary_kpis(df: DataFrame, dim: AreaDim, deaths: DataFrame | None, filters: Filters,
                  spec: CaseSpec = TB) -> DataFrame:
     """The headline record: one pass over the filtered cases, everything else is a scalar."""
     c = filters.apply(df, spec, dim).agg(

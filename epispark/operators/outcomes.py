@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,12 +83,9 @@ def outcome_by_membership(df: DataFrame, flags: Mapping[str, str], spec: CaseSpe
 
 
 def union_all_groups(df: DataFrame, flags: Mapping[str, str], spec: CaseSpec = TB) -> DataFrame:
-    """Same counts as a union of one aggregate per flag: (categoria, grupo, n).
-    It scans once per flag; ``outcome_by_membership`` needs one scan for all."""
-    rows = with_outcome(df, spec)
-    parts = [count_by(rows.where(is_yes(F.col(c))), F.lit(label).alias("categoria"), "grupo", name="n")
-             for c, label in flags.items()]
-    return reduce(DataFrame.unionByName, parts)
+    """The groups one below the other: (categoria, grupo, n), only outcomes that occur. From the
+    single scan of ``outcome_by_membership``."""
+    return outcome_by_membership(df, flags, spec).where(F.col("n") > 0).select("categoria", "grupo", "n")
 
 
 def flag_area_heatmap(df: DataFrame, dim: AreaDim, flags: Mapping[str, str], spec: CaseSpec = TB) -> DataFrame:

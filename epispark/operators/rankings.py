@@ -28,14 +28,18 @@ def top_n_per_area(df: DataFrame, n: int, area: str = "uf", metric: str = "casos
 def ranked_table(df: DataFrame, area: str = "uf", metric: str = "casos", label: str = "municipio") -> DataFrame:
     """1-based position of each place in its area.
 
-    The position is the number of larger places plus the place among equals. Larger places are
-    summed over distinct (area, metric) values, so no task holds all places of an area."""
-    ties = df.groupBy(area, metric).agg(F.count(F.lit(1)).alias("_n"))
-    above = W.partitionBy(area).orderBy(F.desc(metric)).rowsBetween(W.unboundedPreceding, -1)
-    offset = ties.select(area, metric, F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
-    equals = W.partitionBy(area, metric).orderBy(label)
-    return (df.join(offset, [area, metric])
-            .withColumn("posicao", (F.col("_above") + F.row_number().over(equals)).cast("long")).drop("_above"))
+    Places are ranged by (area, metric, label), so a large area, and also a large group of equal
+    places, is cut into several ranges. A place is numbered within its range and area, and the
+    sizes of the ranges before are added: those are one row per range and area."""
+    order = [F.asc(area), F.desc(metric), F.asc(label)]
+    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    inside = W.partitionBy(area, "_range").orderBy(F.desc(metric), F.asc(label))
+    before = W.partitionBy(area).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (ranged.groupBy(area, "_range").agg(F.count(F.lit(1)).alias("_n"))
+               .select(F.col(area).alias("_area"), F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_above")))
+    numbered = ranged.withColumn("_nth", F.row_number().over(inside))
+    same = F.col(area).eqNullSafe(F.col("_area")) & (F.col("_range") == F.col("_at"))
+    return numbered.join(offsets, same).withColumn("posicao", F.col("_above") + F.col("_nth")).drop("_above", "_nth", "_range", "_area", "_at")
 
 
 def ordered_series(df: DataFrame, *keys: str) -> DataFrame:

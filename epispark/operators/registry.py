@@ -20,7 +20,7 @@ def deaths_raw(registry: DataFrame, prefix: str = "A1") -> DataFrame:
 
 def map_deaths(raw: DataFrame, dim: AreaDim) -> DataFrame:
     """(ano, uf, obitos): non-numeric years and unknown areas are left out."""
-    codes = F.broadcast(dim.table.select("codigo", F.col("sigla").alias("uf")))
+    codes = dim.hinted(dim.table.select("codigo", F.col("sigla").alias("uf")))
     rows = (raw.withColumn("ano", F.col("ano_txt").try_cast("int"))
             .where(after_count(F.col("ano").isNotNull(), "obitos"))
             .join(codes, "codigo"))

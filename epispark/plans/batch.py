@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epispark.functions.clean import (
-    attach_area, coerce_dates, coerce_small_ints, drop_if_present, month_of, parse_age)
+    attach_area, coerce_dates, coerce_small_ints, drop_if_present, month_of, parse_age, whole_number)
 from epispark.operators.counts import multi_counts
 from epispark.operators.history import history_annual, history_by_area, history_indicators, history_monthly
-from epispark.sources.cases import write_by_year
+from epispark.sources.cases import replace_years
 from epispark.spec import TB, AreaDim, CaseSpec
 
 
@@ -26,10 +26,10 @@ def prepare(df: DataFrame, spec: CaseSpec = TB, unmatched_age_as_zero: bool = Fa
 
 def build_treated(raw: DataFrame, path: str, years: Sequence[int], spec: CaseSpec = TB,
                   clustered: bool = False) -> None:
-    """One job over all chosen years. Years absent from the raw table are skipped and the folders
-    of other years stay as they are. A raw table read from year folders is ``clustered``."""
-    chosen = raw.where(F.col(spec.year).try_cast("int").isin(list(years)))
-    write_by_year(prepare(chosen, spec), path, spec, clustered)
+    """One job over all chosen years. A year without rows in the raw table has none afterwards
+    either; the folders of years not asked for stay as they are. A raw table read from year folders is ``clustered``."""
+    chosen = raw.where(whole_number(F.col(spec.year)).isin(list(years)))
+    replace_years(prepare(chosen, spec), path, years, spec, clustered)
 
 
 def history_tables(df: DataFrame, dim: AreaDim, first: int, last: int, spec: CaseSpec = TB) -> dict[str, DataFrame]:

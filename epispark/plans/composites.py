@@ -72,7 +72,9 @@ def meta(df: DataFrame, dim: AreaDim, spec: CaseSpec = TB) -> DataFrame:
     cells = multi_counts(df, {"anos": [spec.year], **{k: [c] for k, c in columns.items()}})
     keyed = cells.where(F.col("k1").isNotNull()).select("bloco", F.col("k1").alias("valor"))
     choices = dedupe_spellings(keyed, keys=["bloco"])
-    latest = F.max("valor").over(W.partitionBy("bloco"))
+    # Only the calendar years are compared with each other; the choices of other blocks stay spread.
+    spread = F.when(F.col("bloco") == "anos", F.lit(0)).otherwise(F.xxhash64("valor"))
+    latest = F.max("valor").over(W.partitionBy("bloco", spread))
     marked = choices.withColumn("_last", (F.col("bloco") == "anos") & (F.col("valor") == latest))
     blocks = F.when(F.col("_last"), F.array(F.lit("anos"), F.lit("ano_parcial"))).otherwise(F.array("bloco"))
     found = marked.select(F.explode(blocks).alias("bloco"), "valor", F.expr("string(NULL) AS rotulo"), F.expr("string(NULL) AS grupo"))
@@ -83,11 +85,11 @@ def meta(df: DataFrame, dim: AreaDim, spec: CaseSpec = TB) -> DataFrame:
     return found.unionByName(literal_rows(df.sparkSession, fixed, schema))
 
 
-def resumo(df: DataFrame, dim: AreaDim, deaths: DataFrame, f: Filters, spec: CaseSpec = TB) -> DataFrame:
+def resumo(df: DataFrame, dim: AreaDim, deaths: DataFrame | None, f: Filters, spec: CaseSpec = TB) -> DataFrame:
     return summary_kpis(df, dim, deaths, f, spec)
 
 
-def mapa(df: DataFrame, dim: AreaDim, deaths: DataFrame, f: Filters, spec: CaseSpec = TB) -> DataFrame:
+def mapa(df: DataFrame, dim: AreaDim, deaths: DataFrame | None, f: Filters, spec: CaseSpec = TB) -> DataFrame:
     return area_indicators(f.apply(df, spec, dim), dim, deaths, f.years, f.n_years, spec)
 
 
@@ -95,7 +97,7 @@ def detalhe_uf(df: DataFrame, dim: AreaDim, f: Filters, area: str, spec: CaseSpe
     """(bloco, rotulo, indicador, valor): places of one area and the area's cohort indicators.
 
     The places are counted once; the area's record is the sum over its places."""
-    if not dim.variants([area]):
+    if area not in dim.codes:
         raise ValueError(f"unknown area: {area}")
     closed = is_closed(spec)
     cured = has_outcome(spec.cure, spec)
@@ -109,7 +111,9 @@ def detalhe_uf(df: DataFrame, dim: AreaDim, f: Filters, area: str, spec: CaseSpe
     }
     rows = f.for_areas(area).apply(df, spec, dim)
     places = rows.groupBy(F.trim(spec.place).alias("rotulo")).agg(*[n_if(c, k) for k, c in counts.items()])
-    places = places.withColumn("lugares", F.when(F.col("rotulo").isNotNull(), 1).otherwise(0))
+    # One row of zeros, so that an empty selection has a record too.
+    nothing = literal_rows(df.sparkSession, [(None, *[0] * len(counts))], ", ".join(["rotulo string", *[f"{k} long" for k in counts]]))
+    places = places.unionByName(nothing).withColumn("lugares", F.when(F.col("rotulo").isNotNull(), 1).otherwise(0))
     both = places.groupingSets([[F.col("rotulo")], []], "rotulo").agg(
         *[F.sum(k).alias(k) for k in (*counts, "lugares")], F.grouping_id().alias("gid"))
 
@@ -219,7 +223,10 @@ def comorbidades(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB) -
     flags = spec.flags
     cells = flag_counts(attach_area(f.apply(df, spec, dim), dim, spec, "left"),
                         ["sigla", F.col(spec.outcome).alias("_out")], list(flags))
-    sums = cells.groupingSets([[F.col("sigla")], [F.col("_out")], []], "sigla", "_out").agg(
+    # One cell of zeros, so that an empty selection has a record too.
+    sums = cells.unionByName(literal_rows(
+        df.sparkSession, [(None, None, *[0] * (1 + len(flags)))], ", ".join(
+            ["sigla string", "_out string", "total long", *[f"{c} long" for c in flags]]))).groupingSets([[F.col("sigla")], [F.col("_out")], []], "sigla", "_out").agg(
         *[F.sum(c).alias(c) for c in ("total", *flags)], F.grouping_id().alias("gid"))
     group = outcome_group(canonical_outcome(F.col("_out"), spec), spec)
     long = (sums.withColumn("casos", F.col("total")).unpivot(["sigla", "_out", "gid", "total"], ["casos", *flags], "coluna", "n")
@@ -244,13 +251,18 @@ def comorbidades(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB) -
     return kept.select("bloco", "categoria", "grupo", F.col("n").cast("double").alias("valor"), pct.alias("pct"))
 
 
-def tendencia(df: DataFrame, dim: AreaDim, history: dict[str, DataFrame], deaths: DataFrame, f: Filters,
+def tendencia(df: DataFrame, dim: AreaDim, history: dict[str, DataFrame] | None, deaths: DataFrame | None, f: Filters,
               first_year: int, spec: CaseSpec = TB) -> DataFrame:
     """(bloco, categoria, indicador, valor): the reference year against the national history.
 
-    Filters apply to the reference year only. One scan of that year; everything else comes from
+    Without a history, or a table of it, its blocks are left out and the means are null or zero as
+    for years without cases; without a registry the block of official deaths is left out. Filters apply to the reference year only. One scan of that year; everything else comes from
     the history tables, which have a few thousand rows at most."""
     year = f.reference_year
+    history = history or {}
+    spark = df.sparkSession
+    monthly = history.get("mensal", literal_rows(spark, [], "nu_ano int, mes_num int, casos long"))
+    by_state = history.get("estadual", literal_rows(spark, [], "nu_ano int, uf_sigla string, casos long"))
     rows = attach_area(f.for_years(year).apply(df, spec, dim), dim, spec, "left")
     cells = multi_counts(rows.select(month_of(F.col(spec.date)).alias("mes"), "sigla"),
                          {"mensal": ["mes"], "estadual": ["sigla"]}).where(F.col("k1").isNotNull())
@@ -258,19 +270,19 @@ def tendencia(df: DataFrame, dim: AreaDim, history: dict[str, DataFrame], deaths
     current = cells.select("bloco", F.col("k1").alias("chave"), F.col("n").alias("atual"), zero.alias("soma"), zero.alias("anos"))
     in_base = baseline_years(F.col("nu_ano"), first_year, year)
 
-    def base(table: str, bloco: str, key: str) -> DataFrame:
-        return (history[table].where(in_base).groupBy(F.col(key).cast("string").alias("chave"))
+    def base(table: DataFrame, bloco: str, key: str) -> DataFrame:
+        return (table.where(in_base).groupBy(F.col(key).cast("string").alias("chave"))
                 .agg(F.sum("casos").alias("soma"), F.count("casos").alias("anos"))
                 .select(F.lit(bloco).alias("bloco"), "chave", zero.alias("atual"), "soma", "anos"))
 
-    yearly = history["mensal"].where(in_base).agg(
+    yearly = monthly.where(in_base).agg(
         F.coalesce(F.sum("casos"), F.lit(0)).alias("soma"), F.countDistinct("nu_ano").alias("anos"))
     yearly = yearly.select(F.lit("kpis").alias("bloco"), F.lit("ano").alias("chave"), zero.alias("atual"), "soma", "anos")
     months = df.sparkSession.range(1, 13).select(
         F.lit("mensal").alias("bloco"), F.col("id").cast("string").alias("chave"),
         zero.alias("atual"), zero.alias("soma"), zero.alias("anos"))
-    parts = current.unionByName(base("mensal", "mensal", "mes_num")).unionByName(
-        base("estadual", "estadual", "uf_sigla")).unionByName(yearly).unionByName(months)
+    parts = current.unionByName(base(monthly, "mensal", "mes_num")).unionByName(
+        base(by_state, "estadual", "uf_sigla")).unionByName(yearly).unionByName(months)
     # A month also counts towards the yearly total.
     copies = F.when((F.col("bloco") == "mensal") & (F.col("atual") > 0), F.array(
         F.struct("bloco", "chave", "atual", "soma", "anos"),
@@ -300,10 +312,14 @@ def tendencia(df: DataFrame, dim: AreaDim, history: dict[str, DataFrame], deaths
         return table.select(F.lit(bloco).alias("bloco"), F.col(key).cast("string").alias("categoria"),
                             indicator.alias("indicador"), F.col(value).cast("double").alias("valor"))
 
-    annual = series(history["anual"], "anual", "nu_ano", F.lit("casos"), "casos")
-    official = series(registry_deaths_series(deaths), "obitos_anual", "ano", F.lit("obitos"), "obitos")
-    indicators = series(indicator_series_long(history["indicadores"]), "indicadores", "nu_ano", F.col("indicador"), "valor")
-    return compared.unionByName(annual).unionByName(official).unionByName(indicators)
+    if "anual" in history:
+        compared = compared.unionByName(series(history["anual"], "anual", "nu_ano", F.lit("casos"), "casos"))
+    if deaths is not None:
+        compared = compared.unionByName(series(registry_deaths_series(deaths), "obitos_anual", "ano", F.lit("obitos"), "obitos"))
+    if "indicadores" in history:
+        compared = compared.unionByName(series(
+            indicator_series_long(history["indicadores"]), "indicadores", "nu_ano", F.col("indicador"), "valor"))
+    return compared
 
 
 def export(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+LOCAL_MASTER = re.compile(r"local(\[[^\]]*\])?")
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -35,10 +39,13 @@ def build_session(app: str = "epispark", master: str | None = None, **conf) -> S
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder of the cluster.
 
-    Only a local master may fall back to a temporary folder of the machine."""
+    Without that setting only a session whose master is known to run in this one process gets a
+    folder of its own, as in tests; it is removed when the process ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if not LOCAL_MASTER.fullmatch(spark.conf.get("spark.master", "")):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="epispark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

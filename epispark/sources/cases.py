@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,9 +13,11 @@ from pyspark.sql import types as T
 from epispark.presets import tuberculosis as tb
 from epispark.spec import TB, CaseSpec
 
-# Name of a loose year file, last year of the older catalog.
+# Name of a loose year file as pattern and as glob, last year of the older catalog, which a caller passes.
 YEAR_FILE = r"tuberculose_(\d{4})_tratado"
+YEAR_GLOB = "*tuberculose_{year}_tratado*"
 LATEST_LEGACY_YEAR = 2025
+NANOS_A_DAY = 86_400_000_000_000
 
 
 def case_schema(columns: Iterable[str] = tb.FRIENDLY_NAMES) -> T.StructType:
@@ -29,10 +31,12 @@ def case_schema(columns: Iterable[str] = tb.FRIENDLY_NAMES) -> T.StructType:
 
 
 def _aligned(source: Column, found: T.DataType, wanted: T.DataType) -> Column:
-    if isinstance(found, T.LongType) and isinstance(wanted, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        # Nanoseconds since 1970, see session.DEFAULTS.
-        source = F.timestamp_micros(F.floor(source / 1000).cast("long"))
-        return source.cast(wanted)
+    if isinstance(found, T.LongType) and isinstance(wanted, T.DateType):
+        # Nanoseconds since 1970, see session.DEFAULTS: whole days, whatever the zone of the session.
+        days = (source - F.pmod(source, F.lit(NANOS_A_DAY))) / NANOS_A_DAY
+        return F.date_from_unix_date(days.cast("int"))
+    if isinstance(found, T.LongType) and isinstance(wanted, (T.TimestampType, T.TimestampNTZType)):
+        return F.timestamp_micros(F.floor(source / 1000).cast("long")).cast(wanted)
     return source.try_cast(wanted)
 
 
@@ -95,33 +99,71 @@ def write_by_year(df: DataFrame, path: str, spec: CaseSpec = TB, clustered: bool
      .partitionBy(spec.year).parquet(path))
 
 
+def _folders(spark: SparkSession, path: str, column: str) -> dict[str, frozenset[str]]:
+    """Value -> names of files, for the folders ``<column>=<value>`` below a path."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return {}
+    found = {}
+    for folder in files.listStatus(root):
+        name, mark, value = folder.getPath().getName().partition("=")
+        if mark and name == column:
+            found[value] = frozenset(f.getPath().getName() for f in files.listStatus(folder.getPath()))
+    return found
+
+
+def drop_folders(spark: SparkSession, path: str, column: str, keep: Callable[[str], bool]) -> None:
+    """Removes the folders ``<column>=<value>`` whose value is not to be kept."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for value in _folders(spark, path, column):
+        if not keep(value):
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"{column}={value}"), True)
+
+
+def replace_years(df: DataFrame, path: str, years: Sequence[int], spec: CaseSpec = TB, clustered: bool = False) -> None:
+    """Replaces the folders of ``years``. A year that no longer has any row loses its folder: after
+    the write its folder still holds the files it held before."""
+    spark, asked = df.sparkSession, {str(int(y)) for y in years}
+    before = _folders(spark, path, spec.year)
+    write_by_year(df, path, spec, clustered)
+    after = _folders(spark, path, spec.year)
+    emptied = {y for y in asked if y in before and before[y] == after.get(y)}
+    if emptied:
+        drop_folders(spark, path, spec.year, keep=lambda y: y not in emptied)
+
+
 def scan_projected(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Declared columns only; those the table lacks come as null text."""
     return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
 
 
 def year_files(spark: SparkSession, folder: str, pattern: str = YEAR_FILE) -> DataFrame:
-    """(ano, path) of loose per-year files. Lists the folder; no file is opened."""
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder).select("path")
+    """(ano, path) of loose per-year files or folders of files. Lists the folder; no file is opened."""
+    listed = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+              .option("recursiveFileLookup", "true").load(folder).select("path"))
     year = F.regexp_extract("path", pattern, 1)
     return listed.where(year != "").select(year.cast("int").alias("ano"), "path")
 
 
-def year_catalog_legacy(catalog: DataFrame, latest: int = LATEST_LEGACY_YEAR) -> list[int]:
-    """Older catalog rule: descending, not after ``latest``, ``[latest]`` when empty. A catalog
-    has one row per calendar year, so listing it on the driver is bounded."""
-    rows = catalog.where(F.col("ano") <= latest).orderBy(F.desc("ano")).collect()
-    return [r["ano"] for r in rows] or [latest]
+def year_catalog_legacy(catalog: DataFrame, latest: int | None = None) -> list[int]:
+    """Older catalog order: descending, not after ``latest`` if given (LATEST_LEGACY_YEAR in the older
+    product), then ``[latest]`` when empty. A catalog has one row per calendar year, so listing it on
+    the driver is bounded."""
+    rows = (catalog.where(F.col("ano") <= latest) if latest else catalog).orderBy(F.desc("ano")).collect()
+    return [r["ano"] for r in rows] or ([latest] if latest else [])
 
 
-def load_year_files(spark: SparkSession, folder: str, schema: T.StructType,
-                    years: Sequence[int] | None = None, pattern: str = YEAR_FILE) -> DataFrame:
+def load_year_files(spark: SparkSession, folder: str, schema: T.StructType, years: Sequence[int] | None = None,
+                    pattern: str = YEAR_FILE, glob: str = YEAR_GLOB) -> DataFrame:
     """Loose per-year files with differing columns, aligned and appended. Only files of the chosen
-    years are opened; missing years are skipped; without any file the result is empty."""
-    by_year: dict[int, list[str]] = {}
-    for row in year_files(spark, folder, pattern).collect():
-        if years is None or row["ano"] in years:
-            by_year.setdefault(row["ano"], []).append(row["path"])
-    if not by_year:
+    years are opened; missing years are skipped; without any file the result is empty. What reaches
+    the driver is the calendar years; the files of a year are read by a glob."""
+    listed = year_files(spark, folder, pattern)
+    chosen = listed if years is None else listed.where(F.col("ano").isin(list(years)))
+    found = [r["ano"] for r in chosen.select("ano").distinct().orderBy("ano").collect()]
+    if not found:
         return spark.createDataFrame([], schema)
-    return union_by_name([spark.read.parquet(*paths) for _, paths in sorted(by_year.items())], schema)
+    return union_by_name([spark.read.parquet(f"{folder}/{glob.format(year=year)}") for year in found], schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +15,13 @@ FEATURE = "struct<type: string, properties: map<string,string>, geometry: struct
 KEPT_PROPERTIES = ("CD_MUN", "NM_MUN", "SIGLA_UF")
 
 
-def code_names(texts: DataFrame, column: str, dim: AreaDim | None = None) -> DataFrame:
-    """(codigo, nome[, uf]) from JSON objects ``{code: name}``; the first two digits of a code
-    are the area."""
-    rows = texts.select(F.explode(F.from_json(column, "map<string,string>")).alias("codigo", "nome"))
+def code_names(texts: DataFrame, column: str, dim: AreaDim | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(kept columns, codigo, nome[, uf]) from JSON objects ``{code: name}``; the first two digits of
+    a code are the area."""
+    rows = texts.select(*keep, F.explode(F.from_json(column, "map<string,string>")).alias("codigo", "nome"))
     if dim is None:
         return rows
-    codes = F.broadcast(dim.table.select(F.col("codigo").alias("_area"), F.col("sigla").alias("uf")))
+    codes = dim.hinted(dim.table.select(F.col("codigo").alias("_area"), F.col("sigla").alias("uf")))
     return rows.join(codes, F.expr("left(codigo, 2) = _area"), "left").drop("_area")
 
 
@@ -34,7 +35,10 @@ def read_features(spark: SparkSession, path: str, one_per_line: bool = False) ->
     Coordinates stay JSON text because their nesting depends on the geometry type."""
     schema = f"type string, features array<{FEATURE}>"
     collections = spark.read.schema(schema).json(path, multiLine=not one_per_line)
-    return (collections.select(F.explode("features").alias("f"))
+    each = collections.select(F.explode("features").alias("f"))
+    if not one_per_line:
+        each = each.hint("rebalance")  # a file is read by one task; what follows is not bound to it
+    return (each
             .select(F.col("f.properties").alias("properties"), F.col("f.geometry.type").alias("tipo"),
                     F.col("f.geometry.coordinates").alias("coordenadas")))
 
@@ -86,8 +90,14 @@ def join_features(features: DataFrame, indicators: DataFrame, keys: Sequence[str
 
 
 def read_coordinates(spark: SparkSession, path: str) -> DataFrame:
-    """(codigo_6, nome, latitude, longitude): six-digit code from the seven-digit one."""
-    rows = spark.read.option("header", True).csv(path)
+    """(codigo_6, nome, latitude, longitude): six-digit code from the seven-digit one. Without the
+    file the table is empty."""
+    try:
+        rows = spark.read.option("header", True).csv(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        rows = spark.createDataFrame([], "codigo_ibge string, nome string, latitude string, longitude string")
     return rows.select(F.substring("codigo_ibge", 1, 6).alias("codigo_6"), "nome",
                        F.col("latitude").try_cast("double").alias("latitude"),
                        F.col("longitude").try_cast("double").alias("longitude"))

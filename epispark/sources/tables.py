@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import logging
+from collections.abc import Callable, Mapping
 from datetime import datetime, timedelta
 
 from pyspark.errors import AnalysisException
@@ -11,10 +12,10 @@ from pyspark.sql import functions as F
 
 from epispark.functions.filters import Filters
 from epispark.presets import tuberculosis as tb
-from epispark.sources.cases import align, case_schema
+from epispark.sources.cases import align, case_schema, drop_folders
 from epispark.spec import TB, AreaDim, CaseSpec
 
-MAX_EXPORT_YEARS = 5
+log = logging.getLogger(__name__)
 SNAPSHOT_TTL = timedelta(days=7)
 SNAPSHOT_SCHEMA = "ano int, uf string, obitos long"
 
@@ -74,13 +75,15 @@ def read_snapshot_csv(spark: SparkSession, path: str) -> DataFrame | None:
     return _read_csv(spark, path, SNAPSHOT_SCHEMA)
 
 
-def snapshot_refresh(spark: SparkSession, path: str, source: DataFrame | None, now: datetime,
+def snapshot_refresh(spark: SparkSession, path: str, source: DataFrame | Callable[[], DataFrame] | None, now: datetime,
                      ttl: timedelta = SNAPSHOT_TTL) -> DataFrame | None:
     """Death snapshot with its ``snapshot_at`` and ``origem`` ('fresco', 'atualizado', 'antigo').
 
     A snapshot younger than ``ttl`` is used as is; otherwise the source is queried and a new
     snapshot is added next to the old one, which stays valid until the new one is complete;
-    without a source, or when it gives no rows, the old one is returned; without any, none."""
+    without a source, or when it fails or gives no rows, the old one is returned; without any, none.
+    ``source`` may be a function, so that a failure to connect counts as well. Snapshots before the
+    last two are removed."""
     stored = f"{SNAPSHOT_SCHEMA}, snapshot_at string"
     try:
         table = spark.read.schema(stored).parquet(path)
@@ -99,19 +102,27 @@ def snapshot_refresh(spark: SparkSession, path: str, source: DataFrame | None, n
         return at(latest, "fresco")
     if source is not None:
         moment = now.strftime(layout)
-        (source.select("ano", "uf", "obitos").withColumn("snapshot_at", F.lit(moment))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_at").parquet(path))
-        # Without rows no partition folder appears, and the older snapshot goes on being used.
-        fresh = at(moment, "atualizado")
-        if not fresh.isEmpty():
-            return fresh
+        try:
+            rows = source() if callable(source) else source
+            (rows.select("ano", "uf", "obitos").withColumn("snapshot_at", F.lit(moment))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_at").parquet(path))
+        except Exception:  # whatever the source raises: an old snapshot is better than none
+            log.exception("the death registry could not be read")
+        else:
+            # Without rows no partition folder appears, and the older snapshot goes on being used.
+            fresh = at(moment, "atualizado")
+            if not fresh.isEmpty():
+                drop_folders(spark, path, "snapshot_at", keep=lambda stamp: stamp >= (latest or moment))
+                return fresh
     return at(latest, "antigo") if latest else None
 
 
-def microdata(df: DataFrame, filters: Filters, dim: AreaDim, spec: CaseSpec = TB) -> DataFrame:
-    """Filtered rows with the fixed export columns; at most five years at a time."""
-    if len(filters.years) > MAX_EXPORT_YEARS:
-        raise ValueError(f"export is limited to {MAX_EXPORT_YEARS} years at a time")
+def microdata(df: DataFrame, filters: Filters, dim: AreaDim, spec: CaseSpec = TB,
+              max_years: int | None = None) -> DataFrame:
+    """Filtered rows with the fixed export columns. A request layer may pass ``max_years``, and then
+    a request for more years, or for all, is refused."""
+    if max_years is not None and not 0 < len(filters.years) <= max_years:
+        raise ValueError(f"export is limited to {max_years} years at a time")
     return align(filters.apply(df, spec, dim), case_schema(tb.EXPORT_COLUMNS))
 
 

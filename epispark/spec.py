@@ -17,8 +17,8 @@ from epispark.functions.text import unaccent_text
 from epispark.literals import literal_rows
 from epispark.presets import tuberculosis as tb
 
-# An area dimension is broadcast to every executor, so its size is checked here once.
-MAX_SPELLINGS = 50_000
+# Up to so many spellings are broadcast and listed in conditions; beyond, they are joined as a table.
+SMALL_DIMENSION = 5_000
 
 
 @dataclass(frozen=True)
@@ -76,22 +76,34 @@ TB = CaseSpec()
 @dataclass(frozen=True)
 class AreaDim:
     """The area dimension. ``areas`` holds one (sigla, nome, regiao, codigo) per area and
-    ``spellings`` pairs every spelling found in the data with its area code: literal rows of
-    a checked number, hence broadcast. ``population`` (sigla, populacao) is a table."""
+    ``spellings`` pairs every spelling found in the data with its area code, as literal rows or as
+    a table (spelling, sigla). ``population`` (sigla, populacao) is a table.
+
+    Literal rows of a small, checked number are broadcast; anything larger is an ordinary join."""
 
     areas: tuple[tuple[str, str, str, str], ...]
-    spellings: tuple[tuple[str, str], ...]
+    spellings: tuple[tuple[str, str], ...] | DataFrame
     population: DataFrame
 
-    def __post_init__(self):
-        if max(len(self.areas), len(self.spellings)) > MAX_SPELLINGS:
-            raise ValueError("area dimension too large to broadcast; join it as a table instead")
+    @property
+    def is_small(self) -> bool:
+        return not isinstance(self.spellings, DataFrame) and max(len(self.areas), len(self.spellings)) <= SMALL_DIMENSION
+
+    @property
+    def codes(self) -> tuple[str, ...]:
+        return tuple(a[0] for a in self.areas)
+
+    def hinted(self, table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if self.is_small else table
 
     @property
     def spark(self) -> SparkSession:
         return self.population.sparkSession
 
     def variants(self, area_codes) -> list[str]:
+        """Spellings of the areas; only for a small dimension."""
+        if isinstance(self.spellings, DataFrame):
+            raise ValueError("the spellings are a table; join it")
         wanted = set(area_codes)
         return [name for name, code in self.spellings if code in wanted]
 
@@ -107,6 +119,8 @@ class AreaDim:
     @cached_property
     def names(self) -> DataFrame:
         """(spelling, sigla), one row per spelling."""
+        if isinstance(self.spellings, DataFrame):
+            return self.spellings.select("spelling", "sigla")
         return literal_rows(self.spark, self.spellings, "spelling string, sigla string")
 
     def population_at_risk(self, area_codes=()) -> Column:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from epispark import TB, Filters, brazil
 from epispark.functions import clean, measures, predicates
-from epispark.functions.filters import legacy_filters, region_areas, resolve_filters, year_preset
+from epispark.functions.filters import apply_request, legacy_filters, parse_request, region_areas, year_preset
 from epispark.functions.text import accent_table, clean_label, fold_key, is_yes, strip_ws
 from epispark.presets import tuberculosis as tb
+from epispark.spec import AreaDim
 
 
 def values(spark, data, expression, kind="string"):
@@ -136,18 +137,45 @@ def test_filters(spark):
     assert hash(Filters(years=(1,))) == hash(Filters(years=(1,)))
 
 
-def test_resolve_filters(spark):
-    f = resolve_filters([2023, 2024], brazil(spark), TB, years="2024, 2024,x,1990", areas="SP,QQ,AC", populations="profissional_saude,sexo")
-    assert (f.years, f.areas, f.populations, f.reference_year, f.n_years) == ((2024,), ("AC", "SP"), ("profissional_saude",), 2024, 1)
-    assert resolve_filters([2023, 2024], brazil(spark), TB).years == (2024,)
+def test_area_filter_needs_the_dimension(spark):
+    df = spark.createDataFrame([("Acre", 1)], "estado_notificacao string, n int")
+    with pytest.raises(ValueError):
+        Filters(areas=("AC",)).apply(df, TB)
 
 
-def test_year_presets_and_regions():
+def test_request(spark):
+    f = parse_request(brazil(spark), TB, years="2024, 2024,x,1990", areas="SP,QQ,AC", populations="profissional_saude,sexo")
+    assert (f.years, f.areas, f.populations, f.reference_year, f.n_years) == ((1990, 2024), ("AC", "SP"), ("profissional_saude",), 2024, 2)
+    df = spark.createDataFrame([(2023,), (2024,), (2024,)], "ano_notificacao int")
+    catalog = df.select(F.col("ano_notificacao").alias("ano")).distinct()
+    count = lambda text: apply_request(df, catalog, parse_request(brazil(spark), TB, years=text), TB).count()
+    assert (count("2023"), count("2023,2024,1990"), count("1800"), count(None)) == (1, 3, 2, 2)
+    assert apply_request(df.limit(0), catalog.limit(0), Filters(years=(2024,)), TB).count() == 0
+
+
+def test_large_dimensions_are_joined(spark):
+    """60,000 spellings: neither refused nor put into one condition."""
+    spellings = tuple((f"place {k}", f"A{k % 100}") for k in range(60_000))
+    areas = tuple((f"A{k}", f"Area {k}", "r", str(k)) for k in range(100))
+    people = spark.createDataFrame([("A1", 10)], "sigla string, populacao long")
+    df = spark.createDataFrame([("place 1",), ("place 101",), ("place 2",), ("elsewhere",)], "estado_notificacao string")
+    as_table = spark.createDataFrame(spellings[:200], "spelling string, sigla string")
+    for dim in (AreaDim(areas, spellings, people), AreaDim(areas, as_table, people)):
+        assert not dim.is_small
+        kept = Filters(areas=("A1",)).apply(df, TB, dim)
+        assert kept.count() == 2 and " IN (" not in kept._jdf.queryExecution().optimizedPlan().toString()
+        assert clean.attach_area(df, dim).count() == 3
+
+
+def test_year_presets_and_regions(spark):
+    def preset(years, name):
+        return sorted(r[0] for r in year_preset(spark.createDataFrame([(y,) for y in years], "ano int"), name).collect())
+
     years = range(2001, 2027)
-    assert year_preset(years, "last") == (2025,)
-    assert year_preset(years, "last3") == (2023, 2024, 2025)
-    assert len(year_preset(years, "last10")) == 10 and len(year_preset(years, "all")) == 26
-    assert year_preset([2020], "last") == (2020,)
+    assert preset(years, "last") == [2025]
+    assert preset(years, "last3") == [2023, 2024, 2025]
+    assert len(preset(years, "last10")) == 10 and len(preset(years, "all")) == 26
+    assert preset([2020], "last") == [2020] and preset([], "last3") == []
     assert region_areas("Sul") == ("PR", "RS", "SC") and region_areas("Lua") == ()
 
 
@@ -166,3 +194,28 @@ def test_preset_areas(spark):
     assert dim.table.count() == 27 and len(dim.spellings) == 38
     assert set(dim.variants(["SP"])) == {"São Paulo", "Sao Paulo"}
     assert len(tb.EXPORT_COLUMNS) == 37 and tb.AGE_BANDS_17[-1] == ("80+", 80, 199)
+
+
+def test_numbers_and_days_written_as_text(spark):
+    assert values(spark, ["3.0", "12.5", "40000", " 7 ", "3d", "x", None, "-1"], clean.to_small_int) == [3, None, None, 7, None, None, None, -1]
+    days = values(spark, ["20240305", "2024-03-05", "20241305", "2024", None], lambda c: clean.to_date(c).cast("string"))
+    assert days[:3] == ["2024-03-05", "2024-03-05", None] and days[4] is None
+
+
+def test_coded_series_have_no_last_year(spark):
+    from epispark.operators.coded import lab_confirmation_series
+
+    row = {"nu_ano": "2026", "forma": "1", "tratamento": "1", "situa_ence": "1", "bacilosc_e": "1", "bacilos_e2": "1", "bacilosc_o": "1", "cultura_es": "1", "test_molec": "1"}
+    df = spark.createDataFrame([tuple(row.values())], list(row))
+    assert lab_confirmation_series(df).first()["nu_ano"] == 2026
+    assert lab_confirmation_series(df, ("2001", "2025")).count() == 0
+
+
+def test_positions_within_large_ties(spark):
+    """Most places of an area are equal: positions are still 1 to n, by label."""
+    from epispark.operators.rankings import ranked_table
+
+    rows = [("A", 1, f"p{k:04d}") for k in range(900)] + [("A", 5, "z"), ("B", 2, "y"), (None, 2, "n")]
+    df = spark.createDataFrame(rows, "uf string, casos int, municipio string").repartition(8)
+    got = {(r["uf"], r["municipio"]): r["posicao"] for r in ranked_table(df).collect()}
+    assert got == {("A", "z"): 1, ("B", "y"): 1, (None, "n"): 1} | {("A", f"p{k:04d}"): k + 2 for k in range(900)}

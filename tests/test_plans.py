@@ -5,8 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
-from catalog import views
+from catalog import QUERIES, views
 from conftest import SF_DIR
 from epispark import TB, Filters
 from epispark.operators import areas, counts, history, kpis, outcomes, waits
@@ -40,7 +39,7 @@ def dim(spark):
 
 
 def test_no_python_in_any_plan(spark):
-    for name, build in entry.queries().items():
+    for name, build in QUERIES.items():
         if not re.search("scan|export|read|write|build|prepare|snapshot|extract|catalog|features|bounds|union_by_name", name):
             text = plan(build(spark, SF_DIR))
             assert not re.search("ArrowEvalPython|BatchEvalPython|MapInPandas|CartesianProduct|FlatMapGroups", text), name

@@ -47,7 +47,7 @@ def test_loose_year_files(spark, tmp_path):
 def test_year_catalog(spark, tmp_path):
     write_years(tmp_path)
     catalog = store.year_files(spark, str(tmp_path)).select("ano").distinct()
-    assert store.year_catalog_legacy(catalog) == [2002, 2001]
+    assert store.year_catalog_legacy(catalog) == [2002, 2001] and store.year_catalog_legacy(catalog.limit(0)) == []
     assert store.year_catalog_legacy(catalog, 2001) == [2001]
     assert store.year_catalog_legacy(catalog, 1990) == [1990]
 
@@ -64,7 +64,7 @@ def test_store_replaces_only_the_years_it_gets(spark, tmp_path):
 def test_year_predicates_split_heavy_years():
     assert jdbc.year_predicates("ano", [2001, 2002]) == ["ano = '2001'", "ano = '2002'"]
     split = jdbc.year_predicates("ano", [2001], "id", 3)
-    assert split == [f"ano = '2001' AND MOD(id, 3) = {i}" for i in range(3)]
+    assert split == [f"ano = '2001' AND MOD(ABS(COALESCE(id, 0)), 3) = {i}" for i in range(3)]
     assert "group by 1, 2" in jdbc.deaths_query("t") and "like 'A1%'" in jdbc.deaths_query("t")
 
 
@@ -82,6 +82,34 @@ def test_build_treated_skips_absent_years(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/t").select("ano_notificacao", "x").collect()) == [(2001, 1), (2002, 9)]
 
 
+def test_emptied_years_lose_their_rows(spark, tmp_path):
+    raw = spark.sql("SELECT '2001.0' ano_notificacao, 1 x UNION ALL SELECT '2002', 2 UNION ALL SELECT '2003', 3")
+    years = lambda: sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/t").select("ano_notificacao").collect())
+    build_treated(raw, f"{tmp_path}/t", [2001, 2002, 2003])
+    assert years() == [2001, 2002, 2003]
+    build_treated(raw.where("x = 1"), f"{tmp_path}/t", [2001, 2002, 2050])
+    assert years() == [2001, 2003]
+
+
+def test_days_do_not_depend_on_the_zone(spark):
+    frame = spark.sql("SELECT bigint(unix_date(date'2024-03-05')) * 86400000000000L + 7 data_notificacao UNION ALL SELECT -1L UNION ALL SELECT NULL")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        got = [str(r[0]) for r in store.align(frame, T.StructType([SCHEMA["data_notificacao"]])).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == ["2024-03-05", "1969-12-31", "None"]
+
+
+def test_split_conditions_cover_every_row():
+    import duckdb
+
+    rows = "(VALUES ('2001', 5), ('2001', -1), ('2001', NULL), ('2001', -7), ('2002', 1)) t(ano, id)"
+    found = [duckdb.sql(f"SELECT count(*) FROM {rows} WHERE {p}").fetchall()[0][0] for p in jdbc.year_predicates("ano", [2001], "id", 3)]
+    assert sum(found) == 4
+
+
 def test_snapshot_refresh(spark, tmp_path):
     path = f"{tmp_path}/snapshot"
     deaths = spark.sql("SELECT 2001 ano, 'SP' uf, 5L obitos")
@@ -97,6 +125,14 @@ def test_snapshot_refresh(spark, tmp_path):
     assert state(more.where("false"), 9) == (5, "antigo")
     assert state(more, 9) == (6, "atualizado")
 
+    def fails():
+        raise OSError("no connection")
+
+    broken = deaths.withColumn("obitos", F.expr("bigint(raise_error('lost'))"))
+    assert state(fails, 20) == (6, "antigo") and state(broken, 20) == (6, "antigo")
+    assert state(deaths, 20) == (5, "atualizado") and state(more, 30) == (6, "atualizado")
+    assert len(list((tmp_path / "snapshot").glob("snapshot_at=*"))) == 2
+
 
 def test_export_keeps_blanks_quotes_and_nulls(spark, tmp_path):
     rows = spark.createDataFrame([(2001, ' a "b", c ', None, "São Paulo"), (2002, "x", "Feminino", "Acre")],
@@ -107,7 +143,10 @@ def test_export_keeps_blanks_quotes_and_nulls(spark, tmp_path):
     assert len(back.columns) == 37
     assert back.select("municipio_notificacao", "sexo").first() == (' a "b", c ', None)
     with pytest.raises(ValueError):
-        tables.microdata(rows, Filters(years=tuple(range(6))), dim)
+        tables.microdata(rows, Filters(years=tuple(range(6))), dim, max_years=5)
+    with pytest.raises(ValueError):
+        tables.microdata(rows, Filters(), dim, max_years=5)  # no choice of years means all of them
+    assert tables.microdata(rows, Filters(years=tuple(range(2000, 2030))), dim).count() == 2
 
 
 def test_friendly_names(spark):
@@ -169,6 +208,7 @@ def test_code_names_and_coordinates(spark, tmp_path):
     assert got == {("1200013", "Acrelândia", "AC"), ("9900000", "Fora", None)}
     (tmp_path / "c.csv").write_text("codigo_ibge,nome,latitude,longitude,x\n1200013,Acrelândia,-9.8,-66.9,z\n")
     assert geo.read_coordinates(spark, str(tmp_path / "c.csv")).first() == ("120001", "Acrelândia", -9.8, -66.9)
+    assert geo.read_coordinates(spark, str(tmp_path / "none.csv")).count() == 0
 
 
 def test_scratch_is_below_the_configured_folder():
@@ -179,3 +219,6 @@ def test_scratch_is_below_the_configured_folder():
     assert scratch_dir(session(spark_checkpoint_dir="hdfs://shared/"), "x").startswith("hdfs://shared/x-")
     with pytest.raises(RuntimeError):
         scratch_dir(session(spark_master="spark://host:7077"), "x")
+    for master in ("local-cluster[3,2,1024]", ""):
+        with pytest.raises(RuntimeError):
+            scratch_dir(session(spark_master=master), "x")
