@@ -74,6 +74,19 @@ def as_text(halves: list[Column]) -> Column:
     return F.lower(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in halves]))
 
 
+def near_counts(prints: DataFrame, radius: int) -> DataFrame:
+    """f0, f1, n_near: for each different fingerprint, how many rows of others lie within the radius,
+    its own copies but one included."""
+    copies = prints.groupBy(*HALVES).agg(F.count("*").alias("copies"))
+    pairs = within_radius(prints, radius)
+    other = pairs.select("a0", "a1", "b0", "b1").unionByName(pairs.select(
+        F.col("b0").alias("a0"), F.col("b1").alias("a1"), F.col("a0").alias("b0"), F.col("a1").alias("b1")))
+    sums = (other.join(copies, (F.col("b0") == F.col("f0")) & (F.col("b1") == F.col("f1"))).groupBy("a0", "a1")
+            .agg(F.sum("copies").alias("others")))
+    return (copies.join(sums, (F.col("f0") == F.col("a0")) & (F.col("f1") == F.col("a1")), "left")
+            .select(*HALVES, (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_near")))
+
+
 def within_radius(prints: DataFrame, radius: int) -> DataFrame:
     """All pairs of different fingerprints at most `radius` bits apart.
 

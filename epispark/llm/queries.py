@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from epispark.llm import chat, exact_dedup, fingerprints, jaccard, langid, mixing, packing, pii, tokens, toxicity
-from epispark.llm.common import held_out, shuffle_partitions, table, whole_text
+from epispark.llm.common import cut, held_out, shuffle_partitions, table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Hamming radius of near fingerprints.
+RADIUS = 3
 #: Key of the pseudonyms in the registered query; a user passes a secret one.
 SAMPLE_KEY = b"registered query"
 
@@ -113,12 +115,13 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     wide = prints.groupBy(*keys).agg(*[F.max(F.when(F.col("which") == w, F.col(h))).alias(f"{h}_{w}") for w in (0, 1) for h in halves])
     order = Window.partitionBy("bucket").orderBy("nth")
     own, changed = [F.col(f"{h}_0") for h in halves], [F.col(f"{h}_1") for h in halves]
-    wide = wide.select(*keys, fingerprints.as_text(own).alias("fingerprint"), fingerprints.as_text(changed).alias("edited_fingerprint"),
+    wide = wide.select(*keys, *[c.alias(h) for c, h in zip(own, halves)], fingerprints.as_text(own).alias("fingerprint"), fingerprints.as_text(changed).alias("edited_fingerprint"),
                        fingerprints.likeness(own, changed).alias("near_edited"),
                        fingerprints.likeness(own, [F.lead(c).over(order) for c in own]).alias("near_next")).where("look = 0")
     meta = rows.where("look = 0").select("bucket", "nth", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    return (meta.join(wide.drop("doc_id", "look"), ["bucket", "nth"])
-            .select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"))
+    done = cut(meta.join(wide.drop("doc_id", "look"), ["bucket", "nth"]).drop("bucket", "nth"))
+    return (done.join(fingerprints.near_counts(done, RADIUS), halves)
+            .select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_near"))
 
 
 @register("op5_packing")

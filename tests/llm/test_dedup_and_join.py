@@ -185,3 +185,14 @@ def test_radius_search_finds_all_pairs(spark, radius):
             if tuple(map(signed, a)) < tuple(map(signed, b)) and bits <= radius:
                 want.add((*a, *b, bits))
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_near_counts(spark):
+    rng = random.Random(1)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    base = [rng.getrandbits(64) for _ in range(2)]
+    prints = [(base[0] ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)), base[1]) for _ in range(30)] + [tuple(base)] * 4 + [(5, 9)]
+    df = spark.createDataFrame([tuple(map(signed, p)) for p in prints], "f0 long, f1 long")
+    got = {(r["f0"] % (1 << 64), r["f1"] % (1 << 64)): r["n_near"] for r in fingerprints.near_counts(df, 3).collect()}
+    near = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b)) <= 3
+    assert got == {p: sum(near(p, q) for q in prints) - 1 for p in prints}
