@@ -18,7 +18,7 @@ from epispark.functions.filters import Filters  # noqa: E402
 from epispark.operators import outcomes, waits  # noqa: E402
 from epispark.operators.registry import registry_deaths_year_area  # noqa: E402
 from epispark.plans import composites  # noqa: E402
-from epispark.plans.batch import read_history, write_history  # noqa: E402
+from epispark.plans.batch import read_choices, read_history, write_choices, write_history  # noqa: E402
 from epispark.session import build_session, scratch_dir  # noqa: E402
 from epispark.sources.cases import CaseStore  # noqa: E402
 from epispark.spec import TB, AreaDim  # noqa: E402
@@ -42,6 +42,7 @@ def main() -> None:
 
     raw = views.cases(spark, sf_dir)
     store = CaseStore(spark, f"{folder}/cases", raw.drop("case_id").schema)
+    store.write(raw)  # cold: starts the session's code
     timed("build_treated", lambda: store.write(raw))
     source = views.area_dim(spark, sf_dir)
     source.population.write.parquet(f"{folder}/population")
@@ -50,14 +51,15 @@ def main() -> None:
     deaths = spark.read.parquet(f"{folder}/deaths")
     timed("build_history", lambda: write_history(
         store.all_years(), dim, f"{folder}/history", views.FIRST_YEAR, views.REFERENCE_YEAR))
-    history = read_history(spark, f"{folder}/history")
+    timed("build_choices", lambda: write_choices(store.all_years(), f"{folder}/history"))
+    history, choices = read_history(spark, f"{folder}/history"), read_choices(spark, f"{folder}/history")
 
     every, one, some = Filters(years=views.YEARS), Filters(years=(2000,)), Filters(years=(1998, 1999, 2000), sexes=("Feminino",))
     cases = store.all_years()
     queries = {
-        "meta": lambda: composites.meta(cases, dim),
-        "resumo": lambda: composites.resumo(cases, dim, deaths, every),
-        "resumo_1_year": lambda: composites.resumo(cases, dim, deaths, one),
+        "meta": lambda: composites.meta(cases, dim, choices=choices),
+        "resumo": lambda: composites.resumo(cases, dim, deaths, every, annual=history["anual"]),
+        "resumo_1_year": lambda: composites.resumo(cases, dim, deaths, one, annual=history["anual"]),
         "mapa": lambda: composites.mapa(cases, dim, deaths, every),
         "mapa_3_years": lambda: composites.mapa(cases, dim, deaths, some),
         "detalhe_uf": lambda: composites.detalhe_uf(cases, dim, every, "N07"),

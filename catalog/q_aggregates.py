@@ -99,6 +99,12 @@ def resumo(spark, sf):
     return composites.resumo(cases(spark, sf, *SUMMARY_INPUT), area_dim(spark, sf), deaths(spark, sf), SOME)
 
 
+@query("resumo_with_history", summary_sql("uf IN ('N01', 'N07') AND sexo = 'Feminino'", 2, "1999, 2000", "uf IN ('N01', 'N07')", "sigla IN ('N01', 'N07')"))
+def resumo_with_history(spark, sf):
+    annual = history.history_annual(cases(spark, sf, "ano_notificacao"))
+    return composites.resumo(cases(spark, sf, *SUMMARY_INPUT), area_dim(spark, sf), deaths(spark, sf), SOME, annual=annual)
+
+
 @query("resumo_without_registry", summary_sql("uf IN ('N01', 'N07') AND sexo = 'Feminino'", 2, "1999, 2000", "false", "sigla IN ('N01', 'N07')"))
 def resumo_without_registry(spark, sf):
     return composites.resumo(cases(spark, sf, *SUMMARY_INPUT), area_dim(spark, sf), None, SOME)

@@ -10,7 +10,7 @@ from catalog.register import (
 from catalog.views import FIRST_YEAR, REFERENCE_YEAR, area_dim, cases
 from epispark.functions.filters import Filters
 from epispark.plans import composites
-from epispark.plans.batch import read_history, write_history
+from epispark.plans.batch import read_choices, read_history, write_choices, write_history
 from epispark.session import scratch_dir
 
 NONE = "CAST(NULL AS VARCHAR)"
@@ -31,6 +31,14 @@ def meta(spark, sf):
     return composites.meta(cases(spark, sf, "ano_notificacao", *CHOICES.values()), area_dim(spark, sf))
 
 
+@query("meta_published", META)
+def meta_published(spark, sf):
+    path = scratch_dir(spark, "choices")
+    rows = cases(spark, sf, "ano_notificacao", *CHOICES.values())
+    write_choices(rows, path)
+    return composites.meta(rows, area_dim(spark, sf), choices=read_choices(spark, path))
+
+
 PLACE_ITEMS = {"casos": "count(*)", "cura_pct": pct(n_if(CURE), "count(*)"), "abandono_pct": pct(n_if(DROPOUT), "count(*)"),
                "obito_pct": pct(n_if(DEATH), "count(*)"), "hiv_pct": pct(n_if("status_hiv = 'Positivo'"), n_if(KNOWN))}
 DETAIL = " UNION ALL ".join(

@@ -13,7 +13,7 @@ from epispark.functions.filters import Filters
 from epispark.operators.diagnostics import column_profile, feature_bounds
 from epispark.operators.history import history_monthly
 from epispark.operators.registry import map_deaths, registry_deaths_year_area
-from epispark.plans.batch import build_treated, history_tables
+from epispark.plans.batch import build_treated, read_history, write_history
 from epispark.plans.composites import export as composite
 from epispark.presets import tuberculosis as tb
 from epispark.session import scratch_dir
@@ -135,7 +135,9 @@ def snapshot_refresh(spark, sf):
 def written_history(spark, sf):
     folder = scratch_dir(spark, "history")
     rows, dim = cases(spark, sf), area_dim(spark, sf)
-    tables.write_history_csv(history_tables(rows, dim, 1995, 2001), folder)
+    # Two passes over the cases write the history; the CSV files are copies of it.
+    write_history(rows, dim, f"{folder}/gold", 1995, 2001)
+    tables.write_history_csv(read_history(spark, f"{folder}/gold"), folder)
     return folder
 
 

@@ -128,6 +128,13 @@ def filter_options(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                             keys=["dimensao"])
 
 
+def selection_choices(df: DataFrame, spec: CaseSpec = TB) -> DataFrame:
+    """(bloco, valor): calendar years and the choices of every filter, one spelling each, in one scan."""
+    columns = {"anos": spec.year, "sexo": spec.sex, "formas": spec.form, "racas": spec.race, "entradas": spec.entry, "hiv": spec.hiv}
+    cells = multi_counts(df, {k: [c] for k, c in columns.items()})
+    return dedupe_spellings(cells.where(F.col("k1").isNotNull()).select("bloco", F.col("k1").alias("valor")), keys=["bloco"])
+
+
 def unknown_share(df: DataFrame, spec: CaseSpec = TB) -> DataFrame:
     """(dimensao, n, total, pct) of unknown or still open values, in one pass."""
     def unknown(column: str) -> Column:

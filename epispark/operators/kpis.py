@@ -21,9 +21,13 @@ def base_total_share(df: DataFrame, filters: Filters, dim: AreaDim | None = None
     return out.withColumn("pct_filtrado", pct1(F.col("total"), F.col("total_base")))
 
 
-def base_total(df: DataFrame, filters: Filters, spec: CaseSpec = TB) -> Column:
+def base_total(df: DataFrame, filters: Filters, spec: CaseSpec = TB, annual: DataFrame | None = None) -> Column:
     """Scalar number of cases of the chosen years. On stored files this reads row counts from the
-    footers and no column, so the filtered pass keeps its own pushed-down filters."""
+    footers and no column, so the filtered pass keeps its own pushed-down filters. A published
+    ``annual`` history (nu_ano, casos) saves even that."""
+    if annual is not None:
+        years = annual.where(F.col("nu_ano").isin(list(filters.years))) if filters.years else annual
+        return years.agg(F.coalesce(F.sum("casos"), F.lit(0))).scalar()
     return df.where(filters.year_predicate(spec)).agg(F.count(F.lit(1))).scalar()
 
 
@@ -98,14 +102,14 @@ def mortality_rate_legacy(df: DataFrame, dim: AreaDim, registry: DataFrame, year
 
 
 def summary_kpis(df: DataFrame, dim: AreaDim, deaths: DataFrame | None, filters: Filters,
-                 spec: CaseSpec = TB) -> DataFrame:
+                 spec: CaseSpec = TB, annual: DataFrame | None = None) -> DataFrame:
     """The headline record: one pass over the filtered cases, everything else is a scalar."""
     c = filters.apply(df, spec, dim).agg(
         F.count(F.lit(1)).alias("total"), n_if(has_outcome(spec.cure, spec), "cura"),
         n_if(has_outcome(spec.dropout, spec), "abandono"), n_if(has_outcome(spec.death, spec), "_mortes"),
         n_if(F.col(spec.hiv) == spec.positive, "hiv_pos"), n_if(incident(spec), "_novos"),
         F.countDistinct(spec.place).alias("municipios"),
-    ).select("*", base_total(df, filters, spec).alias("total_base"), registry_total(deaths, filters).alias("_sim"),
+    ).select("*", base_total(df, filters, spec, annual).alias("total_base"), registry_total(deaths, filters).alias("_sim"),
              dim.population_at_risk(filters.areas).alias("_pop"))
     official = F.coalesce(F.col("_sim"), F.lit(0)) > 0
     c = c.withColumns({

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from epispark.functions.clean import (
     attach_area, coerce_dates, coerce_small_ints, drop_if_present, month_of, parse_age, whole_number)
-from epispark.operators.counts import multi_counts
+from epispark.operators.counts import multi_counts, selection_choices
 from epispark.operators.history import history_annual, history_by_area, history_indicators, history_monthly
 from epispark.sources.cases import replace_years
 from epispark.spec import TB, AreaDim, CaseSpec
@@ -56,6 +56,15 @@ def write_history(df: DataFrame, dim: AreaDim, path: str, first: int, last: int,
     history_indicators(rows, spec).write.mode("overwrite").parquet(f"{path}/indicadores")
 
 
+def write_choices(df: DataFrame, path: str, spec: CaseSpec = TB) -> None:
+    """Calendar years and filter choices of the whole series, for ``composites.meta``."""
+    selection_choices(df, spec).write.mode("overwrite").parquet(f"{path}/opcoes")
+
+
+def read_choices(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("bloco string, valor string").parquet(f"{path}/opcoes")
+
+
 def read_history(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """What ``write_history`` left, by table name."""
     counts = spark.read.schema("nu_ano int, chave string, casos long, tabela string").parquet(f"{path}/contagens")

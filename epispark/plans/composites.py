@@ -20,7 +20,7 @@ from epispark.functions.predicates import (
 from epispark.functions.text import clean_label, fold_key, is_valid_label, strip_ws
 from epispark.literals import literal_rows, sql_map, sql_text
 from epispark.operators.areas import area_indicators, n_if
-from epispark.operators.counts import after_count, count_by, dedupe_spellings, multi_counts
+from epispark.operators.counts import after_count, count_by, multi_counts, selection_choices
 from epispark.operators.history import indicator_series_long
 from epispark.operators.kpis import summary_kpis
 from epispark.operators.outcomes import flag_counts, label_of
@@ -66,12 +66,11 @@ def _shares(merged: DataFrame, blocks: Sequence[str]) -> DataFrame:
     return merged.select("bloco", "categoria", "grupo", F.col("n").cast("double").alias("valor"), pct.alias("pct"))
 
 
-def meta(df: DataFrame, dim: AreaDim, spec: CaseSpec = TB) -> DataFrame:
-    """(bloco, valor, rotulo, grupo): years, partial year, filter choices, areas and flags."""
-    columns = {"sexo": spec.sex, "formas": spec.form, "racas": spec.race, "entradas": spec.entry, "hiv": spec.hiv}
-    cells = multi_counts(df, {"anos": [spec.year], **{k: [c] for k, c in columns.items()}})
-    keyed = cells.where(F.col("k1").isNotNull()).select("bloco", F.col("k1").alias("valor"))
-    choices = dedupe_spellings(keyed, keys=["bloco"])
+def meta(df: DataFrame, dim: AreaDim, spec: CaseSpec = TB, choices: DataFrame | None = None) -> DataFrame:
+    """(bloco, valor, rotulo, grupo): years, partial year, filter choices, areas and flags.
+
+    With the published ``choices`` (``batch.write_choices``) the cases are not read at all."""
+    choices = selection_choices(df, spec) if choices is None else choices
     # Only the calendar years are compared with each other; the choices of other blocks stay spread.
     spread = F.when(F.col("bloco") == "anos", F.lit(0)).otherwise(F.xxhash64("valor"))
     latest = F.max("valor").over(W.partitionBy("bloco", spread))
@@ -85,8 +84,10 @@ def meta(df: DataFrame, dim: AreaDim, spec: CaseSpec = TB) -> DataFrame:
     return found.unionByName(literal_rows(df.sparkSession, fixed, schema))
 
 
-def resumo(df: DataFrame, dim: AreaDim, deaths: DataFrame | None, f: Filters, spec: CaseSpec = TB) -> DataFrame:
-    return summary_kpis(df, dim, deaths, f, spec)
+def resumo(df: DataFrame, dim: AreaDim, deaths: DataFrame | None, f: Filters, spec: CaseSpec = TB,
+           annual: DataFrame | None = None) -> DataFrame:
+    """The headline record; with the published annual history the unfiltered total comes from there."""
+    return summary_kpis(df, dim, deaths, f, spec, annual)
 
 
 def mapa(df: DataFrame, dim: AreaDim, deaths: DataFrame | None, f: Filters, spec: CaseSpec = TB) -> DataFrame:
