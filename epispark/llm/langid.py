@@ -34,6 +34,10 @@ START = "▁"
 UNKNOWN, PRIOR = 1e-9, 0.01
 #: Words that a Python worker keeps.
 KEPT_WORDS = 600_000
+#: Words that are looked up together, and length from which a word is summed on its own.
+TOGETHER, LONG = 100_000, 40
+#: Key of a piece in the trie.
+PIECE = ""
 LETTERS = regex.compile(r"\p{L}+")
 _models: dict[str, "Scorer"] = {}
 
@@ -56,6 +60,13 @@ class Scorer:
         self.rows = {p: tuple(row) for p, row in zip(pieces, chance.tolist())}
         self.longest = max(map(len, pieces), default=1)
         self.prefixes = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
+        self.chance = np.vstack([np.asarray(chance, dtype=np.float64).reshape(len(pieces), len(languages)), np.full((1, len(languages)), UNKNOWN)])
+        self.trie: dict = {}
+        for k, p in enumerate(pieces):
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[PIECE] = k
         self.index: dict[str, int] = {}
         self.table = np.zeros((1 << 12, len(languages)))
 
@@ -115,34 +126,89 @@ class Scorer:
                     out[p] += ahead[i] * c * behind[j] / ahead[n]
         return out
 
+    def learn(self, words: list[str]) -> None:
+        """Adds the logarithms of new words to the table, many words in one forward pass."""
+        first = len(self.index)
+        self.index.update(zip(words, range(first, first + len(words))))
+        while len(self.table) < first + len(words):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        short = [k for k, w in enumerate(words) if len(w) < LONG]
+        for k in (k for k, w in enumerate(words) if len(w) >= LONG):
+            self.table[first + k] = self.log_chance(START + words[k])
+        if not short:
+            return
+        # arcs of all words; those with one end and one length belong to different words
+        by_end: dict[tuple[int, int], tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
+        root, unknown = self.trie, len(self.rows)
+        for row, k in enumerate(short):
+            word = START + words[k]
+            n = len(word)
+            for i in range(n):
+                node, alone = root, True
+                for j in range(i, n):
+                    node = node.get(word[j])
+                    if node is None:
+                        break
+                    piece = node.get(PIECE)
+                    if piece is not None:
+                        alone = alone and j > i
+                        at = by_end[j + 1, j + 1 - i]
+                        at[0].append(row)
+                        at[1].append(piece)
+                if alone:
+                    at = by_end[i + 1, 1]
+                    at[0].append(row)
+                    at[1].append(unknown)
+        sums = np.zeros((LONG + 1, len(short), len(self.languages)))
+        sums[0] = 1
+        for (end, length), (rows, pieces) in sorted(by_end.items()):
+            sums[end, rows] += sums[end - length, rows] * self.chance[pieces]
+        ends = np.fromiter((len(words[k]) + 1 for k in short), np.int64, len(short))
+        self.table[[first + k for k in short]] = np.log(np.maximum(sums[ends, np.arange(len(short))], 1e-300))
+
     def rows_of(self, words: list[str]) -> np.ndarray:
-        index = self.index
-        for w in set(words).difference(index):
-            if len(index) >= KEPT_WORDS:
-                index.clear()
-                return self.rows_of(words)
-            k = index[w] = len(index)
-            if k >= len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[k] = self.log_chance(START + w)
-        return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-
-    def score(self, text: str) -> tuple[str, float]:
-        total, n, words = np.zeros(len(self.languages)), 0, LETTERS.findall(text.lower())
-        if not words or not self.languages:
-            return UNDETERMINED, 0.0
-        for k in range(0, len(words), KEPT_WORDS // 2):
-            part = words[k:k + KEPT_WORDS // 2]
-            total += self.table_sum(part)
-            n += len(part)
-        # Words of a text depend on each other, so the evidence counts as that of sqrt(n) words.
-        odds = np.exp((total - total.max()) / math.sqrt(n))
-        best = int(total.argmax())
-        return self.languages[best], float(odds[best] / odds.sum())
-
-    def table_sum(self, words: list[str]) -> np.ndarray:
-        rows = self.rows_of(words)
-        return self.table[rows].sum(axis=0)
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+
+    def scores(self, texts) -> list[tuple[str, float]]:
+        """(language, score) of each text; new words are learned for a stretch of texts at once."""
+        out, waiting, held = [], [], 0
+        for text in texts:
+            words = LETTERS.findall(text.lower())
+            waiting.append(words)
+            held += len(words)
+            if held >= TOGETHER:
+                out += self._settle(waiting)
+                waiting, held = [], 0
+        return out + self._settle(waiting)
+
+    def _settle(self, lists: list[list[str]]) -> list[tuple[str, float]]:
+        if not self.languages:
+            return [(UNDETERMINED, 0.0)] * len(lists)
+        out = []
+        sums = [np.zeros(len(self.languages)) for _ in lists]
+        # a very long text is taken in parts, so that the table stays bounded
+        parts = [(k, words[at:at + TOGETHER]) for k, words in enumerate(lists) for at in range(0, len(words), TOGETHER)]
+        while parts:
+            now, size = [], 0
+            while parts and (not now or size + len(parts[0][1]) <= 2 * TOGETHER):
+                size += len(parts[0][1])
+                now.append(parts.pop(0))
+            new = list(set().union(*(words for _, words in now)).difference(self.index))
+            if len(self.index) + len(new) > KEPT_WORDS:
+                self.index.clear()
+                new = list(set().union(*(words for _, words in now)))
+            self.learn(new)
+            for k, words in now:
+                sums[k] += self.table[self.rows_of(words)].sum(axis=0)
+        for words, total in zip(lists, sums):
+            if not words:
+                out.append((UNDETERMINED, 0.0))
+                continue
+            # Words of a text depend on each other, so the evidence counts as that of sqrt(n) words.
+            odds = np.exp((total - total.max()) / math.sqrt(len(words)))
+            best = int(total.argmax())
+            out.append((self.languages[best], float(odds[best] / odds.sum())))
+        return out
 
 
 def _scorer(name: str, languages: list[str], pieces: list[str], chance: np.ndarray) -> Scorer:
@@ -203,7 +269,7 @@ def predict(model):
         import pandas as pd
 
         scorer = _scorer(name, languages, pieces, chance)
-        return pd.DataFrame([scorer.score(t) for t in texts.fillna("")], columns=["lang", "score"])
+        return pd.DataFrame(scorer.scores(texts.fillna("")), columns=["lang", "score"])
 
     def apply(text: Column) -> Column:
         return of(whole_text(text))

@@ -84,6 +84,9 @@ def test_forward_pass_sums_all_segmentations():
         for k in range(2):
             want = segmentations(word, dict(zip(pieces, chance[:, k])))
             assert np.exp(scorer.log_chance(word)[k]) == pytest.approx(want, rel=1e-9)
+    words = ["abcabc", "a", "zab", "cabbage", "ca", "", "abc" * 30]
+    scorer.learn(words)
+    assert np.allclose(scorer.table[scorer.rows_of(words)], [scorer.log_chance("▁" + w) for w in words], rtol=1e-9)
     long = "▁" + "abc" * 400
     assert np.isfinite(scorer.log_chance(long)).all() and scorer.log_chance(long)[0] < scorer.log_chance("▁abc")[0]
 
