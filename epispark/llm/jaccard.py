@@ -40,6 +40,8 @@ COORDINATES, TARGET, DEPTH, BUCKET = 64, 0.999, 3, 1024
 SLACK = 0.18
 #: Nodes and words of a block, and rows that one Python call handles together.
 BLOCK, BLOCK_WORDS, TOGETHER = 1024, 1_000_000, 20_000
+#: Words that are hashed together in a Python worker, more only in one text.
+STRETCH = 250_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,7 +106,12 @@ def _lists(column) -> tuple[np.ndarray, np.ndarray]:
 def _sign(batches):
     for batch in batches:
         values, offsets = _lists(batch.column("words"))
-        sig = signatures(*shingles(values, offsets))
+        parts, at = [np.empty((0, COORDINATES), dtype=np.uint32)], 0
+        while at < len(offsets) - 1:  # in stretches of bounded memory
+            upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STRETCH, side="right")) - 1)
+            parts.append(signatures(*shingles(values[offsets[at]:offsets[upto]], offsets[at:upto + 1] - offsets[at])))
+            at = upto
+        sig = np.concatenate(parts)
         flat = pa.array(sig.ravel().view(np.int32))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * COORDINATES), flat)
         names = ["id", "doc", "mark", "node", "size"]

@@ -46,7 +46,8 @@ EDGES = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 FEATURES = ("hits", "share of hits", "different hits", "share of strongest", "hits near second person", "second person", "obfuscated hits",
             "obfuscated words", "capitals", "exclamation and question marks", "other marks", "digits", "words", "characters a word")
 DENSE = len(FEATURES)
-KEPT_WORDS = 1_000_000
+#: Words that a Python worker keeps.
+KEPT_WORDS = 150_000
 _readers: dict[str, "Reader"] = {}
 
 
