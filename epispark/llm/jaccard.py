@@ -40,6 +40,8 @@ COORDINATES, TARGET, DEPTH, BUCKET = 64, 0.999, 3, 1024
 SLACK = 0.18
 #: Nodes and words of a block, and rows that one Python call handles together.
 BLOCK, BLOCK_WORDS, TOGETHER = 1024, 1_000_000, 20_000
+#: Words that one Python call compares, on average.
+CELL_WORDS = 500_000
 #: Words that are hashed together in a Python worker, more only in one text.
 STRETCH = 250_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -267,12 +269,13 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, th
     members = cut(group.join(nodes.drop("sig"), "node"))
     blocks = members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_WORDS)).alias("blocks"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    cells = (members.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-             .select("node", "group", "copies", "block", F.explode(others).alias("cell")).select("*", "cell.*").drop("cell"))
+    blocked = members.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    cells = (blocked.select("node", "group", "copies", "block", F.explode(others).alias("cell")).select("*", "cell.*").drop("cell"))
     candidates = members.select("node", "id")
     # the texts of candidate nodes; a row with a repeated identifier must have the words of the node
     sets = (worded.where("node is not null").select("id", "node", "words").join(candidates, ["id", "node"]).select("node", "words"))
-    bins = max(1, members.agg(F.sum("size")).first()[0] or 0) // 500_000 + 1
+    # a node is in as many cells as its group has blocks; the words of all cells are spread over the bins
+    bins = (blocked.agg(F.sum(F.col("size") * F.col("blocks"))).first()[0] or 0) // CELL_WORDS + 1
     verified = cut(cells.join(sets, "node").select("node", "group", "i", "j", "block", "copies", "words")
                    .groupBy(F.pmod(F.xxhash64("group", "i", "j"), F.lit(bins)).alias("bin"))
                    .applyInArrow(lambda rows: _verify(rows, threshold), "node long, root long, links long"))

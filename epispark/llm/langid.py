@@ -4,7 +4,7 @@ The pieces of a fixed public vocabulary get one probability per language. A word
 lower case, with the word-start mark in front) has as probability the sum over all its segmentations
 into pieces, computed by a forward pass; pieces never cross words, so a text is the product of its
 words. Piece probabilities are fitted by expectation maximisation over the counted words of a bounded
-sample: at most SAMPLE texts a language, taken in the order of a hash. Every round runs as a Spark
+sample: at most SAMPLE different texts a language, taken in the order of a hash. Every round runs as a Spark
 job over (language, word, count); what it returns is one count per language and piece at most.
 
 The forward pass of a word is kept in a bounded table per Python worker.
@@ -219,20 +219,27 @@ def _scorer(name: str, languages: list[str], pieces: list[str], chance: np.ndarr
     return _models[name]
 
 
-def fit(labelled: DataFrame, text_col: str, lang_col: str, vocabulary_path: str, *, sample: int = SAMPLE, rounds: int = ROUNDS):
-    """(languages, pieces, chance): piece probabilities per language from a bounded sample of texts."""
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.lower(whole_text(F.col(text_col))).alias("text")).where("lang is not null")
+def drawn(labelled: DataFrame, text_col: str, lang_col: str, sample: int) -> DataFrame:
+    """lang, text: at most `sample` different texts a language, in the order of a hash.
+
+    Copies count once, so a text with very many of them neither fills the sample nor one task."""
+    rows = labelled.select(F.col(lang_col).alias("lang"), whole_text(F.col(text_col)).alias("text")).where("lang is not null")
     rows = rows.withColumn("draw", F.xxhash64("text", F.lit(7)))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).collect()  # one row a language
     # about 1.3 times the sample by the hash alone, so that the window below ranks few rows
     share = F.lit(0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, math.ceil(min(1.0, 1.3 * sample / n) * 2**30)).otherwise(share)
-    near = rows.where(F.pmod("draw", F.lit(2**30)) < share)
-    kept = near.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("nth") <= sample)
-    words = cut(kept.select("lang", F.explode(F.filter(F.split("text", r"[^\p{L}]+"), lambda w: w != "")).alias("word"))
+    for lang, n in sizes:
+        share = F.when(F.col("lang") == lang, math.ceil(min(1.0, 1.3 * sample / max(1, n)) * 2**30)).otherwise(share)
+    near = rows.where(F.pmod("draw", F.lit(2**30)) < share).dropDuplicates(["lang", "draw"])
+    return near.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("nth") <= sample).select("lang", "text")
+
+
+def fit(labelled: DataFrame, text_col: str, lang_col: str, vocabulary_path: str, *, sample: int = SAMPLE, rounds: int = ROUNDS):
+    """(languages, pieces, chance): piece probabilities per language from a bounded sample of texts."""
+    kept = cut(drawn(labelled, text_col, lang_col, sample))
+    words = cut(kept.select("lang", F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")).alias("word"))
                 .groupBy("lang", "word").agg(F.count("*").alias("n")))
-    languages = sorted(sizes)
+    languages = sorted(r["lang"] for r in kept.select("lang").distinct().collect())
     pieces = vocabulary(vocabulary_path)
     chance = np.full((len(pieces), len(languages)), 1.0 / max(1, len(pieces)))
     place = {p: k for k, p in enumerate(pieces)}

@@ -3,7 +3,7 @@
 Short texts are encoded whole. A huge text is encoded in overlapping chunks, so that no encoding
 holds more than one chunk. Two neighbouring chunks are spliced at a word boundary of the
 pre-tokeniser that both found at the same place in their overlap. From such a place on both chunks go
-on alike: the splitting pattern looks ahead only, never back. Places within MARGIN code points of
+on alike: the splitting pattern looks ahead only, never back. Places within a margin of
 either end of the overlap are not used, since a cut there may hide what the pattern looks ahead for,
 or part of an added token. If the overlap has no common place (one unbroken run), it is doubled and
 the chunk encoded again, at last up to the end of the text.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from epispark.llm.common import whole_text
 
 CHUNK, OVERLAP = 32_768, 512
-#: Code points, more than the longest added token and the longest look-ahead.
+#: Code points, more than the longest look-ahead; a longer added token widens it (`_margin`).
 MARGIN = 24
 #: Code points that are encoded in one call at most.
 CALL = 1 << 19
@@ -89,6 +89,11 @@ class Blocks(dict):
         return len(self.tok.encode(first, add_special_tokens=False)) + sum(found)
 
 
+def _margin(tok) -> int:
+    """Code points at either end of a chunk that may hold a part of an added token or of a look-ahead."""
+    return max([MARGIN, *(len(t.content) + 1 for t in tok.get_added_tokens_decoder().values())])
+
+
 def _starts(encoding, base: int) -> dict[int, int]:
     """Place in the text of each word's start -> tokens of the chunk before it."""
     words, offsets = encoding.word_ids, encoding.offsets
@@ -97,6 +102,7 @@ def _starts(encoding, base: int) -> dict[int, int]:
 
 def count_spliced(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Tokens of the whole text, from chunks that are spliced where both agree."""
+    margin = _margin(tok)
     at, total, skip = 0, 0, 0  # start of the chunk; tokens before it; tokens of the chunk already counted
     encoding = tok.encode(text[:chunk], add_special_tokens=False)
     end = min(len(text), chunk)
@@ -107,7 +113,7 @@ def count_spliced(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) ->
             stop = min(len(text), begin + max(chunk, 2 * wider))
             following = tok.encode(text[begin:stop], add_special_tokens=False)
             theirs = _starts(following, begin)
-            low, high = begin + (MARGIN if begin else 0), end - MARGIN
+            low, high = begin + (margin if begin else 0), end - margin
             common = [p for p in mine if low <= p <= high and mine[p] >= skip and p in theirs]
             if common:
                 place = max(common)

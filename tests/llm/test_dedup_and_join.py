@@ -116,6 +116,7 @@ def test_join_splits_large_buckets_and_groups(spark, monkeypatch):
         rows.append((k, " ".join(words), "en", "a"))
     monkeypatch.setattr(jaccard, "BUCKET", 8)
     monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "CELL_WORDS", 500)
     want = brute(rows)
     got = jaccard.classes(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {(r["doc"], r["class_id"], r["n_links"]) for r in got} == {(k[0], *v) for k, v in want.items()}

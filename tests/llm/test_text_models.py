@@ -42,6 +42,14 @@ def test_overlaps_widen(text):
     assert tokens.count_spliced(own, text, 300, 60) == len(library.encode(text, add_special_tokens=False))
 
 
+def test_long_added_tokens_widen_the_margin():
+    own = Tokenizer.from_file(BPE)
+    own.add_tokens(["<" + "long-" * 12 + ">"])
+    text = ("some words " + "<" + "long-" * 12 + ">") * 60
+    want = len(own.encode(text, add_special_tokens=False))
+    assert all(tokens.count_spliced(own, text, chunk, 160) == want for chunk in range(300, 372, 3))
+
+
 def test_other_tokenizer_is_not_cut_at_spaces(spark, docs):
     assert tokens.blocks_of(WORDS) is None
     library = Tokenizer.from_file(WORDS)
@@ -116,6 +124,15 @@ def test_languages(spark):
     assert {r[0] for r in df.select(langid.predict(empty)(F.col("text")).alias("p")).select("p.lang").collect()} == {"und"}
 
 
+def test_sample_of_languages_takes_copies_once(spark):
+    rows = [(k, f"text number {k}", "en") for k in range(60)] + [(100 + k, "the same again", "en") for k in range(500)] + [(900, None, "fr"), (901, "a", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    every = langid.drawn(df, "text", "lang", 100).collect()
+    assert sorted((r["lang"], r["text"]) for r in every) == sorted({(lang, text or "") for _, text, lang in rows if lang})
+    some = langid.drawn(df, "text", "lang", 20).where("lang = 'en'").collect()
+    assert len({r["text"] for r in some}) == len(some) == 20
+
+
 INSULTS = ["grobnik", "flatzer", "mudder"]
 
 
