@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from catalog.q_joins import area_history, current_by_area
 from catalog.q_sources import deaths
 from catalog.register import (
-    ALL_YEARS, CLOSED, COMORBIDITIES, CURE, DEATH, DROPOUT, GROUPS, INCIDENT, KNOWN, POPULATIONS, RETREATED,
+    ALL_YEARS, CLOSED, COMORBIDITIES, CURE, DEATH, DROPOUT, GROUPS, INCIDENT, KNOWN, N_YEARS, POPULATIONS, RETREATED,
     fold, label, n_if, pct, pct_min1, query, rate, yes)
-from catalog.views import FIRST_YEAR, REFERENCE_YEAR, append, area_dim, cases, coded, registry, table
+from catalog.views import FIRST_YEAR, REFERENCE_YEAR, append, area_dim, cases, coded, every_year, registry, table, years
 from epispark.functions.clean import with_outcome
 from epispark.functions.filters import Filters
 from epispark.operators import areas, coded as lab, counts, diagnostics, history, kpis, outcomes, waits
@@ -62,17 +62,17 @@ def population_at_risk(spark, sf):
                                  dim.population_at_risk(("ZZ",)).alias("desconhecida"))
 
 
-@query("incidence_rate", f"SELECT n AS casos_novos, p AS populacao, {rate('n', 'p', 7)} AS incidencia FROM (SELECT {n_if(INCIDENT)} AS n, (SELECT CAST(sum(populacao) AS BIGINT) FROM area_dim) AS p FROM cases)")
+@query("incidence_rate", f"SELECT n AS casos_novos, p AS populacao, {rate('n', 'p', N_YEARS)} AS incidencia FROM (SELECT {n_if(INCIDENT)} AS n, (SELECT CAST(sum(populacao) AS BIGINT) FROM area_dim) AS p FROM cases)")
 def incidence_rate(spark, sf):
-    return kpis.incidence_rate(cases(spark, sf, *SUMMARY_INPUT), area_dim(spark, sf), ALL_YEARS)
+    return kpis.incidence_rate(cases(spark, sf, *SUMMARY_INPUT), area_dim(spark, sf), every_year(spark, sf))
 
 
-@query("incidence_rate_mapped", f"SELECT n AS casos_novos, p AS populacao, {rate('n', 'p', 7)} AS incidencia FROM (SELECT {n_if(INCIDENT + ' AND uf IS NOT NULL')} AS n, (SELECT CAST(sum(populacao) AS BIGINT) FROM area_dim) AS p FROM cases)")
+@query("incidence_rate_mapped", f"SELECT n AS casos_novos, p AS populacao, {rate('n', 'p', N_YEARS)} AS incidencia FROM (SELECT {n_if(INCIDENT + ' AND uf IS NOT NULL')} AS n, (SELECT CAST(sum(populacao) AS BIGINT) FROM area_dim) AS p FROM cases)")
 def incidence_rate_mapped(spark, sf):
-    return kpis.incidence_rate(cases(spark, sf, *SUMMARY_INPUT), area_dim(spark, sf), ALL_YEARS, mapped_only=True)
+    return kpis.incidence_rate(cases(spark, sf, *SUMMARY_INPUT), area_dim(spark, sf), every_year(spark, sf), mapped_only=True)
 
 
-def summary_sql(where: str, years: int, year_list: str, areas_cond: str = "true", pop_cond: str = "true") -> str:
+def summary_sql(where: str, years: int | str, year_list: str, areas_cond: str = "true", pop_cond: str = "true") -> str:
     return f"""SELECT total, total_base, {pct('total', 'total_base')} AS pct_filtrado, cura, abandono,
 CASE WHEN sim > 0 THEN sim ELSE mortes END AS obitos, CASE WHEN sim > 0 THEN 'SIM' ELSE 'SINAN' END AS fonte_obitos,
 hiv_pos, municipios, {rate('novos', 'pop', years)} AS incidencia, {rate('CASE WHEN sim > 0 THEN sim ELSE mortes END', 'pop', years)} AS mortalidade
@@ -83,12 +83,9 @@ count(DISTINCT CASE WHEN {where} THEN municipio_notificacao END) AS municipios,
 (SELECT CAST(sum(populacao) AS BIGINT) FROM area_dim WHERE {pop_cond}) AS pop FROM cases WHERE ano_notificacao IN ({year_list}))"""
 
 
-Y7 = "1995, 1996, 1997, 1998, 1999, 2000, 2001"
-
-
-@query("summary_kpis", summary_sql("true", 7, Y7))
+@query("summary_kpis", summary_sql("true", N_YEARS, ALL_YEARS))
 def summary_kpis(spark, sf):
-    return kpis.summary_kpis(cases(spark, sf, *SUMMARY_INPUT), area_dim(spark, sf), deaths(spark, sf), ALL_YEARS)
+    return kpis.summary_kpis(cases(spark, sf, *SUMMARY_INPUT), area_dim(spark, sf), deaths(spark, sf), every_year(spark, sf))
 
 
 SOME = Filters(years=(1999, 2000), areas=("N01", "N07"), sexes=("Feminino",))
@@ -110,20 +107,20 @@ def resumo_without_registry(spark, sf):
     return composites.resumo(cases(spark, sf, *SUMMARY_INPUT), area_dim(spark, sf), None, SOME)
 
 
-@query("mortality_rate", f"SELECT obitos, fonte_obitos, mortalidade FROM ({summary_sql('true', 7, Y7)})")
+@query("mortality_rate", f"SELECT obitos, fonte_obitos, mortalidade FROM ({summary_sql('true', N_YEARS, ALL_YEARS)})")
 def mortality_rate(spark, sf):
-    return kpis.mortality_rate(cases(spark, sf, *SUMMARY_INPUT), area_dim(spark, sf), deaths(spark, sf), ALL_YEARS)
+    return kpis.mortality_rate(cases(spark, sf, *SUMMARY_INPUT), area_dim(spark, sf), deaths(spark, sf), every_year(spark, sf))
 
 
-@query("mortality_rate_fallback", f"""SELECT m AS obitos, 'SINAN' AS fonte_obitos, {rate('m', 'p', 7)} AS mortalidade
+@query("mortality_rate_fallback", f"""SELECT m AS obitos, 'SINAN' AS fonte_obitos, {rate('m', 'p', N_YEARS)} AS mortalidade
 FROM (SELECT {n_if(DEATH)} AS m, (SELECT sum(populacao) FROM area_dim) AS p FROM cases)""")
 def mortality_rate_fallback(spark, sf):
     """A registry without rows for these years."""
     none = deaths(spark, sf).withColumn("ano", F.col("ano") - 100)
-    return kpis.mortality_rate(cases(spark, sf, *SUMMARY_INPUT), area_dim(spark, sf), none, ALL_YEARS)
+    return kpis.mortality_rate(cases(spark, sf, *SUMMARY_INPUT), area_dim(spark, sf), none, every_year(spark, sf))
 
 
-def area_sql(years: int, year_list: str, official: bool = True, where: str = "true") -> str:
+def area_sql(years: int | str, year_list: str, official: bool = True, where: str = "true") -> str:
     return f"""SELECT c.uf, nome, casos, casos_novos, {'coalesce(n, 0)' if official else 'mortes'} AS obitos,
 {rate('casos_novos', 'populacao', years)} AS incidencia, {rate('coalesce(n, 0)' if official else 'mortes', 'populacao', years)} AS mortalidade,
 {pct('cura', 'casos')} AS cura_pct, {pct('abandono', 'casos')} AS abandono_pct, '{'SIM' if official else 'SINAN'}' AS fonte_obitos
@@ -132,16 +129,16 @@ FROM cases WHERE uf IS NOT NULL AND ano_notificacao IN ({year_list}) AND {where}
 LEFT JOIN (SELECT uf, CAST(sum(obitos) AS BIGINT) AS n FROM deaths WHERE ano IN ({year_list}) GROUP BY 1) d ON d.uf = c.uf"""
 
 
-@query("area_indicators", area_sql(7, Y7))
+@query("area_indicators", area_sql(N_YEARS, ALL_YEARS))
 def area_indicators(spark, sf):
     rows = cases(spark, sf, "ano_notificacao", *AREA_INPUT)
-    return areas.area_indicators(rows, area_dim(spark, sf), deaths(spark, sf), ALL_YEARS.years)
+    return areas.area_indicators(rows, area_dim(spark, sf), deaths(spark, sf), years(spark, sf))
 
 
-@query("area_indicators_fallback", area_sql(7, Y7, official=False))
+@query("area_indicators_fallback", area_sql(N_YEARS, ALL_YEARS, official=False))
 def area_indicators_fallback(spark, sf):
     none = deaths(spark, sf).withColumn("ano", F.col("ano") - 100)
-    return areas.area_indicators(cases(spark, sf, *AREA_INPUT), area_dim(spark, sf), none, ALL_YEARS.years)
+    return areas.area_indicators(cases(spark, sf, *AREA_INPUT), area_dim(spark, sf), none, years(spark, sf))
 
 
 @query("mapa", area_sql(2, "1999, 2000", where="sexo = 'Feminino'"))
@@ -151,11 +148,11 @@ def mapa(spark, sf):
 
 
 @query("area_indicators_legacy", f"""SELECT c.uf, casos, casos_novos, coalesce(n, 0) AS obitos, populacao,
-round(casos_novos / (populacao::DOUBLE * 7) * 100000, 1) AS incidencia, round(coalesce(n, 0) / (populacao::DOUBLE * 7) * 100000, 1) AS mortalidade
+round(casos_novos / (populacao::DOUBLE * {N_YEARS}) * 100000, 1) AS incidencia, round(coalesce(n, 0) / (populacao::DOUBLE * {N_YEARS}) * 100000, 1) AS mortalidade
 FROM (SELECT coalesce(uf, '?') AS uf, count(*) AS casos, {n_if("tipo_entrada IN ('Caso Novo', 'Não Sabe', 'Pós-óbito')")} AS casos_novos FROM cases GROUP BY 1) c
-LEFT JOIN area_dim ON sigla = c.uf LEFT JOIN (SELECT uf, CAST(sum(obitos) AS BIGINT) AS n FROM deaths WHERE ano <= 2001 GROUP BY 1) d ON d.uf = c.uf""")
+LEFT JOIN area_dim ON sigla = c.uf LEFT JOIN (SELECT uf, CAST(sum(obitos) AS BIGINT) AS n FROM deaths WHERE ano IN ({ALL_YEARS}) GROUP BY 1) d ON d.uf = c.uf""")
 def area_indicators_legacy(spark, sf):
-    return areas.area_indicators_legacy(cases(spark, sf, *AREA_INPUT), area_dim(spark, sf), deaths(spark, sf), ALL_YEARS.years)
+    return areas.area_indicators_legacy(cases(spark, sf, *AREA_INPUT), area_dim(spark, sf), deaths(spark, sf), years(spark, sf))
 
 
 @query("municipality_indicators", f"""SELECT uf, municipio, {fold('municipio')} AS nm_norm, casos, cura_pct, abandono_pct, obito_pct, hiv_pct FROM (
@@ -586,21 +583,21 @@ def population_present(spark, sf):
     return kpis.population_present(rows, dim)
 
 
-@query("mortality_rate_legacy", f"""SELECT n AS obitos, p AS populacao, {rate('n', 'p', 7)} AS mortalidade FROM (SELECT
-(SELECT count(*) FROM registry WHERE causabas LIKE 'A1%' AND substr(dtobito, 5, 4) BETWEEN '1995' AND '2001') AS n,
+@query("mortality_rate_legacy", f"""SELECT n AS obitos, p AS populacao, {rate('n', 'p', N_YEARS)} AS mortalidade FROM (SELECT
+(SELECT count(*) FROM registry WHERE causabas LIKE 'A1%' AND CAST(substr(dtobito, 5, 4) AS INTEGER) IN ({ALL_YEARS})) AS n,
 (SELECT CAST(sum(populacao) AS BIGINT) FROM area_dim) AS p)""")
 def mortality_rate_legacy(spark, sf):
     rows = cases(spark, sf, "estado_notificacao", "situacao_encerramento")
-    return kpis.mortality_rate_legacy(rows, area_dim(spark, sf), registry(spark, sf), ALL_YEARS.years)
+    return kpis.mortality_rate_legacy(rows, area_dim(spark, sf), registry(spark, sf), years(spark, sf))
 
 
-@query("mortality_rate_legacy_areas", f"""SELECT n AS obitos, p AS populacao, {rate('n', 'p', 7)} AS mortalidade FROM (SELECT
-(SELECT CAST(sum(obitos) AS BIGINT) FROM deaths WHERE ano BETWEEN 1995 AND 2001 AND uf IN ('N02', 'N03', 'N05')) AS n,
+@query("mortality_rate_legacy_areas", f"""SELECT n AS obitos, p AS populacao, {rate('n', 'p', N_YEARS)} AS mortalidade FROM (SELECT
+(SELECT CAST(sum(obitos) AS BIGINT) FROM deaths WHERE ano IN ({ALL_YEARS}) AND uf IN ('N02', 'N03', 'N05')) AS n,
 (SELECT CAST(sum(populacao) AS BIGINT) FROM area_dim WHERE sigla IN ('N02', 'N03', 'N05')) AS p)""")
 def mortality_rate_legacy_areas(spark, sf):
     dim = area_dim(spark, sf)
     rows = Filters(areas=("N02", "N03", "N05")).apply(cases(spark, sf, "estado_notificacao", "situacao_encerramento"), TB, dim)
-    return kpis.mortality_rate_legacy(rows, dim, registry(spark, sf), ALL_YEARS.years)
+    return kpis.mortality_rate_legacy(rows, dim, registry(spark, sf), years(spark, sf))
 
 
 @query("outcome_group_by_legacy", group_sql("status_hiv", "status_hiv IN ('Positivo', 'Negativo', 'Em andamento', 'Não realizado')"))

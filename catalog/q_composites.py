@@ -6,8 +6,8 @@ from catalog.q_aggregates import (
     BUCKETS, COHORT, KNOWN, MEMBERS, MONTHLY, OK_LENGTH, OK_START, RACE, SERIES_SQL, group_sql)
 from catalog.q_sources import deaths
 from catalog.register import (
-    ALL_YEARS, COMORBIDITIES, CURE, DEATH, DROPOUT, GROUPS, POPULATIONS, fold, label, n_if, pct, pct_min1, query, yes)
-from catalog.views import FIRST_YEAR, REFERENCE_YEAR, area_dim, cases
+    COMORBIDITIES, CURE, DEATH, DROPOUT, GROUPS, POPULATIONS, fold, label, n_if, pct, pct_min1, query, yes)
+from catalog.views import FIRST_YEAR, REFERENCE_YEAR, area_dim, cases, every_year
 from epispark.functions.filters import Filters
 from epispark.plans import composites
 from epispark.plans.batch import read_choices, read_history, write_choices, write_history
@@ -49,7 +49,7 @@ DETAIL = " UNION ALL ".join(
 
 @query("detalhe_uf", DETAIL)
 def detalhe_uf(spark, sf):
-    return composites.detalhe_uf(cases(spark, sf), area_dim(spark, sf), ALL_YEARS, "N07")
+    return composites.detalhe_uf(cases(spark, sf), area_dim(spark, sf), every_year(spark, sf), "N07")
 
 
 @query("detalhe_uf_empty", " UNION ALL ".join(
@@ -83,7 +83,7 @@ PROFILE = " UNION ALL ".join(
 
 @query("perfil", PROFILE)
 def perfil(spark, sf):
-    return composites.perfil(cases(spark, sf), area_dim(spark, sf), ALL_YEARS)
+    return composites.perfil(cases(spark, sf), area_dim(spark, sf), every_year(spark, sf))
 
 
 POSITIVE = "status_hiv = 'Positivo'"
@@ -102,7 +102,7 @@ CLINICAL = " UNION ALL ".join(
 
 @query("clinico", CLINICAL)
 def clinico(spark, sf):
-    return composites.clinico(cases(spark, sf), area_dim(spark, sf), ALL_YEARS)
+    return composites.clinico(cases(spark, sf), area_dim(spark, sf), every_year(spark, sf))
 
 
 COMORBID = " UNION ALL ".join(
@@ -116,7 +116,7 @@ COMORBID = " UNION ALL ".join(
 
 @query("comorbidades", COMORBID)
 def comorbidades(spark, sf):
-    return composites.comorbidades(cases(spark, sf), area_dim(spark, sf), ALL_YEARS)
+    return composites.comorbidades(cases(spark, sf), area_dim(spark, sf), every_year(spark, sf))
 
 
 @query("comorbidades_empty", " UNION ALL ".join(

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from catalog.q_sources import deaths
 from catalog.register import (
-    CURE, DEATH, INCIDENT, KNOWN, POPULATIONS, fold, n_if, pct, query, rate, yes)
-from catalog.views import FIRST_YEAR, REFERENCE_YEAR, area_dim, cases, coded, registry, table
+    CURE, DEATH, INCIDENT, KNOWN, N_YEARS, POPULATIONS, fold, n_if, pct, query, rate, yes)
+from catalog.views import FIRST_YEAR, REFERENCE_YEAR, area_dim, cases, coded, registry, table, years
 from epispark.functions import clean
 from epispark.functions.measures import pct1
 from epispark.functions.text import fold_key
@@ -118,7 +118,7 @@ def join_features_by_name(spark, sf):
 
 @query("join_features_by_code", f"""SELECT 'N' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS uf, n_name AS nome, coalesce(casos, 0) AS casos,
 coalesce(incidencia, 0) AS incidencia, coalesce(mortalidade, 0) AS mortalidade FROM nation LEFT JOIN (
-SELECT c.uf, casos, {rate('novos', 'populacao', 7)} AS incidencia, {rate('coalesce(obitos, 0)', 'populacao', 7)} AS mortalidade
+SELECT c.uf, casos, {rate('novos', 'populacao', N_YEARS)} AS incidencia, {rate('coalesce(obitos, 0)', 'populacao', N_YEARS)} AS mortalidade
 FROM (SELECT uf, count(*) AS casos, {n_if(INCIDENT)} AS novos FROM cases WHERE uf IS NOT NULL GROUP BY 1) c JOIN area_dim ON sigla = c.uf
 LEFT JOIN (SELECT uf, sum(obitos) AS obitos FROM deaths GROUP BY 1) d ON d.uf = c.uf) i
 ON i.uf = 'N' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0')""")
@@ -126,7 +126,7 @@ def join_features_by_code(spark, sf):
     code = F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"))
     features = table(spark, sf, "nation").select(code.alias("uf"), F.col("n_name").alias("nome"))
     rows = cases(spark, sf, "estado_notificacao", "tipo_entrada", "situacao_encerramento")
-    indicators = areas.area_indicators(rows, area_dim(spark, sf), deaths(spark, sf), n_years=7)
+    indicators = areas.area_indicators(rows, area_dim(spark, sf), deaths(spark, sf), n_years=len(years(spark, sf)))
     return geo.join_features(features, indicators, ["uf"], ["casos", "incidencia", "mortalidade"])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalog.register import fold, query
-from catalog.views import YEARS, append, area_dim, cases, raw, registry, table, yearly_parts
+from catalog.views import append, area_dim, cases, raw, registry, table, yearly_parts, years
 from epispark.functions.filters import Filters
 from epispark.operators.diagnostics import column_profile, feature_bounds
 from epispark.operators.history import history_monthly
@@ -104,7 +104,7 @@ def prepare_by_year(spark, sf):
 @query("build_treated", TREATED)
 def treated(spark, sf):
     path = scratch_dir(spark, "treated")
-    build_treated(raw(spark, sf), path, YEARS)
+    build_treated(raw(spark, sf), path, years(spark, sf))
     return spark.read.parquet(path).withColumn("data_notificacao", F.col("data_notificacao").cast("string"))
 
 
@@ -302,7 +302,8 @@ def union_by_name(spark, sf):
     """Year files with differing columns and types, read back as one table."""
     folder = scratch_dir(spark, "files")
     rows = cases(spark, sf, "case_id", "ano_notificacao", "sexo", "forma")
-    for year, part in zip(YEARS, yearly_parts(rows, "ano_notificacao")):
+    every = years(spark, sf)
+    for year, part in zip(every, yearly_parts(rows, "ano_notificacao", every)):
         part = part.drop("sexo") if year < 1998 else part
         part = part.drop("forma") if year >= 2000 else part
         kind = "smallint" if year % 2 else "string"

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalog.views import YEARS, sql
-from epispark.functions.filters import Filters
+from catalog.views import sql
 from epispark.presets import tuberculosis as tb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-ALL_YEARS = Filters(years=YEARS)
+#: Years of the cases, and their number, in the twins.
+ALL_YEARS = "SELECT DISTINCT ano_notificacao FROM cases"
+N_YEARS = "(SELECT count(DISTINCT ano_notificacao) FROM cases)"
 
 
 def query(name: str, body: str | None = None):
@@ -35,7 +36,7 @@ def pct_min1(n: str, d: str) -> str:
     return f"round(CAST({n} AS DOUBLE) / greatest(CAST({d} AS DOUBLE), 1) * 100, 1)"
 
 
-def rate(n: str, pop: str, years: int) -> str:
+def rate(n: str, pop: str, years: int | str) -> str:
     return f"round(coalesce(CAST({n} AS DOUBLE) / nullif(CAST({pop} AS DOUBLE) * {years}, 0), 0) * 100000, 1)"
 
 

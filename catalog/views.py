@@ -10,8 +10,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from epispark.functions.filters import Filters
 from epispark.spec import AreaDim
 
+#: Years of the given tables, for tests and the benchmark; queries ask `years`.
 YEARS = tuple(range(1995, 2002))
 FIRST_YEAR, REFERENCE_YEAR = 1995, 2001
 
@@ -136,7 +138,18 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderstatus AS sk_sinan_tube")
 
 
-def yearly_parts(df: DataFrame, year: str, years=YEARS) -> list[DataFrame]:
+def years(spark: SparkSession, sf_dir: str) -> tuple[int, ...]:
+    """Years of the cases, ascending: one number per calendar year reaches the driver."""
+    found = table(spark, sf_dir, "orders").select(F.expr("year(o_orderdate) AS ano")).where("ano IS NOT NULL").distinct()
+    return tuple(sorted(r["ano"] for r in found.collect()))
+
+
+def every_year(spark: SparkSession, sf_dir: str) -> Filters:
+    """A choice of all years that the cases have."""
+    return Filters(years=years(spark, sf_dir))
+
+
+def yearly_parts(df: DataFrame, year: str, years) -> list[DataFrame]:
     return [df.where(F.col(year) == y) for y in years]
 
 
