@@ -90,6 +90,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
     Columns: row, id, size, source_size, target (of the source), taken (repeats counted, at most
     cap times the size)."""
+    placed = _placed(df, id_col, text_col, source_col, weights, share, cap, seed)
+    return placed.select("row", "id", "size", "source_size", "target", _taken(seed).alias("taken"))
+
+
+def _placed(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], share: float, cap: float, seed: int) -> DataFrame:
+    """Each row with its place (`end`) in the seeded order of its shard, beside the shard's words and quota."""
     source = df[source_col].cast("string")
     rows = packed(df, id=df[id_col], source=source, size=word_count(df[text_col]),
                   key=F.coalesce(F.concat(F.lit("="), source), F.lit("-")),
@@ -114,8 +120,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     placed = (rows.join(small(quotas.select("key", "shards").distinct()), "key").withColumn("shard", shard)
               .join(small(quotas.drop("shards")), ["key", "shard"]))
     ends = Window.partitionBy("key", "shard").orderBy("draw", "id", "size")
-    placed = placed.withColumn("end", F.sum("size").over(ends.rowsBetween(Window.unboundedPreceding, 0)))
-    return placed.select("row", "id", "size", "source_size", "target", _taken(seed).alias("taken"))
+    return placed.withColumn("end", F.sum("size").over(ends.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def _taken(seed: int) -> Column:
@@ -136,9 +141,40 @@ def _taken(seed: int) -> Column:
     return F.when(size > 0, F.floor(F.col("quota") / words) * size + partly).otherwise(F.lit(0)).cast("long")
 
 
-def mixed(df: DataFrame, **options) -> DataFrame:
-    """The mix as documents: each row as often as its taken words make it up, rounded to whole texts."""
-    rows = mix(df, **options).where("taken > 0")
-    times = F.round(F.col("taken") / F.col("size")).cast("int")
-    return rows.withColumn("times", times).where("times > 0").select(
-        F.explode(F.array_repeat("row", F.col("times"))).alias("row")).select("row.*")
+def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *,
+          weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 42) -> DataFrame:
+    """The mix as documents: whole rows, repeated so that every shard keeps its quota of words.
+
+    Whole passes repeat every row of the shard. Of the rest, rows are taken once more in the seeded
+    order while they fit; the row across the end of the rest is taken where the running sum of what
+    the source still lacks calls for it. A shard is thus off by less than one row, a source by about
+    half of one."""
+    placed = _placed(df, id_col, text_col, source_col, weights, share, cap, seed).where("size > 0")
+    passes = F.floor(F.col("quota") / F.col("words"))
+    line = placed.select("row", "key", "shard", "size", "end", (F.col("end") - F.col("size")).alias("start"),
+                         passes.cast("int").alias("passes"), (F.col("quota") - passes * F.col("words")).alias("rest"))
+    across = (F.col("start") < F.col("rest")) & (F.col("end") > F.col("rest"))
+    chosen = cut(_called_for(line.where(across).select("key", "shard", "size", (F.col("rest") - F.col("start")).alias("part"))))
+    # At most one row per shard.
+    small = F.broadcast if chosen.count() <= MOST_BROADCAST else (lambda table: table)
+    once_more = (F.col("end") <= F.col("rest")) | (across & F.col("_called").isNotNull())
+    return (line.join(small(chosen.withColumn("_called", F.lit(True))), ["key", "shard"], "left")
+            .withColumn("times", F.col("passes") + once_more.cast("int")).where("times > 0")
+            .select(F.explode(F.array_repeat("row", F.col("times"))).alias("row")).select("row.*"))
+
+
+def _called_for(crossing: DataFrame) -> DataFrame:
+    """key, shard of the rows to take, of one row per shard with its size and the part of it that is wanted.
+
+    Per source the parts are summed from the largest row to the smallest, less what was taken; a row
+    is taken where the sum makes up half of it. A source has at most SHARDS such rows."""
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("less"), "shard", "part")))
+    start = F.struct(F.lit(0).cast("long").alias("open"), F.array().cast("array<long>").alias("shards"))
+
+    def step(state: Column, row: Column) -> Column:
+        wanted = (state["open"] + row["part"]).cast("long")
+        take = 2 * wanted >= -row["less"]
+        return F.struct(F.when(take, wanted + row["less"]).otherwise(wanted).cast("long").alias("open"),
+                        F.when(take, F.concat(state["shards"], F.array(row["shard"].cast("long")))).otherwise(state["shards"]).alias("shards"))
+
+    return crossing.groupBy("key").agg(F.aggregate(rows, start, step)["shards"].alias("shards")).select("key", F.explode("shards").alias("shard"))

@@ -76,6 +76,36 @@ def test_mixed_repeats_whole_rows(docs):
     assert max(Counter((r["doc_id"], r["text"]) for r in out.collect()).values()) <= 2 * 3  # one row occurs three times
 
 
+@pytest.mark.parametrize("share", [0.3, 0.6, 1.0, 1.6])
+def test_mixed_keeps_the_words_of_each_source(spark, share):
+    rng = random.Random(4)
+    rows = [(k, " ".join(["w"] * rng.choice([5, 20, 40, 120])), "en", rng.choice("aabc")) for k in range(800)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    have, got, times = Counter(), Counter(), Counter()
+    for r in rows:
+        have[r[3]] += count(r[1])
+    for r in mixing.mixed(df, weights=(2, 1, 1), share=share).collect():
+        got[r["source"]] += count(r["text"])
+        times[r["doc_id"]] += 1
+    for s, t in shared_targets(have, (2, 1, 1), share, 2.0).items():
+        assert abs(got[s] - t) <= max(120, 0.01 * t), (s, got[s], t)
+    passes = {s: int(t / have[s]) for s, t in shared_targets(have, (2, 1, 1), share, 2.0).items()}
+    assert all(passes[r[3]] - 1 <= times[r[0]] <= min(2, passes[r[3]] + 2) for r in rows)
+
+
+def test_mixed_takes_its_part_of_a_small_weight(spark):
+    rows = [(k, "w " * (10 + k % 50), "en", "b" if k % 7 == 0 else "a") for k in range(900)]
+    have = Counter()
+    for r in rows:
+        have[r[3]] += count(r[1])
+    target = shared_targets(have, (40, 1), 0.8, 2.0)
+    assert target["b"] < 0.3 * have["b"]
+    got = Counter()
+    for r in mixing.mixed(spark.createDataFrame(rows, SCHEMA), weights=(40, 1), share=0.8).collect():
+        got[r["source"]] += count(r["text"])
+    assert all(abs(got[s] - t) <= max(60, 0.01 * t) for s, t in target.items()), (got, target)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_highest_quotients(spark, seed):
     rng = random.Random(seed)
