@@ -1,6 +1,7 @@
 """The corpus pipeline: five stages from raw documents to packed sequences.
 
-Each stage takes the documents that the one before kept, written as Parquet. All but the last return
+Each stage takes the documents that the one before kept, written as Parquet below the checkpoint folder
+and read again; the files stay there. All but the last return
 the columns of the documents; the last returns where each piece of each document goes."""
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epispark.llm import exact_dedup, jaccard, mixing, packing, toxicity
-from epispark.llm.common import cut, table, whole_text
+from epispark.llm.common import kept, table, whole_text
 
 
 def toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -48,6 +49,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+    for name, stage in STAGES[:-1]:
+        docs = kept(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

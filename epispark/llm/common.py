@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,18 @@ def cut(df: DataFrame) -> DataFrame:
 
     The folder is the one in `spark.checkpoint.dir`. Only a local master that names none gets a
     folder of its own, as in tests; elsewhere that is an error."""
-    spark = df.sparkSession
+    _shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows as Parquet to a fresh folder below the shared checkpoint folder and read them again."""
+    path = f"{_shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,7 +38,7 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
             folder = tempfile.mkdtemp(prefix="llm-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def packed(df: DataFrame, **extra: Column) -> DataFrame:

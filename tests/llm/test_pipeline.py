@@ -52,6 +52,26 @@ def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
 
 
+def test_run_writes_each_stage_as_parquet(spark, sf_dir, monkeypatch):
+    read = {}
+
+    def noted(name, stage):
+        def of(spark, docs, folder):
+            read[name] = docs.inputFiles()
+            return stage(spark, docs, folder)
+
+        return name, of
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [noted(*s) for s in corpus_pipeline.STAGES])
+    packed = corpus_pipeline.run(spark, sf_dir)
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    for before, name in zip(names, names[1:]):
+        assert read[name] and all(f"/{before}-" in f and f.endswith(".parquet") for f in read[name])
+    mixed = spark.read.parquet(*read["packing"])
+    assert mixed.columns == spark.read.parquet(f"{sf_dir}/documents.parquet").columns
+    assert sorted(r["doc_id"] for r in mixed.collect()) == sorted(r["doc_id"] for r in packed.where("start = 0").collect())
+
+
 @pytest.fixture(scope="module")
 def messy(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("messy"))
