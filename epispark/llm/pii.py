@@ -5,9 +5,12 @@ the form ddd-dd-dddd, IPv4 addresses (octets up to 255), dates that exist, and e
 digits (for e-mail addresses the letters and digits of the local part) of a value are permuted within
 their own number system by a Feistel network keyed with an HMAC; signs and separators stay. Check
 digits are computed anew, octets are permuted among octets and dates among days, so the pseudonym is
-valid in its format. The same value in the same format always gets the same pseudonym, in every
-document; values of one kind are linked even where separators differ. Without the key the
-permutation cannot be undone; with it `replace(..., back=True)` does.
+valid in its format. A match that fails its check may have run into the digits or the upper-case word
+after the value; forms of it that end at an earlier separator are then tried. The same value in the
+same format always gets the same pseudonym, in every document; values of one kind are linked even
+where separators differ. Only a card number whose pseudonym would pass the check together with digits
+that follow it gets another one there. Without the key the permutation cannot be undone; with it
+`replace(..., back=True)` does.
 
 The work is a function of one text, applied to Arrow batches; nothing is shuffled.
 
@@ -45,6 +48,13 @@ ANY = regex.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMS.items()))
 #: A text without any of these holds none of the forms.
 HINT = regex.compile(r"[0-9@]")
 FIRST_YEAR, LAST_YEAR = 1900, 2099
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {country: int(length) for length, countries in (entry.split(":") for entry in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+    "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+    "28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split()) for country in countries.split(",")}
+#: A card number does not begin with a shorter group, where it is cut from a longer match.
+FIRST_GROUP = 4
 
 
 def _round(key: bytes, tweak: str, r: int, value: int, size: int) -> int:
@@ -210,7 +220,7 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[
     out, spans, at, length, look = [], [], 0, 0, 0
     while m := ANY.search(text, look):
         kind, found = m.lastgroup, m.group()
-        new = pseudonym(kind, found, key, back)
+        new, found = _value(text, m.start(), kind, found, key, back)
         if new is None and kind != "phone":  # another kind may begin at the same place
             kind, new, found = _second(text, m.start(), kind, key, back)
         if new is None:
@@ -230,10 +240,39 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[
 ONE = {k: regex.compile(v) for k, v in FORMS.items()}
 
 
+def _ends(text: str, start: int, kind: str, found: str) -> list[int]:
+    """The lengths to try of a match, in order. A card number ends before a value of another form, else
+    where it matched, else at a separator after 13 digits or more; an IBAN has its country's length."""
+    ends = [k for k in range(1, len(found)) if found[k] in " -"]
+    if kind == "card" and ends and ends[0] >= FIRST_GROUP:
+        ends = [k for k in ends if len(_digits(found[:k])) >= 13]
+        stop = next((k for k in ends if any(ONE[x].match(text, start + k + 1) for x in ("ip", "date", "national", "phone"))), len(found))
+        return [stop, *[k for k in reversed(ends) if k < stop]]
+    if kind == "iban":
+        return [*[k for k in ends if len(found[:k].replace(" ", "")) == IBAN_LENGTHS.get(found[:2])], len(found)]
+    return [len(found)]
+
+
+def _value(text: str, start: int, kind: str, found: str, key: bytes, back: bool) -> tuple[str | None, str]:
+    """The pseudonym of the first form of a match that passes the check, and what it replaces.
+
+    Where a pseudonym together with what follows passes the check in a form tried before, the
+    permutation is walked on, so that the way back finds the same value."""
+    ends = _ends(text, start, kind, found)
+    for n, end in enumerate(ends):
+        if (new := pseudonym(kind, found[:end], key, back)) is not None:
+            while any(pseudonym(kind, (new + found[end:])[:k], key, back) is not None for k in ends[:n]):
+                new = pseudonym(kind, new, key, back)
+            return new, found[:end]
+    return None, found
+
+
 def _second(text, start, tried, key, back):
     for kind in list(FORMS)[list(FORMS).index(tried) + 1:]:
-        if (m := ONE[kind].match(text, start)) and (new := pseudonym(kind, m.group(), key, back)) is not None:
-            return kind, new, m.group()
+        if m := ONE[kind].match(text, start):
+            new, found = _value(text, start, kind, m.group(), key, back)
+            if new is not None:
+                return kind, new, found
     return tried, None, ""
 
 

@@ -203,6 +203,33 @@ def test_what_fails_its_check_stays(text):
     assert pii.replace(text, KEY) == (text, [])
 
 
+def _card_of(rng, n):
+    body = "4" + "".join(str(rng.randrange(10)) for _ in range(n - 2))
+    return body + str(pii.luhn(body))
+
+
+def test_values_beside_other_digits_and_words():
+    rng = random.Random(3)
+    tails = [f" {n}" for n in (1, 12, 123)] + [" 10.0.0.1", "-12 x", " 12 3", " 12/05/2024"]
+    for k in range(600):
+        card = _card_of(rng, rng.choice([13, 14, 15, 16]))
+        if k % 2:
+            card = " ".join(card[i:i + 4] for i in range(0, len(card), 4))
+        tail = tails[k % len(tails)]
+        text = f"pay {card}{tail} now"
+        new, spans = pii.replace(text, KEY)
+        assert spans[0][0] == "card" and card not in new and len(new[:spans[0][1] + spans[0][2]]) >= len(f"pay {card}"), text
+        assert pii.replace(new, KEY, back=True)[0] == text
+    for iban in ("AT611904300234573201", "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00"):
+        for tail in (" THEN", " HELLO", " BIC", " A1", ""):
+            text = f"pay {iban}{tail} now"
+            new, spans = pii.replace(text, KEY)
+            assert spans == [("iban", 4, len(iban))] and iban not in new and new.endswith(f"{tail} now"), text
+            assert pii.replace(new, KEY, back=True)[0] == text
+    text = "on 123 4111 1111 1111 1111"
+    assert pii.replace(text, KEY)[1] == [("card", 7, 19)]
+
+
 def test_equal_values_stay_linked():
     plain = pii.replace("4111111111111111 and 4111-1111-1111-1111", KEY)[0]
     a, b = plain.split(" and ")
