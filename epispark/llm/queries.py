@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from epispark.llm import chat, exact_dedup, fingerprints, jaccard, langid, mixing, packing, pii, tokens, toxicity
-from epispark.llm.common import cut, held_out, shuffle_partitions, table, whole_text
+from epispark.llm import bpe, chat, exact_dedup, fingerprints, jaccard, langid, mixing, packing, pii, repair, tokens, toxicity
+from epispark.llm.common import cut, held_out, kept, shuffle_partitions, table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -174,3 +174,110 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     model = langid.fit(docs.where(~out), "text", "lang", public_tokenizers.path("piece_bpe_32k.model"))
     return docs.select("doc_id", out.alias("held_out"), langid.predict(model)(F.col("text")).alias("p")).select(
         "doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
+
+
+def _spoken(column: Column) -> Column:
+    """A value as text, null as one space."""
+    return F.coalesce(column.cast("string"), F.lit(" "))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """The conversations with about one row in twenty dropped, emptied, cut, repeated or given the role user, each by its number."""
+    case = F.crc32(F.concat(_spoken(F.col("conv_id")), F.lit(":"), _spoken(F.col("turn"))).cast("binary")) % 20
+    text = (F.when(F.col("case") == 1, F.lit("")).when(F.col("case") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")))
+    return (rows.select("conv_id", "turn", _spoken(F.col("role")).alias("role"), _spoken(F.col("text")).alias("text"), case.alias("case"))
+            .where("case <> 0")
+            .select("conv_id", "turn", F.when(F.col("case") == 4, F.lit("user")).otherwise(F.col("role")).alias("role"), text.alias("text"),
+                    F.explode(F.array_repeat(F.lit(0), F.when(F.col("case") == 3, 2).otherwise(1))).alias("copy")).drop("copy"))
+
+
+@register("op11_conversation_repair")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    broken = damaged(rows)
+    found = kept(repair.outcomes(broken), "outcomes")
+    done = found.join(repair.digests(broken, found).withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    every = rows.select(F.col("conv_id").alias("c")).distinct()
+    zeros = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.join(done, F.col("c").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("c").alias("conv_id"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in zeros], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    byte = "list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda crc, b: {byte}), 4294967295)"
+
+
+def _repair_sql() -> str:
+    """All ways row by row: f0 to f3 are the least cost and audit, as one text, by the last role."""
+    def more(f: str, cost: str, letter: str) -> str:
+        return f"lpad(CAST(CAST(left({f}, 9) AS INT) + {cost} AS VARCHAR), 9, '0') || substr({f}, 10) || '{letter}'"
+
+    unless = lambda when, what: f"CASE WHEN {when} THEN {what} END"
+    free = "least(g0, g1, g3)"
+    return rf"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS c FROM conversations),
+broken AS (
+  SELECT conv_id, turn, CASE WHEN c = 4 THEN 'user' ELSE role END AS role,
+         CASE c WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM given, (VALUES (0), (1)) AS copies(copy) WHERE c <> 0 AND (copy = 0 OR c = 3)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said FROM broken),
+faults AS (
+  SELECT *, CASE WHEN said = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                 WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, left(role, 1) AS kind FROM placed),
+marked AS (
+  SELECT conv_id, i, turn, role, text, fault, kind, fault IN ('b', 'd') AS gone, CASE WHEN fault = 't' THEN 1 ELSE 0 END AS worn,
+         lag(kind) OVER (PARTITION BY conv_id ORDER BY i) || kind AS pair FROM faults),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM marked GROUP BY conv_id),
+walk(conv_id, i, f0, f1, f2, f3) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), '000000000', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM counted
+  UNION ALL
+  SELECT conv_id, i, {more('g0', '3', 'D')},
+         least({more('g1', '3', 'D')}, {unless("NOT gone AND kind = 's'", more('g0', 'worn', 'K'))}),
+         least({more('g2', '3', 'D')}, {unless("NOT gone AND kind = 'u'", more(free, 'worn', 'K'))}, {unless('NOT gone', more(free, '2 + worn', 'R'))}),
+         least({more('g3', '3', 'D')}, {unless("NOT gone AND kind = 'a'", more('g2', 'worn', 'K'))}, {unless('NOT gone', more('g2', '2 + worn', 'R'))})
+  FROM (SELECT *, least(f3, {more('g2', '2', 'I')}) AS g3 FROM (
+          SELECT m.conv_id, m.i, gone, kind, worn, f3, f0 AS g0, f1 AS g1,
+                 least(f2, {more('f0', '2', 'I')}, {more('f1', '2', 'I')}, {more('f3', '2', 'I')}) AS g2
+          FROM walk w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i + 1) a) b),
+done AS (
+  SELECT c.*, least(f0, f3, {more('f2', '2', 'I')}, {more('(' + more('f1', '2', 'I') + ')', '2', 'I')}) AS best
+  FROM counted c JOIN walk w ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i),
+letters AS (
+  SELECT conv_id, k, substr(best, 9 + k, 1) AS letter FROM (SELECT conv_id, best, unnest(range(1, length(best) - 8)) AS k FROM done) x),
+steps AS (
+  SELECT *, sum(CASE WHEN letter = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY k) AS i,
+         sum(CASE WHEN letter = 'D' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY k) AS nth FROM letters),
+turns AS (
+  SELECT s.conv_id, k, nth, letter, CASE WHEN letter = 'I' THEN '' ELSE m.text END AS text, CASE WHEN letter = 'K' THEN m.role END AS own
+  FROM steps s LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM s.conv_id AND m.i = s.i WHERE letter <> 'D'),
+named AS (
+  SELECT *, bool_or(nth = 1 AND left(own, 1) = 's') OVER (PARTITION BY conv_id) AS led FROM turns),
+digests AS (
+  SELECT conv_id, sha256(string_agg(coalesce(own, CASE WHEN (nth % 2 = 1) = coalesce(led, false) THEN 'assistant' ELSE 'user' END) || ':' || text, chr(10) ORDER BY k)) AS d
+  FROM named GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(left(best, 9), '0') AS BIGINT) AS cost, coalesce(substr(best, 10), '') AS audit, coalesce(d, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN done ON e.conv_id IS NOT DISTINCT FROM done.conv_id
+LEFT JOIN digests ON e.conv_id IS NOT DISTINCT FROM digests.conv_id"""
+
+
+ORACLES["op11_conversation_repair"] = _repair_sql()
+
+
+@register("op12_bpe")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = table(spark, folder, "documents").select("doc_id", bpe.encode(path)(F.col("text")).alias("ids"))
+    return ids.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2(bpe.decode(path)("ids"), 256).alias("decoded_sha256"))
