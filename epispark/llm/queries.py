@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from epispark.llm import bpe, chat, exact_dedup, fingerprints, jaccard, langid, mixing, packing, pii, repair, tokens, toxicity
+from epispark.llm import bpe, chat, exact_dedup, fingerprints, jaccard, langid, mixing, packing, pii, prefix_trie, repair, tokens, toxicity
 from epispark.llm.common import cut, held_out, kept, shuffle_partitions, table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -281,3 +281,35 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     ids = table(spark, folder, "documents").select("doc_id", bpe.encode(path)(F.col("text")).alias("ids"))
     return ids.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                       F.sha2(bpe.decode(path)("ids"), 256).alias("decoded_sha256"))
+
+
+@register("op13_prefix_trie", rf"""
+WITH placed AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i,
+         coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+convs AS (SELECT conv_id, conv_id - conv_id % 20 AS leader, {_crc32_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM conversations) x),
+turns AS (
+  SELECT c.conv_id, 0 AS own, i, role, text FROM convs c JOIN placed p ON p.conv_id = c.leader AND i <= h
+  UNION ALL SELECT c.conv_id, 1, i, role, text FROM convs c JOIN placed p ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND i > coalesce(h, 0)),
+rebuilt AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, i) AS depth, sha256(length(role) || ':' || role || text) AS said,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM turns),
+paths AS (
+  SELECT conv_id, depth, string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY depth) AS node, words,
+         depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM rebuilt
+  UNION ALL SELECT conv_id, 0, '', 0, conv_id NOT IN (SELECT conv_id FROM rebuilt) FROM convs),
+nodes AS (
+  SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS ending FROM paths GROUP BY depth, node),
+linked AS (SELECT n.*, p.conv_id AS parent_conv_id, p.node AS above FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.node = left(n.node, length(n.node) - 64)),
+children AS (SELECT depth - 1 AS depth, above AS node, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL),
+sums AS (
+  SELECT p.depth, p.node, count(*) FILTER (c.node IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved_tokens
+  FROM nodes n JOIN paths p ON p.conv_id = n.conv_id AND p.depth <= n.depth LEFT JOIN children c ON c.depth = n.depth AND c.node = n.node GROUP BY p.depth, p.node)
+SELECT conv_id, depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(ending) AS ends_sha256
+FROM linked JOIN sums USING (depth, node) LEFT JOIN children USING (depth, node)""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    conv = F.col("conv_id")
+    chains = prefix_trie.chained(prefix_trie.turns(rows))
+    return prefix_trie.trie(prefix_trie.rebuilt(chains, conv - conv % 20, F.crc32(conv.cast("string").cast("binary")) % 4, 3))
