@@ -25,6 +25,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import struct
+import unicodedata
 from heapq import heappop, heappush
 
 from pyspark.sql import Column
@@ -32,77 +35,131 @@ from pyspark.sql import functions as F
 
 from epispark.llm.common import whole_text
 
-#: Characters of words and tokens that a worker remembers.
-KEPT = 24_000_000
+#: Bytes of words and ids that a worker remembers, some two fifths of what they take with their headers.
+KEPT = 12_000_000
 #: Words of more characters are not remembered.
 LONG = 200
 #: Characters of the texts of a block; a longer text is a block of its own.
 BLOCK = 4_000_000
-#: Below this code point letters and digits are the same in every release of Unicode in use.
-SETTLED = "ɐ"
+#: Below this code point letters, digits and small letters are the same in every release of Unicode in use, and no text changes
+#: in normal form C. Controls, and a capital whose small letter is two characters, are left to the library.
+SETTLED = "\u0180"
+UNSETTLED = re.compile("[^\\t\\n\\v\\f\\r -~\u00a0-\u012f\u0131-\u017f]").search
 _loaded: dict = {}
 
 
-def merged(words: list[list[int]], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[list[int]]:
-    """The words after all merges; ranks: pair of ids -> (rank, id of the merged pair)."""
-    symbols, after, before, starts = [], [], [], []
-    for word in words:
-        first = len(symbols)
-        starts.append(first)
-        symbols += word
-        after += range(first + 1, len(symbols) + 1)
-        before += range(first - 1, len(symbols) - 1)
-        if word:
-            after[-1] = before[first] = -1
-    places: dict[tuple[int, int], list[int]] = {}
-    for at, following in enumerate(after):
-        if following >= 0:
-            pair = symbols[at], symbols[following]
-            if pair in places:
-                places[pair].append(at)
-            elif pair in ranks:
-                places[pair] = [at]
-    active = [(ranks[pair][0], pair) for pair in places]
-    active.sort()  # a sorted list is a heap
-    while active:
-        rank, pair = heappop(active)
-        todo = sorted(places.pop(pair, ()))
-        left, right = pair
-        whole = ranks[pair][1]
-        for k, at in enumerate(todo):
-            following = after[at]
-            if symbols[at] != left or following < 0 or symbols[following] != right:
-                continue
-            symbols[at], symbols[following] = whole, -1
-            beyond = after[at] = after[following]
-            if beyond >= 0:
-                before[beyond] = at
-            lower = False
-            for place, other in ((before[at], at), (at, beyond)):
-                if place < 0 or other < 0:
+class Merges:
+    """The merges of a model: by pair of ids the rank, by rank the pair and what it becomes."""
+
+    def __init__(self, pairs: list[tuple[int, int, int]]):
+        import numpy as np
+
+        self.pairs = pairs
+        self.rank = {left << 17 | right: k for k, (left, right, _) in enumerate(pairs)}
+        keys = np.array(list(self.rank), dtype=np.int64)
+        order = np.argsort(keys)
+        self.sorted = keys[order], np.array(list(self.rank.values()), dtype=np.int64)[order]
+
+    def apply(self, words: list[list[int]]) -> list[list[int]]:
+        """The words after all merges."""
+        import numpy as np
+
+        symbols = [k for word in words for k in (*word, -1)]  # a word ends with -1, which no pair has
+        if not symbols:
+            return []
+        chain = np.array(symbols, dtype=np.int64)
+        after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
+        rank_of, places = self.rank.get, self._index(chain)
+        active = [k for k, at in enumerate(places) if at]  # in order, so a heap
+        while active:
+            rank = heappop(active)
+            left, right, whole = self.pairs[rank]
+            todo, places[rank], lower = sorted(places[rank]), None, False
+            for k, at in enumerate(todo):
+                if symbols[at] != left:
                     continue
-                made = symbols[place], symbols[other]
-                if made in places:
-                    places[made].append(place)
-                elif made in ranks:
-                    places[made] = [place]
-                    heappush(active, (ranks[made][0], made))
-                else:
+                gone = after[at]
+                if symbols[gone] != right:
                     continue
-                lower = lower or ranks[made][0] < rank
-            if lower and k + 1 < len(todo):
-                if pair not in places:
-                    heappush(active, (rank, pair))
-                places.setdefault(pair, []).extend(todo[k + 1:])
-                break
-    out = []
-    for start, word in zip(starts, words):
-        at, ids = (start if word else -1), []
-        while at >= 0:
-            ids.append(symbols[at])
-            at = after[at]
-        out.append(ids)
-    return out
+                symbols[at], symbols[gone] = whole, -2
+                ahead = after[at] = after[gone]
+                behind = before[at]
+                before[ahead] = at
+                made = rank_of(symbols[behind] << 17 | whole)
+                if made is not None:
+                    if places[made]:
+                        places[made].append(behind)
+                    else:
+                        places[made] = [behind]
+                        heappush(active, made)
+                    lower = made < rank
+                made = rank_of(whole << 17 | symbols[ahead])
+                if made is not None:
+                    if places[made]:
+                        places[made].append(at)
+                    else:
+                        places[made] = [at]
+                        heappush(active, made)
+                    lower = lower or made < rank
+                if lower and k + 1 < len(todo):  # the new pair comes first
+                    if places[rank] is None:
+                        heappush(active, rank)
+                    places[rank] = (places[rank] or []) + todo[k + 1:]
+                    break
+        out, at = [], 0
+        for word in words:
+            ids, end = [], at + len(word)
+            while at < end:
+                ids.append(symbols[at])
+                at = after[at]
+            out.append(ids)
+            at = end + 1
+        return out
+
+    def _index(self, chain) -> list[list[int] | None]:
+        """By rank the places of its pair, from left to right."""
+        import numpy as np
+
+        keys, ranks = self.sorted
+        pairs = np.where((chain[:-1] < 0) | (chain[1:] < 0), -1, chain[:-1] << 17 | chain[1:])
+        near = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
+        at = np.flatnonzero(keys[near] == pairs)
+        found = ranks[near[at]]
+        order = np.argsort(found, kind="stable")
+        at, found = at[order], found[order]
+        cuts = np.flatnonzero(np.diff(found)) + 1
+        places: list[list[int] | None] = [None] * len(self.pairs)
+        if len(at):
+            for some in np.split(at, cuts):
+                some = some.tolist()
+                places[self.rank[int(pairs[some[0]])]] = some
+        return places
+
+
+class Known(dict):
+    """Ids of words, in two generations: what was not used since the last change is forgotten at the next."""
+
+    def __init__(self, most: int):
+        self.most, self.size, self.old = most, 0, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old[word]
+        self.add(word, ids)
+        return ids
+
+    def __contains__(self, word: str) -> bool:
+        return dict.__contains__(self, word) or word in self.old
+
+    def add(self, word: str, ids: bytes) -> None:
+        self[word] = ids
+        self.size += len(word) + len(ids)
+
+    def turn(self) -> None:
+        """Begin a generation if this one is full."""
+        if self.size * 2 > self.most:
+            self.old = dict(self)
+            self.clear()
+            self.size = 0
 
 
 class Bpe:
@@ -120,36 +177,35 @@ class Bpe:
         known = (model["type"] == "BPE" and not model.get("dropout") and not model.get("byte_fallback") and not model.get("ignore_merges")
                  and not model.get("continuing_subword_prefix") and not spec.get("decoder") and [s["type"] for s in steps] == ["Split", "ByteLevel"]
                  and split["behavior"] == "Removed" and split["invert"] and "Regex" in split["pattern"]
-                 and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"] and spec.get("normalizer")
+                 and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"] and _small_letters(spec.get("normalizer") or {})
                  and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", [])))
         if not known:
             raise ValueError(f"{path}: a part of this tokenizer is not handled")
         spec["truncation"] = spec["padding"] = None
         library = Tokenizer.from_str(json.dumps(spec))
         self.normal, self.pieces = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        self.words_of = regex.compile(split["pattern"]["Regex"]).findall
+        self.settled = _settled(split["pattern"]["Regex"])
         self.vocab, self.end = model["vocab"], model.get("end_of_word_suffix") or ""
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.ranks = {(self.vocab[a], self.vocab[b]): (k, self.vocab[a + b]) for k, (a, b) in enumerate(pairs)}
+        self.merges = Merges([(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs])
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.tokens = {k: t for t, k in self.vocab.items()} | {k: t for t, k in self.added.items()}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.letters = _byte_letters()
-        self.ids: dict[str, bytes] = {}
-        self.kept = 0
+        letters = _byte_letters()
+        self.inner, self.last = [self.vocab[c] for c in letters], [self.vocab[c + self.end] for c in letters]
+        self.ids = Known(KEPT)
 
     def words(self, text: str) -> list[str]:
-        """The words of a text in byte letters or, if it is plain, as they are; added tokens after a null character."""
+        """The words of a text as they are split; added tokens after a null character, which no word of theirs begins with."""
         out = []
         for piece in self.special.split(text) if self.special else [text]:
             if piece in self.added:
                 out.append("\0" + piece)
-            elif piece:
+            elif piece and not UNSETTLED(piece):
+                out += self.settled(piece.lower())
+            elif piece:  # letters of other scripts: as the library's own tables have them
                 plain = self.normal(piece)
-                if max(plain, default="") < SETTLED and (plain.isprintable() or not any(c < " " or "\x7f" <= c < "\xa0" for c in plain)):
-                    out += self.words_of(plain)
-                else:  # letters of other scripts: as the library's own tables have them
-                    out += [plain[a:b] for _, (a, b) in self.pieces(plain)]
+                out += [plain[a:b] for _, (a, b) in self.pieces(plain)]
         return out
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
@@ -159,10 +215,10 @@ class Bpe:
             if word[0] == "\0" and word[1:] in self.added:
                 spelled.append([self.added[word[1:]]])
                 continue
-            letters = [self.letters[b] for b in word.encode("utf-8")]
-            letters[-1] += self.end
-            spelled.append([self.vocab[c] for c in letters])
-        return {w: _packed(ids) for w, ids in zip(words, merged(spelled, self.ranks))}
+            ids = list(map(self.inner.__getitem__, letters := word.encode("utf-8")))
+            ids[-1] = self.last[letters[-1]]
+            spelled.append(ids)
+        return {w: _packed(ids) for w, ids in zip(words, self.merges.apply(spelled))}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, block, size = [], [], 0
@@ -175,17 +231,15 @@ class Bpe:
         return out + self._block(block)
 
     def _block(self, block: list[list[str]]) -> list[bytes]:
-        if self.kept > KEPT:
-            self.ids.clear()
-            self.kept = 0
-        new = list({w: None for words in block for w in words if w not in self.ids})
-        learned = self.learn(new)
-        long = [w for w in new if len(w) > LONG]
-        self.ids.update(learned)
-        out = [b"".join(map(self.ids.__getitem__, words)) for words in block]
-        for w in long:
-            del self.ids[w]
-        self.kept += sum(len(w) + 40 for w in new) - sum(len(w) + 40 for w in long)
+        known = self.ids
+        known.turn()
+        new = self.learn(list({w: None for words in block for w in words if w not in known}))
+        for word, ids in new.items():
+            known.add(word, ids)
+        out = [b"".join(map(known.__getitem__, words)) for words in block]
+        for word in new:
+            if len(word) > LONG:
+                known.size -= len(word) + len(known.pop(word))
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -195,7 +249,21 @@ class Bpe:
 
 
 def _packed(ids: list[int]) -> bytes:
-    return b"".join(k.to_bytes(4, "little") for k in ids)
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _settled(pattern: str):
+    """The words of a text of settled characters; their letters and digits are written out in the pattern."""
+    def those(kind: str) -> str:
+        return "".join(re.escape(c) for c in map(chr, range(ord(SETTLED))) if unicodedata.category(c)[0] == kind)
+
+    return re.compile(pattern.replace(r"\p{L}", those("L")).replace(r"\p{N}", those("N"))).findall
+
+
+def _small_letters(normalizer: dict) -> bool:
+    """Whether texts are put into normal form C, white space into one space and letters into small ones."""
+    steps = [(n["type"], n.get("pattern"), n.get("content")) for n in normalizer.get("normalizers", [])]
+    return steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
 
 
 def _byte_letters() -> list[str]:
