@@ -1,12 +1,12 @@
 """BPE encoding and decoding with an index of pair occurrences.
 
 The words of a block of texts that are not known yet are laid end to end as one chain of symbols. An
-index maps each mergeable pair to all its places in that chain, and the ranks of the pairs that occur
-are active. The lowest active rank is applied at all its places from left to right; each merge enters the
-pairs that it makes with its neighbours. A place whose pair has gone meanwhile is passed over. If a
-merge makes a pair of lower rank, that one is applied before the places that are left. So every word
-gets its merges in the order of the ordinary algorithm, while a pair is looked up once for the block
-and not once a word. No pair reaches across the end of a word.
+index maps each pair that may merge to all its places in that chain, and the ranks of the pairs that occur
+are active. The lowest active rank is applied to all its places at once, in arrays; the pairs that the
+merged symbols make with their neighbours are entered in the index. A place whose pair has gone
+meanwhile is passed over, and of places that overlap (`aaa`) every other one from the left is merged. A
+pair that a merge makes has a higher rank, as its token has no other merge (a file where one has is refused),
+so every word gets its merges in the order of the ordinary algorithm. No pair reaches across the end of a word.
 
 Tokenizer files are those of the `tokenizers` library with a BPE model over byte-level words, an end of
 word suffix or none, and no decoder: decoding joins the tokens by one space. Other parts raise an
@@ -17,8 +17,8 @@ Ids are given as one binary value a text, each id as an unsigned 32-bit integer,
 
 Defined results: a null or empty text has no ids and decodes to the empty string; repeated rows and ties
 get equal results; an empty table gives an empty result; other columns are not looked at. Words of any
-length are merged whole; those of over `LONG` characters are not remembered. What a worker remembers
-is bounded by `KEPT` characters and starts anew beyond.
+length are merged whole. What a worker remembers is bounded by `KEPT` and `LONG`, what it holds of a block
+by `NEW` and `BLOCK` and the batch.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
 import unicodedata
+from array import array
 from heapq import heappop, heappush
 
 from pyspark.sql import Column
@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 
 from epispark.llm.common import whole_text
 
-#: Bytes of words and ids that a worker remembers, some two fifths of what they take with their headers.
-KEPT = 12_000_000
-#: Words of more characters are not remembered.
+#: Characters of words that a worker remembers in a generation, of which it keeps two.
+KEPT = 2_000_000
+#: Longer words are forgotten with their generation.
 LONG = 200
-#: Characters of the texts of a block; a longer text is a block of its own.
-BLOCK = 4_000_000
+#: Characters of new words that are laid end to end, unless one word has more; words of the texts that are held meanwhile.
+NEW, BLOCK = 1_500_000, 6_000_000
 #: Below this code point letters, digits and small letters are the same in every release of Unicode in use, and no text changes
 #: in normal form C. Controls, and a capital whose small letter is two characters, are left to the library.
 SETTLED = "\u0180"
@@ -49,117 +49,91 @@ _loaded: dict = {}
 
 
 class Merges:
-    """The merges of a model: by pair of ids the rank, by rank the pair and what it becomes."""
+    """The merges of a model in the order of their ranks: pairs of ids and what they become."""
 
     def __init__(self, pairs: list[tuple[int, int, int]]):
         import numpy as np
 
+        if len({whole for _, _, whole in pairs}) < len(pairs):
+            raise ValueError("two merges make one token; the order of ranks would not hold")
         self.pairs = pairs
-        self.rank = {left << 17 | right: k for k, (left, right, _) in enumerate(pairs)}
-        keys = np.array(list(self.rank), dtype=np.int64)
-        order = np.argsort(keys)
-        self.sorted = keys[order], np.array(list(self.rank.values()), dtype=np.int64)[order]
+        keys = np.array([left << 17 | right for left, right, _ in pairs], dtype=np.int64)
+        self.ranks = np.argsort(keys)
+        self.keys = keys[self.ranks]
 
-    def apply(self, words: list[list[int]]) -> list[list[int]]:
-        """The words after all merges."""
+    def _known(self, left, right):
+        """Which pairs have a rank, and the ranks of those."""
         import numpy as np
 
-        symbols = [k for word in words for k in (*word, -1)]  # a word ends with -1, which no pair has
-        if not symbols:
-            return []
-        chain = np.array(symbols, dtype=np.int64)
-        after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
-        rank_of, places = self.rank.get, self._index(chain)
-        active = [k for k, at in enumerate(places) if at]  # in order, so a heap
+        keys = left.astype(np.int64) << 17 | right  # negative beside the end of a word
+        near = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        found = self.keys[near] == keys
+        return found, self.ranks[near[found]]
+
+    def apply(self, chain):
+        """Merge the symbols of words, each ended by -1, in place; what a merge swallows becomes -2."""
+        import numpy as np
+
+        n = len(chain)
+        symbols = np.append(chain, np.int32(-1))
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        found, ranks = self._known(symbols[:-1], symbols[1:])
+        at = np.flatnonzero(found)
+        order = np.argsort(ranks, kind="stable")
+        at, ranks = at[order], ranks[order]
+        firsts = np.flatnonzero(np.diff(ranks, prepend=-1))
+        places = {int(ranks[k]): some.tolist() for k, some in zip(firsts, np.split(at, firsts[1:]))} if len(at) else {}
+        active = list(places)  # in order, so a heap
         while active:
             rank = heappop(active)
             left, right, whole = self.pairs[rank]
-            todo, places[rank], lower = sorted(places[rank]), None, False
-            for k, at in enumerate(todo):
-                if symbols[at] != left:
-                    continue
-                gone = after[at]
-                if symbols[gone] != right:
-                    continue
-                symbols[at], symbols[gone] = whole, -2
-                ahead = after[at] = after[gone]
-                behind = before[at]
-                before[ahead] = at
-                made = rank_of(symbols[behind] << 17 | whole)
-                if made is not None:
-                    if places[made]:
-                        places[made].append(behind)
-                    else:
-                        places[made] = [behind]
-                        heappush(active, made)
-                    lower = made < rank
-                made = rank_of(whole << 17 | symbols[ahead])
-                if made is not None:
-                    if places[made]:
-                        places[made].append(at)
+            at = np.array(places.pop(rank), dtype=np.int32)
+            at = at[(symbols[at] == left) & (symbols[after[at]] == right)]
+            if left == right and len(at) > 1:  # of places that overlap, every other one from the left
+                at = np.unique(at)
+                begins = np.append(True, after[at[:-1]] != at[1:])
+                nth = np.arange(len(at))
+                at = at[(nth - np.maximum.accumulate(np.where(begins, nth, 0))) % 2 == 0]
+            if not len(at):
+                continue
+            gone, behind = after[at], before[at]
+            ahead = after[gone]
+            symbols[at], symbols[gone] = whole, -2
+            after[at], before[ahead] = ahead, at
+            for place, one, other in ((behind, symbols[behind], symbols[at]), (at, symbols[at], symbols[ahead])):
+                found, made = self._known(one, other)
+                for new, where in zip(made.tolist(), place[found].tolist()):
+                    if new in places:
+                        places[new].append(where)
                     else:
-                        places[made] = [at]
-                        heappush(active, made)
-                    lower = lower or made < rank
-                if lower and k + 1 < len(todo):  # the new pair comes first
-                    if places[rank] is None:
-                        heappush(active, rank)
-                    places[rank] = (places[rank] or []) + todo[k + 1:]
-                    break
-        out, at = [], 0
-        for word in words:
-            ids, end = [], at + len(word)
-            while at < end:
-                ids.append(symbols[at])
-                at = after[at]
-            out.append(ids)
-            at = end + 1
-        return out
-
-    def _index(self, chain) -> list[list[int] | None]:
-        """By rank the places of its pair, from left to right."""
-        import numpy as np
-
-        keys, ranks = self.sorted
-        pairs = np.where((chain[:-1] < 0) | (chain[1:] < 0), -1, chain[:-1] << 17 | chain[1:])
-        near = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
-        at = np.flatnonzero(keys[near] == pairs)
-        found = ranks[near[at]]
-        order = np.argsort(found, kind="stable")
-        at, found = at[order], found[order]
-        cuts = np.flatnonzero(np.diff(found)) + 1
-        places: list[list[int] | None] = [None] * len(self.pairs)
-        if len(at):
-            for some in np.split(at, cuts):
-                some = some.tolist()
-                places[self.rank[int(pairs[some[0]])]] = some
-        return places
+                        places[new] = [where]
+                        heappush(active, new)
+        chain[:] = symbols[:-1]
 
 
-class Known(dict):
-    """Ids of words, in two generations: what was not used since the last change is forgotten at the next."""
+class Numbers(dict):
+    """A number for each word of the texts at hand, and the ids of each; `new` are the numbers and words without ids.
 
-    def __init__(self, most: int):
-        self.most, self.size, self.old = most, 0, {}
+    Words of the generation before are still known; what was not used since then is forgotten."""
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old[word]
-        self.add(word, ids)
-        return ids
+    def __init__(self):
+        self.ids, self.old, self.new, self.size, self.length = [], {}, [], 0, 0
 
-    def __contains__(self, word: str) -> bool:
-        return dict.__contains__(self, word) or word in self.old
-
-    def add(self, word: str, ids: bytes) -> None:
-        self[word] = ids
-        self.size += len(word) + len(ids)
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self.ids)
+        ids = self.old.get(word)
+        self.ids.append(ids)
+        if ids is None:
+            self.new.append((n, word))
+            self.length += len(word)
+        self.size += len(word)
+        return n
 
     def turn(self) -> None:
-        """Begin a generation if this one is full."""
-        if self.size * 2 > self.most:
-            self.old = dict(self)
-            self.clear()
-            self.size = 0
+        """Begin a generation."""
+        self.old = {w: self.ids[n] for w, n in self.items() if len(w) <= LONG}
+        self.clear()
+        self.ids, self.size = [], 0
 
 
 class Bpe:
@@ -167,7 +141,7 @@ class Bpe:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
+        import numpy as np
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -190,10 +164,10 @@ class Bpe:
         self.merges = Merges([(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs])
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.tokens = {k: t for t, k in self.vocab.items()} | {k: t for t, k in self.added.items()}
-        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         letters = _byte_letters()
-        self.inner, self.last = [self.vocab[c] for c in letters], [self.vocab[c + self.end] for c in letters]
-        self.ids = Known(KEPT)
+        self.inner, self.last = (np.array([self.vocab[c + end] for c in letters], dtype=np.int32) for end in ("", self.end))
+        self.numbers = Numbers()
 
     def words(self, text: str) -> list[str]:
         """The words of a text as they are split; added tokens after a null character, which no word of theirs begins with."""
@@ -208,38 +182,51 @@ class Bpe:
                 out += [plain[a:b] for _, (a, b) in self.pieces(plain)]
         return out
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words, through the index of their pairs."""
-        spelled = []
-        for word in words:
+    def learn(self) -> None:
+        """The ids of the new words, through the index of their pairs."""
+        import numpy as np
+
+        numbers = self.numbers
+        for n, word in numbers.new:
             if word[0] == "\0" and word[1:] in self.added:
-                spelled.append([self.added[word[1:]]])
-                continue
-            ids = list(map(self.inner.__getitem__, letters := word.encode("utf-8")))
-            ids[-1] = self.last[letters[-1]]
-            spelled.append(ids)
-        return {w: _packed(ids) for w, ids in zip(words, self.merges.apply(spelled))}
+                numbers.ids[n] = self.added[word[1:]].to_bytes(4, "little")
+        new = [(n, word) for n, word in numbers.new if numbers.ids[n] is None]
+        numbers.new, numbers.length = [], 0
+        if not new:
+            return
+        letters = np.frombuffer(b"\xff".join([word.encode() for _, word in new] + [b""]), dtype=np.uint8)  # no byte of UTF-8 is 255
+        ends = np.flatnonzero(letters == 255)
+        chain = self.inner[letters]
+        chain[ends - 1] = self.last[letters[ends - 1]]
+        chain[ends] = -1
+        self.merges.apply(chain)
+        left = chain >= 0
+        cuts = (4 * np.cumsum(left)[ends]).tolist()
+        ids = chain[left].astype("<u4").tobytes()
+        begin = 0
+        for (n, _), cut in zip(new, cuts):
+            numbers.ids[n] = ids[begin:cut]
+            begin = cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out, block, size = [], [], 0
+        out, block, size, numbers = [], [], 0, self.numbers
+
+        def flush() -> None:
+            nonlocal size
+            self.learn()
+            out.extend(b"".join(map(numbers.ids.__getitem__, words)) for words in block)
+            block.clear()
+            size = 0
+            if numbers.size > KEPT:
+                numbers.turn()
+
         for text in texts:
-            block.append(self.words(text))
-            size += len(text)
-            if size >= BLOCK:
-                out += self._block(block)
-                block, size = [], 0
-        return out + self._block(block)
-
-    def _block(self, block: list[list[str]]) -> list[bytes]:
-        known = self.ids
-        known.turn()
-        new = self.learn(list({w: None for words in block for w in words if w not in known}))
-        for word, ids in new.items():
-            known.add(word, ids)
-        out = [b"".join(map(known.__getitem__, words)) for words in block]
-        for word in new:
-            if len(word) > LONG:
-                known.size -= len(word) + len(known.pop(word))
+            words = array("I", map(numbers.__getitem__, self.words(text)))
+            block.append(words)
+            size += len(words)
+            if numbers.length >= NEW or size >= BLOCK:
+                flush()
+        flush()
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -248,10 +235,6 @@ class Bpe:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 def _settled(pattern: str):
     """The words of a text of settled characters; their letters and digits are written out in the pattern."""
     def those(kind: str) -> str:
