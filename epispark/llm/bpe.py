@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 from epispark.llm.common import whole_text
 
 #: Characters of words that a worker remembers in a generation, of which it keeps two.
-KEPT = 2_000_000
+KEPT = 1_200_000
 #: Longer words are forgotten with their generation.
 LONG = 200
 #: Characters of new words that are laid end to end, unless one word has more; words of the texts that are held meanwhile.
-NEW, BLOCK = 1_500_000, 6_000_000
+NEW, BLOCK = 1_000_000, 3_000_000
 #: Below this code point letters, digits and small letters are the same in every release of Unicode in use, and no text changes
 #: in normal form C. Controls, and a capital whose small letter is two characters, are left to the library.
 SETTLED = "\u0180"
