@@ -454,8 +454,8 @@ UNION ALL SELECT 'mensal', ano_notificacao, CAST(mes AS VARCHAR), count(*) FROM
 UNION ALL SELECT 'indicadores', nu_ano, indicador, valor FROM (""" + SERIES_SQL + ")")
 def written_history(spark, sf):
     """The whole history written in two passes and read back."""
-    path = scratch_dir(spark, "gold")
-    write_history(cases(spark, sf, *IND_INPUT, "data_notificacao", "estado_notificacao"), area_dim(spark, sf), path, FIRST_YEAR, REFERENCE_YEAR)
+    path, known = scratch_dir(spark, "gold"), years(spark, sf)
+    write_history(cases(spark, sf, *IND_INPUT, "data_notificacao", "estado_notificacao"), area_dim(spark, sf), path, known[0], known[-1])
     h = read_history(spark, path)
     long = history.indicator_series_long(h["indicadores"])
     parts = [("anual", h["anual"], "string(NULL)", "casos"), ("estadual", h["estadual"], "uf_sigla", "casos"),

@@ -7,7 +7,7 @@ from catalog.q_aggregates import (
 from catalog.q_sources import deaths
 from catalog.register import (
     COMORBIDITIES, CURE, DEATH, DROPOUT, GROUPS, POPULATIONS, fold, label, n_if, pct, pct_min1, query, yes)
-from catalog.views import FIRST_YEAR, REFERENCE_YEAR, area_dim, cases, every_year
+from catalog.views import area_dim, cases, every_year, years
 from epispark.functions.filters import Filters
 from epispark.plans import composites
 from epispark.plans.batch import read_choices, read_history, write_choices, write_history
@@ -134,15 +134,17 @@ def stored_history(spark, sf) -> str:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _histories:
         path = scratch_dir(spark, "history")
-        write_history(cases(spark, sf), area_dim(spark, sf), path, FIRST_YEAR, REFERENCE_YEAR)
+        known = years(spark, sf)
+        write_history(cases(spark, sf), area_dim(spark, sf), path, known[0], known[-1])
         _histories[key] = path
     return _histories[key]
 
 
-CURRENT = "ano_notificacao = 2001 AND sexo = 'Feminino'"
-BASE = "nu_ano BETWEEN 1995 AND 2000"
+FIRST, LAST = (f"(SELECT {f}(ano_notificacao) FROM cases)" for f in ("min", "max"))
+CURRENT = f"ano_notificacao = {LAST} AND sexo = 'Feminino'"
+BASE = f"nu_ano BETWEEN {FIRST} AND {LAST} - 1"
 MONTH = "(['Jan','Fev','Mar','Abr','Mai','Jun','Jul','Ago','Set','Out','Nov','Dez'])[CAST(m AS INTEGER)]"
-AREA_BASE = "(SELECT uf, avg(n) AS media FROM (SELECT ano_notificacao, uf, count(*) AS n FROM cases WHERE uf IS NOT NULL AND ano_notificacao BETWEEN 1995 AND 2000 GROUP BY 1, 2) GROUP BY 1) b"
+AREA_BASE = f"(SELECT uf, avg(n) AS media FROM (SELECT ano_notificacao, uf, count(*) AS n FROM cases WHERE uf IS NOT NULL AND ano_notificacao BETWEEN {FIRST} AND {LAST} - 1 GROUP BY 1, 2) GROUP BY 1) b"
 AREA_NOW = f"(SELECT uf, count(*) AS casos FROM cases WHERE {CURRENT} GROUP BY 1) a"
 YEARLY = f"(SELECT avg(s) AS media, (SELECT count(*) FROM cases WHERE {CURRENT}) AS t FROM (SELECT nu_ano, sum(casos) AS s FROM {MONTHLY} WHERE {BASE} GROUP BY 1))"
 TREND = " UNION ALL ".join([
@@ -158,14 +160,14 @@ TREND = " UNION ALL ".join([
     f"SELECT 'indicadores', CAST(nu_ano AS VARCHAR), indicador, valor FROM ({SERIES_SQL})"])
 
 
-TREND_FILTERS = Filters(years=(2000, REFERENCE_YEAR), sexes=("Feminino",))
+WOMEN = Filters(sexes=("Feminino",))
 
 
 @query("tendencia", TREND)
 def tendencia(spark, sf):
     """On a history that was written before, as a published one is; written once per application."""
-    history = read_history(spark, stored_history(spark, sf))
-    return composites.tendencia(cases(spark, sf), area_dim(spark, sf), history, deaths(spark, sf), TREND_FILTERS, FIRST_YEAR)
+    history, known = read_history(spark, stored_history(spark, sf)), years(spark, sf)
+    return composites.tendencia(cases(spark, sf), area_dim(spark, sf), history, deaths(spark, sf), WOMEN.for_years(*known[-2:]), known[0])
 
 
 @query("tendencia_without_history", " UNION ALL ".join([
@@ -174,4 +176,5 @@ def tendencia(spark, sf):
     f"SELECT 'kpis', 'ano', 'total_ano', CAST(count(*) AS DOUBLE) FROM cases WHERE {CURRENT}",
     "SELECT 'kpis', 'ano', 'media_anual_hist', 0.0", "SELECT 'kpis', 'ano', 'variacao_pct', CAST(NULL AS DOUBLE)"]))
 def tendencia_without_history(spark, sf):
-    return composites.tendencia(cases(spark, sf), area_dim(spark, sf), None, None, TREND_FILTERS, FIRST_YEAR)
+    known = years(spark, sf)
+    return composites.tendencia(cases(spark, sf), area_dim(spark, sf), None, None, WOMEN.for_years(*known[-2:]), known[0])

@@ -134,15 +134,15 @@ def join_features_by_code(spark, sf):
 round(ex / CASE WHEN id = 0 THEN 1 ELSE id END * 100, 1) AS pct_contatos_exam FROM
 (SELECT ano_notificacao AS nu_ano, count(*) AS casos FROM cases GROUP BY 1) a
 LEFT JOIN (SELECT CAST(nu_ano AS INTEGER) AS nu_ano, count(*) FILTER (WHERE pulm) AS t, count(*) FILTER (WHERE pulm AND lab) AS c FROM coded1
-WHERE nu_ano BETWEEN '1997' AND '2025' GROUP BY 1) p ON p.nu_ano = a.nu_ano
+GROUP BY 1) p ON p.nu_ano = a.nu_ano
 LEFT JOIN (SELECT CAST(nu_ano AS INTEGER) AS nu_ano, sum(CAST(nu_contato AS DOUBLE)) AS id, sum(CAST(nu_comu_ex AS DOUBLE)) AS ex FROM coded1
-WHERE nu_ano BETWEEN '1997' AND '2025' AND pulm AND lab AND nu_contato <> 'x' GROUP BY 1) k ON k.nu_ano = a.nu_ano""")
+WHERE pulm AND lab AND nu_contato <> 'x' GROUP BY 1) k ON k.nu_ano = a.nu_ano""")
 def join_indicator_series(spark, sf):
     annual = history.history_annual(cases(spark, sf, "ano_notificacao"))
     rows = coded(spark, sf)
     return lab.join_indicator_series(
-        annual, lab.lab_confirmation_series(rows, ("1997", "2025")).select("nu_ano", "pct_pulm_conf_lab"),
-        lab.contacts_examined_series(rows, ("1997", "2025")).select("nu_ano", "pct_contatos_exam"))
+        annual, lab.lab_confirmation_series(rows).select("nu_ano", "pct_pulm_conf_lab"),
+        lab.contacts_examined_series(rows).select("nu_ano", "pct_contatos_exam"))
 
 
 @query("semi_areas", """SELECT ano, uf, obitos FROM deaths WHERE uf IN (SELECT uf FROM cases
@@ -229,10 +229,12 @@ def union_all_groups(spark, sf):
 
 @query("union_years_then_sum", "SELECT uf AS uf_sigla, CAST(sum(obitos) AS BIGINT) AS obitos_sim FROM deaths GROUP BY 1")
 def union_years_then_sum(spark, sf):
-    """Earlier years as a published table, later ones from the registry."""
-    source, dim = registry(spark, sf), area_dim(spark, sf)
-    earlier = areas.deaths_in_years(deaths(spark, sf), area_dim(spark, sf), (1995, 1996, 1997, 1998)).toDF("uf_sigla", "obitos_sim")
-    return reg.sum_years([earlier, reg.registry_deaths_area(source, dim, 1999, 2000, 2001, 2002)])
+    """The earlier half of the registry's years as a published table, the later ones from the registry."""
+    source, dim, published = registry(spark, sf), area_dim(spark, sf), deaths(spark, sf)
+    known = sorted(r["ano"] for r in published.select("ano").distinct().collect())  # calendar years
+    half = len(known) // 2
+    earlier = areas.deaths_in_years(published.where(F.col("ano").isin(known[:half])), dim).toDF("uf_sigla", "obitos_sim")
+    return reg.sum_years([earlier, reg.registry_deaths_area(source, dim, *known[half:])])
 
 
 @query("distinct_values", "SELECT DISTINCT raca_cor AS valor FROM cases WHERE raca_cor IS NOT NULL")

@@ -136,7 +136,8 @@ def written_history(spark, sf):
     folder = scratch_dir(spark, "history")
     rows, dim = cases(spark, sf), area_dim(spark, sf)
     # Two passes over the cases write the history; the CSV files are copies of it.
-    write_history(rows, dim, f"{folder}/gold", 1995, 2001)
+    known = years(spark, sf)
+    write_history(rows, dim, f"{folder}/gold", known[0], known[-1])
     tables.write_history_csv(read_history(spark, f"{folder}/gold"), folder)
     return folder
 

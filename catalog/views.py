@@ -91,13 +91,21 @@ def cases(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return rows.selectExpr(*[f"{every[c]} AS {c}" for c in columns])
 
 
+_areas: dict[tuple[str, str], tuple[tuple[str, str, str, str], ...]] = {}
+
+
 def area_dim(spark: SparkSession, sf_dir: str) -> AreaDim:
-    """Nations 0 to 23 as areas (24 stays unmapped on purpose), two spellings each; population is
-    1000 per customer of the nation."""
-    regions = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
-    areas = tuple((f"N{k:02d}", f"NATION_{k}", regions[k % 5], f"{k:02d}") for k in range(24))
-    spellings = tuple((s, f"N{k:02d}") for k in range(24) for s in (f"NATION_{k}", f"Nação_{k}"))
-    people = (table(spark, sf_dir, "customer").where("c_nationkey < 24")
+    """Nations as areas (24 stays unmapped on purpose), two spellings each; population is 1000 per
+    customer of the nation. Names and regions, one row per area, are read once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _areas:
+        named = (table(spark, sf_dir, "nation").where("n_nationkey <> 24")
+                 .join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
+                 .selectExpr("lpad(n_nationkey, 2, '0') AS codigo", "n_name", "r_name").orderBy("codigo"))
+        _areas[key] = tuple((f"N{r['codigo']}", r["n_name"], r["r_name"], r["codigo"]) for r in named.collect())
+    areas = _areas[key]
+    spellings = tuple((s, code) for code, name, _, _ in areas for s in (name, name.replace("NATION", "Nação")))
+    people = (table(spark, sf_dir, "customer").where("c_nationkey <> 24")
               .groupBy(F.expr("concat('N', lpad(c_nationkey, 2, '0'))").alias("sigla"))
               .agg(F.expr("count(*) * 1000 AS populacao")))
     return AreaDim(areas, spellings, people)
@@ -146,7 +154,7 @@ def years(spark: SparkSession, sf_dir: str) -> tuple[int, ...]:
 
 def every_year(spark: SparkSession, sf_dir: str) -> Filters:
     """A choice of all years that the cases have."""
-    return Filters(years=years(spark, sf_dir))
+    return Filters(years=years(spark, sf_dir), resolved=True)
 
 
 def yearly_parts(df: DataFrame, year: str, years) -> list[DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epispark.functions.clean import attach_area, has_outcome, registry_year
-from epispark.functions.filters import Filters
+from epispark.functions.filters import Filters, resolve
 from epispark.functions.measures import pct1, rate_per_100k
 from epispark.functions.predicates import cause_prefix, incident
 from epispark.operators.areas import n_if
@@ -17,6 +17,7 @@ from epispark.spec import TB, AreaDim, CaseSpec
 def base_total_share(df: DataFrame, filters: Filters, dim: AreaDim | None = None,
                      spec: CaseSpec = TB) -> DataFrame:
     """Unfiltered total of the chosen years and the filtered share."""
+    filters = resolve(df, filters, spec, dim)
     out = filters.apply(df, spec, dim).agg(F.count(F.lit(1)).alias("total"), base_total(df, filters, spec).alias("total_base"))
     return out.withColumn("pct_filtrado", pct1(F.col("total"), F.col("total_base")))
 
@@ -46,6 +47,7 @@ def incidence_rate(df: DataFrame, dim: AreaDim, filters: Filters, spec: CaseSpec
                    mapped_only: bool = False) -> DataFrame:
     """New cases over (population x years) per 100,000. ``mapped_only`` is the older rule that
     leaves out cases of unmapped areas."""
+    filters = resolve(df, filters, spec, dim)
     rows = filters.apply(df, spec, dim)
     if mapped_only:
         rows = attach_area(rows, dim, spec)
@@ -104,6 +106,7 @@ def mortality_rate_legacy(df: DataFrame, dim: AreaDim, registry: DataFrame, year
 def summary_kpis(df: DataFrame, dim: AreaDim, deaths: DataFrame | None, filters: Filters,
                  spec: CaseSpec = TB, annual: DataFrame | None = None) -> DataFrame:
     """The headline record: one pass over the filtered cases, everything else is a scalar."""
+    filters = resolve(df, filters, spec, dim)
     c = filters.apply(df, spec, dim).agg(
         F.count(F.lit(1)).alias("total"), n_if(has_outcome(spec.cure, spec), "cura"),
         n_if(has_outcome(spec.dropout, spec), "abandono"), n_if(has_outcome(spec.death, spec), "_mortes"),

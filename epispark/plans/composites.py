@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from epispark.functions.clean import (
     attach_area, band, canonical_outcome, has_outcome, is_closed, month_label, month_of, outcome_group)
-from epispark.functions.filters import Filters
+from epispark.functions.filters import Filters, resolve
 from epispark.functions.measures import pct1, pct1_min1, pct1_min1_sql, pct1_sql, variation_pct
 from epispark.functions.predicates import (
     PLAUSIBLE_DURATION, PLAUSIBLE_START, baseline_years, known_status, plausible)
@@ -91,6 +91,7 @@ def resumo(df: DataFrame, dim: AreaDim, deaths: DataFrame | None, f: Filters, sp
 
 
 def mapa(df: DataFrame, dim: AreaDim, deaths: DataFrame | None, f: Filters, spec: CaseSpec = TB) -> DataFrame:
+    f = resolve(df, f, spec, dim)
     return area_indicators(f.apply(df, spec, dim), dim, deaths, f.years, f.n_years, spec)
 
 
@@ -110,7 +111,7 @@ def detalhe_uf(df: DataFrame, dim: AreaDim, f: Filters, area: str, spec: CaseSpe
         "conhecido": known_status(spec), "encerrados": closed, "enc_novo": new & closed, "cura_novo": new & cured,
         "enc_retrat": again & closed, "cura_retrat": again & cured,
     }
-    rows = f.for_areas(area).apply(df, spec, dim)
+    rows = resolve(df, f, spec, dim).for_areas(area).apply(df, spec, dim)
     places = rows.groupBy(F.trim(spec.place).alias("rotulo")).agg(*[n_if(c, k) for k, c in counts.items()])
     # One row of zeros, so that an empty selection has a record too.
     nothing = literal_rows(df.sparkSession, [(None, *[0] * len(counts))], ", ".join(["rotulo string", *[f"{k} long" for k in counts]]))
@@ -139,7 +140,7 @@ def detalhe_uf(df: DataFrame, dim: AreaDim, f: Filters, area: str, spec: CaseSpe
 
 def perfil(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB) -> DataFrame:
     """(bloco, categoria, grupo, valor, pct): five counts, outcomes, outcome by race, pyramids."""
-    rows = f.apply(df, spec, dim)
+    rows = resolve(df, f, spec, dim).apply(df, spec, dim)
     cells = multi_counts(rows, {"sexo": [spec.sex], "forma": [spec.form], "tipo_entrada": [spec.entry],
                                 "escolaridade": [spec.schooling], "raca": [spec.race, spec.outcome]})
     cells = _recoded(cells, "raca", spec)
@@ -163,7 +164,7 @@ def perfil(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB) -> Data
 def clinico(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB) -> DataFrame:
     """(bloco, categoria, grupo, valor, pct): status and test counts, outcome by status,
     positivity by area, waiting times. One scan for the labels, one for the dates."""
-    rows = f.apply(df, spec, dim)
+    rows = resolve(df, f, spec, dim).apply(df, spec, dim)
     cells = multi_counts(attach_area(rows, dim, spec, "left"), {
         "hiv": [spec.hiv, spec.outcome], "baciloscopia": [spec.smear], "teste_molecular": [spec.molecular],
         "area": ["sigla", spec.hiv]})
@@ -222,7 +223,7 @@ def comorbidades(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB) -
     """(bloco, categoria, grupo, valor, pct): flag prevalence, outcome by vulnerable group,
     flags by area. One scan: flags are counted by (area, raw outcome), the rest is sums of that."""
     flags = spec.flags
-    cells = flag_counts(attach_area(f.apply(df, spec, dim), dim, spec, "left"),
+    cells = flag_counts(attach_area(resolve(df, f, spec, dim).apply(df, spec, dim), dim, spec, "left"),
                         ["sigla", F.col(spec.outcome).alias("_out")], list(flags))
     # One cell of zeros, so that an empty selection has a record too.
     sums = cells.unionByName(literal_rows(
@@ -259,7 +260,8 @@ def tendencia(df: DataFrame, dim: AreaDim, history: dict[str, DataFrame] | None,
     Without a history, or a table of it, its blocks are left out and the means are null or zero as
     for years without cases; without a registry the block of official deaths is left out. Filters apply to the reference year only. One scan of that year; everything else comes from
     the history tables, which have a few thousand rows at most."""
-    year = f.reference_year
+    f = resolve(df, f, spec, dim)
+    year = f.reference_year if f.years else first_year  # a table without years has no cases of any
     history = history or {}
     spark = df.sparkSession
     monthly = history.get("mensal", literal_rows(spark, [], "nu_ano int, mes_num int, casos long"))

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epispark.functions.filters import Filters
+from epispark.functions.filters import Filters, resolve
 from epispark.presets import tuberculosis as tb
 from epispark.sources.cases import align, case_schema, drop_folders
 from epispark.spec import TB, AreaDim, CaseSpec
@@ -123,6 +123,7 @@ def microdata(df: DataFrame, filters: Filters, dim: AreaDim, spec: CaseSpec = TB
     a request for more years, or for all, is refused."""
     if max_years is not None and not 0 < len(filters.years) <= max_years:
         raise ValueError(f"export is limited to {max_years} years at a time")
+    filters = resolve(df, filters, spec, dim)
     return align(filters.apply(df, spec, dim), case_schema(tb.EXPORT_COLUMNS))
 
 

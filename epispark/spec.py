@@ -89,9 +89,9 @@ class AreaDim:
     def is_small(self) -> bool:
         return not isinstance(self.spellings, DataFrame) and max(len(self.areas), len(self.spellings)) <= SMALL_DIMENSION
 
-    @property
-    def codes(self) -> tuple[str, ...]:
-        return tuple(a[0] for a in self.areas)
+    @cached_property
+    def codes(self) -> frozenset[str]:
+        return frozenset(a[0] for a in self.areas)
 
     def hinted(self, table: DataFrame) -> DataFrame:
         return F.broadcast(table) if self.is_small else table
@@ -126,6 +126,7 @@ class AreaDim:
     def population_at_risk(self, area_codes=()) -> Column:
         """Scalar population of the chosen areas, or of all when the choice is empty or unknown."""
         total = F.sum("populacao")
+        area_codes = [a for a in area_codes if a in self.codes]
         if not area_codes:
             return self.population.agg(total).scalar()
         chosen = F.sum(F.when(F.col("sigla").isin(list(area_codes)), F.col("populacao")))
