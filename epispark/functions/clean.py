@@ -159,7 +159,10 @@ def registry_area_code(residence: Column) -> Column:
 
 def attach_area(df: DataFrame, dim: AreaDim, spec: CaseSpec = TB, how: str = "inner",
                 unknown: str | None = None) -> DataFrame:
-    """Adds ``sigla``. A small dimension is broadcast, a large one joined by size."""
+    """Adds ``sigla``. A small dimension is broadcast, a large one joined by size. Published cells have
+    it already, in place of the spelling."""
+    if "sigla" in df.columns and spec.area not in df.columns:
+        return df.where(F.col("sigla").isNotNull()) if how == "inner" else df
     out = df.join(dim.hinted(dim.names), F.expr(f"`{spec.area}` = spelling"), how).drop("spelling")
     if unknown is not None:
         out = out.withColumn("sigla", F.coalesce("sigla", F.lit(unknown)))

@@ -12,8 +12,15 @@ from epispark.functions.text import fold_key
 from epispark.spec import TB, AreaDim, CaseSpec
 
 
-def n_if(condition: Column, name: str) -> Column:
-    return F.count_if(condition).alias(name)
+def n_if(condition: Column, name: str, weight: str | None = None) -> Column:
+    """How many rows the condition holds for; with a weight column, how many cases they stand for."""
+    if weight is None:
+        return F.count_if(condition).alias(name)
+    return F.coalesce(F.sum(F.when(condition, F.col(weight))), F.lit(0).cast("long")).alias(name)
+
+
+def n_all(name: str, weight: str | None = None) -> Column:
+    return F.count(F.lit(1)).alias(name) if weight is None else n_if(F.lit(True), name, weight)
 
 
 def name_areas(df: DataFrame, dim: AreaDim, code: str = "uf") -> DataFrame:
@@ -38,18 +45,18 @@ def deaths_in_years(deaths: DataFrame | None, dim: AreaDim, years=()) -> DataFra
 
 
 def area_indicators(df: DataFrame, dim: AreaDim, deaths: DataFrame | None, years=(), n_years: int | None = None,
-                    spec: CaseSpec = TB) -> DataFrame:
+                    spec: CaseSpec = TB, weight: str | None = None) -> DataFrame:
     """Cases, new cases, deaths, incidence, mortality, cure % and dropout % per area.
 
     Percentages are over all cases. Registry deaths are used when the registry covers the
-    chosen years at all, case deaths otherwise; ``fonte_obitos`` says which."""
+    chosen years at all, case deaths otherwise; ``fonte_obitos`` says which. Rows may be cells with a ``weight``."""
     n_years = n_years or max(len(years), 1)
     cases = (attach_area(df, dim, spec).groupBy(F.col("sigla").alias("uf"))
-             .agg(F.count(F.lit(1)).alias("casos"),
-                  n_if(incident(spec), "casos_novos"),
-                  n_if(has_outcome(spec.death, spec), "_mortes"),
-                  n_if(has_outcome(spec.cure, spec), "_cura"),
-                  n_if(has_outcome(spec.dropout, spec), "_abandono")))
+             .agg(n_all("casos", weight),
+                  n_if(incident(spec), "casos_novos", weight),
+                  n_if(has_outcome(spec.death, spec), "_mortes", weight),
+                  n_if(has_outcome(spec.cure, spec), "_cura", weight),
+                  n_if(has_outcome(spec.dropout, spec), "_abandono", weight)))
     by_area = deaths_in_years(deaths, dim, years)
     covered = by_area.agg(F.sum("obitos")).scalar().isNotNull()
     joined = join_population(cases.join(by_area, "uf", "left"), dim)

@@ -9,7 +9,7 @@ from epispark.functions.clean import attach_area, has_outcome, registry_year
 from epispark.functions.filters import Filters, resolve
 from epispark.functions.measures import pct1, rate_per_100k
 from epispark.functions.predicates import cause_prefix, incident
-from epispark.operators.areas import n_if
+from epispark.operators.areas import n_all, n_if
 from epispark.operators.registry import registry_deaths_year_area
 from epispark.spec import TB, AreaDim, CaseSpec
 
@@ -107,12 +107,18 @@ def summary_kpis(df: DataFrame, dim: AreaDim, deaths: DataFrame | None, filters:
                  spec: CaseSpec = TB, annual: DataFrame | None = None) -> DataFrame:
     """The headline record: one pass over the filtered cases, everything else is a scalar."""
     filters = resolve(df, filters, spec, dim)
-    c = filters.apply(df, spec, dim).agg(
-        F.count(F.lit(1)).alias("total"), n_if(has_outcome(spec.cure, spec), "cura"),
-        n_if(has_outcome(spec.dropout, spec), "abandono"), n_if(has_outcome(spec.death, spec), "_mortes"),
-        n_if(F.col(spec.hiv) == spec.positive, "hiv_pos"), n_if(incident(spec), "_novos"),
+    return headline(filters.apply(df, spec, dim), base_total(df, filters, spec, annual), dim, deaths, filters, spec)
+
+
+def headline(rows: DataFrame, base: Column, dim: AreaDim, deaths: DataFrame | None, filters: Filters,
+             spec: CaseSpec = TB, weight: str | None = None) -> DataFrame:
+    """The headline record of filtered rows, or of cells with a ``weight``; ``base`` is the unfiltered total."""
+    c = rows.agg(
+        n_all("total", weight), n_if(has_outcome(spec.cure, spec), "cura", weight),
+        n_if(has_outcome(spec.dropout, spec), "abandono", weight), n_if(has_outcome(spec.death, spec), "_mortes", weight),
+        n_if(F.col(spec.hiv) == spec.positive, "hiv_pos", weight), n_if(incident(spec), "_novos", weight),
         F.countDistinct(spec.place).alias("municipios"),
-    ).select("*", base_total(df, filters, spec, annual).alias("total_base"), registry_total(deaths, filters).alias("_sim"),
+    ).select("*", base.alias("total_base"), registry_total(deaths, filters).alias("_sim"),
              dim.population_at_risk(filters.areas).alias("_pop"))
     official = F.coalesce(F.col("_sim"), F.lit(0)) > 0
     c = c.withColumns({

@@ -1,7 +1,8 @@
 """Composite queries: each returns one long table of blocks, from as few scans as possible.
 
 The pattern: count once by a few raw key combinations (the only pass over the cases), then
-recode, merge and derive shares on those few result rows."""
+recode, merge and derive shares on those few result rows. With published ``cells``
+(``plans.cells``) the first step reads those in place of the cases, if they hold the filters."""
 
 from __future__ import annotations
 
@@ -22,10 +23,11 @@ from epispark.literals import literal_rows, sql_map, sql_text
 from epispark.operators.areas import area_indicators, n_if
 from epispark.operators.counts import after_count, count_by, multi_counts, selection_choices
 from epispark.operators.history import indicator_series_long
-from epispark.operators.kpis import summary_kpis
+from epispark.operators.kpis import base_total, headline, summary_kpis
 from epispark.operators.outcomes import flag_counts, label_of
 from epispark.operators.registry import registry_deaths_series
 from epispark.operators.waits import duration, start_wait
+from epispark.plans.cells import PLACES, WEIGHT, Cells
 from epispark.sources.tables import microdata
 from epispark.spec import TB, AreaDim, CaseSpec
 
@@ -84,18 +86,33 @@ def meta(df: DataFrame, dim: AreaDim, spec: CaseSpec = TB, choices: DataFrame |
     return found.unionByName(literal_rows(df.sparkSession, fixed, schema))
 
 
-def resumo(df: DataFrame, dim: AreaDim, deaths: DataFrame | None, f: Filters, spec: CaseSpec = TB,
-           annual: DataFrame | None = None) -> DataFrame:
-    """The headline record; with the published annual history the unfiltered total comes from there."""
-    return summary_kpis(df, dim, deaths, f, spec, annual)
+def _asked(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec, cells: Cells | None) -> tuple[Filters, Cells | None]:
+    """The request as it is meant, and the cells if they hold what it restricts."""
+    if not f.resolved and cells is not None:
+        f = f.resolve(cells.years(), dim)
+    f = resolve(df, f, spec, dim)
+    return f, cells if cells is not None and cells.holds(f) else None
 
 
-def mapa(df: DataFrame, dim: AreaDim, deaths: DataFrame | None, f: Filters, spec: CaseSpec = TB) -> DataFrame:
-    f = resolve(df, f, spec, dim)
+def resumo(df: DataFrame, dim: AreaDim, deaths: DataFrame | None, f: Filters, spec: CaseSpec = TB,
+           annual: DataFrame | None = None, cells: Cells | None = None) -> DataFrame:
+    """The headline record; with the published annual history the unfiltered total comes from there."""
+    f, cells = _asked(df, dim, f, spec, cells)
+    if cells is None:
+        return summary_kpis(df, dim, deaths, f, spec, annual)
+    if annual is None:
+        annual = cells.rows(Filters(), dim, PLACES).select(F.col("ano").alias("nu_ano"), F.col(WEIGHT).alias("casos"))
+    return headline(cells.places(f, dim, spec), base_total(df, f, spec, annual), dim, deaths, f, spec, WEIGHT)
+
+
+def mapa(df: DataFrame, dim: AreaDim, deaths: DataFrame | None, f: Filters, spec: CaseSpec = TB, cells: Cells | None = None) -> DataFrame:
+    f, cells = _asked(df, dim, f, spec, cells)
+    if cells is not None:
+        return area_indicators(cells.places(f, dim, spec), dim, deaths, f.years, f.n_years, spec, WEIGHT)
     return area_indicators(f.apply(df, spec, dim), dim, deaths, f.years, f.n_years, spec)
 
 
-def detalhe_uf(df: DataFrame, dim: AreaDim, f: Filters, area: str, spec: CaseSpec = TB) -> DataFrame:
+def detalhe_uf(df: DataFrame, dim: AreaDim, f: Filters, area: str, spec: CaseSpec = TB, cells: Cells | None = None) -> DataFrame:
     """(bloco, rotulo, indicador, valor): places of one area and the area's cohort indicators.
 
     The places are counted once; the area's record is the sum over its places."""
@@ -111,8 +128,10 @@ def detalhe_uf(df: DataFrame, dim: AreaDim, f: Filters, area: str, spec: CaseSpe
         "conhecido": known_status(spec), "encerrados": closed, "enc_novo": new & closed, "cura_novo": new & cured,
         "enc_retrat": again & closed, "cura_retrat": again & cured,
     }
-    rows = resolve(df, f, spec, dim).for_areas(area).apply(df, spec, dim)
-    places = rows.groupBy(F.trim(spec.place).alias("rotulo")).agg(*[n_if(c, k) for k, c in counts.items()])
+    f, cells = _asked(df, dim, f, spec, cells)
+    f = f.for_areas(area)
+    rows, weight = (f.apply(df, spec, dim), None) if cells is None else (cells.places(f, dim, spec), WEIGHT)
+    places = rows.groupBy(F.trim(spec.place).alias("rotulo")).agg(*[n_if(c, k, weight) for k, c in counts.items()])
     # One row of zeros, so that an empty selection has a record too.
     nothing = literal_rows(df.sparkSession, [(None, *[0] * len(counts))], ", ".join(["rotulo string", *[f"{k} long" for k in counts]]))
     places = places.unionByName(nothing).withColumn("lugares", F.when(F.col("rotulo").isNotNull(), 1).otherwise(0))
@@ -138,11 +157,13 @@ def detalhe_uf(df: DataFrame, dim: AreaDim, f: Filters, area: str, spec: CaseSpe
     return named.selectExpr("bloco", "rotulo", "nm_norm", f"inline({items})")
 
 
-def perfil(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB) -> DataFrame:
+def perfil(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB, cells: Cells | None = None) -> DataFrame:
     """(bloco, categoria, grupo, valor, pct): five counts, outcomes, outcome by race, pyramids."""
-    rows = resolve(df, f, spec, dim).apply(df, spec, dim)
-    cells = multi_counts(rows, {"sexo": [spec.sex], "forma": [spec.form], "tipo_entrada": [spec.entry],
-                                "escolaridade": [spec.schooling], "raca": [spec.race, spec.outcome]})
+    f, published = _asked(df, dim, f, spec, cells)
+    blocks = {"sexo": [spec.sex], "forma": [spec.form], "tipo_entrada": [spec.entry],
+              "escolaridade": [spec.schooling], "raca": [spec.race, spec.outcome]}
+    rows = f.apply(df, spec, dim)
+    cells = multi_counts(rows, blocks) if published is None else published.counts(f, dim, *blocks)
     cells = _recoded(cells, "raca", spec)
     cells = cells.withColumn("desfecho", clean_label(F.col("desfecho"), spec.unknown))
     common = [_row("'raca_cor'", "rotulo"), _row("'desfecho'", "desfecho"), _row("'desfecho_grupo'", "grupo_desfecho")]
@@ -150,9 +171,12 @@ def perfil(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB) -> Data
     block_rows = f"IF(bloco = 'raca', IF(valido, {crossed}, {_array(*common)}), {_array(_row('bloco', 'rotulo'))})"
     labels = _shares(_merge(cells, block_rows), ["desfecho_por_raca"])
 
-    aged = rows.where(F.col(spec.age).isNotNull() & F.col(spec.sex).isin(*spec.sexes))
-    tower = count_by(aged, band(spec.age, spec.age_bands).alias("faixa"), F.col(spec.sex).alias("sexo"),
-                     F.coalesce(has_outcome(spec.death, spec), F.lit(False)).alias("morte"), name="n")
+    if published is None:
+        aged = rows.where(F.col(spec.age).isNotNull() & F.col(spec.sex).isin(*spec.sexes))
+        tower = count_by(aged, band(spec.age, spec.age_bands).alias("faixa"), F.col(spec.sex).alias("sexo"),
+                         F.coalesce(has_outcome(spec.death, spec), F.lit(False)).alias("morte"), name="n")
+    else:
+        tower = published.rows(f, dim, "idade").select(F.col("k1").alias("faixa"), F.col("k2").alias("sexo"), (F.col("k3") == "true").alias("morte"), F.col(WEIGHT).alias("n"))
     tower = tower.where(after_count(F.col("faixa").isNotNull()))
     grid = literal_rows(
         df.sparkSession, [(b[0], s, True, 0) for b in spec.age_bands for s in spec.sexes], "faixa string, sexo string, morte boolean, n long")
@@ -161,13 +185,22 @@ def perfil(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB) -> Data
     return labels.unionByName(_shares(pyramid, [""]))
 
 
-def clinico(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB) -> DataFrame:
+def clinico(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB, cells: Cells | None = None) -> DataFrame:
     """(bloco, categoria, grupo, valor, pct): status and test counts, outcome by status,
     positivity by area, waiting times. One scan for the labels, one for the dates."""
-    rows = resolve(df, f, spec, dim).apply(df, spec, dim)
-    cells = multi_counts(attach_area(rows, dim, spec, "left"), {
-        "hiv": [spec.hiv, spec.outcome], "baciloscopia": [spec.smear], "teste_molecular": [spec.molecular],
-        "area": ["sigla", spec.hiv]})
+    f, published = _asked(df, dim, f, spec, cells)
+    if published is None:
+        rows = f.apply(df, spec, dim)
+        days = _days(rows, spec)
+        cells = multi_counts(attach_area(rows, dim, spec, "left"), {
+            "hiv": [spec.hiv, spec.outcome], "baciloscopia": [spec.smear], "teste_molecular": [spec.molecular],
+            "area": ["sigla", spec.hiv]})
+    else:
+        days = published.counts(f, dim, "espera", "duracao", depth=1)
+        stored = published.rows(f, dim, "hiv", "baciloscopia", "teste_molecular")
+        # a status counts in its own block and in that of its area
+        copies = F.array(F.struct("bloco", "k1", "k2"), F.when(F.col("bloco") == "hiv", F.struct(F.lit("area").alias("bloco"), F.col("sigla").alias("k1"), F.col("k1").alias("k2"))))
+        cells = stored.select(WEIGHT, F.inline(F.array_compact(copies))).groupBy("bloco", "k1", "k2").agg(F.sum(WEIGHT).alias("n"))
     cells = _recoded(cells, "hiv", spec)
     positive, known = sql_text(spec.positive), f"({sql_text(spec.positive)}, {sql_text(spec.negative)})"
     status = _row("'status_hiv'", "rotulo")
@@ -184,16 +217,20 @@ def clinico(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB) -> Dat
     pct = (F.when(F.col("bloco") == "desfecho_por_hiv", pct1_min1(F.col("n"), total))
            .when(is_area & (F.col("grupo") == "positivos"), pct1(F.col("n"), denominator)))
     labels = merged.select("bloco", "categoria", "grupo", F.col("n").cast("double").alias("valor"), pct.alias("pct"))
-    return labels.unionByName(_waiting(rows, spec))
+    return labels.unionByName(_waiting(days, spec))
 
 
-def _waiting(rows: DataFrame, spec: CaseSpec) -> DataFrame:
-    """Start wait and duration of treatment from one scan of the date columns."""
+def _days(rows: DataFrame, spec: CaseSpec) -> DataFrame:
+    """(bloco, k1, n): start wait and duration of treatment per day, from one scan of the date columns."""
     wait, length = start_wait(spec), duration(spec)
     days = rows.select(
         F.when(plausible(wait, PLAUSIBLE_START), wait).alias("espera"),
         F.when(is_closed(spec) & plausible(length, PLAUSIBLE_DURATION), length).alias("duracao"))
-    cells = multi_counts(days, {"espera": ["espera"], "duracao": ["duracao"]})
+    return multi_counts(days, {"espera": ["espera"], "duracao": ["duracao"]})
+
+
+def _waiting(cells: DataFrame, spec: CaseSpec) -> DataFrame:
+    """Figures of the waits from their counts per day."""
     buckets = [F.expr(f"sum(IF(bloco = 'espera' AND faixa = {sql_text(b[0])}, n, 0)) AS b{i}")
                for i, b in enumerate(spec.wait_buckets)]
 
@@ -219,12 +256,13 @@ def _waiting(rows: DataFrame, spec: CaseSpec) -> DataFrame:
     return s.selectExpr(f"inline({_array(*items)})")
 
 
-def comorbidades(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB) -> DataFrame:
+def comorbidades(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB, cells: Cells | None = None) -> DataFrame:
     """(bloco, categoria, grupo, valor, pct): flag prevalence, outcome by vulnerable group,
     flags by area. One scan: flags are counted by (area, raw outcome), the rest is sums of that."""
     flags = spec.flags
-    cells = flag_counts(attach_area(resolve(df, f, spec, dim).apply(df, spec, dim), dim, spec, "left"),
-                        ["sigla", F.col(spec.outcome).alias("_out")], list(flags))
+    f, published = _asked(df, dim, f, spec, cells)
+    cells = (flag_counts(attach_area(f.apply(df, spec, dim), dim, spec, "left"), ["sigla", F.col(spec.outcome).alias("_out")], list(flags))
+             if published is None else published.flags(f, dim, spec))
     # One cell of zeros, so that an empty selection has a record too.
     sums = cells.unionByName(literal_rows(
         df.sparkSession, [(None, None, *[0] * (1 + len(flags)))], ", ".join(
@@ -254,21 +292,26 @@ def comorbidades(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec = TB) -
 
 
 def tendencia(df: DataFrame, dim: AreaDim, history: dict[str, DataFrame] | None, deaths: DataFrame | None, f: Filters,
-              first_year: int, spec: CaseSpec = TB) -> DataFrame:
+              first_year: int, spec: CaseSpec = TB, cells: Cells | None = None) -> DataFrame:
     """(bloco, categoria, indicador, valor): the reference year against the national history.
 
     Without a history, or a table of it, its blocks are left out and the means are null or zero as
     for years without cases; without a registry the block of official deaths is left out. Filters apply to the reference year only. One scan of that year; everything else comes from
     the history tables, which have a few thousand rows at most."""
-    f = resolve(df, f, spec, dim)
+    f, published = _asked(df, dim, f, spec, cells)
     year = f.reference_year if f.years else first_year  # a table without years has no cases of any
     history = history or {}
     spark = df.sparkSession
     monthly = history.get("mensal", literal_rows(spark, [], "nu_ano int, mes_num int, casos long"))
     by_state = history.get("estadual", literal_rows(spark, [], "nu_ano int, uf_sigla string, casos long"))
-    rows = attach_area(f.for_years(year).apply(df, spec, dim), dim, spec, "left")
-    cells = multi_counts(rows.select(month_of(F.col(spec.date)).alias("mes"), "sigla"),
-                         {"mensal": ["mes"], "estadual": ["sigla"]}).where(F.col("k1").isNotNull())
+    f = f.for_years(year)
+    if published is None:
+        rows = attach_area(f.apply(df, spec, dim), dim, spec, "left")
+        cells = multi_counts(rows.select(month_of(F.col(spec.date)).alias("mes"), "sigla"), {"mensal": ["mes"], "estadual": ["sigla"]})
+    else:
+        both = F.array(F.struct(F.lit("mensal").alias("bloco"), "k1"), F.struct(F.lit("estadual").alias("bloco"), F.col("sigla").alias("k1")))
+        cells = published.rows(f, dim, "mes").select(WEIGHT, F.inline(both)).groupBy("bloco", "k1").agg(F.sum(WEIGHT).alias("n"))
+    cells = cells.where(F.col("k1").isNotNull())
     zero = F.lit(0).cast("long")
     current = cells.select("bloco", F.col("k1").alias("chave"), F.col("n").alias("atual"), zero.alias("soma"), zero.alias("anos"))
     in_base = baseline_years(F.col("nu_ano"), first_year, year)

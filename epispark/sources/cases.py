@@ -123,16 +123,22 @@ def drop_folders(spark: SparkSession, path: str, column: str, keep: Callable[[st
             files.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"{column}={value}"), True)
 
 
-def replace_years(df: DataFrame, path: str, years: Sequence[int], spec: CaseSpec = TB, clustered: bool = False) -> None:
+def replace_years(df: DataFrame, path: str, years: Sequence[int], spec: CaseSpec = TB, clustered: bool = False,
+                  column: str | None = None, order: Sequence[str] = ()) -> None:
     """Replaces the folders of ``years``. A year that no longer has any row loses its folder: after
-    the write its folder still holds the files it held before."""
-    spark, asked = df.sparkSession, {str(int(y)) for y in years}
-    before = _folders(spark, path, spec.year)
-    write_by_year(df, path, spec, clustered)
-    after = _folders(spark, path, spec.year)
+    the write its folder still holds the files it held before. A table other than the cases names its
+    year ``column`` and the ``order`` of rows in a file, and comes with its own distribution."""
+    spark, asked, year = df.sparkSession, {str(int(y)) for y in years}, column or spec.year
+    before = _folders(spark, path, year)
+    if column is None:
+        write_by_year(df, path, spec, clustered)
+    else:
+        (df.sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(year).parquet(path))
+    after = _folders(spark, path, year)
     emptied = {y for y in asked if y in before and before[y] == after.get(y)}
     if emptied:
-        drop_folders(spark, path, spec.year, keep=lambda y: y not in emptied)
+        drop_folders(spark, path, year, keep=lambda y: y not in emptied)
 
 
 def scan_projected(df: DataFrame, columns: Sequence[str]) -> DataFrame:
