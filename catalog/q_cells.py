@@ -82,7 +82,8 @@ KEYS = {"sexo": "sexo", "forma": "forma", "tipo_entrada": "tipo_entrada", "escol
         "idade": "CASE WHEN sexo IN ('Masculino', 'Feminino') THEN faixa END, coalesce(situacao_encerramento IN ('Óbito por TB', 'Obito por TB'), false)",
         "hiv": "status_hiv, situacao_encerramento", "baciloscopia": "baciloscopia_primeira_amostra", "teste_molecular": "teste_molecular",
         "espera": "CASE WHEN espera BETWEEN 0 AND 365 THEN espera END", "duracao": "CASE WHEN desfecho <> 'Em acompanhamento' AND duracao BETWEEN 1 AND 1000 THEN duracao END",
-        "lugar": "municipio_notificacao, tipo_entrada, situacao_encerramento, status_hiv", "mes": "mes", "agravos": "situacao_encerramento"}
+        "situacao": "tipo_entrada, situacao_encerramento, status_hiv",
+        "lugar": "tipo_entrada, situacao_encerramento, status_hiv, municipio_notificacao", "mes": "mes", "agravos": "situacao_encerramento"}
 
 
 @query("cells_report", " UNION ALL ".join(

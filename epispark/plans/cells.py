@@ -28,8 +28,8 @@ KEYS = ("k1", "k2", "k3", "k4")
 WEIGHT = "n"
 #: Filters that the cells hold beside years and areas, unless the caller says otherwise.
 HELD = ("sexes",)
-#: Block of the places, with what the headline, map and area screens cross.
-PLACES = "lugar"
+#: Blocks of what the headline, map and area screens cross, with the place and without.
+PLACES, STATES = "lugar", "situacao"
 #: In the block of flags, the row of all cases.
 EVERY = "casos"
 
@@ -47,7 +47,8 @@ def _blocks(spec: CaseSpec) -> dict[str, list[Column]]:
         "hiv": [c(spec.hiv), c(spec.outcome)], "baciloscopia": [c(spec.smear)], "teste_molecular": [c(spec.molecular)],
         "espera": [F.when(plausible(wait, PLAUSIBLE_START), wait)],
         "duracao": [F.when(is_closed(spec) & plausible(length, PLAUSIBLE_DURATION), length)],
-        PLACES: [c(spec.place), c(spec.entry), c(spec.outcome), c(spec.hiv)],
+        PLACES: [c(spec.entry), c(spec.outcome), c(spec.hiv), c(spec.place)],
+        STATES: [c(spec.entry), c(spec.outcome), c(spec.hiv)],
         "mes": [month_of(c(spec.date))],
     }
 
@@ -107,10 +108,10 @@ class Cells:
                 out = out.where(F.col(f"f_{name}").isin(list(chosen)))
         return out
 
-    def places(self, f: Filters, dim: AreaDim, spec: CaseSpec = TB) -> DataFrame:
-        """Place, entry, outcome and status under their names, with ``sigla`` and the weight."""
-        names = (spec.place, spec.entry, spec.outcome, spec.hiv)
-        return self.rows(f, dim, PLACES).select("sigla", *[F.col(k).alias(c) for k, c in zip(KEYS, names)], WEIGHT)
+    def states(self, f: Filters, dim: AreaDim, spec: CaseSpec = TB, places: bool = False) -> DataFrame:
+        """Entry, outcome and status under their names, if asked for the place too, with ``sigla`` and the weight."""
+        names = (spec.entry, spec.outcome, spec.hiv, *([spec.place] if places else []))
+        return self.rows(f, dim, PLACES if places else STATES).select("sigla", *[F.col(k).alias(c) for k, c in zip(KEYS, names)], WEIGHT)
 
     def counts(self, f: Filters, dim: AreaDim, *blocks: str, depth: int = 2) -> DataFrame:
         """(bloco, k1 …, n), as ``multi_counts`` gives them from the cases."""

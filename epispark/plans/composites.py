@@ -27,7 +27,7 @@ from epispark.operators.kpis import base_total, headline, summary_kpis
 from epispark.operators.outcomes import flag_counts, label_of
 from epispark.operators.registry import registry_deaths_series
 from epispark.operators.waits import duration, start_wait
-from epispark.plans.cells import PLACES, WEIGHT, Cells
+from epispark.plans.cells import STATES, WEIGHT, Cells
 from epispark.sources.tables import microdata
 from epispark.spec import TB, AreaDim, CaseSpec
 
@@ -101,14 +101,14 @@ def resumo(df: DataFrame, dim: AreaDim, deaths: DataFrame | None, f: Filters, sp
     if cells is None:
         return summary_kpis(df, dim, deaths, f, spec, annual)
     if annual is None:
-        annual = cells.rows(Filters(), dim, PLACES).select(F.col("ano").alias("nu_ano"), F.col(WEIGHT).alias("casos"))
-    return headline(cells.places(f, dim, spec), base_total(df, f, spec, annual), dim, deaths, f, spec, WEIGHT)
+        annual = cells.rows(Filters(), dim, STATES).select(F.col("ano").alias("nu_ano"), F.col(WEIGHT).alias("casos"))
+    return headline(cells.states(f, dim, spec, places=True), base_total(df, f, spec, annual), dim, deaths, f, spec, WEIGHT)
 
 
 def mapa(df: DataFrame, dim: AreaDim, deaths: DataFrame | None, f: Filters, spec: CaseSpec = TB, cells: Cells | None = None) -> DataFrame:
     f, cells = _asked(df, dim, f, spec, cells)
     if cells is not None:
-        return area_indicators(cells.places(f, dim, spec), dim, deaths, f.years, f.n_years, spec, WEIGHT)
+        return area_indicators(cells.states(f, dim, spec), dim, deaths, f.years, f.n_years, spec, WEIGHT)
     return area_indicators(f.apply(df, spec, dim), dim, deaths, f.years, f.n_years, spec)
 
 
@@ -130,7 +130,7 @@ def detalhe_uf(df: DataFrame, dim: AreaDim, f: Filters, area: str, spec: CaseSpe
     }
     f, cells = _asked(df, dim, f, spec, cells)
     f = f.for_areas(area)
-    rows, weight = (f.apply(df, spec, dim), None) if cells is None else (cells.places(f, dim, spec), WEIGHT)
+    rows, weight = (f.apply(df, spec, dim), None) if cells is None else (cells.states(f, dim, spec, places=True), WEIGHT)
     places = rows.groupBy(F.trim(spec.place).alias("rotulo")).agg(*[n_if(c, k, weight) for k, c in counts.items()])
     # One row of zeros, so that an empty selection has a record too.
     nothing = literal_rows(df.sparkSession, [(None, *[0] * len(counts))], ", ".join(["rotulo string", *[f"{k} long" for k in counts]]))

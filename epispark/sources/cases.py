@@ -82,6 +82,10 @@ class CaseStore:
         """(ano), one row per year: only the folder value is read."""
         return self.all_years().select(F.col(self.spec.year).alias("ano")).distinct()
 
+    def years_known(self) -> tuple[int, ...]:
+        """The calendar years, ascending, on the driver."""
+        return tuple(sorted(r["ano"] for r in self.catalog().where("ano IS NOT NULL").collect()))
+
     def write(self, df: DataFrame, clustered: bool = False) -> None:
         write_by_year(align(df, self.schema), self.path, self.spec, clustered)
 
