@@ -13,8 +13,10 @@ from epispark.functions.filters import Filters
 from epispark.operators.diagnostics import column_profile, feature_bounds
 from epispark.operators.history import history_monthly
 from epispark.operators.registry import map_deaths, registry_deaths_year_area
+from epispark.literals import literal_rows
 from epispark.plans.batch import build_treated, read_history, write_history
 from epispark.plans.composites import export as composite
+from epispark.plans.treat import rejects, treat
 from epispark.presets import tuberculosis as tb
 from epispark.session import scratch_dir
 from epispark.sources import cases as store
@@ -108,6 +110,47 @@ def treated(spark, sf):
     return spark.read.parquet(path).withColumn("data_notificacao", F.col("data_notificacao").cast("string"))
 
 
+def unclean(spark, sf):
+    """Raw rows, some without a year or with one that is no number or was not asked for."""
+    return raw(spark, sf).withColumn("ano_notificacao", F.expr(
+        "CASE WHEN case_id % 53 = 0 THEN 'ano ?' WHEN case_id % 59 = 0 THEN NULL WHEN case_id % 61 = 0 THEN concat(ano_notificacao, '.5') "
+        "WHEN case_id % 67 = 0 THEN '1890' WHEN case_id % 71 = 0 THEN ' ' ELSE ano_notificacao END"))
+
+
+MOTIVE = """CASE WHEN case_id % 53 = 0 THEN 'ano ilegível' WHEN case_id % 59 = 0 THEN 'sem ano' WHEN case_id % 61 = 0 THEN 'ano ilegível'
+WHEN case_id % 67 = 0 THEN 'ano não pedido' WHEN case_id % 71 = 0 THEN 'sem ano' END"""
+
+
+@query("treated_with_rejects", f"""SELECT 'linhas' AS origem, coalesce({MOTIVE}, 'aceitas') AS motivo, count(*) AS n FROM raw GROUP BY 2
+UNION ALL SELECT 'contadas', coalesce({MOTIVE}, 'aceitas'), count(*) FROM raw GROUP BY 2 UNION ALL SELECT 'contadas', 'lidas', count(*) FROM raw""")
+def treated_with_rejects(spark, sf):
+    """Rows found in the two tables, and what the job counted while it wrote them."""
+    path = scratch_dir(spark, "treated")
+    account = treat(unclean(spark, sf), path, years(spark, sf))
+    counts = [("contadas", "lidas", account.read), ("contadas", "aceitas", account.accepted), *[("contadas", r, n) for r, n in account.rejected.items()]]
+    cases_found = spark.read.schema("case_id long").parquet(f"{path}/destino=casos").agg(F.count(F.lit(1)).alias("n"))
+    return (literal_rows(spark, counts, "origem string, motivo string, n long")
+            .unionByName(rejects(spark, path).groupBy(F.lit("linhas").alias("origem"), "motivo").agg(F.count(F.lit(1)).alias("n")))
+            .unionByName(cases_found.select(F.lit("linhas").alias("origem"), F.lit("aceitas").alias("motivo"), "n")))
+
+
+@query("treated_losses", f"""SELECT 'data_notificacao' AS coluna, count(*) FILTER (try_cast(data_notificacao AS DATE) IS NULL) AS n FROM raw WHERE {MOTIVE} IS NULL
+UNION ALL SELECT 'numero_contatos', count(*) FILTER (try_cast(numero_contatos AS SMALLINT) IS NULL) FROM raw WHERE {MOTIVE} IS NULL
+UNION ALL SELECT 'idade_notificada', count(*) FILTER (idade_notificada = 'sem informação') FROM raw WHERE {MOTIVE} IS NULL""")
+def treated_losses(spark, sf):
+    """Values of accepted rows that the treatment could not read, by column."""
+    account = treat(unclean(spark, sf), scratch_dir(spark, "treated"), years(spark, sf))
+    return literal_rows(spark, list(account.lost.items()), "coluna string, n long")
+
+
+@query("rejected_rows", f"SELECT case_id, {MOTIVE} AS motivo FROM raw WHERE {MOTIVE} IS NOT NULL")
+def rejected_rows(spark, sf):
+    """The raw rows can be read back from the rejected ones."""
+    path = scratch_dir(spark, "treated")
+    treat(unclean(spark, sf), path, years(spark, sf))
+    return rejects(spark, path).select(F.from_json("linha", "case_id long")["case_id"].alias("case_id"), "motivo")
+
+
 def deaths(spark, sf):
     return registry_deaths_year_area(registry(spark, sf), area_dim(spark, sf))
 

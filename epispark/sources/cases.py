@@ -103,7 +103,7 @@ def write_by_year(df: DataFrame, path: str, spec: CaseSpec = TB, clustered: bool
      .partitionBy(spec.year).parquet(path))
 
 
-def _folders(spark: SparkSession, path: str, column: str) -> dict[str, frozenset[str]]:
+def folder_files(spark: SparkSession, path: str, column: str) -> dict[str, frozenset[str]]:
     """Value -> names of files, for the folders ``<column>=<value>`` below a path."""
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
@@ -122,7 +122,7 @@ def drop_folders(spark: SparkSession, path: str, column: str, keep: Callable[[st
     """Removes the folders ``<column>=<value>`` whose value is not to be kept."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for value in _folders(spark, path, column):
+    for value in folder_files(spark, path, column):
         if not keep(value):
             files.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"{column}={value}"), True)
 
@@ -133,16 +133,16 @@ def replace_years(df: DataFrame, path: str, years: Sequence[int], spec: CaseSpec
     the write its folder still holds the files it held before. A table other than the cases names its
     year ``column`` and the ``order`` of rows in a file, and comes with its own distribution."""
     spark, asked, year = df.sparkSession, {str(int(y)) for y in years}, column or spec.year
-    before = _folders(spark, path, year)
+    before = folder_files(spark, path, year)
     if column is None:
         write_by_year(df, path, spec, clustered)
     else:
         (df.sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(year).parquet(path))
-    after = _folders(spark, path, year)
+    after = folder_files(spark, path, year)
     emptied = {y for y in asked if y in before and before[y] == after.get(y)}
     if emptied:
-        drop_folders(spark, path, year, keep=lambda y: y not in emptied)
+        dropfolder_files(spark, path, year, keep=lambda y: y not in emptied)
 
 
 def scan_projected(df: DataFrame, columns: Sequence[str]) -> DataFrame:
