@@ -111,14 +111,15 @@ def summary_kpis(df: DataFrame, dim: AreaDim, deaths: DataFrame | None, filters:
 
 
 def headline(rows: DataFrame, base: Column, dim: AreaDim, deaths: DataFrame | None, filters: Filters,
-             spec: CaseSpec = TB, weight: str | None = None) -> DataFrame:
-    """The headline record of filtered rows, or of cells with a ``weight``; ``base`` is the unfiltered total."""
+             spec: CaseSpec = TB, weight: str | None = None, places: Column | None = None) -> DataFrame:
+    """The headline record of filtered rows, or of cells with a ``weight``; ``base`` is the unfiltered total.
+    ``places``, a scalar, spares the distinct count, for which each row is counted twice."""
     c = rows.agg(
         n_all("total", weight), n_if(has_outcome(spec.cure, spec), "cura", weight),
         n_if(has_outcome(spec.dropout, spec), "abandono", weight), n_if(has_outcome(spec.death, spec), "_mortes", weight),
         n_if(F.col(spec.hiv) == spec.positive, "hiv_pos", weight), n_if(incident(spec), "_novos", weight),
-        F.countDistinct(spec.place).alias("municipios"),
-    ).select("*", base.alias("total_base"), registry_total(deaths, filters).alias("_sim"),
+        *([F.countDistinct(spec.place).alias("municipios")] if places is None else []),
+    ).select("*", *([places.alias("municipios")] if places is not None else []), base.alias("total_base"), registry_total(deaths, filters).alias("_sim"),
              dim.population_at_risk(filters.areas).alias("_pop"))
     official = F.coalesce(F.col("_sim"), F.lit(0)) > 0
     c = c.withColumns({

@@ -24,6 +24,7 @@ from epispark.operators.areas import area_indicators, n_if
 from epispark.operators.counts import after_count, count_by, multi_counts, selection_choices
 from epispark.operators.history import indicator_series_long
 from epispark.operators.kpis import base_total, headline, summary_kpis
+from epispark.operators.mergeable import chosen, distinct_places_of
 from epispark.operators.outcomes import flag_counts, label_of
 from epispark.operators.registry import registry_deaths_series
 from epispark.operators.waits import duration, start_wait
@@ -95,14 +96,17 @@ def _asked(df: DataFrame, dim: AreaDim, f: Filters, spec: CaseSpec, cells: Cells
 
 
 def resumo(df: DataFrame, dim: AreaDim, deaths: DataFrame | None, f: Filters, spec: CaseSpec = TB,
-           annual: DataFrame | None = None, cells: Cells | None = None) -> DataFrame:
-    """The headline record; with the published annual history the unfiltered total comes from there."""
+           annual: DataFrame | None = None, cells: Cells | None = None, places: DataFrame | None = None) -> DataFrame:
+    """The headline record; with the published annual history the unfiltered total comes from there. With the
+    published bitmaps of ``places``, a choice of years and areas reads cells that do not hold the places."""
     f, cells = _asked(df, dim, f, spec, cells)
     if cells is None:
         return summary_kpis(df, dim, deaths, f, spec, annual)
     if annual is None:
         annual = cells.rows(Filters(), dim, STATES).select(F.col("ano").alias("nu_ano"), F.col(WEIGHT).alias("casos"))
-    return headline(cells.states(f, dim, spec, places=True), base_total(df, f, spec, annual), dim, deaths, f, spec, WEIGHT)
+    by_place = places is None or any(getattr(f, name) for name in cells.held)
+    found = None if by_place else distinct_places_of(chosen(places, f, dim)).scalar()
+    return headline(cells.states(f, dim, spec, places=by_place), base_total(df, f, spec, annual), dim, deaths, f, spec, WEIGHT, found)
 
 
 def mapa(df: DataFrame, dim: AreaDim, deaths: DataFrame | None, f: Filters, spec: CaseSpec = TB, cells: Cells | None = None) -> DataFrame:

@@ -60,7 +60,8 @@ def _losses(df: DataFrame, spec: CaseSpec) -> dict[str, Column]:
 
 def treat(raw: DataFrame, path: str, years: Sequence[int] | None = None, spec: CaseSpec = TB) -> Account:
     """Writes treated cases and rejected rows below ``path`` and returns the account. ``years``: those asked for,
-    all when none are given. Folders of cases of other years stay; the rejected rows are those of this run."""
+    all when none are given. Folders of cases of other years stay, a year asked for that has no rows any more loses
+    its folder, and the rejected rows are those of this run."""
     spark, losses = raw.sparkSession, _losses(raw, spec)
     mask = reduce(Column.__add__, [F.when(c, F.lit(1 << k)).otherwise(0) for k, c in enumerate(losses.values())], F.lit(0)).cast("long")
     why = reason(F.col(spec.year), years)
@@ -79,11 +80,14 @@ def treat(raw: DataFrame, path: str, years: Sequence[int] | None = None, spec: C
     counted = placed.observe(
         seen, F.count(F.lit(1)).alias("lidas"), *[F.count_if(F.col("motivo") == r).alias(f"m{k}") for k, r in enumerate(reasons)],
         *[F.count_if(F.col("_perdas").bitwiseAND(1 << k) != 0).alias(f"p{k}") for k in range(len(losses))])
-    old = folder_files(spark, f"{path}/{TARGET}={REJECTS}", spec.year)
+    sides_of = {side: folder_files(spark, f"{path}/{TARGET}={side}", spec.year) for side in (CASES, REJECTS)}
     (counted.drop("_perdas").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(TARGET, spec.year).parquet(path))
-    new = folder_files(spark, f"{path}/{TARGET}={REJECTS}", spec.year)
-    drop_folders(spark, f"{path}/{TARGET}={REJECTS}", spec.year, keep=lambda value: old.get(value) != new.get(value))
+    asked = None if years is None else {str(int(y)) for y in years}
+    for side, old in sides_of.items():  # a folder that still has the files it had got no rows: asked years and rejects are emptied
+        new = folder_files(spark, f"{path}/{TARGET}={side}", spec.year)
+        drop_folders(spark, f"{path}/{TARGET}={side}", spec.year, keep=lambda value, side=side, old=old, new=new: (
+            old.get(value) != new.get(value) or side == CASES and (asked is not None and value not in asked)))
     found = seen.get
     rejected = {r: found[f"m{k}"] for k, r in enumerate(reasons) if found[f"m{k}"]}
     return Account(found["lidas"], found["lidas"] - sum(rejected.values()), rejected, {c: found[f"p{k}"] for k, c in enumerate(losses)})
