@@ -15,7 +15,9 @@ that follow it gets another one there. Without the key the permutation cannot be
 The work is a function of one text, applied to Arrow batches; nothing is shuffled.
 
 Defined results: a null text stays null; a text without findings stays as it is; an empty table
-gives an empty result.
+gives an empty result; equal rows get equal results; other columns are not looked at. Time is linear in the length of a
+text, also in long unbroken runs. The local part of an address has 64 characters at most: of a longer run before the
+sign, the last 64 are taken.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ ROUNDS = 10
 KINDS = ("email", "iban", "card", "phone", "national", "ip", "date")
 #: Forms of the values. Checks follow in code.
 FORMS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+",
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9])",
@@ -44,7 +46,16 @@ FORMS = {
     "phone": r"(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .\-]?\([0-9]{1,4}\))?(?:[ .\-]?[0-9]{2,4}){2,5}(?![0-9A-Za-z])"
              r"|(?<![0-9A-Za-z])(?:\([0-9]{3}\) ?|[0-9]{3}[.\-])[0-9]{3}[.\-][0-9]{4}(?![0-9A-Za-z])",
 }
-ANY = regex.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMS.items()))
+#: The forms that are found from their first character. E-mail addresses are found from their sign instead: tried at every
+#: letter of a long unbroken run, the search would take the square of its length.
+ANY = regex.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMS.items() if k != "email"))
+#: Characters of a local part at most; of a longer run before the sign, the last ones.
+LOCAL = 64
+NOT_LOCAL = regex.compile(r"(?r)[^A-Za-z0-9._%+\-]")
+HOST = regex.compile(FORMS["email"].partition("@")[2])
+PLAIN = regex.compile(r"[A-Za-z0-9]")
+#: Longer values are not remembered.
+REMEMBERED = 300
 #: A text without any of these holds none of the forms.
 HINT = regex.compile(r"[0-9@]")
 FIRST_YEAR, LAST_YEAR = 1900, 2099
@@ -207,32 +218,70 @@ def _national(found, key, back):
 HANDLERS = {"email": _email, "iban": _iban, "card": _card, "phone": _phone, "national": _national, "ip": _ip, "date": _date}
 
 
-@lru_cache(maxsize=100_000)
 def pseudonym(kind: str, found: str, key: bytes, back: bool = False) -> str | None:
     """The pseudonym of a value, or None if the value does not pass the check of its kind."""
+    return _remembered(kind, found, key, back) if len(found) <= REMEMBERED else HANDLERS[kind](found, key, back)
+
+
+@lru_cache(maxsize=100_000)
+def _remembered(kind: str, found: str, key: bytes, back: bool) -> str | None:
     return HANDLERS[kind](found, key, back)
 
 
+class _Finder:
+    """The leftmost match of any form from a place on; places are asked for in ascending order. Each character is looked
+    at a bounded number of times, whatever runs it stands in."""
+
+    def __init__(self, text: str):
+        self.text, self.other, self.sign, self.host = text, None, text.find("@"), None
+        self.begun = False
+
+    def _email(self, look: int) -> tuple[int, int] | None:
+        """Start and end of the first address that begins at `look` or later."""
+        text = self.text
+        while self.sign >= 0:
+            if self.host is None:
+                following = text.find("@", self.sign + 1)  # no host reaches beyond; the match looks no further for its dot
+                self.host = HOST.match(text, self.sign + 1, following if following >= 0 else len(text)) or False
+            if self.host and self.sign >= look:
+                low = max(look, self.sign - LOCAL)
+                edge = NOT_LOCAL.search(text, low, self.sign)
+                first = PLAIN.search(text, edge.end() if edge else low, self.sign)
+                if first:
+                    return first.start(), self.host.end()
+            self.sign, self.host = text.find("@", self.sign + 1), None
+        return None
+
+    def next(self, look: int) -> tuple[str, int, int] | None:
+        """Kind, start and end."""
+        if not self.begun or self.other is not None and self.other.start() < look:
+            self.other, self.begun = ANY.search(self.text, look), True
+        email, other = self._email(look), self.other
+        if email and (other is None or email[0] <= other.start()):
+            return "email", *email
+        return (other.lastgroup, other.start(), other.end()) if other else None
+
+
 def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, length) of each in the new text."""
     if not HINT.search(text):
         return text, []
-    out, spans, at, length, look = [], [], 0, 0, 0
-    while m := ANY.search(text, look):
-        kind, found = m.lastgroup, m.group()
-        new, found = _value(text, m.start(), kind, found, key, back)
+    out, spans, at, length, look, finder = [], [], 0, 0, 0, _Finder(text)
+    while m := finder.next(look):
+        kind, start, end = m
+        new, found = _value(text, start, kind, text[start:end], key, back)
         if new is None and kind != "phone":  # another kind may begin at the same place
-            kind, new, found = _second(text, m.start(), kind, key, back)
+            kind, new, found = _second(text, start, kind, key, back)
         if new is None:
-            look = m.start() + 1
+            look = start + 1
             while look < len(text) and text[look].isalnum():  # a rejected run is not searched from within
                 look += 1
             continue
-        out += [text[at:m.start()], new]
-        length += m.start() - at
+        out += [text[at:start], new]
+        length += start - at
         spans.append((kind, length, len(new)))
         length += len(new)
-        at = look = m.start() + len(found)
+        at = look = start + len(found)
     out.append(text[at:])
     return "".join(out), spans
 
