@@ -20,7 +20,7 @@ from epispark.plans.treat import rejects, treat
 from epispark.presets import tuberculosis as tb
 from epispark.session import scratch_dir
 from epispark.sources import cases as store
-from epispark.sources import geo, jdbc, tables
+from epispark.sources import geo, jdbc, layout, tables
 
 SCAN = ("case_id", "ano_notificacao", "sexo", "forma")
 SCAN_SCHEMA = T.StructType([T.StructField("case_id", T.LongType()), T.StructField("ano_notificacao", T.IntegerType()),
@@ -70,6 +70,19 @@ def year_catalog(spark, sf):
     return stored(spark, sf).catalog()
 
 
+@query("clustered_cases", """SELECT case_id, ano_notificacao, estado_notificacao, municipio_notificacao, CAST(data_notificacao AS VARCHAR) AS data_notificacao
+FROM cases WHERE estado_notificacao = 'NATION_3' AND mes = 5 AND municipio_notificacao = (SELECT min(municipio_notificacao) FROM cases WHERE estado_notificacao = 'NATION_3')""")
+def clustered_cases(spark, sf):
+    """One place, one area and one month through the copy that is ordered along the curve."""
+    path = scratch_dir(spark, "clustered")
+    rows = cases(spark, sf, "case_id", "ano_notificacao", "estado_notificacao", "municipio_notificacao", "data_notificacao")
+    layout.write_clustered(rows, path, years(spark, sf))
+    copy = spark.read.parquet(path)
+    place = copy.where("estado_notificacao = 'NATION_3'").agg(F.min("municipio_notificacao")).scalar()
+    found = copy.where((F.col("estado_notificacao") == "NATION_3") & (F.month("data_notificacao") == 5) & (F.col("municipio_notificacao") == place))
+    return found.withColumn("data_notificacao", F.col("data_notificacao").cast("string"))
+
+
 @query("extract_by_year", """SELECT ano_notificacao, count(*) AS n FROM raw
 WHERE ano_notificacao IN ('1998', '1999', '2000') GROUP BY 1""")
 def extract_by_year(spark, sf):
@@ -225,6 +238,14 @@ def export_microdata(spark, sf):
     return read_back(spark, path)
 
 
+@query("export_one_csv", EXPORT_SQL)
+def export_one_csv(spark, sf):
+    """Parts that follow each other as one file, read back."""
+    path, rows, dim = scratch_dir(spark, "export"), cases(spark, sf), area_dim(spark, sf)
+    tables.export_one_csv(rows, EXPORT_FILTER, dim, path)
+    return tables.read_one_csv(spark, path, tables.microdata(rows, EXPORT_FILTER, dim).columns)
+
+
 @query("export", EXPORT_SQL)
 def export(spark, sf):
     rows = composite(cases(spark, sf), area_dim(spark, sf), EXPORT_FILTER)
@@ -304,6 +325,32 @@ def bounds(spark, sf):
     return feature_bounds(geo.feature_points(geo.read_features(spark, write_collections(spark, sf), one_per_line=True)))
 
 
+def write_one_collection(spark, sf):
+    """All suppliers as one FeatureCollection on one line of one file: what a map server hands out, and the reader has to cut."""
+    path = scratch_dir(spark, "collection")
+    each = spark.read.text(write_collections(spark, sf)).select(F.regexp_extract("value", r"^.*?\[(\{.*\})\]\}$", 1).alias("value"))
+    rows = each.select(F.lit(1).alias("k"), F.concat(F.lit(", "), "value").alias("value"))
+    head = spark.range(1).select(F.lit(0).alias("k"), F.lit('{"type": "FeatureCollection", "name": "m", "features": [{"type": "Feature", "properties": {"CD_MUN": "x"}, "geometry": null}').alias("value"))
+    tail = spark.range(1).select(F.lit(2).alias("k"), F.lit('], "crs": {"type": "name", "properties": {"name": "EPSG:4326"}}}').alias("value"))
+    rows.unionByName(head).unionByName(tail).repartition(1).sortWithinPartitions("k").select("value").write.option("lineSep", " ").text(path)
+    return path
+
+
+@query("read_split_features", f"""SELECT CAST(s_suppkey AS VARCHAR) AS cd_mun, ' Município ' || s_name AS nm_mun, {KIND} AS tipo FROM supplier
+UNION ALL SELECT 'x', NULL, NULL""")
+def read_split_features(spark, sf):
+    f = geo.variant_columns(geo.read_feature_variants(spark, write_one_collection(spark, sf)))
+    p = F.col("properties")
+    return f.select(p["CD_MUN"].alias("cd_mun"), p["NM_MUN"].alias("nm_mun"), "tipo")
+
+
+@query("feature_bounds_variant", """SELECT min(s_nationkey) - 25.25::DOUBLE AS sul, min(s_suppkey % 60) - 70.5::DOUBLE AS oeste,
+CASE WHEN max(s_nationkey) = 24 THEN 0.25::DOUBLE ELSE max(s_nationkey) - 24.25::DOUBLE END AS norte,
+max(s_suppkey % 60) - 69.5::DOUBLE AS leste FROM supplier""")
+def bounds_variant(spark, sf):
+    return feature_bounds(geo.variant_points(geo.variant_columns(geo.read_feature_variants(spark, write_one_collection(spark, sf)))))
+
+
 @query("read_coordinates", """SELECT substr(lpad(CAST(s_nationkey AS VARCHAR), 2, '0') || lpad(CAST(s_suppkey AS VARCHAR), 5, '0'), 1, 6) AS codigo_6,
 s_name AS nome, s_acctbal AS latitude, -s_acctbal AS longitude FROM supplier""")
 def read_coordinates(spark, sf):

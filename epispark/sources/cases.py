@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -128,16 +128,17 @@ def drop_folders(spark: SparkSession, path: str, column: str, keep: Callable[[st
 
 
 def replace_years(df: DataFrame, path: str, years: Sequence[int], spec: CaseSpec = TB, clustered: bool = False,
-                  column: str | None = None, order: Sequence[str] = ()) -> None:
+                  column: str | None = None, order: Sequence[str] = (), options: Mapping[str, str] | None = None) -> None:
     """Replaces the folders of ``years``. A year that no longer has any row loses its folder: after
     the write its folder still holds the files it held before. A table other than the cases names its
-    year ``column`` and the ``order`` of rows in a file, and comes with its own distribution."""
+    year ``column`` and the ``order`` of rows in a file, unless they are in order already, and comes with its own distribution."""
     spark, asked, year = df.sparkSession, {str(int(y)) for y in years}, column or spec.year
     before = folder_files(spark, path, year)
     if column is None:
         write_by_year(df, path, spec, clustered)
     else:
-        (df.sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        rows = df.sortWithinPartitions(*order) if order else df
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**options or {})
          .partitionBy(year).parquet(path))
     after = folder_files(spark, path, year)
     emptied = {y for y in asked if y in before and before[y] == after.get(y)}

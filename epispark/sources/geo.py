@@ -76,6 +76,49 @@ def positions(kind: Column, coordinates: Column) -> Column:
             .otherwise(lines))
 
 
+#: What stands between two features of a collection: the value of the key that each begins with.
+BOUNDARY = '"Feature"'
+#: Kind of geometry -> nesting of its positions.
+NESTING = {"Point": 0, "MultiPoint": 1, "LineString": 1, "Polygon": 2, "MultiLineString": 2, "MultiPolygon": 3}
+
+
+def read_feature_variants(spark: SparkSession, path: str) -> DataFrame:
+    """(feicao): each feature of FeatureCollections as a VARIANT, parsed once.
+
+    A collection of any size, on one line or many, is cut between its features by the splittable text reader, so
+    an uncompressed file of many GB is read by as many tasks as it has splits. Every feature must begin with its
+    type, as map tools write it, and ``"Feature"`` must not be another value; a piece that is no feature then
+    fails the read rather than being passed over. A gzip file is one task whatever the reader."""
+    pieces = spark.read.option("lineSep", BOUNDARY).text(path)
+    # what stands before the first feature begins a collection, not a feature
+    opened = F.concat(F.lit('{"type": ' + BOUNDARY), F.col("value"))
+    # the parser ends with the feature; the beginning of the next one, or the end of the collection, is not read
+    return pieces.where(~F.ltrim(F.col("value")).startswith("{")).select(F.parse_json(opened).alias("feicao"))
+
+
+def variant_columns(variants: DataFrame) -> DataFrame:
+    """(properties, tipo, geometria) of features: properties as text by name, the geometry's kind and its coordinates as a VARIANT."""
+    f = F.col("feicao")
+    return variants.select(F.try_variant_get(f, "$.properties", "map<string,string>").alias("properties"),
+                           F.try_variant_get(f, "$.geometry.type", "string").alias("tipo"),
+                           F.try_variant_get(f, "$.geometry.coordinates", "variant").alias("geometria"))
+
+
+def variant_points(features: DataFrame) -> DataFrame:
+    """(lon, lat) of every position, from coordinates that are not parsed again: only the kind at hand is cast."""
+    def at(depth: int) -> Column:
+        c = F.try_variant_get("geometria", "$", "array<" * (depth + 1) + "double" + ">" * (depth + 1))
+        for _ in range(depth - 1):
+            c = F.flatten(c)
+        return F.array(c) if depth == 0 else c
+
+    kinds = F.lit(None).cast("array<array<double>>")
+    for kind, depth in NESTING.items():
+        kinds = F.when(F.col("tipo") == kind, at(depth)).otherwise(kinds)
+    points = features.select(F.explode(kinds).alias("p"))
+    return points.select(F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat"))
+
+
 def feature_points(features: DataFrame) -> DataFrame:
     """(lon, lat) of every position of every feature."""
     points = features.select(F.explode(positions(F.col("tipo"), F.col("coordenadas"))).alias("p"))

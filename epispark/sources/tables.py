@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime, timedelta
+from functools import reduce
+from operator import and_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -132,6 +134,39 @@ def export_microdata(df: DataFrame, filters: Filters, dim: AreaDim, path: str, s
     _write_csv(microdata(df, filters, dim, spec), path)
 
 
+def write_one_csv(df: DataFrame, path: str, order: Sequence[str] = (), parts: int | None = None) -> None:
+    """One CSV written in parallel: its parts, in the order of their names, follow each other as one valid file.
+
+    Rows are ranged by ``order``, those of one key by a hash of the whole row, so that a hot key is many tasks' (only
+    rows equal in every column stay together); values are rendered as the CSV writer would. The header is a row before all others, so it is in the
+    first part and nowhere else. Nothing is merged."""
+    spark = df.sparkSession
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    options = {k: v for k, v in CSV.items() if k != "header"}
+    texts = F.struct(*[c.cast("string").alias(f"c{k}") for k, c in enumerate(columns)])
+    head = F.to_csv(F.struct(*[F.lit(c).alias(f"c{k}") for k, c in enumerate(df.columns)]), options)
+    keys = [F.col(f"`{c}`") for c in order]
+    rows = df.select(F.to_csv(texts, options).alias("value"), F.lit(1).alias("_row"), F.struct(*keys, F.xxhash64(*columns)).alias("_key"))
+    first = spark.range(1).select(head.alias("value"), F.lit(0).alias("_row"), F.lit(None).cast(rows.schema["_key"].dataType).alias("_key"))
+    both = rows.unionByName(first)
+    ranged = both.repartitionByRange("_row", "_key") if parts is None else both.repartitionByRange(parts, "_row", "_key")
+    ranged.sortWithinPartitions("_row", "_key").select("value").write.mode("overwrite").text(path)
+
+
+def read_one_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """The rows of ``write_one_csv`` as text, all parts in parallel; as with Spark's CSV reader, empty text reads as null. The one line that is the header is left out; a row of
+    data that reads just like it would be, too."""
+    schema = ", ".join(f"c{k} string" for k in range(len(columns)))
+    rows = spark.read.schema(schema).options(**CSV | {"header": "false"}).option("multiLine", True).csv(path)
+    header = reduce(and_, [F.col(f"c{k}").eqNullSafe(F.lit(c)) for k, c in enumerate(columns)])
+    return rows.where(~header).toDF(*columns)
+
+
+def export_one_csv(df: DataFrame, filters: Filters, dim: AreaDim, path: str, spec: CaseSpec = TB) -> None:
+    """The microdata of a request as one CSV in parallel parts."""
+    write_one_csv(microdata(df, filters, dim, spec), path, (spec.year, spec.area))
+
+
 def friendly(df: DataFrame, names: Mapping[str, str] = tb.FRIENDLY_NAMES) -> DataFrame:
     """Analysis columns the table has, under their friendly names."""
     return df.select(*[F.col(c).alias(label) for c, label in names.items() if c in df.columns])
