@@ -5,6 +5,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -144,28 +145,39 @@ def test_components(spark):
 
 
 def plain_fingerprint(spark, texts):
-    """Votes counted one by one over the same term hashes."""
+    """Votes counted one by one over the same term hashes, each weighted by the bits of its count."""
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
-    hashes = df.select("k", F.transform(fingerprints.terms(F.coalesce("text", F.lit(""))), lambda t: F.array(*[F.xxhash64(t, F.lit(s)) for s in fingerprints.SEEDS])).alias("h")).collect()
+    hashes = df.select("k", F.transform(fingerprints.terms(fingerprints.words_of(F.coalesce("text", F.lit("")))), lambda t: F.array(*[F.xxhash64(t, F.lit(s)) for s in fingerprints.SEEDS])).alias("h")).collect()
     out = {}
     for k, h in hashes:
-        votes = [sum((x[s] >> b) & 1 for x in h) for s in range(2) for b in range(64)]
-        out[k] = tuple(sum((2 * votes[64 * s + b] > len(h)) << b for b in range(64)) for s in range(2))
+        weights = {x: n.bit_length() for x, n in Counter(map(tuple, h)).items()}
+        votes = [sum(((x[s] >> b) & 1) * n for x, n in weights.items()) for s in range(2) for b in range(64)]
+        out[k] = tuple(sum((2 * votes[64 * s + b] > sum(weights.values())) << b for b in range(64)) for s in range(2))
     return out
 
 
 def test_fingerprints_equal_plain_votes(spark):
-    texts = ["", None, "one", "one two", "one two one two one two", "!!", *[r[1] for r in documents(3, 20)]]
+    texts = ["", None, "one", "one two", "one two one two one two", "!!", "a " * 5000 + "b c", "x y " * 9, *[r[1] for r in documents(3, 20)]]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
     got = {r["k"]: tuple(r[h] % (1 << 64) for h in fingerprints.HALVES) for r in fingerprints.fingerprints(df, ["k"], "text").collect()}
     assert got == plain_fingerprint(spark, texts) and got[0] == (0, 0)
     assert fingerprints.fingerprints(df.limit(0), ["k"], "text").count() == 0
 
 
-@pytest.mark.parametrize("radius", [0, 3, 7])
-def test_radius_search_finds_all_pairs(spark, radius):
+def test_counts_weigh_but_do_not_outvote(spark):
+    """Same terms in other counts differ; one word a thousand times more does not turn the whole fingerprint."""
+    base = documents(5, 30)[25][1] or "some words"
+    words = " ".join(r[1] for r in documents(6, 40) if r[1] and len(r[1]) < 2000)
+    texts = [words, words + (" " + words.split()[0]) * 1000, words + " " + base, words.split()[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = {r["k"]: (r["f0"] % (1 << 64)) << 64 | r["f1"] % (1 << 64) for r in fingerprints.fingerprints(df, ["k"], "text").collect()}
+    assert 0 < (got[0] ^ got[1]).bit_count() < 20 < (got[0] ^ got[3]).bit_count()
+
+
+@pytest.mark.parametrize(("radius", "blocks"), [(0, None), (3, None), (7, None), (3, 4), (3, 7), (12, 14)])
+def test_radius_search_finds_all_pairs(spark, radius, blocks):
     rng = random.Random(radius)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     prints = []
@@ -178,7 +190,7 @@ def test_radius_search_finds_all_pairs(spark, radius):
             prints.append(tuple(b))
     prints += prints[:3]
     df = spark.createDataFrame([tuple(map(signed, p)) for p in prints] + [(None, 1)], "f0 long, f1 long")
-    got = [(r[0] % (1 << 64), r[1] % (1 << 64), r[2] % (1 << 64), r[3] % (1 << 64), r[4]) for r in fingerprints.within_radius(df, radius).collect()]
+    got = [(r[0] % (1 << 64), r[1] % (1 << 64), r[2] % (1 << 64), r[3] % (1 << 64), r[4]) for r in fingerprints.within_radius(df, radius, blocks).collect()]
     want = set()
     for a in set(prints):
         for b in set(prints):
