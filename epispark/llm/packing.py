@@ -4,12 +4,14 @@ A document longer than the capacity is cut: its full pieces fill sequences of th
 is packed like a short document. Documents are dealt to shards by a hash of the identifier; a shard
 holds about SHARD_ROWS of them whatever the size of the table, and is packed in one task, in the
 order of falling sizes. Its bins lie ordered by what is left in them. A bin carries a bitmap of its
-sources, PER_SOURCE bits each, and one of its duplicate clusters; from the first bin that is large
+sources, as many bits each as the source may have documents in it, and one of its duplicate clusters; from the first bin that is large
 enough the search goes on through its successors until one has no conflict, which is then the
 tightest compatible one. Without one, a new bin is opened.
 
-Two documents of a duplicate cluster never share a sequence, nor do more than PER_SOURCE documents
-of one source. Only identifiers, sizes, sources and clusters are shuffled.
+Two documents of a duplicate cluster never share a sequence. Of one source there are at most PER_SOURCE documents in a
+sequence, or SPREAD times as many as there would be if the source were spread evenly over all sequences of the shard,
+whichever is more: so no source crowds together, and one that has most of the documents still fills its sequences.
+Only identifiers, sizes, sources and clusters are shuffled.
 
 Defined results: null texts have size 0; documents of size 0 get a row with length 0 and no bin; null
 source and null cluster conflict with nothing; repeated rows are packed once each; an empty table
@@ -18,7 +20,9 @@ gives an empty result.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, insort
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,22 +30,30 @@ from pyspark.sql import functions as F
 
 from epispark.llm.common import cut
 
-CAPACITY, PER_SOURCE, SHARD_ROWS = 2048, 4, 2048
+CAPACITY, PER_SOURCE, SPREAD, SHARD_ROWS = 2048, 4, 3.0, 2048
 PLACED = "id string, size long, piece long, start long, length long, bin string, at long"
 
 
-def pack_shard(sizes, sources, clusters, capacity: int, per_source: int) -> list[tuple[int, int]]:
+def source_limits(sizes, sources, capacity: int, per_source: int, spread: float = SPREAD) -> dict:
+    """How many documents of each source a sequence of the shard may have."""
+    bins = sum(sizes) / capacity
+    return {s: max(per_source, math.ceil(spread * n / bins) if bins else 0) for s, n in Counter(sources).items() if s is not None}
+
+
+def pack_shard(sizes, sources, clusters, capacity: int, limits: dict) -> list[tuple[int, int]]:
     """(bin, offset) of each document of one shard, best fit by falling size."""
-    place = {v: k for k, v in enumerate(dict.fromkeys(s for s in sources if s is not None))}
+    place, width = {}, 0  # source -> the first of its bits, and all of them
+    for s in dict.fromkeys(s for s in sources if s is not None):
+        place[s] = width, (1 << limits[s]) - 1
+        width += limits[s]
     mark = {v: k for k, v in enumerate(dict.fromkeys(c for c in clusters if c is not None))}
-    one = (1 << per_source) - 1
     left: list[tuple[int, int]] = []  # (what is left, bin), ascending
     taken: list[int] = []  # bitmap of sources by bin
     within: list[int] = []  # bitmap of clusters by bin
     out: list[tuple[int, int]] = [(-1, 0)] * len(sizes)
     for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
         size = sizes[k]
-        shift = place[sources[k]] * per_source if sources[k] is not None else None
+        shift, one = place[sources[k]] if sources[k] is not None else (None, 0)
         bit = 1 << mark[clusters[k]] if clusters[k] is not None else 0
         at = bisect_left(left, (size, -1))
         while at < len(left):
@@ -66,7 +78,8 @@ def pack_shard(sizes, sources, clusters, capacity: int, per_source: int) -> list
     return out
 
 
-def pack(rows: DataFrame, *, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pack(rows: DataFrame, *, capacity: int = CAPACITY, per_source: int = PER_SOURCE, spread: float = SPREAD,
+         shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Where each piece of each row goes: id, size, piece, start, length, bin, at.
 
     `rows` has id, size, source, cluster. `bin` names a sequence of at most `capacity`; a row has one
@@ -82,7 +95,8 @@ def pack(rows: DataFrame, *, capacity: int = CAPACITY, per_source: int = PER_SOU
 
     def pack_one(part: pa.Table) -> pa.Table:
         part = part.sort_by([("length", "descending"), ("id", "ascending"), ("cluster", "ascending")])
-        places = pack_shard(*(part[c].to_pylist() for c in ("length", "source", "cluster")), capacity, per_source)
+        sizes, sources, clusters = (part[c].to_pylist() for c in ("length", "source", "cluster"))
+        places = pack_shard(sizes, sources, clusters, capacity, source_limits(sizes, sources, capacity, per_source, spread))
         name = part["shard"][0].as_py()
         return part.select(["id", "size", "piece", "start", "length"]).append_column(
             "bin", pa.array([f"{name}-{b}" for b, _ in places], pa.string())).append_column("at", pa.array([a for _, a in places], pa.int64()))

@@ -145,18 +145,32 @@ def test_packing(spark):
     rng = random.Random(2)
     rows = [(k, rng.choice([0, 1, 10, rng.randint(1, 90), 100, 250]), rng.choice(["a", "a", "b", None]), rng.choice(["x", "y", None, str(k)])) for k in range(300)]
     df = spark.createDataFrame(rows, "id long, size long, source string, cluster string")
-    got = packing.pack(df, capacity=100, per_source=2, shard_rows=100).collect()
+    got = packing.pack(df, capacity=100, per_source=2, spread=0, shard_rows=100).collect()
     check_packed(rows, got, 100, 2)
+    got = packing.pack(df, capacity=100, per_source=2, shard_rows=100).collect()
+    check_packed(rows, got, 100, 300)
     assert packing.pack(df.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, None, None, None), (1, 5, "a", "x"), (1, 5, "a", "x")], "id long, size long, source string, cluster string")
     assert sorted(r["length"] for r in packing.pack(odd).collect()) == [0, 5, 5]
 
 
-def plain_best_fit(sizes, sources, clusters, capacity, per_source):
+@pytest.mark.parametrize("share", [1.0, 0.9, 0.3])
+def test_a_dominant_source_fills_its_sequences(spark, share):
+    rng = random.Random(9)
+    rows = [(k, 50 if share == 1 else rng.randint(20, 400), "big" if rng.random() < share else f"s{rng.randrange(40)}", str(k)) for k in range(4000)]
+    got = packing.pack(spark.createDataFrame(rows, "id long, size long, source string, cluster string")).collect()
+    assert sum(r["length"] for r in got) / (packing.CAPACITY * len({r["bin"] for r in got})) > 0.95
+    most = Counter((r["bin"], rows[r["id"]][2]) for r in got)
+    even = Counter(r[2] for r in rows)
+    bins = len({r["bin"] for r in got})
+    assert all(n <= max(packing.PER_SOURCE, 1.5 * packing.SPREAD * even[s] / bins + 1) for (_, s), n in most.items())
+
+
+def plain_best_fit(sizes, sources, clusters, capacity, limits):
     """All bins looked at for every document."""
     bins, out = [], {}
     for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
-        fit = [b for b in bins if b["left"] >= sizes[k] and (sources[k] is None or b["s"][sources[k]] < per_source)
+        fit = [b for b in bins if b["left"] >= sizes[k] and (sources[k] is None or b["s"][sources[k]] < limits[sources[k]])
                and (clusters[k] is None or clusters[k] not in b["c"])]
         b = min(fit, key=lambda b: (b["left"], b["n"])) if fit else {"n": len(bins), "left": capacity, "s": Counter(), "c": set()}
         if not fit:
@@ -173,7 +187,8 @@ def test_shard_is_best_fit(seed):
     rng = random.Random(seed)
     n = 200
     sizes, sources, clusters = [rng.randint(1, 100) for _ in range(n)], [rng.choice(["a", "b", None]) for _ in range(n)], [rng.choice([None, "x", str(rng.randint(0, 90))]) for _ in range(n)]
-    assert packing.pack_shard(sizes, sources, clusters, 100, 2) == plain_best_fit(sizes, sources, clusters, 100, 2)
+    for limits in ({"a": 2, "b": 2}, {"a": 7, "b": 1}, packing.source_limits(sizes, sources, 100, 2)):
+        assert packing.pack_shard(sizes, sources, clusters, 100, limits) == plain_best_fit(sizes, sources, clusters, 100, limits)
 
 
 TEXTS = ["", None, "plain", r"\### Assistant: </turn> ok", "### User: x</turn>\n### Assistant: y", "\\\\#<\\", "a\nb\n", "é日本🙂 </turn>", "x" * 900]

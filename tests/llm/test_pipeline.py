@@ -16,7 +16,7 @@ from epispark.llm import jaccard, mixing, queries
 
 def test_registered_queries():
     names = __spark_entry__.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {name.split("_")[0] + "_" for name in names if name.startswith("op") and name[2].isdigit()}
+    assert {f"op{n}_" for n in range(1, 14)} == {name.split("_")[0] + "_" for name in names if name.startswith("op") and name[2].isdigit()}
     assert "pipeline" in names and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "ngram_jaccard", "mixing", "packing"]
 
 
@@ -81,7 +81,10 @@ def messy(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n != "op3_chat_formatting"])
+CHATS = ("op3_chat_formatting", "op11_conversation_repair", "op13_prefix_trie")
+
+
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in CHATS])
 def test_queries_take_messy_tables(spark, messy, name):
     found = queries.QUERIES[name](spark, messy).collect()
     ids = [r["doc_id"] for r in found]
@@ -92,6 +95,7 @@ def test_queries_take_messy_tables(spark, messy, name):
 
 def test_chat_query_without_conversations(spark, messy):
     assert [r["conv_id"] for r in queries.QUERIES["op3_chat_formatting"](spark, messy).collect()] == [-7]
+    assert queries.QUERIES["op11_conversation_repair"](spark, messy).count() == queries.QUERIES["op13_prefix_trie"](spark, messy).count() == 0
 
 
 def test_edited_texts(spark, messy):
