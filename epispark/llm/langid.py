@@ -11,12 +11,15 @@ The forward pass of a word is kept in a bounded table per Python worker.
 
 Defined results: a text that is null or has no letter is `und` with score 0; without any labelled
 text every text is `und`; characters outside the vocabulary have one small probability each; ties go
-to the language that sorts first.
+to the language that sorts first; rows that repeat a text count once in the sample and get one prediction each; an
+empty table gives an empty result. Words of any length are summed whole. The model holds one number per piece and
+language, so languages by the thousand need memory for a table of that size.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -32,8 +35,8 @@ UNDETERMINED = "und"
 START = "▁"
 #: Probability of a character that no piece covers, and weight of a piece never seen.
 UNKNOWN, PRIOR = 1e-9, 0.01
-#: Words that a Python worker keeps.
-KEPT_WORDS = 600_000
+#: Words that a Python worker keeps, and their characters.
+KEPT_WORDS, KEPT_CHARACTERS = 600_000, 6_000_000
 #: Words that are looked up together, and length from which a word is summed on its own.
 TOGETHER, LONG = 100_000, 40
 #: Key of a piece in the trie.
@@ -69,10 +72,11 @@ class Scorer:
             node[PIECE] = k
         self.index: dict[str, int] = {}
         self.table = np.zeros((1 << 12, len(languages)))
+        self.size = 0
 
-    def arcs(self, word: str):
-        """(start, end, piece) for every piece in the word; single unknown characters as None."""
-        for i in range(len(word)):
+    def arcs(self, word: str, begin: int = 0, stop: int | None = None):
+        """(start, end, piece) for every piece that starts in the word, or between two places; single unknown characters as None."""
+        for i in range(begin, len(word) if stop is None else stop):
             one = word[i]
             if one not in self.rows:
                 yield i, i + 1, None
@@ -111,6 +115,8 @@ class Scorer:
 
     def expected(self, word: str, language: int) -> dict[str, float]:
         """Expected number of each piece in a segmentation of the word."""
+        if len(word) > LONG:
+            return self._expected_long(word, language)
         arcs = [(i, j, p, UNKNOWN if p is None else self.rows[p][language]) for i, j, p in self.arcs(word)]
         n = len(word)
         ahead, behind = [0.0] * (n + 1), [0.0] * (n + 1)
@@ -126,9 +132,34 @@ class Scorer:
                     out[p] += ahead[i] * c * behind[j] / ahead[n]
         return out
 
+    def _expected_long(self, word: str, language: int, stretch: int = 4096) -> dict[str, float]:
+        """The same in logarithms, which do not vanish; the way back holds the pieces of one stretch at a time."""
+        n, lowest = len(word), -math.inf
+
+        def add(a: float, b: float) -> float:
+            if a < b:
+                a, b = b, a
+            return a if b == lowest else a + math.log1p(math.exp(b - a))
+
+        def chance(piece: str | None) -> float:
+            return math.log(max(UNKNOWN if piece is None else self.rows[piece][language], 1e-300))
+
+        ahead, behind = array("d", [0.0]) + array("d", [lowest]) * n, array("d", [lowest]) * n + array("d", [0.0])
+        for i, j, p in self.arcs(word):
+            ahead[j] = add(ahead[j], ahead[i] + chance(p))
+        out: dict[str, float] = defaultdict(float)
+        for begin in range((n - 1) // stretch * stretch, -1, -stretch):
+            for i, j, p in reversed(list(self.arcs(word, begin, min(n, begin + stretch)))):
+                log = chance(p)
+                behind[i] = add(behind[i], log + behind[j])
+                if p is not None and (share := ahead[i] + log + behind[j] - ahead[n]) > -700:
+                    out[p] += math.exp(share)
+        return out
+
     def learn(self, words: list[str]) -> None:
         """Adds the logarithms of new words to the table, many words in one forward pass."""
         first = len(self.index)
+        self.size += sum(map(len, words))
         self.index.update(zip(words, range(first, first + len(words))))
         while len(self.table) < first + len(words):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
@@ -194,8 +225,9 @@ class Scorer:
                 size += len(parts[0][1])
                 now.append(parts.pop(0))
             new = list(set().union(*(words for _, words in now)).difference(self.index))
-            if len(self.index) + len(new) > KEPT_WORDS:
+            if len(self.index) + len(new) > KEPT_WORDS or self.size > KEPT_CHARACTERS:
                 self.index.clear()
+                self.size = 0
                 new = list(set().union(*(words for _, words in now)))
             self.learn(new)
             for k, words in now:
@@ -225,12 +257,9 @@ def drawn(labelled: DataFrame, text_col: str, lang_col: str, sample: int) -> Dat
     Copies count once, so a text with very many of them neither fills the sample nor one task."""
     rows = labelled.select(F.col(lang_col).alias("lang"), whole_text(F.col(text_col)).alias("text")).where("lang is not null")
     rows = rows.withColumn("draw", F.xxhash64("text", F.lit(7)))
-    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).collect()  # one row a language
-    # about 1.3 times the sample by the hash alone, so that the window below ranks few rows
-    share = F.lit(0)
-    for lang, n in sizes:
-        share = F.when(F.col("lang") == lang, math.ceil(min(1.0, 1.3 * sample / max(1, n)) * 2**30)).otherwise(share)
-    near = rows.where(F.pmod("draw", F.lit(2**30)) < share).dropDuplicates(["lang", "draw"])
+    # about 1.3 times the sample by the hash alone, so that the window below ranks few rows; one row a language
+    shares = rows.groupBy("lang").agg(F.ceil(F.least(F.lit(1.0), 1.3 * sample / F.approx_count_distinct("draw")) * 2**30).alias("share"))
+    near = rows.join(shares, "lang").where(F.pmod("draw", F.lit(2**30)) < F.col("share")).dropDuplicates(["lang", "draw"])
     return near.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("nth") <= sample).select("lang", "text")
 
 
@@ -242,11 +271,11 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, vocabulary_path: str,
     languages = sorted(r["lang"] for r in kept.select("lang").distinct().collect())
     pieces = vocabulary(vocabulary_path)
     chance = np.full((len(pieces), len(languages)), 1.0 / max(1, len(pieces)))
-    place = {p: k for k, p in enumerate(pieces)}
+    place, column = {p: k for k, p in enumerate(pieces)}, {lang: k for k, lang in enumerate(languages)}
     for _ in range(rounds if languages else 0):
         seen = np.full_like(chance, PRIOR)
         for lang, piece, n in _expected_counts(words, languages, pieces, chance).collect():  # bounded by the vocabulary
-            seen[place[piece], languages.index(lang)] += n
+            seen[place[piece], column[lang]] += n
         chance = seen / seen.sum(axis=0)
     return languages, pieces, chance
 
@@ -254,11 +283,11 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, vocabulary_path: str,
 def _expected_counts(words: DataFrame, languages: list[str], pieces: list[str], chance: np.ndarray) -> DataFrame:
     def count(batches):
         scorer, sums = Scorer("fit", languages, pieces, chance), defaultdict(float)
+        place = {lang: k for k, lang in enumerate(languages)}
         for batch in batches:
             for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n"))):
-                for k in range(0, len(word), 64):
-                    for piece, x in scorer.expected((START if k == 0 else "") + word[k:k + 64], languages.index(lang)).items():
-                        sums[lang, piece] += x * n
+                for piece, x in scorer.expected(START + word, place[lang]).items():
+                    sums[lang, piece] += x * n
         yield pa.RecordBatch.from_pylist([{"lang": a, "piece": b, "n": x} for (a, b), x in sums.items()], schema=pa.schema(
             [("lang", pa.string()), ("piece", pa.string()), ("n", pa.float64())]))
 

@@ -31,8 +31,8 @@ CHUNK, OVERLAP = 32_768, 512
 MARGIN = 24
 #: Code points that are encoded in one call at most.
 CALL = 1 << 19
-#: Blocks that a Python worker keeps.
-KEPT_BLOCKS = 500_000
+#: Characters of the blocks that a Python worker keeps, and of the longest of them.
+KEPT_BLOCKS, LONG_BLOCK = 4_000_000, 100
 _loaded: dict = {}
 
 
@@ -71,13 +71,16 @@ class Blocks(dict):
     """Tokens of a space followed by the block; minus one where the block is empty or begins with white space."""
 
     def __init__(self, tok):
-        self.tok = tok
+        self.tok, self.size = tok, 0
 
     def __missing__(self, block: str) -> int:
-        if len(self) >= KEPT_BLOCKS:
-            self.clear()
         n = -1 if not block or block[0].isspace() else len(self.tok.encode(" " + block, add_special_tokens=False))
-        self[block] = n
+        if len(block) <= LONG_BLOCK:
+            if self.size >= KEPT_BLOCKS:
+                self.clear()
+                self.size = 0
+            self[block] = n
+            self.size += len(block)
         return n
 
     def count(self, text: str) -> int | None:

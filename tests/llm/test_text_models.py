@@ -258,3 +258,132 @@ def test_texts(spark, docs):
     a, b = (r[0] for r in df.select(pii.pseudonymise(KEY)(F.col("text"))).collect())
     assert a["text"] == f"x {b['text']} y {b['text']}" and [s["kind"] for s in a["spans"]] == ["ip", "ip"]
     assert docs.limit(0).select(pii.pseudonymise(KEY)(F.col("text"))).count() == 0
+
+
+def plain_search(text: str, key: bytes) -> tuple[str, list]:
+    """Every form tried at every place, in order; what passes its check is replaced."""
+    out, spans, at, look = "", [], 0, 0
+    while look < len(text):
+        new = None
+        for kind, form in pii.ONE.items():
+            m = form.match(text, look)
+            if not m or kind == "email" and look and pii.PLAIN.match(text, look) is None:
+                continue
+            new, found = pii._value(text, look, kind, m.group(), key, False)
+            if new is not None or kind == "phone":
+                break
+        else:
+            m = None
+        if new is not None:
+            out += text[at:look] + new
+            spans.append((kind, len(out) - len(new), len(new)))
+            at = look = look + len(found)
+        elif any(f.match(text, look) for f in pii.ONE.values()):
+            look += 1
+            while look < len(text) and text[look].isalnum():
+                look += 1
+        else:
+            look += 1
+    return out + text[at:], spans
+
+
+def test_finding_equals_a_plain_search():
+    parts = ["a", "b@c.de", "@", "x.y", "1", "23", "4111 1111 1111 1111", "+49 (30) 123-4567", " ", ".", "-", "_", "%", "GB82 WEST 1234 5698 7654 32", "192.168.0.1",
+             "2020-01-02", "555-12-3456", "A", "@a.b", "é", "(555) 123-4567", "..", "a@b", "DE", "89", "l" * 70]
+    rng = random.Random(7)
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 10)))
+        if any(len(run) > pii.LOCAL for run in pii.regex.findall(r"[A-Za-z0-9._%+\-]+(?=@)", text)):
+            continue  # of a longer run, the last part is taken, see the next test
+        assert pii.replace(text, b"k") == plain_search(text, b"k"), repr(text)
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    for run in ("a" * 1_000_000, "Ab3+" * 250_000, "7" * 1_000_000, "Q" * 1_000_000, "1." * 500_000, "x" * 1_000_000 + "@host.org", "a@" * 500_000):
+        began = time.time()
+        pii.replace(run + " mail x@host.org", b"k")
+        assert time.time() - began < 4, run[:4]
+    new, spans = pii.replace("y" * 500 + "@host.org", b"k")
+    assert spans == [("email", 500 - pii.LOCAL, pii.LOCAL + 9)] and pii.replace(new, b"k", True)[0] == "y" * 500 + "@host.org"
+    reader = toxicity.Reader({"bad": 3.0})
+    for run in ("a" + "-" * 1_000_000 + "a", "-" * 1_000_000, "a-" * 500_000, "A" * 1_000_000):
+        began = time.time()
+        reader.features(run)
+        assert time.time() - began < 2, run[:4]
+
+
+def plain_features(lexicon, text):
+    """The numbers of a text, token by token."""
+    import math
+    import regex
+
+    def inner(x):
+        return regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "", x)
+
+    def term(word):
+        return word if word in lexicon else next((word[:k] + "+" for k in toxicity.STEMS if len(word) > k and word[:k] + "+" in lexicon), None)
+
+    kinds, found = [], []
+    for token in text.lower().split():
+        word, plain = inner(token), None
+        if word in toxicity.SECOND_PERSON:
+            kinds.append(1)
+        elif term(word):
+            kinds.append(2)
+            found.append(term(word))
+        elif word.isalpha() or not any(c.isalpha() for c in token):
+            kinds.append(0)
+        elif plain := term(inner(token.translate(toxicity.PLAIN))) or term(inner(word.translate(toxicity.PLAIN))):
+            kinds.append(3)
+            found.append(plain)
+        else:
+            kinds.append(4 if any(c.isdigit() for c in word) or "*" in word or "@" in word else 0)
+    n, size = max(1, len(kinds)), max(1, len(text.encode()))
+    hits, people = [k for k, x in enumerate(kinds) if x in (2, 3)], [k for k, x in enumerate(kinds) if x == 1]
+    share = lambda test: sum(map(test, text)) / size
+    ascii_marks = [c for c in map(chr, range(33, 127)) if not c.isalnum()]
+    return [len(hits), len(hits) / n, len(set(found)), max((lexicon[t] for t in found), default=0.0),
+            sum(any(abs(h - p) <= toxicity.NEAR for p in people) for h in hits), len(people) / n, kinds.count(3), sum(k >= 3 for k in kinds) / n,
+            share(lambda c: "A" <= c <= "Z"), share(lambda c: c in "!?"), share(lambda c: c in ascii_marks and c not in "!?"), share(lambda c: "0" <= c <= "9"),
+            math.log1p(len(kinds)), len(text) / n]
+
+
+def test_features_equal_a_plain_version():
+    lexicon, rng = {"scum": 5.0, "idio+": 3.0, "vile": 1.5}, random.Random(8)
+    words = ["scum", "SCUM!", "idiot", "idiots,", "1d10t", "sc*m", "you", "You,", "ton", "vile.", "v1le", "nice", "day", "(x)", "--", "é1", "a@b", "2024", "..?!", "ünd"]
+    reader = toxicity.Reader(lexicon)
+    for _ in range(300):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))
+        assert reader.features(text) == pytest.approx(plain_features(lexicon, text)), repr(text)
+
+
+def test_tables_are_bounded_by_characters(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_BLOCKS", 2000)
+    tokens.tokenizer(BPE)
+    table = tokens.Blocks(tokens.tokenizer(BPE))
+    for k in range(3000):
+        table[f"word{k}"]
+        table["x" * (tokens.LONG_BLOCK + 1 + k % 3)]
+    assert sum(map(len, table)) <= 2100 and max(map(len, table)) <= tokens.LONG_BLOCK
+
+
+def test_many_languages(spark):
+    rng = random.Random(11)
+    rows = [(f"l{k}", prose(rng, 8, rng.choice(["en", "fr"]))) for k in range(400) for _ in range(2)] + [(None, "x")]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    assert langid.drawn(df, "text", "lang", 1).groupBy("lang").count().where("count <> 1").count() == 0
+    assert langid.drawn(df, "text", "lang", 5).select("lang").distinct().count() == 400
+
+
+def test_long_words_are_counted_whole():
+    pieces = ["a", "b", "ab", "▁", "▁a", "ba"]
+    import numpy as np
+
+    scorer = langid.Scorer("t", ["x"], pieces, np.array([[0.3], [0.2], [0.15], [0.05], [0.1], [0.2]]))
+    for word in ("▁" + "ab" * 15, "▁" + "aabab" * 7, "▁ab!ba"):
+        plain, long = scorer.expected(word, 0), scorer._expected_long(word, 0, 7)
+        assert set(plain) == set(long) and all(abs(plain[p] - long[p]) < 1e-9 for p in plain)
+    found = scorer.expected("▁" + "ab" * 50_000, 0)
+    assert sum(len(p) * n for p, n in found.items()) == pytest.approx(100_001, rel=1e-6)
