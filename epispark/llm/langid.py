@@ -257,9 +257,14 @@ def drawn(labelled: DataFrame, text_col: str, lang_col: str, sample: int) -> Dat
     Copies count once, so a text with very many of them neither fills the sample nor one task."""
     rows = labelled.select(F.col(lang_col).alias("lang"), whole_text(F.col(text_col)).alias("text")).where("lang is not null")
     rows = rows.withColumn("draw", F.xxhash64("text", F.lit(7)))
-    # about 1.3 times the sample by the hash alone, so that the window below ranks few rows; one row a language
-    shares = rows.groupBy("lang").agg(F.ceil(F.least(F.lit(1.0), 1.3 * sample / F.approx_count_distinct("draw")) * 2**30).alias("share"))
-    near = rows.join(shares, "lang").where(F.pmod("draw", F.lit(2**30)) < F.col("share")).dropDuplicates(["lang", "draw"])
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).collect()  # one row a language
+    # about 1.3 times the sample by the hash alone, so that the window below ranks few rows; a lookup, since a join would
+    # shuffle the texts, and one flat table, whatever the number of languages
+    if not sizes:
+        return rows.select("lang", "text")
+    shares = F.create_map(*[F.lit(x) for lang, n in sizes for x in (str(lang), math.ceil(min(1.0, 1.3 * sample / max(1, n)) * 2**30))])
+    share = F.element_at(shares, F.col("lang").cast("string"))
+    near = rows.where(F.pmod("draw", F.lit(2**30)) < share).dropDuplicates(["lang", "draw"])
     return near.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("nth") <= sample).select("lang", "text")
 
 

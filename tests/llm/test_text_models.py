@@ -371,10 +371,10 @@ def test_tables_are_bounded_by_characters(monkeypatch):
 
 def test_many_languages(spark):
     rng = random.Random(11)
-    rows = [(f"l{k}", prose(rng, 8, rng.choice(["en", "fr"]))) for k in range(400) for _ in range(2)] + [(None, "x")]
+    rows = [(f"l{k}", prose(rng, 8, rng.choice(["en", "fr"]))) for k in range(1000) for _ in range(2)] + [(None, "x")]
     df = spark.createDataFrame(rows, "lang string, text string")
     assert langid.drawn(df, "text", "lang", 1).groupBy("lang").count().where("count <> 1").count() == 0
-    assert langid.drawn(df, "text", "lang", 5).select("lang").distinct().count() == 400
+    assert langid.drawn(df, "text", "lang", 5).select("lang").distinct().count() == 1000
 
 
 def test_long_words_are_counted_whole():
