@@ -63,12 +63,14 @@ def detalhe_uf(spark, sf):
     return composites.detalhe_uf(*given(spark, sf), every_year(spark, sf), "N07", cells=stored_cells(spark, sf))
 
 
+SOME = tuple(f"N{k:02d}" for k in range(0, 20, 2))
+_SOME = ", ".join(f"'{a}'" for a in SOME)
 for _name, _build, _body in (("perfil", composites.perfil, PROFILE), ("clinico", composites.clinico, CLINICAL), ("comorbidades", composites.comorbidades, COMORBID)):
     query(f"cells_{_name}", _body)(
         lambda spark, sf, build=_build: build(*given(spark, sf), every_year(spark, sf), cells=stored_cells(spark, sf)))
-    query(f"cells_{_name}_some", picked(_body, f"SELECT ano_notificacao FROM cases WHERE ano_notificacao IN ({LATEST}) AND uf IN ('N03', 'N07')").replace(
-        "picked AS (SELECT * FROM cases WHERE", "picked AS (SELECT * FROM cases WHERE uf IN ('N03', 'N07') AND"))(
-        lambda spark, sf, build=_build: build(*given(spark, sf), Filters(areas=("N03", "N07", "ZZ")), cells=stored_cells(spark, sf)))
+    query(f"cells_{_name}_some", picked(_body, f"SELECT ano_notificacao FROM cases WHERE ano_notificacao IN ({LATEST})").replace(
+        "picked AS (SELECT * FROM cases WHERE", f"picked AS (SELECT * FROM cases WHERE uf IN ({_SOME}) AND"))(
+        lambda spark, sf, build=_build: build(*given(spark, sf), Filters(areas=(*SOME, "ZZ")), cells=stored_cells(spark, sf)))
 
 
 @query("cells_tendencia", TREND)

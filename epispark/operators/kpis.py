@@ -16,8 +16,8 @@ from epispark.spec import TB, AreaDim, CaseSpec
 
 def base_total_share(df: DataFrame, filters: Filters, dim: AreaDim | None = None,
                      spec: CaseSpec = TB) -> DataFrame:
-    """Unfiltered total of the chosen years and the filtered share."""
-    filters = resolve(df, filters, spec, dim)
+    """Unfiltered total of the chosen years, of all years without a choice, and the filtered share. The filters are taken as
+    they are; a request is resolved before."""
     out = filters.apply(df, spec, dim).agg(F.count(F.lit(1)).alias("total"), base_total(df, filters, spec).alias("total_base"))
     return out.withColumn("pct_filtrado", pct1(F.col("total"), F.col("total_base")))
 
