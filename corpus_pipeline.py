@@ -2,7 +2,14 @@
 
 Each stage takes the documents that the one before kept, written as Parquet below the checkpoint folder
 and read again; the files stay there. All but the last return
-the columns of the documents; the last returns where each piece of each document goes."""
+the columns of the documents; the last returns where each piece of each document goes.
+
+Defined results: a null text counts as empty; empty texts are one text to the exact dedup, and a document without
+words is not taken by the mix. A document without a label or a number is scored like any other. Of
+equal texts and of a class of near copies the smallest doc_id stays, null numbers last; repeated rows are copies. Null
+sources are one source of the mix and conflict with nothing in the packing. Very long texts are read whole by every stage.
+Extra columns pass through to the packing under their own names. Without documents every stage returns no rows, without
+labels no document is rejected."""
 
 from __future__ import annotations
 

@@ -238,6 +238,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, th
             target: float = TARGET, seed: int = 3) -> DataFrame:
     """doc (identifier), mark (hash of the text), class_id, n_links, first; one row per input row.
 
+    Identifiers are whole numbers or text that reads as one (other text fails the cast); null ones are allowed.
+
     Classes are the components of the links (similarity at or above the threshold); class_id is the
     smallest identifier of the class, n_links the number of other rows that the row is linked to.
     `first` says whether the row has that identifier, or without any the smallest hash."""

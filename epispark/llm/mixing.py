@@ -15,7 +15,8 @@ of the rows is spread over most shards. Block and shard sizes are fixed shares o
 same rules hold at every size.
 
 Defined results: a null text has no words; a document without words is taken 0 times; null is a
-source of its own, the last one; an empty table gives an empty result.
+source of its own, the last one; equal quotients go by the order of the sources; repeated rows count once each; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
